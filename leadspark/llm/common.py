@@ -78,3 +78,74 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
     h = xxhash.xxh3_64_intdigest
     return np.fromiter((h(w) for w in words), np.uint64, len(words))
+
+
+def slices(batches, column: str = "text", limit: int = 3_000_000):
+    """Record batches cut so that each holds about limit bytes of column (one row at least): memory stays bounded."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        begin, held = 0, 0
+        for i, n in enumerate(sizes):
+            if i > begin and held + n > limit:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += n
+        if begin < len(sizes):
+            yield batch.slice(begin)
+
+
+def lists(values: np.ndarray, lengths: np.ndarray):
+    """An Arrow list array of int64 with these lengths."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64, copy=False) if values.dtype != np.uint64 else values.view(np.int64)))
+
+
+def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its k-word shingles; with fewer words, of the whole sequence; without words, none."""
+    words, ids, at = encode(texts)
+    if not len(ids):
+        return [np.zeros(0, np.uint64)] * len(texts)
+    h = mix64(word_hashes(words))[ids]
+    acc = h.copy()
+    acc[: len(h) - k + 1] = 0
+    n = len(h) - k + 1
+    if n > 0:
+        part = h[:n].copy()
+        for j in range(1, k):
+            part = mix64(part * U64(0x9E3779B97F4A7C15) + h[j : j + n])
+        acc[:n] = part
+    out = []
+    for i in range(len(texts)):
+        a, b = at[i], at[i + 1]
+        if b - a >= k:
+            out.append(np.unique(acc[a : b - k + 1]))
+        elif b > a:
+            one = h[a : a + 1] + U64(b - a)
+            for j in range(a + 1, b):
+                one = mix64(one * U64(0x9E3779B97F4A7C15) + h[j : j + 1])
+            out.append(mix64(one))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, component) of an undirected graph with edges (a, b): component is the smallest node that can be reached.
+
+    Min-label propagation with pointer jumping; every round is written to the shared folder. Nodes and labels stay in
+    Spark; the driver gets one count per round. Sums and minima combine before each shuffle, so a hub is no hot key.
+    """
+    both = materialize(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), name)
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("_near"))
+        hooked = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_l"))
+        jump = labels.select(F.col("node").alias("_l"), F.col("component").alias("_to"))
+        new = materialize(hooked.join(jump, "_l", "left").select("node", F.least("_l", "_to").alias("component"), (F.least("_l", "_to") < F.col("_old")).alias("_moved")), name)
+        labels = new.select("node", "component")
+        if not new.where("_moved").limit(1).count():
+            return labels

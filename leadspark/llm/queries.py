@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import mixing
+from leadspark.llm import jaccard, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -36,5 +36,23 @@ SELECT doc_id, size, source_size, target, CAST(repeats * size AS BIGINT) AS take
  SELECT *, whole + CASE WHEN source_size > 0 AND 2 * before + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END AS repeats FROM r)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing}
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL}
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+       ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM d),
+ n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+ e AS (SELECT doc_id, unnest(s) AS h FROM s),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ pairs AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.r)
+SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY ALL
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op9_jaccard": op9_jaccard}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op9_jaccard": OP9_SQL}
