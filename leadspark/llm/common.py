@@ -31,7 +31,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and every copy survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leadspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
     _written[path] = spark

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import jaccard, mixing, quality, substrings
+from leadspark.llm import jaccard, language_model, mixing, quality, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -63,5 +67,5 @@ SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op6_quality": op6_quality, "op7_substrings": op7_substrings, "op9_jaccard": op9_jaccard}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_language_model": op2_language_model, "op6_quality": op6_quality, "op7_substrings": op7_substrings, "op9_jaccard": op9_jaccard}
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op9_jaccard": OP9_SQL}
