@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import jaccard, language_model, mixing, quality, substrings
+from leadspark.llm import decontaminate, jaccard, language_model, mixing, quality, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -44,6 +44,21 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+OP3_SQL = r"""
+WITH t AS (SELECT doc_id AS id, false AS item, text FROM documents UNION ALL SELECT item_id, true, text FROM benchmark),
+ w AS (SELECT id, item, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM t),
+ s AS (SELECT id, item, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+       ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
+ e AS (SELECT id, item, len(s) AS n, unnest(s) AS h FROM s)
+SELECT d.id AS doc_id, i.id AS item_id, CAST(any_value(i.n) AS BIGINT) AS n_item, count(*) AS n_shared
+FROM e d JOIN e i ON d.h = i.h AND i.item AND NOT d.item GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(i.n)
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -67,5 +82,5 @@ SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_language_model": op2_language_model, "op6_quality": op6_quality, "op7_substrings": op7_substrings, "op9_jaccard": op9_jaccard}
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op9_jaccard": OP9_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_language_model": op2_language_model, "op3_decontaminate": op3_decontaminate, "op6_quality": op6_quality, "op7_substrings": op7_substrings, "op9_jaccard": op9_jaccard}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_decontaminate": OP3_SQL, "op9_jaccard": OP9_SQL}
