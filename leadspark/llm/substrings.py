@@ -2,10 +2,10 @@
 
 A byte goes when a `length`-byte string that covers it also starts earlier (smaller doc_id, or same document and earlier).
 
-1. Anchors. Position a is an anchor when its k-byte hash is the smallest of some `length`-byte string that holds it, so
-   every such string has an anchor, at the same place wherever the string occurs. Each anchor gives its hash, its place
-   and the hash of its context X: the bytes from a - (length - k) to a + length, within its document. About one byte in
-   35 is an anchor; only these 40-byte rows are shuffled.
+1. Anchors. Every `length`-byte string has one anchor: the leftmost place of its smallest k-byte hash. That depends on
+   the string alone, so equal strings have their anchors at the same place. Neighbouring strings with one anchor make
+   its context; an anchor gives its hash, its context's hash and its place: one row in about 32 bytes, and only these
+   rows are shuffled.
 2. Anchors with the same hash and the same context: all but the first are repeats of the whole context, at once.
 3. First anchors of each context whose hash has further contexts are the suffixes whose common prefixes matter. Their
    contexts are fetched from the texts, and each bucket (same k bytes) becomes an enhanced suffix array: suffixes
@@ -67,15 +67,16 @@ def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
     return x
 
 
-def anchors(hashes: np.ndarray, length: int, k: int) -> np.ndarray:
-    """Places of anchors; hashes: of the k-grams, the largest value where a k-gram is in no document."""
-    w = length - k + 1
-    if len(hashes) < w:
-        return np.zeros(0, np.int64)
-    least = _sliding(hashes, w, np.minimum)
-    pad = np.zeros(w - 1, np.uint64)
-    most = _sliding(np.concatenate([pad, least, pad]), w, np.maximum)
-    return np.flatnonzero((most == hashes) & (hashes != U64(2**64 - 1)))
+def anchors(hashes: np.ndarray, inside: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors and the begins and ends of their contexts; hashes of k-grams, inside: starts of the strings to cover."""
+    if not len(inside):
+        return (np.zeros(0, np.int64),) * 3
+    bits = U64(max(20, len(hashes).bit_length()))
+    low = (U64(1) << bits) - U64(1)
+    least = _sliding((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - k + 1, np.minimum)
+    at = (least[inside] & low).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (np.diff(inside) > 1)]))
+    return at[cut], inside[cut], np.concatenate([inside[cut[1:] - 1], inside[-1:]]) + length
 
 
 def _buffer(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,38 +93,46 @@ def _find(length: int, k: int):
         import pyarrow as pa
 
         for batch in slices(batches, limit=1_000_000):
-            data, begins, ends = _buffer(batch.column("text").to_pylist())
-            keep = np.repeat(ends - begins >= length, ends - begins + 1)
-            if len(data) <= k or not keep.any():
+            data, begins, _ = _buffer(batch.column("text").to_pylist())
+            if len(data) <= length:
                 continue
             h = _Hashes(data)
-            grams = h.grams(k)
             outside = np.cumsum(np.concatenate([[0], data == 255]))
-            grams[(outside[k:] - outside[:-k] > 0) | ~keep[: len(grams)]] = U64(2**64 - 1)
-            at = anchors(grams, length, k)
+            at, low, high = anchors(h.grams(k), np.flatnonzero(outside[length:] == outside[:-length]), length, k)
             doc = np.searchsorted(begins, at, side="right") - 1
-            low, high = np.maximum(begins[doc], at - (length - k)), np.minimum(ends[doc], at + length)
-            context = h.of(low, high) + U64(1) * (at - low).astype(np.uint64)
+            context = h.of(low, high) + (at - low).astype(np.uint64)
+            place = (at - begins[doc]) << 16 | (at - low) << 8 | (high - at)
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(context.view(np.int64)), batch.column("d").take(take), batch.column("e").take(take), pa.array((at - begins[doc]).astype(np.int32))], ["h", "x", "d", "e", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.of(at, at + k).view(np.int64)), pa.array(context.view(np.int64)), batch.column("d").take(take), batch.column("e").take(take), pa.array(place)], ["h", "x", "d", "e", "q"])
     return run
 
 
-def _contexts(length: int, k: int):
-    def run(batches):
-        import pyarrow as pa
+def _squeeze(batches):
+    """Texts compressed for the shuffle."""
+    import pyarrow as pa
+    import zstandard
 
-        for batch in slices(batches):
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for d, e, text, spots in zip(*(batch.column(c).to_pylist() for c in ("d", "e", "text", "spots")), strict=True):
-                raw = text.encode()
-                for s in spots:
-                    p = s["p"]
-                    for column, v in zip(out, (s["h"], d, e, p, raw[max(0, p - (length - k)) : p][::-1], raw[p : p + length]), strict=True):
-                        column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["h", "d", "e", "p", "left", "right"])
-    return run
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([pack((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], [*rest, "z"])
+
+
+def _contexts(batches):
+    import pyarrow as pa
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches, "z", 1_000_000):
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for d, e, z, spots in zip(*(batch.column(c).to_pylist() for c in ("d", "e", "z", "spots")), strict=True):
+            raw = unpack(z)
+            for s in spots:
+                p, left, right = s["q"] >> 16, s["q"] >> 8 & 255, s["q"] & 255
+                for column, v in zip(out, (s["h"], d, e, p, raw[p - left : p][::-1], raw[p : p + right]), strict=True):
+                    column.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["h", "d", "e", "p", "left", "right"])
 
 
 def common(items: list[bytes]) -> np.ndarray:
@@ -165,37 +174,41 @@ def maximal_repeats(left: list[bytes], right: list[bytes], length: int):
             yield n, r, order[c:d]
 
 
-def _scan(length: int):
-    def bucket(rows, out):
-        order, left, right = rows["o"], rows["left"], rows["right"]
-        for n, r, group in maximal_repeats(left, right, length):
-            first = min(group, key=lambda i: (order[i][0] is None, order[i][0] or 0, *order[i][1:]))
-            for i in group:
-                if i != first:
-                    out.append((*order[i][:2], order[i][2] - n, order[i][2] + r))
+def _repeats(places: list[tuple], left: list[bytes], right: list[bytes], length: int, out: list) -> None:
+    """For each occurrence of a bucket that is not the first of some maximal repeat, what these repeats cover: they all hold the anchor, so one span."""
+    best: dict[int, tuple[int, int]] = {}
+    for n, r, group in maximal_repeats(left, right, length):
+        first = min(group, key=lambda i: (places[i][0] is None, places[i][0] or 0, *places[i][1:]))
+        for i in group:
+            if i != first:
+                x, y = best.get(i, (0, 0))
+                best[i] = max(x, n), max(y, r)
+    for i, (n, r) in best.items():
+        d, e, p = places[i]
+        out.append((d, e, (p - n) << 32 | (p + r)))
+
 
+def _scan(length: int):
     def run(batches):
         import pyarrow as pa
 
         def flush(out):
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["d", "e", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*out, strict=True) if out else ((), (), ()))], ["d", "e", "s"])
 
-        now, held, out = None, {"o": [], "left": [], "right": []}, []
+        now, places, left, right, out = None, [], [], [], []
         for batch in batches:
-            for h, d, e, p, left, right in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "e", "p", "left", "right")), strict=True):
+            for h, d, e, p, x, y in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "e", "p", "left", "right")), strict=True):
                 if h != now:
-                    if len(held["o"]) > 1:
-                        bucket(held, out)
-                    now, held = h, {"o": [], "left": [], "right": []}
-                held["o"].append((d, e, p))
-                held["left"].append(left)
-                held["right"].append(right)
-            if len(out) > 5000:
-                yield flush(out)
-                out = []
-        if len(held["o"]) > 1:
-            bucket(held, out)
+                    if len(places) > 1:
+                        _repeats(places, left, right, length, out)
+                    now, places, left, right = h, [], [], []
+                places.append((d, e, p))
+                left.append(x)
+                right.append(y)
+            yield flush(out)
+            out = []
+        if len(places) > 1:
+            _repeats(places, left, right, length, out)
         yield flush(out)
     return run
 
@@ -204,46 +217,52 @@ def _cut(batches):
     import hashlib
 
     import pyarrow as pa
+    import zstandard
 
-    for batch in batches:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches, "z", 1_000_000):
         rows: list[tuple] = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            raw, kept, at, removed, runs = (text or "").encode(), [], 0, 0, 0
-            edge = -1
-            for begin, b in sorted((max(0, s["a"]), min(len(raw), s["b"])) for s in spans or ()):
-                a = max(begin, at)
-                runs += begin > edge
-                edge = max(edge, b)
-                if b > a:
-                    kept.append(raw[at:a])
-                    removed += b - a
-                    at = b
-            kept.append(raw[at:])
-            rows.append((len(raw), removed, runs, hashlib.sha256(b"".join(kept)).hexdigest()))
+        for z, spans in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            raw = unpack(z)
+            if not spans:
+                rows.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
+                continue
+            s = np.sort(np.array(spans, np.int64))
+            a, b = s >> 32, np.maximum.accumulate(s & 0xFFFFFFFF)
+            new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+            begins, ends = a[new], np.concatenate([b[new[1:] - 1], b[-1:]])
+            kept, at = hashlib.sha256(), 0
+            for x, y in zip(begins.tolist(), ends.tolist(), strict=True):
+                kept.update(raw[at:x])
+                at = y
+            kept.update(raw[at:])
+            rows.append((len(raw), int((ends - begins).sum()), len(new), kept.hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame:
-    """(d, e, a, b): bytes a to b (end exclusive) of document d (e: the hash of its text) are repeats. Spans may overlap."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("e"), "text").where("octet_length(text) >= %d" % length)
-    found = keyed.mapInArrow(_find(length, k), "h long, x long, d long, e long, p int")
-    place = [F.col("d").asc_nulls_last(), "e", "p"]
-    same = Window.partitionBy("h").orderBy("x", *place)
-    bucket = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = found.select("h", "d", "e", "p", "x", F.count("*").over(bucket).alias("_n"), F.min("x").over(bucket).alias("_x"), F.max("x").over(bucket).alias("_y"), F.lag("x").over(same).alias("_before"), F.lag("d").over(same).alias("_bd"), F.lag("e").over(same).alias("_be"), F.lag("p").over(same).alias("_bp"))
-    seen = seen.where("_n > 1")
+    """(d, e, spans): spans (begin << 32 | end, bytes, may overlap) of document d (e: the hash of its text) that are repeats. length: at most 255."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("e"), "text").where(F.octet_length("text") >= length)
+    found = keyed.mapInArrow(_find(length, k), "h long, x long, d long, e long, q long")
+    order = Window.partitionBy("h").orderBy("x", F.col("d").asc_nulls_last(), "e", "q")
+    bucket = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = {c: F.lag(c).over(order) for c in ("x", "d", "e", "q")}
+    seen = found.select("h", "x", "d", "e", "q", F.count("*").over(bucket).alias("_n"), F.min("x").over(bucket).alias("_least"), F.max("x").over(bucket).alias("_most"), *(v.alias(f"_{c}") for c, v in before.items()))
+    again = F.coalesce(F.col("x") == F.col("_x"), F.lit(False))
     # rows that repeat as a whole are one document: neither copy is earlier
-    twin = F.col("d").eqNullSafe(F.col("_bd")) & (F.col("e") == F.col("_be")) & (F.col("p") == F.col("_bp"))
-    again = F.coalesce((F.col("x") == F.col("_before")), F.lit(False))
-    marks = materialize(seen.where(~F.coalesce(twin & again, F.lit(False))).where(again | (F.col("_x") != F.col("_y"))).select("h", "d", "e", "p", again.alias("again")), "anchors")
-    whole = marks.where("again").select("d", "e", "p")
-    spots = marks.where("not again").groupBy("d", "e").agg(F.collect_list(F.struct("h", "p")).alias("spots"))  # of one document
-    t, s = keyed.dropDuplicates(["d", "e"]).alias("t"), spots.alias("s")
-    contexts = t.join(s, F.col("t.d").eqNullSafe(F.col("s.d")) & (F.col("t.e") == F.col("s.e"))).select("t.d", "t.e", "t.text", "s.spots")
-    contexts = contexts.mapInArrow(_contexts(length, k), "h long, d long, e long, p int, left binary, right binary")
-    tree = contexts.repartition("h").sortWithinPartitions("h", "right").mapInArrow(_scan(length), "d long, e long, a int, b int")
-    return whole.select("d", "e", (F.col("p") - (length - k)).alias("a"), (F.col("p") + length).alias("b")).unionByName(tree)
+    twin = again & F.col("d").eqNullSafe(F.col("_d")) & (F.col("e") == F.col("_e")) & (F.col("q") == F.col("_q"))
+    marks = seen.where("_n > 1").where(~twin & (again | (F.col("_least") != F.col("_most")))).select("h", "d", "e", "q", again.alias("again"))
+    p = F.shiftright("q", 16)
+    span = F.shiftleft(p - F.shiftright("q", 8).bitwiseAND(255), 32).bitwiseOR(p + F.col("q").bitwiseAND(255))
+    by_doc = materialize(marks.groupBy("d", "e").agg(  # no longer than the document
+        F.collect_list(F.when(F.col("again"), span)).alias("whole"), F.collect_list(F.when(~F.col("again"), F.struct("h", "q"))).alias("spots")), "anchors")
+    t, s = keyed.dropDuplicates(["d", "e"]).mapInArrow(_squeeze, "d long, e long, z binary").alias("t"), by_doc.where(F.size("spots") > 0).alias("s")
+    contexts = t.join(s, F.col("t.d").eqNullSafe(F.col("s.d")) & (F.col("t.e") == F.col("s.e"))).select("t.d", "t.e", "t.z", "s.spots")
+    contexts = contexts.mapInArrow(_contexts, "h long, d long, e long, p long, left binary, right binary")
+    tree = contexts.repartition("h").sortWithinPartitions("h", "right").mapInArrow(_scan(length), "d long, e long, s long")
+    parts = by_doc.select("d", "e", "whole").unionByName(tree.groupBy("d", "e").agg(F.collect_list("s").alias("whole")))
+    return parts.groupBy("d", "e").agg(F.flatten(F.collect_list("whole")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame:
@@ -252,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame
     A null text is empty; texts under length bytes keep all; null doc_ids come last; rows that repeat as a whole are one
     document and get the same row each; other rows of one doc_id follow their texts' hashes; an empty table gives none.
     """
-    spans = repeated_spans(docs, length, k).groupBy("d", "e").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one document
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_e"), "text")
-    joined = t.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_e") == F.col("e")), "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, length, k)
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_e"), "text").mapInArrow(_squeeze, "doc_id long, _e long, z binary")
+    joined = t.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_e") == F.col("e")), "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
