@@ -35,15 +35,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads: everything made from them has been written."""
+    for t in tables:
+        _delete(t.stored_at)
 
 
 def _clean() -> None:
-    for path, spark in _written.items():
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path)
         except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's scratch space
             return
 

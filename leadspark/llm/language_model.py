@@ -4,7 +4,7 @@ p(w | h) = l2(b) c(h, w) / c(h) + l1(b) c(w) / N + l0(b) / (V + 1), where b is t
 c(h) (powers of two) and the weights l of each bucket are learned by expectation-maximisation on counts of a part of
 the training documents that the maximum-likelihood estimates of that step leave out.
 
-Texts are read once, into chunks of about two million tokens: distinct words, and the texts as numbers of words. Each
+Texts are read once, into chunks of about 750 thousand tokens: distinct words, and the texts as numbers of words. Each
 chunk sends its distinct unigrams and bigrams, packed and sorted, to count buckets by hash range; a bucket adds up the
 counts of all chunks and answers each chunk in its own order. A frequent n-gram is one entry per chunk, so no bucket is
 hot, and the number of buckets grows with the corpus. With its answers each chunk scores its documents. The driver gets
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import U64, materialize, mix64, slices, word_hashes
+from leadspark.llm.common import U64, discard, materialize, mix64, slices, word_hashes
 
 END, START = U64(0x5A17E9D3C0FFEE01), U64(0x1B0CA7F00D5EED03)
 CHUNK = "chunk long, docs array<long>, has_id array<boolean>, fold binary, sizes binary, words binary, ids binary"
@@ -78,13 +78,23 @@ def _chunks(tokens: int, folds: int, test: int, held: int):
     return run
 
 
-def _pairs(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of a chunk's bigrams, and each token's place among them."""
+def _before(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The number of the word before each word; START (1) before each text's first."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = 1  # each text follows START
-    key = mix64(hashes[before] * U64(0x9E3779B97F4A7C15) + hashes[ids]) & ~U64(0xFFFF)
-    return np.unique(key, return_inverse=True)
+    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = 1
+    return before
+
+
+def _pairs(ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct bigrams of a chunk as pairs of word numbers, and each token's place among them."""
+    return np.unique(before.astype(np.uint64) << U64(32) | ids, return_inverse=True)
+
+
+def _keys(pairs: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of bigrams (bits of the bucket and 40 more), and each bigram's place among them."""
+    key = mix64(hashes[(pairs >> U64(32)).astype(np.int64)] * U64(0x9E3779B97F4A7C15) + hashes[(pairs & U64(0xFFFFFFFF)).astype(np.int64)])
+    return np.unique(key >> U64(24 - bits), return_inverse=True)
 
 
 def _read(row) -> tuple[np.ndarray, ...]:
@@ -106,16 +116,17 @@ def _emit(bits: int):
             fold, sizes, ids, part = _read(row)
             hashes = np.frombuffer(row["words"], np.uint64)
             one, where = np.unique(hashes, return_inverse=True)
-            two, at = _pairs(ids, sizes, hashes)
+            pairs, at = _pairs(ids, _before(ids, sizes))
+            two, place = _keys(pairs, hashes, bits)
             starts = np.bincount(fold, minlength=3)
-            for level, keys, place, width in ((1, one, where[ids], 8), (2, two, at, 6)):
+            for level, keys, place, size, width in ((1, one, where[ids], 64, 8), (2, two, place[at], 40 + bits, 5)):
                 main, other = (np.bincount(place[part == f], minlength=len(keys)).astype(np.uint32) for f in (0, 1))
                 if level == 1:  # START is a context only: once a text
                     s = where[1]
                     main[s], other[s] = starts[0], starts[1]
-                cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << U64(64 - bits))
+                cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << U64(size - bits))
                 cuts = np.concatenate([[0], cuts, [len(keys)]])
-                raw = keys.view(np.uint8).reshape(-1, 8)[:, 8 - width :]
+                raw = keys.view(np.uint8).reshape(-1, 8)[:, :width]  # the bucket's bits are left out of bigrams' keys
                 live = np.flatnonzero(np.diff(cuts))
                 data = [[int(b) for b in live], [level] * len(live), [row["chunk"]] * len(live), *([f(cuts[b], cuts[b + 1]) for b in live] for f in (lambda a, b: raw[a:b].tobytes(), lambda a, b: pack(main[a:b]), lambda a, b: pack(other[a:b])))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -128,10 +139,10 @@ def _count(table):
     import pyarrow as pa
 
     level, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
-    width, parts = 8 if level == 1 else 6, []
+    width, parts = 8 if level == 1 else 5, []
     for raw in table.column("keys").to_pylist():
         grid = np.zeros((len(raw) // width, 8), np.uint8)
-        grid[:, 8 - width :] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+        grid[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
         parts.append(grid.view(np.uint64).ravel())
     keys, place = np.unique(np.concatenate(parts), return_inverse=True)
     sums = []
@@ -147,23 +158,27 @@ def _count(table):
     return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["chunk", "level", "bucket", "main", "other", "n_main", "n_other", "distinct"])
 
 
-def _join(left, right):
-    """A chunk with the corpus counts of its unigrams (in the order of word numbers) and bigrams (in sorted order)."""
-    import pyarrow as pa
+def _join(bits: int):
+    def run(left, right):
+        """A chunk with the corpus counts of its unigrams (in the order of word numbers) and bigrams (of pairs of numbers)."""
+        import pyarrow as pa
 
-    row = left.slice(0, 1).to_pylist()[0]
-    found = right.to_pylist()
-    found.sort(key=lambda r: (r["level"], r["bucket"]))
-    got = {(lv, c): np.concatenate([unpack(r[c], np.uint32) for r in found if r["level"] == lv]) for lv in (1, 2) for c in ("main", "other")}
-    _, where = np.unique(np.frombuffer(row["words"], np.uint64), return_inverse=True)
-    one = [pack(got[1, c][where]) for c in ("main", "other")]
-    # a bigram's place needs the words' hashes again, so they stay
-    data = [*(row[c] for c in ("chunk", "docs", "has_id", "fold", "sizes", "words", "ids")), *one, *(pack(got[2, c]) for c in ("main", "other"))]
-    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 8)
-    return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(data, kinds, strict=True)], names=["chunk", "docs", "has_id", "fold", "sizes", "words", "ids", "m1", "o1", "m2", "o2"])
+        row = left.slice(0, 1).to_pylist()[0]
+        found = right.to_pylist()
+        found.sort(key=lambda r: (r["level"], r["bucket"]))
+        got = {(lv, c): np.concatenate([unpack(r[c], np.uint32) for r in found if r["level"] == lv]) for lv in (1, 2) for c in ("main", "other")}
+        _, sizes, ids, _ = _read(row)
+        hashes = np.frombuffer(row["words"], np.uint64)
+        _, where = np.unique(hashes, return_inverse=True)
+        _, place = _keys(_pairs(ids, _before(ids, sizes))[0], hashes, bits)
+        counts = [pack(got[lv, c][at]) for lv, at in ((1, where), (2, place)) for c in ("main", "other")]
+        data = [*(row[c] for c in ("docs", "has_id", "fold", "sizes", "ids")), *counts]
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 7)
+        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(data, kinds, strict=True)], names=[c.split()[0] for c in JOINED.split(", ")])
+    return run
 
 
-JOINED = CHUNK + ", m1 binary, o1 binary, m2 binary, o2 binary"
+JOINED = "docs array<long>, has_id array<boolean>, fold binary, sizes binary, ids binary, m1 binary, o1 binary, m2 binary, o2 binary"
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -173,10 +188,8 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
 
 def _tokens(row) -> tuple[np.ndarray, ...]:
     fold, sizes, ids, part = _read(row)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = 1
-    _, at = _pairs(ids, sizes, np.frombuffer(row["words"], np.uint64))
+    before = _before(ids, sizes)
+    _, at = _pairs(ids, before)
     return fold, sizes, ids, part, before, at
 
 
@@ -241,7 +254,7 @@ def _score(weights: np.ndarray, n: int, v: int):
     return run
 
 
-def score(docs: DataFrame, folds: int = 7, test: int = 2, held: int = 5, chunk_tokens: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, test: int = 2, held: int = 5, chunk_tokens: int = 750_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each of docs (doc_id, text).
 
     Documents whose crc32(doc_id) mod folds is `test` are scored but not learned from; those with `held` are what the
@@ -256,7 +269,8 @@ def score(docs: DataFrame, folds: int = 7, test: int = 2, held: int = 5, chunk_t
     counted = materialize(keys.groupBy("level", "bucket").applyInArrow(_count, "chunk long, level int, bucket long, main binary, other binary, n_main long, n_other long, distinct long"), "counts")
     sums = counted.where("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_main", "n_other", "distinct"))).first()
     answers = counted.where("chunk >= 0").select("chunk", "level", "bucket", "main", "other")
-    joined = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_join, JOINED), "counted")
+    joined = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_join(bits), JOINED), "counted")
+    discard(chunks, counted)
     n, v = sums.n_main + sums.n_other, sums.distinct
     events = materialize(joined.mapInArrow(_events(sums.n_main), "b int, p2 double, p1 double, n long"), "events")
     weights = learn(events, 1.0 / (v + 1))
