@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import decontaminate, jaccard, language_model, mixing, quality, secrets, substrings
+from leadspark.llm import decontaminate, html_text, jaccard, language_model, mixing, quality, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
  s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
@@ -86,5 +90,5 @@ SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_language_model": op2_language_model, "op3_decontaminate": op3_decontaminate, "op6_quality": op6_quality, "op7_substrings": op7_substrings, "op9_jaccard": op9_jaccard, "op10_secrets": op10_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_language_model": op2_language_model, "op3_decontaminate": op3_decontaminate, "op6_quality": op6_quality, "op7_substrings": op7_substrings, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_decontaminate": OP3_SQL, "op9_jaccard": OP9_SQL}

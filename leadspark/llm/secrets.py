@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import slices
+from leadspark.llm.common import discard, materialize, slices
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -38,10 +39,10 @@ def shape(word: bytes) -> int:
     rest = word.translate(None, _LETTERS)
     core = word.strip(_EDGES)
     n = len(core)
-    size = sum(n >= x for x in LENGTHS)
-    if not rest.strip(_EDGES + b"-"):
+    size = bisect_right(LENGTHS, n)
+    if not rest or not rest.strip(_EDGES + b"-"):
         low = word.lower()
-        if any(k in low for k in KEYWORDS[:4]) or low.strip(_EDGES) in KEYWORDS:
+        if b"passw" in low or b"secret" in low or b"token" in low or b"api" in low or low.strip(_EDGES) in KEYWORDS:
             return KEYWORD
         if not core:
             return OPERATOR if word in (b":", b"=", b":=", b"=>") else 7 * 5
@@ -102,7 +103,7 @@ class Field:
     def scores(self, shapes: np.ndarray, before: np.ndarray, after: np.ndarray, files: np.ndarray) -> np.ndarray:
         return self.own[shapes] + self.before[before] + self.after[after] + self.file[files]
 
-    def fit(self, shapes: np.ndarray, files: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
+    def fit(self, shapes: np.ndarray, files: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: float = 0.5, decay: float = 1e-3) -> Field:
         """shapes, labels: windows x words (shape N_SHAPES: no word there, label 0); files: windows. AdaGrad on the mean log-likelihood."""
         n, length = shapes.shape
         pad = np.full((n, 1), N_SHAPES)
@@ -123,10 +124,10 @@ class Field:
             grads = [np.zeros_like(t) for t in self.tables()]
             truth = np.eye(3)[labels] - node
             for g, where in zip(grads, (shapes, before, after, f), strict=False):
-                np.add.at(g, where, truth)
+                for y in range(3):
+                    g[:, y] = np.bincount(where.ravel(), weights=truth[:, :, y].ravel(), minlength=len(g))
             edges = np.exp(a[:, :-1, :, None] + self.pair + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])
-            np.add.at(grads[4], (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1.0)
-            grads[4] -= edges.sum((0, 1))
+            grads[4] += np.bincount((3 * labels[:, :-1] + labels[:, 1:]).ravel(), minlength=9).reshape(3, 3) - edges.sum((0, 1))
             for t, g, s in zip(self.tables(), grads, square, strict=True):
                 g = g / n - decay * t
                 s += g * g
@@ -196,13 +197,17 @@ def _windows(reach: int):
         import pyarrow as pa
 
         for batch in slices(batches):
-            rows = []
+            rows, known = [], {}
             for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 if not words:
                     continue
-                shapes = np.array([shape(w) for w in words])
-                labels = np.array(_labels(text, base_spans(text)))
+                for w in words:
+                    if w not in known:
+                        known[w] = shape(w)
+                shapes = np.array([known[w] for w in words])
+                spans = base_spans(text) if any(_may_match(w) for w in set(words)) else []
+                labels = np.array(_labels(text, spans)) if spans else np.zeros(len(words), np.int64)
                 spots = np.flatnonzero(labels)
                 odd = np.flatnonzero((shapes % 45 >= 5) | (shapes >= 45))
                 centres = [*spots[:20], *odd[:3], int(hashlib.md5(str(d).encode()).hexdigest()[:8], 16) % len(words)]
@@ -216,13 +221,15 @@ def _windows(reach: int):
     return run
 
 
-def fit(docs: DataFrame, sample_docs: int = 40_000, max_windows: int = 4_000, reach: int = 8) -> Field:
+def fit(docs: DataFrame, sample_docs: int = 20_000, max_windows: int = 1_500, reach: int = 6) -> Field:
     """A field fitted on at most max_windows windows with and as many without secrets, from a seeded sample of about sample_docs documents."""
     total = docs.count()
     part = docs if total <= sample_docs else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_docs / total))
     rows = part.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_windows(reach), "doc_id long, positive boolean, file long, shapes array<long>, labels array<long>")
     key = F.xxhash64("doc_id", "shapes")
+    rows = materialize(rows, "windows")
     got = [r for want in (True, False) for r in rows.where(F.col("positive") == want).orderBy(key, "shapes", "labels").limit(max_windows).collect()]
+    discard(rows)
     field = Field()
     field.pair[0, 2] = -4.0  # inside follows begin or inside
     if got:
