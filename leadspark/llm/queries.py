@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import decontaminate, html_text, jaccard, language_model, mixing, quality, secrets, substrings, token_counts
+from leadspark.llm import decontaminate, html_text, jaccard, language_model, mixing, pii, quality, secrets, substrings, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -59,6 +59,10 @@ FROM e d JOIN e i ON d.h = i.h AND i.item AND NOT d.item GROUP BY d.id, i.id HAV
 """
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -94,5 +98,5 @@ SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_language_model": op2_language_model, "op3_decontaminate": op3_decontaminate, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_substrings": op7_substrings, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_secrets": op10_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_language_model": op2_language_model, "op3_decontaminate": op3_decontaminate, "op4_pii": op4_pii, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_substrings": op7_substrings, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_decontaminate": OP3_SQL, "op9_jaccard": OP9_SQL}
