@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadspark.llm.common import without
+
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
@@ -65,6 +67,5 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 80, k: int = 5,
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item; rows without doc_id stay unless a row without doc_id holds one."""
-    bad = contained(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that hold no item. Rows of one doc_id go together; rows without doc_id are not judged and stay."""
+    return without(docs, contained(docs.where("doc_id is not null"), items, **options).select("doc_id"))
