@@ -33,7 +33,11 @@ def amounts_in_text(c: Column) -> Column:
     """Amounts in pesos, kind after kind: N millones or palos, N mil or k, $N, 1.500.000, five digits and more."""
     text = F.lower(strip_accents(F.coalesce(c, F.lit(""))))
     kinds = ((r"([0-9]+(?:[.,][0-9]+)?)\s*(?:millones|millon|palo|palos)", 1e6), (r"([0-9]+(?:[.,][0-9]+)?)\s*(?:mil|k)\b", 1e3), (r"\$\s*([0-9.,]+)", 1.0), (r"\b([0-9]{1,3}(?:[.,][0-9]{3})+)\b", 1.0))
-    found = [F.filter(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x, m=m: parse_local_number(x) * m), lambda v: v.isNotNull()) for p, m in kinds]
+
+    def scaled(pattern: str, factor: float) -> Column:
+        return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: parse_local_number(x) * factor), lambda v: v.isNotNull())
+
+    found = [scaled(p, m) for p, m in kinds]
     plain = F.transform(F.regexp_extract_all(text, F.lit(r"\b([0-9]{5,})\b"), F.lit(1)), lambda x: x.cast("double"))
     return F.concat(*found, plain)
 
