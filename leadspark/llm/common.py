@@ -2,62 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadspark.scratch import components, discard, materialize  # noqa: F401
+
 #: A word, everywhere in this package: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
-_written: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and every copy survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leadspark-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def _delete(path: str) -> None:
-    spark = _written.pop(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that no later plan reads: everything made from them has been written."""
-    for t in tables:
-        _delete(t.stored_at)
-
-
-def _clean() -> None:
-    for path in list(_written):
-        try:
-            _delete(path)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's scratch space
-            return
 
 
 def without(docs: DataFrame, ids: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
@@ -150,21 +103,3 @@ def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of an undirected graph with edges (a, b): component is the smallest node that can be reached.
-
-    Min-label propagation with pointer jumping; every round is written to the shared folder. Nodes and labels stay in
-    Spark; the driver gets one count per round. Sums and minima combine before each shuffle, so a hub is no hot key.
-    """
-    both = materialize(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), name)
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("_near"))
-        hooked = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_l"))
-        jump = labels.select(F.col("node").alias("_l"), F.col("component").alias("_to"))
-        new = materialize(hooked.join(jump, "_l", "left").select("node", F.least("_l", "_to").alias("component"), (F.least("_l", "_to") < F.col("_old")).alias("_moved")), name)
-        labels = new.select("node", "component")
-        if not new.where("_moved").limit(1).count():
-            return labels
