@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def jaro_winkler_value(a: str, b: str) -> float:
@@ -30,6 +31,6 @@ def jaro_winkler_value(a: str, b: str) -> float:
     return jaro + same * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_value(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadspark.functions import fields as f
 from leadspark.functions import signals as g
 from leadspark.functions import text as t
-from leadspark.operators import assign, ingest, models, scoring
+from leadspark.operators import assign, evaluate, identity, ingest, models, scoring, signals
 from leadspark.plans import oracles as o
 from leadspark.scratch import materialize
 from leadspark.sources import bridge
@@ -324,3 +324,185 @@ def l01_work_queue(spark, d):
     s = scoring.score_leads(scoring.lead_signals(n, bridge.read(spark, d, "catalog")), PARAMS)
     out = assign.assign_leads(assign.eligible_candidates(n, s), bridge.read(spark, d, "advisors")).where("status = 'assigned'")
     return out.join(s.select("lead_id", "band", "urgency_band"), "lead_id").join(n.select("lead_id", "customer_name"), "lead_id").select("advisor_id", "priority_rank", "lead_id", "customer_name", "band", "urgency_band", "queue")
+
+
+# identity
+
+JW = "(x.name = y.name OR jaro_winkler_similarity(x.name, y.name) >= 0.9)"
+PAIRS = f"""
+ idk AS (SELECT lead_id, company_id, {o.key('customer_name')} AS name, phone_normalized AS phone, email_normalized AS email, city_normalized AS city FROM leads),
+ pairs AS (SELECT x.lead_id AS a, y.lead_id AS b, CASE WHEN x.email = y.email THEN '{identity.STRONG}' WHEN {JW} THEN '{identity.POSSIBLE}' END AS rule FROM idk x JOIN idk y ON x.company_id = y.company_id AND x.phone = y.phone AND x.lead_id < y.lead_id)"""
+WEAK_PAIRS = f"""
+ weak_pairs AS (SELECT x.lead_id AS a, y.lead_id AS b, '{identity.WEAK}' AS rule FROM idk x JOIN idk y ON x.company_id = y.company_id AND x.name = y.name AND x.city = y.city AND x.lead_id < y.lead_id AND x.name <> ''
+   WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.a = x.lead_id AND p.b = y.lead_id AND p.rule IS NOT NULL))"""
+EDGES = f"""
+ edges AS (SELECT a, b, rule FROM pairs WHERE rule IS NOT NULL UNION ALL SELECT a, b, rule FROM weak_pairs),
+ sides AS (SELECT a, b, rule FROM edges UNION ALL SELECT b, a, rule FROM edges)"""
+ORDER = f"CASE rule WHEN '{identity.STRONG}' THEN 0 WHEN '{identity.POSSIBLE}' THEN 1 ELSE 2 END"
+
+
+@query(o.with_leads("SELECT a, b, rule FROM pairs", PAIRS))
+def j07_f37_phone_pairs(spark, d):
+    return identity.phone_pairs(leads(spark, d)).select("a", "b", "rule")
+
+
+@query(o.with_leads("SELECT a, b, rule FROM weak_pairs", PAIRS, WEAK_PAIRS))
+def j08_name_city_pairs(spark, d):
+    n = kept_leads(spark, d)
+    return identity.name_city_pairs(n, identity.phone_pairs(n).where("rule is not null"))
+
+
+@query(o.with_leads(f"SELECT a AS lead_id, arg_min(rule, concat({ORDER}, b)) AS rule, min(concat({ORDER}, b))[2:] AS related_lead_id FROM sides GROUP BY a", PAIRS, WEAK_PAIRS, EDGES))
+def x04_best_rules(spark, d):
+    n = kept_leads(spark, d)
+    return identity.best_rules(n, identity.phone_pairs(n).where("rule is not null")).select("lead_id", "rule", "related_lead_id")
+
+
+CLUSTERS = f"""
+ walk AS (SELECT a AS node, least(a, min(b)) AS c FROM sides GROUP BY a),
+ w2 AS (SELECT s.a AS node, least(any_value(w.c), min(v.c)) AS c FROM sides s JOIN walk w ON w.node = s.a JOIN walk v ON v.node = s.b GROUP BY s.a),
+ w3 AS (SELECT s.a AS node, least(any_value(w.c), min(v.c)) AS c FROM sides s JOIN w2 w ON w.node = s.a JOIN w2 v ON v.node = s.b GROUP BY s.a)"""
+for _i in range(4, 15):
+    CLUSTERS += f",\n w{_i} AS (SELECT s.a AS node, least(any_value(w.c), min(v.c)) AS c FROM sides s JOIN w{_i - 1} w ON w.node = s.a JOIN w{_i - 1} v ON v.node = s.b GROUP BY s.a)"
+CLUSTERS = CLUSTERS.replace("AS (SELECT", "AS MATERIALIZED (SELECT") + f""",
+ cl AS (SELECT c AS canonical_lead_id, count(DISTINCT node) AS size FROM w14 GROUP BY c),
+ cr AS (SELECT w.c AS canonical_lead_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS matched_rules, min({ORDER}) AS lo, max({ORDER}) AS hi FROM edges e JOIN w14 w ON w.node = e.a GROUP BY w.c)"""
+
+
+@query(o.with_leads("SELECT canonical_lead_id, size, ['strong', 'possible', 'weak'][lo + 1] AS strength, CASE WHEN hi = 0 THEN 'auto' ELSE 'possible_pending' END AS status, matched_rules FROM cl JOIN cr USING (canonical_lead_id)", PAIRS, WEAK_PAIRS, EDGES, CLUSTERS))
+def k05_clusters(spark, d):
+    """Fourteen unrolled rounds reach every component of these tables in SQL; the operator goes on until nothing changes."""
+    return identity.resolve_identities(leads(spark, d))[0].drop("company_id")
+
+
+@query(o.with_leads(f"SELECT w.c AS canonical_lead_id, w.node AS lead_id, CASE WHEN w.c = w.node THEN 'canonical' ELSE 'member' END AS role, r.rule, r.related AS related_lead_id FROM w14 w JOIN (SELECT a, arg_min(rule, concat({ORDER}, b)) AS rule, min(concat({ORDER}, b))[2:] AS related FROM sides GROUP BY a) r ON r.a = w.node", PAIRS, WEAK_PAIRS, EDGES, CLUSTERS))
+def k05_members(spark, d):
+    return identity.resolve_identities(leads(spark, d))[1].select("canonical_lead_id", "lead_id", "role", "rule", "related_lead_id")
+
+
+@query(o.with_leads(f"""SELECT 'leads_evaluated' AS metric, count(*) AS value FROM leads UNION ALL SELECT coalesce('edges ' || rule, 'pairs discarded'), count(*) FROM pairs GROUP BY 1
+ UNION ALL SELECT 'clusters of ' || size, count(*) FROM cl GROUP BY 1 UNION ALL SELECT 'status ' || CASE WHEN hi = 0 THEN 'auto' ELSE 'possible_pending' END, count(*) FROM cr GROUP BY 1""", PAIRS, WEAK_PAIRS, EDGES, CLUSTERS))
+def g01_identity_report(spark, d):
+    n = kept_leads(spark, d)
+    return identity.identity_report(n, identity.phone_pairs(n), identity.resolve_identities(n)[0])
+
+
+@query()
+def u07_merge_clusters(spark, d):
+    """Members of a resolution over four fifths of the leads, merged with the resolution over all."""
+    n = kept_leads(spark, d)
+    before = identity.resolve_identities(n.where("row_number % 5 <> 0"))[1]
+    stored = before.select(F.substring("canonical_lead_id", 4, 20).cast("long").alias("cluster_id"), "lead_id")
+    return identity.merge_clusters(stored, identity.resolve_identities(n)[1])
+
+
+# signals
+
+def talks(spark, d):
+    return signals.conversations(bridge.read(spark, d, "chat_turns"), bridge.read(spark, d, "chats")).withColumn("conversation_id", F.concat(F.lit("CONV-"), F.lpad(F.col("conv_id").cast("string"), 6, "0")))
+
+
+#: Extraction payloads, derived from the chats: right, wrong and broken ones by conversation.
+LAST = "(SELECT conv_id, arg_max(text, turn) AS quote, arg_max(CASE WHEN sender = 'asesor' THEN text END, CASE WHEN sender = 'asesor' THEN turn END) AS advised FROM chat_turns GROUP BY conv_id)"
+
+
+def payloads(spark, d):
+    x = talks(spark, d).withColumns({"quote": F.element_at(F.transform("messages", lambda m: m["text"]), -1), "advised": F.element_at(g.other_texts(F.col("messages")), -1)})
+    i = F.col("conv_id") % 6
+    evidence = F.when(i == 0, F.col("quote")).when(i == 1, F.concat(F.lit("cliente: "), "quote")).when(i == 2, F.col("advised")).when(i == 3, "ok").when(i == 4, "texto que no esta en el chat")
+    amount = F.when(F.col("conv_id") % 4 == 0, 2_500_000.0).when(F.col("conv_id") % 4 == 1, 480_000.0).when(F.col("conv_id") % 4 == 2, 18_000_000.0).otherwise(1.0)
+    intent = F.when(F.col("conv_id") % 19 == 0, "enorme").when(F.col("conv_id") % 3 == 0, "Alto").when(F.col("conv_id") % 3 == 1, "media").otherwise("consulta")
+    body = F.to_json(F.struct(amount.alias("cuota_inicial"), evidence.alias("cuota_inicial_evidence"), intent.alias("intencion_compra"), evidence.alias("intencion_compra_evidence"), F.when(F.col("conv_id") % 2 == 0, "si").otherwise("false").alias("solicitud_cita"), evidence.alias("solicitud_cita_evidence"), F.lit("efectivo").alias("forma_pago"), evidence.alias("forma_pago_evidence")))
+    return x.withColumns({"raw_text": F.when(F.col("conv_id") % 23 == 0, F.concat(F.lit("{broken "), body)).otherwise(body), "error": F.lit(None).cast("string"), "extraction_id": F.col("conv_id"), "latency_ms": 100 + F.col("conv_id") % 900})
+
+
+def validated(spark, d):
+    return signals.validate_extractions(signals.parse_outcomes(payloads(spark, d)))
+
+
+EVIDENCE = "CASE cast(conv_id % 6 AS int) WHEN 0 THEN quote WHEN 1 THEN quote WHEN 2 THEN advised WHEN 3 THEN 'ok' WHEN 4 THEN 'texto que no esta en el chat' END"
+SAID = f"""
+ said AS (SELECT conv_id, arg_max(text, turn) AS quote, arg_max(text, turn) FILTER (WHERE sender <> 'cliente' AND trim(text, ' \t\n\r') <> '') AS advised, list({o.match_key('text')}) FILTER (WHERE sender = 'cliente') AS client, list({o.match_key('text')}) FILTER (WHERE sender <> 'cliente') AS others FROM chat_turns GROUP BY conv_id),
+ ev AS (SELECT *, nullif(trim({EVIDENCE}, ' \t\n\r'), '') AS evidence, conv_id % 23 <> 0 AND conv_id % 19 <> 0 AS good, CASE cast(conv_id % 4 AS int) WHEN 0 THEN 2500000.0 WHEN 1 THEN 480000.0 WHEN 2 THEN 18000000.0 ELSE 1.0 END AS amount FROM said),
+ why AS (SELECT *, CASE WHEN NOT good THEN 'none' WHEN evidence IS NULL THEN 'missing_evidence' WHEN {o.match_key('evidence')} IN ({', '.join(map(o.quoted, g.COURTESY))}) THEN 'non_informative_evidence'
+   WHEN {o.match_key('evidence')} = '' OR NOT list_bool_or(list_transform(client, lambda m: contains(m, {o.match_key('evidence')}))) THEN CASE WHEN {o.match_key('evidence')} <> '' AND list_bool_or(list_transform(others, lambda m: contains(m, {o.match_key('evidence')}))) THEN 'advisor_evidence' ELSE 'evidence_not_in_conversation' END END AS reason FROM ev),
+ paid AS (SELECT *, CASE WHEN reason IS NULL AND len(list_filter({AMOUNTS_SQL.replace('said', "lower(strip_accents(evidence))")}, lambda a: abs(a - amount) <= greatest(1.0, amount * 1e-6))) = 0 THEN 'amount_not_in_evidence' ELSE reason END AS amount_reason FROM why)"""
+
+
+@query(o.with_tables("SELECT conv_id, CASE WHEN amount_reason IS NULL THEN amount END AS cuota_inicial, CASE WHEN good AND amount_reason IS NOT NULL THEN amount_reason END AS amount_reason, CASE WHEN good AND reason IS NOT NULL THEN reason END AS word_reason FROM paid", o.CHATS, SAID))
+def k02_validate_extractions(spark, d):
+    v = validated(spark, d)
+    reason = lambda n: F.nullif(F.regexp_extract("invalidated", rf"(?:^|,){n}:([a-z_]+)", 1), F.lit(""))
+    return v.select("conv_id", "cuota_inicial", reason("cuota_inicial").alias("amount_reason"), reason("intencion_compra").alias("word_reason"))
+
+
+@query(o.with_tables("SELECT conv_id, conv_id % 23 <> 0 AS success, conv_id % 23 <> 0 AND conv_id % 19 <> 0 AS schema_valid, CASE WHEN conv_id % 23 <> 0 AND conv_id % 19 <> 0 THEN CASE cast(conv_id % 3 AS int) WHEN 0 THEN 'alta' WHEN 1 THEN 'media' ELSE 'informativa' END END AS intent, CASE WHEN conv_id % 23 <> 0 AND conv_id % 19 <> 0 THEN 4 ELSE 0 END AS fields FROM chats", o.CHATS))
+def f27_f28_parse_payload(spark, d):
+    p = signals.parse_outcomes(payloads(spark, d))
+    return p.select("conv_id", "payload.success", F.coalesce("payload.schema_valid", F.lit(False)).alias("schema_valid"), F.col("payload.intencion_compra").alias("intent"), g.fields_extracted(F.col("payload")).alias("fields"))
+
+
+@query(o.with_tables("""SELECT count(*) AS requests, cast(count_if(conv_id % 23 <> 0) AS double) / count(*) AS success_rate, cast(count_if(conv_id % 23 <> 0 AND conv_id % 19 <> 0) AS double) / count(*) AS schema_rate, avg(100 + conv_id % 900) FILTER (WHERE conv_id % 23 <> 0) AS mean_ms,
+ median(100 + conv_id % 900) FILTER (WHERE conv_id % 23 <> 0) AS median_ms FROM chats""", o.CHATS))
+def g10_benchmark_metrics(spark, d):
+    return evaluate.benchmark_metrics(signals.parse_outcomes(payloads(spark, d))).select("requests", "success_rate", "schema_rate", "mean_ms", "median_ms")
+
+
+@query(o.with_tables("SELECT CASE WHEN conv_id % 23 = 0 THEN 'invalid JSON' WHEN conv_id % 19 = 0 THEN 'schema validation failed: 1 error(s)' END AS reason, count(*) AS n FROM chats GROUP BY 1", o.CHATS))
+def g09_batch_report(spark, d):
+    return signals.parse_outcomes(payloads(spark, d)).groupBy(F.col("error").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(o.with_tables("""SELECT count(*) AS attempts, cast(count_if(conv_id % 23 <> 0) AS double) / count(*) AS ok_rate, min(100 + conv_id % 900) AS min_ms, max(100 + conv_id % 900) AS max_ms, quantile_disc(100 + conv_id % 900, 0.95) AS p95_ms FROM chats""", o.CHATS))
+def g14_availability(spark, d):
+    return evaluate.availability(payloads(spark, d).select("conv_id", (F.col("conv_id") % 23 != 0).alias("ok"), "latency_ms")).select("attempts", "ok_rate", "min_ms", "max_ms", "p95_ms")
+
+
+CONSOLIDATED = """
+ fx AS (SELECT c.lead_id, p.conv_id, CASE cast(p.conv_id % 3 AS int) WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS rank, p.amount_reason, p.reason, p.amount, p.good FROM paid p JOIN chats c USING (conv_id)),
+ con AS (SELECT lead_id, CASE max(rank) FILTER (WHERE good AND reason IS NULL) WHEN 4 THEN 'alta' WHEN 3 THEN 'media' WHEN 1 THEN 'informativa' END AS intencion_compra, arg_max(amount, conv_id) FILTER (WHERE good AND amount_reason IS NULL) AS cuota_inicial,
+   CASE WHEN max(CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END) FILTER (WHERE good AND reason IS NULL) = 1 THEN true WHEN count(*) FILTER (WHERE good AND reason IS NULL) > 0 THEN false END AS solicitud_cita FROM fx WHERE good GROUP BY lead_id)"""
+
+
+@query(o.with_tables("SELECT lead_id, intencion_compra, cuota_inicial, solicitud_cita FROM con", o.CHATS, SAID, CONSOLIDATED))
+def g03_consolidate(spark, d):
+    return signals.consolidate(validated(spark, d).where("status = 'success'")).select("lead_id", "intencion_compra", "cuota_inicial", "solicitud_cita")
+
+
+@query(o.with_tables("SELECT DISTINCT lead_id FROM chats WHERE conv_id % 23 <> 0 AND conv_id % 19 <> 0", o.CHATS))
+def u10_affected_leads(spark, d):
+    return signals.affected_leads(signals.parse_outcomes(payloads(spark, d)))
+
+
+@query(o.with_tables("""SELECT concat('CONV-', lpad(concat('', conv_id), 6, '0')) AS conversation_id, CASE WHEN conv_id % 5 = 0 THEN 'b' ELSE 'a' END AS input_hash, CASE WHEN conv_id % 5 = 0 OR conv_id % 2 = 0 THEN 'success' ELSE CASE WHEN conv_id % 3 = 0 THEN 'success' ELSE 'error' END END AS status FROM chats
+ UNION ALL SELECT concat('CONV-', lpad(concat('', conv_id), 6, '0')), 'a', CASE WHEN conv_id % 2 = 0 THEN 'success' ELSE 'error' END FROM chats WHERE conv_id % 5 = 0""", o.CHATS))
+def u03_upsert_extractions(spark, d):
+    c = talks(spark, d).select("conversation_id", "conv_id")
+    stored = c.select("conversation_id", F.lit("a").alias("input_hash"), F.col("conv_id").alias("extraction_id"), F.expr("if(conv_id % 2 = 0, 'success', 'error')").alias("status"), F.lit("old").alias("fields"), F.expr("conv_id % 2 = 0").alias("is_current"))
+    new = c.select("conversation_id", F.expr("if(conv_id % 5 = 0, 'b', 'a')").alias("input_hash"), (F.col("conv_id") + 1_000_000).alias("extraction_id"), F.expr("if(conv_id % 5 = 0 or conv_id % 3 = 0, 'success', 'error')").alias("status"), F.lit("new").alias("fields"))
+    return signals.upsert_extractions(stored, new).select("conversation_id", "input_hash", "status")
+
+
+@query()
+def k06_weak_labels(spark, d):
+    return signals.weak_labels(talks(spark, d), bridge.read(spark, d, "catalog")).drop("messages")
+
+
+@query()
+def v01_apply_extractor(spark, d):
+    return signals.apply_extractor(talks(spark, d), lambda cid, text: {"raw_text": '{"solicitud_cita": %s}' % ("true" if "voy" in text else "null"), "latency_ms": len(text)})
+
+
+@query(o.with_leads("SELECT lead_id, priority_rank, advisor_id FROM decided", *DECIDED))
+def v02_params_as_data(spark, d):
+    """Parameters travel as data: the same decisions from a copy of them."""
+    n = kept_leads(spark, d)
+    s = scoring.score_leads(scoring.lead_signals(n, bridge.read(spark, d, "catalog")), scoring.params(**CATALOG_RANGE))
+    return assign.assign_leads(assign.eligible_candidates(n, s), bridge.read(spark, d, "advisors")).select("lead_id", "priority_rank", "advisor_id")
+
+
+@query(o.with_leads("SELECT lead_id, 1 AS run_id, lead_id NOT IN (SELECT lead_id FROM scored WHERE right(lead_id, 1) = '7') AS is_current FROM scored UNION ALL SELECT lead_id, 2, true FROM scored WHERE right(lead_id, 1) = '7'", SCORED))
+def u02_version_scores(spark, d):
+    s = materialize(scores(spark, d), "scores")
+    stored = s.withColumns({"run_id": F.lit(1), "is_current": F.lit(True)}).withColumn("queue", F.when(F.col("lead_id").endswith("7"), -1.0).otherwise(F.col("queue"))).select("lead_id", "run_id", "score_version", "commercial", "urgency", "queue", "band", "params_snapshot", "is_current")
+    return scoring.version_scores(stored, s, 2).select("lead_id", "run_id", "is_current")
