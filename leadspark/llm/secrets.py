@@ -159,7 +159,9 @@ class Field:
         after[edges[1:] - 1] = N_SHAPES
         e = self.scores(shapes, before, after, np.repeat(files, np.diff(at)))
         lead = e[:, 0] - e[:, 1:].max(1)
-        open_ = np.flatnonzero(lead <= 2 * (self.pair.max() - self.pair.min()))
+        # whatever its neighbours' labels, a word with a larger lead gains by being outside
+        most = max((self.pair[:, y] - self.pair[:, 0]).max() + (self.pair[y] - self.pair[0]).max() for y in (1, 2))
+        open_ = np.flatnonzero(lead <= most)
         doc = np.searchsorted(at, open_, side="right")
         cuts = np.flatnonzero((np.diff(open_) > 1) | (np.diff(doc) > 0)) + 1
         places, labels = [], []
