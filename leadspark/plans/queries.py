@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadspark.functions import fields as f
 from leadspark.functions import signals as g
 from leadspark.functions import text as t
-from leadspark.operators import assign, evaluate, identity, ingest, models, scoring, signals
+from leadspark.operators import assign, audit, evaluate, identity, ingest, models, scoring, signals, views
 from leadspark.plans import oracles as o
 from leadspark.scratch import materialize
 from leadspark.sources import bridge
@@ -417,7 +417,12 @@ def payloads(spark, d):
 
 
 def validated(spark, d):
-    return signals.validate_extractions(signals.parse_outcomes(payloads(spark, d)))
+    """Validated extractions as a table: parsing and validation are large expressions, kept apart."""
+    return materialize(signals.validate_extractions(parsed(spark, d)), "validated")
+
+
+def parsed(spark, d):
+    return materialize(signals.parse_outcomes(payloads(spark, d)), "parsed")
 
 
 EVIDENCE = "CASE cast(conv_id % 6 AS int) WHEN 0 THEN quote WHEN 1 THEN quote WHEN 2 THEN advised WHEN 3 THEN 'ok' WHEN 4 THEN 'texto que no esta en el chat' END"
@@ -438,19 +443,19 @@ def k02_validate_extractions(spark, d):
 
 @query(o.with_tables("SELECT conv_id, conv_id % 23 <> 0 AS success, conv_id % 23 <> 0 AND conv_id % 19 <> 0 AS schema_valid, CASE WHEN conv_id % 23 <> 0 AND conv_id % 19 <> 0 THEN CASE cast(conv_id % 3 AS int) WHEN 0 THEN 'alta' WHEN 1 THEN 'media' ELSE 'informativa' END END AS intent, CASE WHEN conv_id % 23 <> 0 AND conv_id % 19 <> 0 THEN 4 ELSE 0 END AS fields FROM chats", o.CHATS))
 def f27_f28_parse_payload(spark, d):
-    p = signals.parse_outcomes(payloads(spark, d))
+    p = parsed(spark, d)
     return p.select("conv_id", "payload.success", F.coalesce("payload.schema_valid", F.lit(False)).alias("schema_valid"), F.col("payload.intencion_compra").alias("intent"), g.fields_extracted(F.col("payload")).alias("fields"))
 
 
 @query(o.with_tables("""SELECT count(*) AS requests, cast(count_if(conv_id % 23 <> 0) AS double) / count(*) AS success_rate, cast(count_if(conv_id % 23 <> 0 AND conv_id % 19 <> 0) AS double) / count(*) AS schema_rate, avg(100 + conv_id % 900) FILTER (WHERE conv_id % 23 <> 0) AS mean_ms,
  median(100 + conv_id % 900) FILTER (WHERE conv_id % 23 <> 0) AS median_ms FROM chats""", o.CHATS))
 def g10_benchmark_metrics(spark, d):
-    return evaluate.benchmark_metrics(signals.parse_outcomes(payloads(spark, d))).select("requests", "success_rate", "schema_rate", "mean_ms", "median_ms")
+    return evaluate.benchmark_metrics(parsed(spark, d)).select("requests", "success_rate", "schema_rate", "mean_ms", "median_ms")
 
 
 @query(o.with_tables("SELECT CASE WHEN conv_id % 23 = 0 THEN 'invalid JSON' WHEN conv_id % 19 = 0 THEN 'schema validation failed: 1 error(s)' END AS reason, count(*) AS n FROM chats GROUP BY 1", o.CHATS))
 def g09_batch_report(spark, d):
-    return signals.parse_outcomes(payloads(spark, d)).groupBy(F.col("error").alias("reason")).agg(F.count("*").alias("n"))
+    return parsed(spark, d).groupBy(F.col("error").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(o.with_tables("""SELECT count(*) AS attempts, cast(count_if(conv_id % 23 <> 0) AS double) / count(*) AS ok_rate, min(100 + conv_id % 900) AS min_ms, max(100 + conv_id % 900) AS max_ms, quantile_disc(100 + conv_id % 900, 0.95) AS p95_ms FROM chats""", o.CHATS))
@@ -471,7 +476,7 @@ def g03_consolidate(spark, d):
 
 @query(o.with_tables("SELECT DISTINCT lead_id FROM chats WHERE conv_id % 23 <> 0 AND conv_id % 19 <> 0", o.CHATS))
 def u10_affected_leads(spark, d):
-    return signals.affected_leads(signals.parse_outcomes(payloads(spark, d)))
+    return signals.affected_leads(parsed(spark, d))
 
 
 @query(o.with_tables("""SELECT concat('CONV-', lpad(concat('', conv_id), 6, '0')) AS conversation_id, CASE WHEN conv_id % 5 = 0 THEN 'b' ELSE 'a' END AS input_hash, CASE WHEN conv_id % 5 = 0 OR conv_id % 2 = 0 THEN 'success' ELSE CASE WHEN conv_id % 3 = 0 THEN 'success' ELSE 'error' END END AS status FROM chats
@@ -506,3 +511,284 @@ def u02_version_scores(spark, d):
     s = materialize(scores(spark, d), "scores")
     stored = s.withColumns({"run_id": F.lit(1), "is_current": F.lit(True)}).withColumn("queue", F.when(F.col("lead_id").endswith("7"), -1.0).otherwise(F.col("queue"))).select("lead_id", "run_id", "score_version", "commercial", "urgency", "queue", "band", "params_snapshot", "is_current")
     return scoring.version_scores(stored, s, 2).select("lead_id", "run_id", "is_current")
+
+
+# audit
+
+def raw(spark, d):
+    return bridge.read(spark, d, "raw_leads")
+
+
+RAW_COLUMNS = list(ingest.RAW)
+LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value FROM raw_leads" for c in RAW_COLUMNS) + ")"
+
+
+@query(o.with_tables("""SELECT col AS "column", count(*) AS n, count_if(trim(coalesce(value, '')) = '') AS nulls, count(DISTINCT CASE WHEN trim(coalesce(value, '')) <> '' THEN value END) AS "distinct" FROM long GROUP BY col""", o.RAW, LONG))
+def p01_profile_columns(spark, d):
+    return audit.profile_columns(raw(spark, d), RAW_COLUMNS).select("column", "n", "nulls", "distinct")
+
+
+@query()
+def p01_l04_profile_top_values(spark, d):
+    return audit.profile_columns(raw(spark, d), RAW_COLUMNS)
+
+
+@query(o.with_tables("SELECT count(*) AS conversations, sum(n) AS messages FROM (SELECT conv_id, count(*) AS n FROM chat_turns GROUP BY conv_id)", o.CHATS))
+def p02_profile_conversations(spark, d):
+    return talks(spark, d).agg(F.count("*").alias("conversations"), F.sum(F.size("messages")).alias("messages"))
+
+
+@query(o.with_tables("""SELECT col AS "column", count_if(trim(coalesce(value, '')) = '') AS blank, count_if(trim(coalesce(value, '')) = '') / count(*) AS share FROM long GROUP BY col HAVING blank > 0""", o.RAW, LONG))
+def p03_missing_values(spark, d):
+    return audit.missing_values(raw(spark, d), RAW_COLUMNS)
+
+
+@query(o.with_tables(f"SELECT count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS extras FROM (SELECT count(*) AS n FROM raw_leads GROUP BY {', '.join(RAW_COLUMNS)} HAVING count(*) > 1)", o.RAW))
+def q01_duplicate_rows(spark, d):
+    return audit.duplicate_rows(raw(spark, d), RAW_COLUMNS)
+
+
+@query(o.with_tables("SELECT lead_id, count(*) AS n FROM raw_leads GROUP BY lead_id HAVING count(*) > 1", o.RAW))
+def q01_duplicate_keys(spark, d):
+    return audit.duplicate_keys(raw(spark, d), "lead_id")
+
+
+@query(o.with_tables(f"SELECT {o.status('estado_gestion')} AS value, count(DISTINCT estado_gestion) AS variants, count(*) AS n FROM raw_leads GROUP BY 1", o.RAW))
+def q02_value_variants(spark, d):
+    return audit.value_variants(raw(spark, d), "estado_gestion", f.normalize_status(F.col("estado_gestion")))
+
+
+@query(o.with_tables(f"SELECT {o.status('estado_gestion')} AS status, count_if(trim(fecha_primer_contacto) <> '') AS with_contact, count_if(trim(fecha_primer_contacto) = '') AS without_contact FROM raw_leads GROUP BY 1", o.RAW))
+def q03_status_contact(spark, d):
+    return audit.status_contact_matrix(raw(spark, d))
+
+
+@query(o.with_tables(f"""SELECT count_if(nombre_cliente <> trim(nombre_cliente) OR regexp_matches(nombre_cliente, '\\s{{2,}}')) AS extra_spaces, count_if(nombre_cliente = upper(nombre_cliente)) AS upper_case,
+ (SELECT count(*) FROM (SELECT 1 FROM raw_leads GROUP BY {o.key('nombre_cliente')}, {o.phone('telefono')} HAVING count(*) > 1)) AS repeated_name_phone FROM raw_leads""", o.RAW))
+def q04_names(spark, d):
+    return audit.name_analysis(raw(spark, d))
+
+
+@query(o.with_tables(f"""SELECT count_if(length({o.digits('telefono')}) NOT BETWEEN 10 AND 12) AS invalid, (SELECT count(*) FROM (SELECT 1 FROM raw_leads GROUP BY {o.phone('telefono')} HAVING count(DISTINCT lead_id) > 1)) AS shared_phones,
+ (SELECT max(n) FROM (SELECT count(DISTINCT lead_id) AS n FROM raw_leads GROUP BY {o.phone('telefono')} HAVING count(DISTINCT lead_id) > 1)) AS most_leads FROM raw_leads""", o.RAW))
+def q05_phones(spark, d):
+    return audit.phone_analysis(raw(spark, d))
+
+
+@query(o.with_tables("""SELECT count(nullif(trim(email), '')) AS present, count_if(trim(email) = '') AS missing, count_if(trim(email) <> '' AND NOT regexp_matches(trim(email), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')) AS invalid,
+ (SELECT count(*) FROM (SELECT 1 FROM raw_leads WHERE trim(email) <> '' GROUP BY lower(trim(email)) HAVING count(*) > 1)) AS repeated FROM raw_leads""", o.RAW))
+def q06_emails(spark, d):
+    return audit.email_analysis(raw(spark, d))
+
+
+@query(o.with_tables("SELECT c AS \"column\", format, count(*) AS n, count_if(ambiguous) AS ambiguous FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {o.date_format(c)} AS format, {o.date_ambiguous(c)} AS ambiguous FROM raw_leads" for c in ("fecha_registro", "fecha_primer_contacto")) + ") GROUP BY 1, 2", o.RAW))
+def q07_date_formats(spark, d):
+    return audit.date_formats(raw(spark, d), ["fecha_registro", "fecha_primer_contacto"])
+
+
+@query(o.with_tables(f"""SELECT count_if(a IS NOT NULL AND b IS NOT NULL AND NOT u AND b < a) AS contact_before_registration, count_if(a IS NULL OR b IS NULL) AS unparsed, count_if(a IS NOT NULL AND b IS NOT NULL AND u) AS skipped_ambiguous FROM
+ (SELECT {o.date_parsed('fecha_registro')} AS a, {o.date_parsed('fecha_primer_contacto')} AS b, {o.date_ambiguous('fecha_registro')} OR {o.date_ambiguous('fecha_primer_contacto')} AS u FROM raw_leads)""", o.RAW))
+def q08_chronology(spark, d):
+    return audit.chronology(raw(spark, d))
+
+
+@query(o.with_leads("SELECT match_type, count(*) AS n, count(DISTINCT model_text_raw) AS texts FROM leads GROUP BY 1"))
+def q09_match_histogram(spark, d):
+    return audit.match_histogram(leads(spark, d))
+
+
+ISSUE_SQL = {"I01": "nombre_cliente <> trim(nombre_cliente) OR regexp_matches(nombre_cliente, '\\s{2,}')", "I02": f"length({o.phone('telefono')}) IS DISTINCT FROM 10", "I03": "trim(email) <> '' AND NOT regexp_matches(trim(email), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')", "I04": "trim(email) = ''", "I05": "trim(ciudad) = ''",
+             "I06": f"{o.key('ciudad')} <> '' AND {o.city('ciudad')} IS NULL", "I07": "trim(canal) = ''", "I08": o.date_ambiguous("fecha_registro"), "I09": f"{o.date_format('fecha_registro')} = 'desconocido'", "I10": "trim(fecha_primer_contacto) = ''", "I11": f"{o.status('estado_gestion')} <> estado_gestion", "I12": "trim(campania) = ''", "I13": "trim(modelo_interes_texto) = ''"}
+
+
+@query(o.with_tables("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{i}' AS issue_id, '{a}' AS field, '{k}' AS kind, '{r}' AS remedy, count_if({ISSUE_SQL[i]}) AS affected FROM raw_leads" for i, a, k, r in audit.ISSUES) + ") WHERE affected > 0", o.RAW))
+def q10_s03_issue_catalog(spark, d):
+    return audit.issue_catalog(raw(spark, d))
+
+
+@query(o.with_tables("SELECT brand, count(*) AS n, min(list_price) AS price_min, max(list_price) AS price_max, floor(avg(list_price) * 100 + 0.5) / 100 AS price_mean FROM catalog GROUP BY brand", o.CATALOG))
+def q11_catalog_summary(spark, d):
+    return audit.catalog_summary(bridge.read(spark, d, "catalog"))
+
+
+@query(o.with_tables("SELECT g.point_of_sale_id, g.company_id, count(a.advisor_id) AS advisors, coalesce(count_if(a.active), 0) AS active, coalesce(sum(CASE WHEN a.active THEN daily_capacity ELSE 0 END), 0)::BIGINT AS capacity FROM org g LEFT JOIN advisors a USING (point_of_sale_id) GROUP BY 1, 2", o.ORG, o.ADVISORS))
+def q12_advisor_summary(spark, d):
+    return audit.advisor_summary(bridge.read(spark, d, "advisors"), bridge.read(spark, d, "org"))
+
+
+@query(o.with_tables("""SELECT count(*) AS conversations, count(l.lead_id) AS matched, count_if(l.lead_id IS NULL) AS unmatched, count_if(first <> 'cliente') AS not_by_customer, count_if(senders = 1) AS single_sender, sum(n) AS messages, min(n) AS shortest, max(n) AS longest, median(n) AS median FROM
+ (SELECT conv_id, count(*) AS n, count(DISTINCT sender) AS senders, arg_min(sender, turn) AS first FROM chat_turns GROUP BY conv_id) t JOIN chats USING (conv_id) LEFT JOIN (SELECT DISTINCT lead_id FROM raw_leads) l ON l.lead_id = chats.lead_id""", o.RAW, o.CHATS))
+def q13_conversation_stats(spark, d):
+    return audit.conversation_stats(talks(spark, d), raw(spark, d)).drop("empty")
+
+
+def history(spark, d):
+    return bridge.read(spark, d, "history")
+
+
+@query(o.with_tables("SELECT company_id, channel, outcome, count(*) AS n FROM history GROUP BY GROUPING SETS ((outcome), (company_id), (channel), (company_id, outcome), (channel, outcome))", o.HISTORY))
+def h01_history_distribution(spark, d):
+    return audit.history_distribution(history(spark, d))
+
+
+@query(o.with_tables("SELECT field, outcome, count(*) AS n, min(v) AS min, max(v) AS max, floor(avg(v) * 100 + 0.5) / 100 AS mean, median(v) AS median FROM (SELECT outcome, 'contacts' AS field, contacts::DOUBLE AS v FROM history UNION ALL SELECT outcome, 'hours', try_cast(hours AS DOUBLE) FROM history) WHERE v IS NOT NULL GROUP BY 1, 2", o.HISTORY))
+def h02_numeric_stats(spark, d):
+    return audit.history_numeric_stats(history(spark, d), ["contacts", "hours"])
+
+
+@query(o.with_tables("SELECT 'hours' AS field, count_if(hours = '' AND outcome = 'Sin gestión') AS blank_inside, count_if(hours = '' AND outcome <> 'Sin gestión') AS blank_outside, count_if(try_cast(hours AS DOUBLE) = 0 AND outcome = 'Sin gestión') AS zero_inside, count_if(try_cast(hours AS DOUBLE) = 0 AND outcome <> 'Sin gestión') AS zero_outside FROM history", o.HISTORY))
+def h03_leakage(spark, d):
+    return audit.leakage_check(history(spark, d), "hours", "Sin gestión")
+
+
+@query(o.with_tables("SELECT channel, count_if(outcome IN ('Cerrado', 'Perdido')) AS n, count_if(outcome = 'Cerrado')::DOUBLE / nullif(count_if(outcome IN ('Cerrado', 'Perdido')), 0) AS rate FROM history GROUP BY channel", o.HISTORY))
+def h04_conversion(spark, d):
+    return audit.conversion_rate(history(spark, d), "channel")
+
+
+@query(o.with_tables("SELECT (SELECT count(DISTINCT lead_id) FROM raw_leads) AS left_keys, (SELECT count(DISTINCT lead_id) FROM history) AS right_keys, (SELECT count(*) FROM (SELECT lead_id FROM raw_leads INTERSECT SELECT lead_id FROM history)) AS \"both\"", o.RAW, o.HISTORY))
+def j13_s02_key_overlap(spark, d):
+    return audit.key_overlap(raw(spark, d), history(spark, d))
+
+
+@query(o.with_tables("SELECT point_of_sale_id FROM org EXCEPT SELECT point_of_sale_id FROM advisors WHERE active", o.ORG, o.ADVISORS))
+def j14_branches_without_advisor(spark, d):
+    return audit.branches_without_advisor(bridge.read(spark, d, "org"), bridge.read(spark, d, "advisors"))
+
+
+@query(o.with_tables(f"""SELECT count(c.price) AS known, count_if(c.price IS NULL) AS unknown, count_if(c.price <> h.price) AS price_differs FROM (SELECT *, {o.model('model')} AS key FROM history) h
+ LEFT JOIN (SELECT {o.model("brand || ' ' || line")} AS key, max(list_price) AS price FROM catalog GROUP BY 1) c USING (key)""", o.CATALOG, o.HISTORY))
+def j15_history_vs_catalog(spark, d):
+    return audit.history_vs_catalog(history(spark, d), bridge.read(spark, d, "catalog"))
+
+
+# views
+
+def assignments(spark, d):
+    """Decisions as stored rows of one day."""
+    return materialize(decisions(spark, d).withColumns({"run_date": F.to_date(F.lit("2026-09-01")), "is_current": F.lit(True)}), "assignments")
+
+
+@query(o.with_leads("SELECT l.lead_id, coalesce(a.name, CASE WHEN d.advisor_id IS NULL THEN 'Sin asignar (overflow)' END, d.advisor_id) AS advisor, coalesce(CASE WHEN c.brand IS NOT NULL THEN concat_ws(' ', c.brand, c.line) END, l.model_text_raw, 'Desconocido') AS model, coalesce(l.city_normalized, l.city_raw, 'Desconocido') AS city, s.band, d.status AS assignment_status FROM decided d JOIN leads l USING (lead_id) JOIN scored s USING (lead_id) LEFT JOIN catalog c ON c.sku = l.sku LEFT JOIN advisors a ON a.advisor_id = d.advisor_id", *DECIDED))
+def j12_f36_supervision_rows(spark, d):
+    n = kept_leads(spark, d)
+    s = scoring.score_leads(scoring.lead_signals(n, bridge.read(spark, d, "catalog")), PARAMS)
+    return views.supervision_rows(assignments(spark, d), n, s, bridge.read(spark, d, "catalog"), bridge.read(spark, d, "advisors")).select("lead_id", "advisor", "model", "city", "band", "assignment_status")
+
+
+@query(o.with_leads("SELECT s.band, d.status AS assignment_status, count(*) AS n, count(DISTINCT d.lead_id) AS leads FROM decided d JOIN scored s USING (lead_id) GROUP BY 1, 2", *DECIDED))
+def g06_supervision_counters(spark, d):
+    a = decisions(spark, d).select("lead_id", F.col("status").alias("assignment_status"))
+    return views.supervision_counters(a.join(scores(spark, d).select("lead_id", "band"), "lead_id"))
+
+
+@query(o.with_leads("SELECT company_id, count_if(status IS NULL OR status NOT IN ('Cerrado', 'Perdido', 'Descartado')) AS open, count_if(status = 'Cerrado') AS closed, count_if(status = 'Perdido') AS lost, count_if(status = 'Descartado') AS discarded FROM leads GROUP BY 1"))
+def g07_lifecycle_counters(spark, d):
+    return views.lifecycle_counters(leads(spark, d), "company_id")
+
+
+@query(o.with_leads("SELECT lead_id FROM leads WHERE company_id = 'EMP-02'"))
+def w05_scope_supervisor(spark, d):
+    return views.scope_rows(leads(spark, d), "supervisor", "EMP-02").select("lead_id")
+
+
+@query(o.with_leads("SELECT lead_id, status FROM leads WHERE status = 'Contactado' AND contains(lower(customer_name), 'muñoz')"))
+def w02_w03_f41_filters(spark, d):
+    return views.filter_rows(leads(spark, d), {"customer_name": "Muñoz"}, status="Contactado").select("lead_id", "status")
+
+
+@query(o.with_tables("SELECT lead_id, intencion_compra FROM con WHERE solicitud_cita IS NULL", o.CHATS, SAID, CONSOLIDATED))
+def w04_undetermined(spark, d):
+    return views.signal_filter(signals.consolidate(validated(spark, d).where("status = 'success'")), "solicitud_cita", "undetermined").select("lead_id", "intencion_compra")
+
+
+@query(o.with_tables("SELECT conv_id FROM chats WHERE conv_id % 23 = 0 OR conv_id % 19 = 0", o.CHATS))
+def j10_l06_pending(spark, d):
+    e = parsed(spark, d).select("conversation_id", (F.col("status") == "success").alias("is_current"))
+    return views.pending_conversations(talks(spark, d), e).select("conv_id")
+
+
+@query(o.with_leads("SELECT c.conv_id, s.band FROM chats c LEFT JOIN scored s USING (lead_id) WHERE c.conv_id % 23 <> 0 AND c.conv_id % 19 <> 0", o.CHATS, SCORED))
+def j11_analyzed(spark, d):
+    e = parsed(spark, d).select("conversation_id", "status", (F.col("status") == "success").alias("is_current"))
+    return views.analyzed_conversations(talks(spark, d), e, scores(spark, d), assignments(spark, d)).select("conv_id", "band")
+
+
+@query(o.with_leads("SELECT concat('CONV-', lpad(concat('', conv_id), 6, '0')) AS conversation_id, c.lead_id, l.company_id, CASE WHEN conv_id % 23 = 0 OR conv_id % 19 = 0 THEN 'pending' ELSE 'success' END AS status FROM chats c LEFT JOIN leads l USING (lead_id)", o.CHATS))
+def j18_batch_status(spark, d):
+    e = parsed(spark, d).select("conversation_id", "status", (F.col("status") == "success").alias("is_current"))
+    c = talks(spark, d)
+    return views.batch_status(c, c, leads(spark, d), e)
+
+
+CLAIM = "cl AS (SELECT l.lead_id, l.sku, concat('SKU-', (cast(replace(l.sku, 'SKU-', '') AS int) + 7) % 200) AS claimed_sku FROM leads l WHERE l.sku IS NOT NULL)"
+
+
+@query(o.with_leads("SELECT cl.lead_id, cl.sku, cl.claimed_sku, CASE WHEN a.brand = b.brand THEN 'same_brand' ELSE 'other_brand' END AS kind FROM cl JOIN catalog a ON a.sku = cl.sku JOIN catalog b ON b.sku = cl.claimed_sku WHERE cl.sku <> cl.claimed_sku", CLAIM))
+def j16_model_inconsistency(spark, d):
+    n = kept_leads(spark, d)
+    claims = n.where("sku is not null").select("lead_id", F.expr("concat('SKU-', (cast(replace(sku, 'SKU-', '') as int) + 7) % 200)").alias("sku"))
+    return views.model_inconsistency(n, claims, bridge.read(spark, d, "catalog"))
+
+
+@query(o.with_leads("SELECT s.lead_id, s.band, d.advisor_id, d.priority_rank, c.conversations FROM scored s LEFT JOIN decided d USING (lead_id) LEFT JOIN (SELECT lead_id, string_agg(concat('CONV-', lpad(concat('', conv_id), 6, '0')), ',' ORDER BY conv_id) AS conversations FROM chats GROUP BY 1) c USING (lead_id)", o.ADVISORS, o.CHATS, SCORED, ASSIGNED))
+def j19_x02_lead_detail(spark, d):
+    n = kept_leads(spark, d)
+    s = scoring.score_leads(scoring.lead_signals(n, bridge.read(spark, d, "catalog")), PARAMS)
+    return views.lead_detail(n, s, assignments(spark, d), talks(spark, d)).select("lead_id", "band", "advisor_id", "priority_rank", "conversations")
+
+
+@query(o.with_leads("""SELECT lead_id, CASE WHEN k % 4 = 0 THEN CASE WHEN status = 'Descartado' THEN status ELSE 'En proceso' END WHEN k % 4 = 1 THEN 'Cerrado' ELSE status END AS status, CASE WHEN k % 4 = 1 THEN 'Otro' END AS close_reason,
+ CASE WHEN k % 4 = 0 AND status = 'Descartado' THEN 'reopening' WHEN k % 4 = 2 THEN 'unknown_status' END AS rejected FROM (SELECT *, cast(substr(lead_id, 4) AS bigint) AS k FROM leads)"""))
+def u08_f34_status_transitions(spark, d):
+    n = leads(spark, d).select("lead_id", "status").withColumns({"closed_at": F.lit(None).cast("timestamp"), "close_reason": F.lit(None).cast("string"), "k": F.substring("lead_id", 4, 20).cast("long")})
+    events = n.where("k % 4 < 3").select("lead_id", F.expr("case k % 4 when 0 then 'En proceso' when 1 then 'Cerrado' else 'Inventado' end").alias("new_status"), F.lit("sin motivo").alias("reason"), F.lit("2026-09-01").cast("timestamp").alias("at"))
+    return views.status_transitions(n.drop("k"), events).drop("closed_at")
+
+
+@query(o.with_leads("SELECT lead_id, false AS is_current FROM decided UNION ALL SELECT lead_id, true FROM decided", *DECIDED))
+def u05_snapshot_assignments(spark, d):
+    a = assignments(spark, d)
+    return assign.snapshot_assignments(a, a.drop("run_date", "is_current"), "2026-09-01").select("lead_id", "is_current")
+
+
+@query(o.with_leads("SELECT lead_id FROM decided WHERE 1 = 0", *DECIDED))
+def u06_retry_unchanged(spark, d):
+    a = assignments(spark, d)
+    return assign.changed(a, a).select("lead_id")
+
+
+@query(o.with_tables("SELECT pattern, count_if(has) AS n, count_if(has) / count(*) AS share FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS pattern, {' OR '.join(f'contains(t, {o.quoted(c)})' for c in cues)} AS has FROM txt" for n, cues in evaluate.PATTERNS.items()) + ") GROUP BY 1", o.CHATS, f"txt AS (SELECT conv_id, string_agg({o.key('text')}, ' || ' ORDER BY turn) AS t FROM chat_turns WHERE sender = 'cliente' GROUP BY conv_id)"))
+def g15_pattern_exposure(spark, d):
+    return evaluate.pattern_exposure(talks(spark, d))
+
+
+def labelled(spark, d):
+    """Rule labels and validated extractions as gold and prediction."""
+    gold = materialize(signals.weak_labels(talks(spark, d)).drop("messages"), "gold")
+    pred = materialize(validated(spark, d).select("conv_id", *g.FIELDS), "pred")
+    return gold, pred
+
+
+@query()
+def g11_g12_field_metrics(spark, d):
+    return evaluate.field_metrics(evaluate.field_confusion(*labelled(spark, d)))
+
+
+@query()
+def g13_error_analysis(spark, d):
+    return evaluate.error_analysis(*labelled(spark, d))
+
+
+@query()
+def k07_k08_k09_stratified_sample(spark, d):
+    """Quotas by tag in order, first by id, then an even fill: a sampling operator."""
+    x = materialize(talks(spark, d).select("conv_id", F.array_join(F.transform(g.customer_texts(F.col("messages")), t.normalize_key), " || ").alias("t"), F.size("messages").alias("n")), "talks")
+    c = F.col("t")
+    steps = [("inicial", c.contains("inicial"), 18), ("pago", c.rlike("financiad|credito|contado"), 18), ("objecion", c.rlike("muy caro|otra marca|descuento"), 15), ("cita", c.rlike("visit|cita|voy"), 15), ("corta", F.col("n") <= 4, 10), ("larga", F.col("n") >= 8, 10)]
+    return evaluate.take_in_order(x, steps, "conv_id", [F.col("conv_id")], 110).select("conv_id", "label")
+
+
+@query(o.with_leads("SELECT lead_id, md5(concat_ws('|', lead_id, company_id, status)) AS digest FROM leads"))
+def a07_digest(spark, d):
+    return leads(spark, d).select("lead_id", F.md5(F.concat_ws("|", "lead_id", "company_id", "status").cast("binary")).alias("digest"))
