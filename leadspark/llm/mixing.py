@@ -7,8 +7,8 @@ a prefix of the sources is capped and all others get level * weight, so two pref
 left goes to the documents first in a seeded order, up to the document whose middle crosses the target.
 
 Plan: two aggregations (by source, and by source and one of 4096 order buckets; map-side combined, so a hot source is
-only 4096 rows after them), one small window, and a join of the documents with one row per source. Documents with
-their texts are never shuffled.
+only 4096 rows after them), one small window, and a join of the documents with one row per source. That table is
+broadcast only after a count has shown it to be small; then documents with their texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def order_key(doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3.0, seed: int = 0, budget: float | None = None,
-        bucket_digits: int = 3, size: Column | None = None) -> DataFrame:
+        bucket_digits: int = 3, size: Column | None = None, max_broadcast: int = 100_000) -> DataFrame:
     """docs with size, source_size, target, repeats (times the mix takes the document) and taken (words it takes).
 
     docs needs doc_id, text and source. A null text has size 0; null is a source of its own; rows that repeat are each
@@ -86,6 +86,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3
     cut = cut.alias("c").join(last.alias("l"), F.col("c._source").eqNullSafe(F.col("l._source")), "left").select("c._source", "c._bucket", "l._last")
     plan = targets.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").select(
         F.col("source").alias("_source"), "source_size", "target", "_whole", F.col("_bucket").alias("_cut"), "_last")
+    plan = materialize(plan, "plan")
+    plan = F.broadcast(plan) if plan.count() <= max_broadcast else plan  # a row per source
     out = docs.select(*keep, size.alias("size")).join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
     extra = F.coalesce((bucket < F.col("_cut")) | ((bucket == F.col("_cut")) & (place <= F.col("_last"))), F.lit(False))
     repeats = F.col("_whole") + extra.cast("int")
