@@ -11,6 +11,7 @@ from leadspark.functions import fields as f
 from leadspark.functions import signals as g
 from leadspark.functions import text as t
 from leadspark.operators import assign, audit, evaluate, identity, ingest, models, scoring, signals, views
+from leadspark.plans import jobs
 from leadspark.plans import oracles as o
 from leadspark.scratch import materialize
 from leadspark.sources import bridge
@@ -792,3 +793,30 @@ def k07_k08_k09_stratified_sample(spark, d):
 @query(o.with_leads("SELECT lead_id, md5(concat_ws('|', lead_id, company_id, status)) AS digest FROM leads"))
 def a07_digest(spark, d):
     return leads(spark, d).select("lead_id", F.md5(F.concat_ws("|", "lead_id", "company_id", "status").cast("binary")).alias("digest"))
+
+
+# jobs
+
+def _inputs(spark, d):
+    return {n: bridge.read(spark, d, n) for n in ("raw_leads", "org", "catalog", "advisors")}
+
+
+@query()
+def k10_lead_pipeline(spark, d):
+    """The whole job from raw leads and chats to assignments."""
+    i = _inputs(spark, d)
+    tables, _ = jobs.lead_pipeline(spark, i["raw_leads"], i["org"], i["catalog"], i["advisors"], talks(spark, d).select("conversation_id", "lead_id", "messages"), params=PARAMS, fuzzy=False)
+    return tables["assignments"]
+
+
+@query("SELECT unnest(['leads', 'conversations', 'members', 'signals', 'scores', 'assignments']) AS stage, 'ok' AS status")
+def u09_run_log(spark, d):
+    i = _inputs(spark, d)
+    _, log = jobs.lead_pipeline(spark, i["raw_leads"], i["org"], i["catalog"], i["advisors"], talks(spark, d).select("conversation_id", "lead_id", "messages"), params=PARAMS, fuzzy=False)
+    return log.select("stage", "status")
+
+
+@query(o.with_tables("SELECT conversation_id, lead_id FROM (SELECT concat('CONV-', lpad(concat('', conv_id), 6, '0')) AS conversation_id, lead_id FROM chats) WHERE lead_id NOT IN (SELECT lead_id FROM raw_leads)", o.RAW, o.CHATS))
+def k11_audit_orphans(spark, d):
+    i = _inputs(spark, d)
+    return jobs.quality_audit(i["raw_leads"], i["org"], i["catalog"], i["advisors"], history(spark, d), talks(spark, d))["orphans"]
