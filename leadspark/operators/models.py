@@ -24,22 +24,26 @@ def _prefixes(c):
 
 
 def _fuzzy(batches, keys):
+    """Best similarity of each text to any key and the SKU it points to; pairs whose upper bounds are below the best so far are skipped."""
     import difflib
 
     import pandas as pd
 
     for part in batches:
-        rows = []
-        for text in part["key"]:
-            best, skus = 0.0, set()
-            for key, own in keys.value:
-                score = difflib.SequenceMatcher(None, text, key).ratio()
-                if score > best:
-                    best, skus = score, set(own)
-                elif score == best:
-                    skus |= set(own)
-            rows.append((text, round(best, 4), next(iter(skus)) if best >= FUZZY and len(skus) == 1 else None))
-        yield pd.DataFrame(rows, columns=["key", "score", "fuzzy_sku"])
+        texts = list(part["key"])
+        best, skus = [0.0] * len(texts), [set() for _ in texts]
+        for key, own in keys.value:
+            m = difflib.SequenceMatcher(None, "", key)  # what it prepares belongs to the key
+            for i, text in enumerate(texts):
+                m.set_seq1(text)
+                if m.real_quick_ratio() < best[i] or m.quick_ratio() < best[i]:
+                    continue
+                score = m.ratio()
+                if score > best[i]:
+                    best[i], skus[i] = score, set(own)
+                elif score == best[i]:
+                    skus[i] |= set(own)
+        yield pd.DataFrame({"key": texts, "score": [round(b, 4) for b in best], "fuzzy_sku": [next(iter(s)) if b >= FUZZY and len(s) == 1 else None for b, s in zip(best, skus, strict=True)]})
 
 
 def match_models(leads: DataFrame, catalog: DataFrame, text: str = "model_text_raw", fuzzy: bool = True, max_keys: int = 20_000) -> DataFrame:
@@ -65,7 +69,7 @@ def match_models(leads: DataFrame, catalog: DataFrame, text: str = "model_text_r
         held = [(r.key, list(r.skus)) for r in keys.limit(max_keys + 1).collect()]
         if len(held) <= max_keys:
             sent = leads.sparkSession.sparkContext.broadcast(sorted(held))
-            left = step.where(found.isNull()).select("key")
+            left = step.where(found.isNull()).select("key").repartition(leads.sparkSession.sparkContext.defaultParallelism)  # few texts, much work each
             step = step.join(left.mapInPandas(lambda b: _fuzzy(b, sent), "key string, score double, fuzzy_sku string"), "key", "left")
             score, fuzzy_sku = F.col("score"), F.col("fuzzy_sku")
     kind = (F.when(F.size("skus") == 1, "directo_unico").when(F.size("skus") > 1, "directo_ambiguo").when(F.col("brand_skus").isNotNull(), "solo_marca")

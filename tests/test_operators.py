@@ -78,3 +78,13 @@ def test_second_run_changes_nothing(spark):
     first = ingest.upsert_diff(new.limit(0).withColumns({"first_seen_run": F.lit(1), "last_seen_run": F.lit(1)}), new, 1)
     second = ingest.upsert_diff(first.drop("change"), new, 2)
     assert {(r.change, r.first_seen_run, r.last_seen_run) for r in second.collect()} == {("unchanged", 1, 2)}
+
+
+def test_model_cascade(spark):
+    from leadspark.operators import models
+
+    catalog = spark.createDataFrame([("S1", "Honda", "CB 125F"), ("S2", "Honda", "XR 150"), ("S3", "Bajaj", "Pulsar NS 200"), ("S4", "Bajaj", "Pulsar N 250")], "sku string, brand string, line string")
+    texts = ["honda cb 125f 2024", "XR.150", "HONDA", "pulsar", "hnda xr 150", "bajaj pulzar ns 200", "zzz", "", None, "¡!", "cb 125f negra"]
+    got = models.match_models(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, model_text_raw string"), catalog)
+    assert {r.id: (r.match_type, r.sku) for r in got.collect()} == {0: ("directo_unico", "S1"), 1: ("directo_unico", "S2"), 2: ("solo_marca", None), 3: ("prefijo_ambiguo", None), 4: ("directo_unico", "S2"), 5: ("fuzzy", "S3"),
+                                                                   6: ("sin_match", None), 7: ("vacio", None), 8: ("vacio", None), 9: ("sin_match", None), 10: ("prefijo_unico", "S1")}
