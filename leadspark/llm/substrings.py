@@ -195,13 +195,16 @@ def _scan(length: int):
         def flush(out):
             return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*out, strict=True) if out else ((), (), ()))], ["d", "e", "s"])
 
-        now, places, left, right, out = None, [], [], [], []
+        now, places, left, right, out, known = None, [], [], [], [], set()
         for batch in batches:
             for h, d, e, p, x, y in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "e", "p", "left", "right")), strict=True):
                 if h != now:
                     if len(places) > 1:
                         _repeats(places, left, right, length, out)
-                    now, places, left, right = h, [], [], []
+                    now, places, left, right, known = h, [], [], [], set()
+                if (d, e, p) in known:  # rows that repeat as a whole are one document
+                    continue
+                known.add((d, e, p))
                 places.append((d, e, p))
                 left.append(x)
                 right.append(y)
@@ -257,7 +260,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame
     span = F.shiftleft(p - F.shiftright("q", 8).bitwiseAND(255), 32).bitwiseOR(p + F.col("q").bitwiseAND(255))
     by_doc = materialize(marks.groupBy("d", "e").agg(  # no longer than the document
         F.collect_list(F.when(F.col("again"), span)).alias("whole"), F.collect_list(F.when(~F.col("again"), F.struct("h", "q"))).alias("spots")), "anchors")
-    t, s = keyed.dropDuplicates(["d", "e"]).mapInArrow(_squeeze, "d long, e long, z binary").alias("t"), by_doc.where(F.size("spots") > 0).alias("s")
+    t, s = keyed.mapInArrow(_squeeze, "d long, e long, z binary").alias("t"), by_doc.where(F.size("spots") > 0).alias("s")
     contexts = t.join(s, F.col("t.d").eqNullSafe(F.col("s.d")) & (F.col("t.e") == F.col("s.e"))).select("t.d", "t.e", "t.z", "s.spots")
     contexts = contexts.mapInArrow(_contexts, "h long, d long, e long, p long, left binary, right binary")
     tree = contexts.repartition("h").sortWithinPartitions("h", "right").mapInArrow(_scan(length), "d long, e long, s long")
