@@ -180,3 +180,15 @@ def consolidate(rows: DataFrame) -> DataFrame:
 def affected_leads(rows: DataFrame) -> DataFrame:
     """Distinct leads that successful extractions touch."""
     return rows.where("status = 'success' and lead_id is not null").select("lead_id").distinct()
+
+
+def revalidate(stored: DataFrame, talks: DataFrame) -> DataFrame:
+    """Stored extractions (conversation_id and the payload's values and evidences) checked again against their conversations.
+
+    Adds changed: whether a value that was stored does not hold.
+    """
+    payload = F.struct(*(F.col(c) for n in g.FIELDS for c in (n, f"{n}_evidence")))
+    rest = [c for c in stored.columns if c not in g.FIELDS and not any(c == f"{n}_evidence" for n in g.FIELDS)]
+    rows = stored.select(*rest, payload.alias("payload")).join(talks.select("conversation_id", "messages"), "conversation_id")
+    out = validate_extractions(rows)
+    return out.withColumn("changed", F.col("invalidated") != "").drop("payload", "messages")

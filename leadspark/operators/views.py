@@ -126,3 +126,20 @@ def page(rows: DataFrame, order: list, number: int, size: int = 50) -> tuple[Dat
     pages = max(1, -(-total // size))
     number = min(max(1, number), pages)
     return rows.orderBy(*order).offset((number - 1) * size).limit(size), number, total, pages
+
+
+def priority_reasons(reasons: Column) -> Column:
+    """Commercial and urgency reasons; quality does not count towards the queue."""
+    return F.filter(reasons, lambda r: r["dimension"].isin("commercial", "urgency"))
+
+
+def analyzed_order(kind: str = "analyzed_desc") -> list[Column]:
+    """Order of analysed conversations: analyzed_desc, analyzed_asc, conversation_desc or conversation_asc; ties by id."""
+    column = F.col("started_at" if kind.startswith("conversation") else "created_at")
+    return [column.asc() if kind.endswith("_asc") else column.desc(), F.col("conversation_id").asc()]
+
+
+def trim_lists(rows: DataFrame, size: int = 25) -> DataFrame:
+    """Array columns cut to their first items, for display."""
+    arrays = [c for c, kind in rows.dtypes if kind.startswith("array")]
+    return rows.withColumns({c: F.slice(c, 1, size) for c in arrays}) if arrays else rows

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark.functions import fields as f
+from leadspark.functions import labels
 from leadspark.functions import signals as g
 from leadspark.functions import text as t
 from leadspark.operators import assign, audit, evaluate, identity, ingest, models, scoring, signals, views
@@ -820,3 +821,36 @@ def u09_run_log(spark, d):
 def k11_audit_orphans(spark, d):
     i = _inputs(spark, d)
     return jobs.quality_audit(i["raw_leads"], i["org"], i["catalog"], i["advisors"], history(spark, d), talks(spark, d))["orphans"]
+
+
+# labels, reasons and order
+
+@query(o.with_leads("SELECT lead_id, CASE WHEN list_price IS NOT NULL THEN 2 ELSE 1 END + 1 + CASE WHEN registration_at IS NULL THEN 1 ELSE 0 END + CASE WHEN registration_at IS NOT NULL AND first_contact_at IS NULL AND days >= 1 THEN 1 ELSE 0 END + CASE WHEN registration_at IS NOT NULL AND status = 'Sin gestión' AND days >= 2 AND u < 90 THEN 1 ELSE 0 END AS reasons, "
+                    "CASE WHEN status IN ('Sin gestión', 'No contesta', 'Cotización enviada', 'Contactado', 'En proceso', 'Descartado') THEN 'Estado operativo' ELSE 'Estado de gestión desconocido' END AS state FROM scored", SCORED))
+def f35_w06_l05_reasons(spark, d):
+    s = views.trim_lists(scores(spark, d))
+    r = views.priority_reasons(F.col("reasons"))
+    state = F.filter("reasons", lambda x: x["code"].startswith("ESTADO_"))
+    return s.select("lead_id", F.size(r).alias("reasons"), labels.reason_label(F.get(state, F.lit(0))["code"]).alias("state"))
+
+
+@query("SELECT conv_id, turn, CASE role WHEN 'cliente' THEN 'Cliente' WHEN 'asesor' THEN 'Asesor' ELSE role END AS sender FROM conversations")
+def f35_sender_label(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", labels.sender_label(F.col("role")).alias("sender"))
+
+
+@query(o.with_tables("SELECT conv_id, sha256('{\"prompt_version\":\"v2\",\"schema_version\":\"v1\",\"transcript\":' || to_json(string_agg(trim(sender) || ': ' || trim(text, ' \t\n\r'), '\n' ORDER BY turn)) || '}') AS input_hash FROM chat_turns WHERE trim(text, ' \t\n\r') <> '' GROUP BY conv_id", o.CHATS))
+def f30_input_hash(spark, d):
+    return talks(spark, d).select("conv_id", g.input_hash(g.build_transcript(F.col("messages")), "v2", "v1").alias("input_hash"))
+
+
+@query(o.with_tables("SELECT conv_id, count_if(sender = 'cliente' AND trim(text, ' \t\n\r') <> '') AS customer, count_if(sender <> 'cliente' AND trim(text, ' \t\n\r') <> '') AS others FROM chat_turns GROUP BY conv_id", o.CHATS))
+def f31_split_transcript(spark, d):
+    return talks(spark, d).select("conv_id", F.size(g.customer_texts(F.col("messages"))).alias("customer"), F.size(g.other_texts(F.col("messages"))).alias("others"))
+
+
+@query(o.with_tables("SELECT conv_id, good AND (amount_reason IS NOT NULL) AS changed FROM paid WHERE good", o.CHATS, SAID))
+def u04_revalidate(spark, d):
+    p = parsed(spark, d).where("status = 'success'")
+    stored = p.select("conv_id", "conversation_id", *(F.col(f"payload.{c}").alias(c) for n in g.FIELDS for c in (n, f"{n}_evidence")))
+    return signals.revalidate(stored, talks(spark, d)).select("conv_id", "changed")
