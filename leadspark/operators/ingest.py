@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from leadspark.functions import fields as f
 from leadspark.functions.text import blank_to_null, clean_display
 from leadspark.operators.models import match_models
+from leadspark.scratch import materialize
 
 RAW = ("lead_id", "fecha_registro", "canal", "empresa_id", "punto_venta_id", "nombre_cliente", "telefono", "email", "ciudad", "modelo_interes_texto", "estado_gestion", "fecha_primer_contacto", "campania")
 
@@ -62,7 +63,7 @@ def normalize_leads(rows: DataFrame, org: DataFrame, catalog: DataFrame, fuzzy:
         blank_to_null(F.col("modelo_interes_texto")).alias("model_text_raw"), f.classify_date(F.col("fecha_registro")).alias("reg"), f.classify_date(F.col("fecha_primer_contacto")).alias("cont"), "fecha_primer_contacto",
         blank_to_null(F.col("campania")).alias("campaign"), "n_rows", "row_numbers", "identical", content_hash(*RAW).alias("record_hash"))
     n = n.withColumns({"registration_at": f.trusted_date(F.col("reg")), "first_contact_at": f.trusted_date(F.col("cont"))})
-    n = match_models(n, catalog, fuzzy=fuzzy)
+    n = match_models(materialize(n, "normalized"), catalog, fuzzy=fuzzy)  # read twice: the distinct texts, and the rows they go back to
     content = ("company_id", "point_of_sale_id", "channel", "status", "customer_name", "phone_normalized", "email_normalized", "city_raw", "city_normalized", "model_text_raw", "sku", "registration_at", "first_contact_at", "campaign")
     return n.withColumn("anomalies", anomalies()).withColumn("content_hash", content_hash(*content))
 
