@@ -1,14 +1,16 @@
 """PII: patterns, and information-theoretic sanitisation of the terms that reveal the protected entities (native).
 
-Protected entities are the values that the patterns find. Corpus co-occurrence tells how strongly a term near an entity
-reveals it: disclosure = PMI(term; entity) / IC(entity), with IC = log(D / n_e) the entity's information content,
-PMI = log(n_te * D / (n_t * n_e)), and n counted in documents of the whole corpus. 1 means that the term occurs with the
-entity only. A term that stands near the entity in at least min_texts different texts and discloses at least `remove`
-of its information is removed; from `generalise` on it is generalised to its kind of word.
+Protected entities are the values that the patterns find. Corpus co-occurrence tells how strongly a term reveals an
+entity: disclosure = PMI(term; entity) / IC(entity), with IC = log(D / n_e) the entity's information content,
+PMI = log(n_te * D / (n_t * n_e)), and n counted in whole documents of the whole corpus. 1 means that the term occurs
+with the entity only. A term that discloses at least `remove` of the information is removed, from `generalise` on it is
+generalised to its kind of word, at every place in each document that holds the entity. Chance meetings are told apart
+by a bound on their probability (Hoeffding, times the entity's number of terms), which judges rare entities as well: one
+document is evidence as soon as the corpus is large enough. Copies of one text are one piece of evidence.
 
 All of it is built-in functions. Matches and the text between them give positions by a running sum per document; only
-matches, the words next to them and counts, which combine before the shuffle, are shuffled. Patterns are written so that they run in one pass over any text
-(no start inside a run that a previous start has failed on, no recursion per repetition).
+matches, counts, which combine before the shuffle, and the texts with entities are shuffled. Patterns are written so that
+they run in one pass over any text (no start inside a run that a previous start has failed on, no recursion per repetition).
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leadspark.llm.common import WORD, materialize
+from leadspark.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = (
@@ -26,6 +28,9 @@ PATTERNS = (
     r"[0-9](?:[0-9\x20-](?<![\x20-][\x20-])){13,}(?<=[0-9])",
     r"\+[0-9][\x20().0-9-]{8,}[0-9]",
 )
+#: A letters-only word between ASCII white space, and in it the term: the word without its edge punctuation.
+TERM = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]*+\p{L}[\p{L}'’-]*\p{L}[^\p{L}\p{N}\x20\x09-\x0D]*(?![^\x20\x09-\x0D])"
+CORE = r"\p{L}[\p{L}'’-]*\p{L}"
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
 
 
@@ -39,8 +44,8 @@ def _valid(kind: Column, value: Column) -> Column:
     return F.when(kind == 0, True).when(kind == 1, byte).when(kind == 2, F.when(n.between(14, 19), luhn).otherwise(False)).otherwise(n.between(10, 15))
 
 
-def matches(docs: DataFrame, reach: int = 120) -> DataFrame:
-    """(doc_id, t, kind, start, end, value, left, right): valid matches of each text (t: its hash) with up to reach code points before and after."""
+def matches(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, kind, start, end, value): valid matches of each text (t: its hash)."""
     text = F.col("text")
     digit = text.rlike("[0-9]")
     gates = (text.contains("@"), digit, digit, text.contains("+"))
@@ -52,57 +57,75 @@ def matches(docs: DataFrame, reach: int = 120) -> DataFrame:
     by_kind = docs.select("doc_id", F.xxhash64("text").alias("t"), F.array_compact(F.array(*(found(k) for k in range(len(PATTERNS))))).alias("f"))
     by_kind = by_kind.where(F.size("f") > 0).select("doc_id", "t", F.explode("f").alias("f")).where(F.size("f.m") > 0)
     pieces = by_kind.select("doc_id", "t", F.col("f.kind").alias("kind"), F.col("f.p").alias("p"), F.posexplode("f.m").alias("i", "value"))
-    pieces = pieces.select("doc_id", "t", "kind", "i", "value", F.get("p", F.col("i")).alias("_l"), F.get("p", F.col("i") + 1).alias("_r"))
-    pieces = pieces.select("doc_id", "t", "kind", "i", "value", F.length("_l").alias("_n"), F.right("_l", F.lit(reach)).alias("left"), F.left("_r", F.lit(reach)).alias("right")).dropDuplicates(["doc_id", "t", "kind", "i"])
+    pieces = pieces.select("doc_id", "t", "kind", "i", "value", F.length(F.get("p", F.col("i"))).alias("_n")).dropDuplicates(["doc_id", "t", "kind", "i"])
     so_far = Window.partitionBy("doc_id", "t", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # one document
     end = F.sum(F.col("_n") + F.length("value")).over(so_far)
-    out = pieces.select("doc_id", "t", "kind", (end - F.length("value")).alias("start"), end.alias("end"), "value", "left", "right")
+    out = pieces.select("doc_id", "t", "kind", (end - F.length("value")).alias("start"), end.alias("end"), "value")
     return out.where(_valid(F.col("kind"), F.col("value")))
 
 
-def _near(context: Column, reach: int, words: int) -> Column:
-    """(word, offset) of the first words of a context; a word that the reach cuts is left out."""
-    c = F.when(F.length(context) >= reach, F.regexp_replace(context, r"[^\x20\x09-\x0D]*$", "")).otherwise(context)
-    some = F.slice(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), 1, words)
-    gaps = F.slice(F.split(c, WORD, -1), 1, words)
-    place = lambda w, i: F.struct(w.alias("w"), F.aggregate(F.slice(F.arrays_zip(some.alias("w"), gaps.alias("g")), F.lit(1), i + 1), F.lit(0), lambda a, z: a + F.length(z["w"]) + F.length(z["g"])).alias("to"))
-    return F.transform(some, place)
-
-
-def neighbours(found: DataFrame, reach: int = 120, words: int = 6) -> DataFrame:
-    """(doc_id, t, entity, term, start, end): letters-only words next to each match, without their edge punctuation."""
-    f = found.select("doc_id", "t", F.concat_ws(":", "kind", F.lower("value")).alias("entity"), "start", "end", F.reverse("left").alias("left"), "right")
-    left = f.select("doc_id", "t", "entity", F.explode(_near(F.col("left"), reach, words)).alias("x"), "start").select(
-        "doc_id", "t", "entity", F.reverse("x.w").alias("word"), (F.col("start") - F.col("x.to")).alias("start"))
-    right = f.select("doc_id", "t", "entity", F.explode(_near(F.col("right"), reach, words)).alias("x"), "end").select(
-        "doc_id", "t", "entity", F.col("x.w").alias("word"), (F.col("end") + F.col("x.to") - F.length("x.w")).alias("start"))
-    both = left.unionByName(right).withColumn("_core", F.regexp_extract("word", r"^[^\p{L}\p{N}]*(\p{L}[\p{L}'’-]*\p{L})[^\p{L}\p{N}]*$", 1)).where("_core <> ''")
-    start = F.col("start") + F.instr("word", F.col("_core")) - 1
-    return both.select("doc_id", "t", "entity", F.lower("_core").alias("term"), start.cast("long").alias("start"), (start + F.length("_core")).cast("long").alias("end"))
-
-
-def disclosures(docs: DataFrame, near: DataFrame, found: DataFrame, min_texts: int = 3, generalise: float = 0.75) -> DataFrame:
-    """(entity, term, disclosure) of the pairs whose term stands near the entity in min_texts different texts or more and discloses `generalise` of it or more."""
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("t").alias("_texts"), F.count_distinct("doc_id").alias("n_te")).where(F.col("_texts") >= min_texts)
-    pairs = materialize(pairs, "pairs")
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}'’-]+"))
-    n_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))  # combined before the shuffle
-    n_e = found.groupBy(F.concat_ws(":", "kind", F.lower("value")).alias("entity")).agg(F.count_distinct("doc_id").alias("n_e"))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(words, lambda w: F.lower(F.regexp_extract(w, CORE, 0))))
+
+
+def _exponent(drawn: Column, share: Column, hits: Column) -> Column:
+    """Hoeffding: hits or more of drawn documents have a property that share of all have with a probability of exp(-exponent) at most."""
+    a, p = hits / drawn, F.least(share, F.lit(1.0))
+    rest = F.when(a < 1, (1 - a) * F.ln((1 - a) / F.greatest(1 - p, F.lit(1e-300)))).otherwise(0.0)
+    return F.when(a > p, drawn * (a * F.ln(a / p) + rest)).otherwise(0.0)
+
+
+def texts_with(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(t, copies, text): distinct texts with an entity and the number of docs that have them."""
+    keyed = docs.withColumn("t", F.xxhash64("text"))
+    return keyed.join(found.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+
+
+def disclosures(docs: DataFrame, texts: DataFrame, held: DataFrame, alpha: float = 0.05, generalise: float = 0.75) -> DataFrame:
+    """(entity, term, disclosure) of the pairs that disclose `generalise` or more and that chance explains with less than alpha.
+
+    texts (t, copies, text) are the texts with entities, held (t, entity) their entities. alpha holds for all terms of
+    one entity together. Copies of a text count once as evidence, but as documents in the disclosure.
+    """
+    n_t = materialize(docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "terms")  # combined before the shuffle
     total = docs.count()
+    words = texts.select("t", "copies", _terms(F.col("text")).alias("terms"))
+    sizes = words.select("t", "copies", F.size("terms").alias("m"))
+    n_e = held.join(sizes, "t").groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts_e"), F.sum("m").alias("m"))
+    # n_te is at most n_e, so a disclosing term is in at most n_e ** g * D ** (1 - g) documents
+    n_e = materialize(n_e.withColumn("most", F.pow(F.col("n_e"), F.lit(generalise)) * F.pow(F.lit(float(total)), F.lit(1 - generalise)) * (1 + 1e-9)), "entities")
+    known = materialize(held.join(n_e, "entity"), "held")
+    most = known.groupBy("t").agg(F.max("most").alias("_most"))
+    rare = words.select("t", "copies", F.explode("terms").alias("term")).join(most, "t").join(n_t, "term").where(F.col("n_t") <= F.col("_most"))
+    pairs = rare.join(known, "t").where(F.col("n_t") <= F.col("most"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts_te"), *(F.first(c).alias(c) for c in ("n_t", "n_e", "texts_e", "m")))
     share = 1 - F.ln(F.greatest(F.lit(1.0), F.col("n_t") / F.col("n_te"))) / F.greatest(F.lit(1e-9), F.ln(total / F.col("n_e")))
-    return pairs.join(n_e, "entity").join(n_t, "term").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    size = total - (F.col("n_e") - F.col("texts_e"))
+    others = F.col("n_t") - (F.col("n_te") - F.col("texts_te"))
+    chance = F.greatest(_exponent(F.col("texts_e"), others / size, F.col("texts_te")), _exponent(others, F.col("texts_e") / size, F.col("texts_te")))
+    return pairs.withColumn("disclosure", share).where((F.col("disclosure") >= generalise) & (chance >= F.ln(F.col("m") / alpha))).select("entity", "term", "disclosure")
 
 
-def find(docs: DataFrame, min_texts: int = 3, remove: float = 0.95, generalise: float = 0.75, words: int = 6, reach: int = 120) -> DataFrame:
+def find(docs: DataFrame, alpha: float = 0.05, remove: float = 0.95, generalise: float = 0.75) -> DataFrame:
     """(doc_id, t, spans): spans (start, kind, end, remove) of every text with any, sorted; t: the hash of the text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(matches(docs, reach), "matches")
-    near = materialize(neighbours(found, reach, words), "neighbours")
-    shown = disclosures(docs, near, found, min_texts, generalise)
-    terms = near.join(shown, ["entity", "term"]).select("doc_id", "t", "start", F.lit(4).alias("kind"), "end", (F.col("disclosure") >= remove).alias("remove"))
-    spans = found.select("doc_id", "t", "start", "kind", "end", F.lit(True).alias("remove")).unionByName(terms)
-    spans = spans.groupBy("doc_id", "t", "start", "kind", "end").agg(F.max("remove").alias("remove"))
-    return spans.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "remove"))).alias("spans"))  # of one document
+    found = materialize(matches(docs), "matches")
+    texts = materialize(texts_with(docs, found), "texts")
+    held = materialize(found.select("t", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct(), "pairs")
+    shown = disclosures(docs, texts, held, alpha, generalise)
+    telling = materialize(held.join(shown, "entity").groupBy("t", F.col("term").alias("_term")).agg((F.max("disclosure") >= remove).alias("remove")), "telling")
+    pieces = texts.join(telling.select("t").distinct(), "t", "left_semi").select("t", F.split("text", TERM, -1).alias("p"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"))
+    pieces = pieces.select("t", "p", F.posexplode("m").alias("i", "word")).select("t", "i", "word", F.length(F.get("p", F.col("i"))).alias("_n"))
+    so_far = Window.partitionBy("t").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # one text
+    core = F.regexp_extract("word", CORE, 0)
+    places = pieces.withColumn("start", F.sum(F.col("_n") + F.length("word")).over(so_far) - F.length("word") + F.instr("word", core) - 1)
+    places = places.select("t", "start", (F.col("start") + F.length(core)).alias("end"), F.lower(core).alias("_term")).join(telling, ["t", "_term"])
+    span = lambda kind, gone: F.struct(F.col("start").cast("long").alias("start"), F.lit(kind).alias("kind") if isinstance(kind, int) else F.col(kind), F.col("end").cast("long").alias("end"), gone.alias("remove"))
+    terms = places.groupBy("t").agg(F.collect_list(span(4, F.col("remove"))).alias("_terms"))  # of one text
+    spans = found.groupBy("doc_id", "t").agg(F.collect_list(span("kind", F.lit(True))).alias("spans")).join(terms, "t", "left")
+    return spans.select("doc_id", "t", F.array_sort(F.when(F.col("_terms").isNull(), F.col("spans")).otherwise(F.concat("spans", "_terms"))).alias("spans"))
 
 
 def _attached(docs: DataFrame, spans: DataFrame, text_hash: Column) -> DataFrame:

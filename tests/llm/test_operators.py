@@ -129,6 +129,23 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert all(r.n_term == 0 for r in got if r.doc_id >= 100)
 
 
+def test_pii_terms_of_rare_entities_in_whole_documents(spark):
+    far = " ".join("w%d" % i for i in range(60))
+    once = f"Veldkamp wrote. {far} mail solo@mail.example.com {far} said (Veldkamp), the day"
+    rows_ = [(0, once), (1, f"Orsolya {far} {far} call duo@mail.example.com the day"), (2, f"the day duo@mail.example.com {far} {far}  with ORSOLYA!")]
+    rows_ += [(100 + i, f"the day we wrote with said call mail {words(20, i)}") for i in range(600)]
+    texts = dict(rows_)
+
+    def terms(rows_):
+        got = pii.report(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)).collect()
+        return {r.doc_id: [texts[r.doc_id][int(a):int(b)] for k, a, b in (s.split(":") for s in r.spans.split(",")) if k == "term"] for r in got if r.n_term}
+
+    assert terms(rows_) == {0: ["Veldkamp", "Veldkamp"], 1: ["Orsolya"], 2: ["ORSOLYA"]}
+    texts[9] = once
+    assert terms([*rows_, (9, once)])[9] == ["Veldkamp", "Veldkamp"]  # a copy counts as one text
+    assert terms([r for r in rows_ if r[0] < 110]) == {}  # too few documents to tell from chance
+
+
 @pytest.mark.parametrize("text", ["1 " * 20000 + "1", "a." * 20000 + "a@b." + "c." * 20000 + "d", "1.2.3.4.5.6.7.8", "a@b@c.de..f", "+1" + "(" * 9000, "4111-1111 1111  1111", "x" * 50000 + "@y.z"])
 def test_pii_patterns_are_linear_and_equal_the_plain_ones(spark, text):
     plain = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
