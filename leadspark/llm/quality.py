@@ -76,12 +76,13 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def judge(docs: DataFrame, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, min_line_docs: int = 50, line_docs_percent: float = 1.0,
+def judge(docs: DataFrame, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, min_line_docs: int = 50, line_docs_percent: float = 0.0,
           min_left_percent: int = 20) -> DataFrame:
     """A row for each of docs (doc_id, text, host): statistics, base_failed, removed_words, drop_lines (hashes) and kept.
 
     base_failed: fewer than min_words words, or over max_repeat_percent of the words in repeated 5-word windows. A line
-    is frequent when more than min_line_docs and more than line_docs_percent of its host's distinct documents have it.
+    is frequent when more than min_line_docs of its host's distinct documents have it, whatever the host's size; a caller
+    may also ask for more than line_docs_percent of them.
     Depleted: under min_words words, or under min_left_percent of its words, are left. kept: neither failed nor depleted.
     A null text is empty; a null host is a host; rows that repeat count once and get the same verdict; of equal
     frequent lines in one host, the smallest doc_id's stay (null last); an empty table gives no rows.

@@ -198,6 +198,16 @@ def test_quality(docs, none):
     assert quality.judge(none).count() == 0 and quality.filter_documents(none).count() == 0
 
 
+def test_quality_limit_does_not_grow_with_the_host(spark):
+    shared = "all rights reserved by the owners of this site"
+    table = [(i, f"{words(12, i, 10**6)}\n{shared}" if i < 60 else words(12, i, 10**6), "hot") for i in range(8000)]  # in 0.75 % of the host
+    table += [(10000 + i, f"{words(12, 10000 + i, 10**6)}\n{shared}" if i < 60 else words(12, 10000 + i, 10**6), "small") for i in range(500)]
+    table += [(20000 + i, f"{words(12, 20000 + i, 10**6)}\n{shared}", "rare") for i in range(50)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    assert {r.doc_id for r in quality.judge(docs).where("removed_words = 9").collect()} == {*range(1, 60), *range(10001, 10060)}
+    assert sum(shared in r.text for r in quality.filter_documents(docs).collect()) == 52
+
+
 def test_substrings(spark, docs, none):
     def brute(table, length):
         seen, out = set(), Counter()
