@@ -3,7 +3,8 @@
 The vocabulary is a trie of word-initial and continuation pieces. Every node has a failure link to the node of what is
 left after popping the longest pieces from its string, and the number of pieces popped on the way (Song et al. 2021).
 A word is read once, byte by byte; on a missing edge the automaton adds the popped count and follows the link, so no
-piece is built and no byte is read twice. A word that cannot be cut into pieces is one unknown token.
+piece is built and no byte is read twice. Where the bare space is a piece, it starts a word that no longer piece starts.
+A word that cannot be cut into pieces is one unknown token.
 
 The automaton (bounded by the vocabulary file) is built on the driver and sent to the tasks; documents are counted in
 one Arrow pass without a shuffle, each distinct word of a batch once.
@@ -25,10 +26,10 @@ NONE = -1
 
 
 def read_vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], list[bytes]]:
-    """Word-initial and continuation pieces of a file with a base64 piece and a rank a line; a leading space marks initial ones."""
+    """Word-initial and continuation pieces of a file with a base64 piece and a rank a line; a leading space marks initial ones. The bare space is the empty initial piece."""
     with open(path, "rb") as f:
         pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    return [p[1:] for p in pieces if p[:1] == b" " and len(p) > 1], [p for p in pieces if p[:1] != b" "]
+    return [p[1:] for p in pieces if p[:1] == b" "], [p for p in pieces if p[:1] != b" "]
 
 
 class Automaton:
@@ -51,6 +52,8 @@ class Automaton:
                     u = v
                 if piece:
                     whole[u] = True
+        if b"" in initial:
+            self.fail[0], self.pops[0] = 1, 1
         below: dict[int, list[tuple[int, int]]] = {}
         for key, v in self.edges.items():
             below.setdefault(key >> 8, []).append((key & 255, v))

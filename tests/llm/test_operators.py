@@ -182,6 +182,26 @@ def test_token_counts(docs, none, tmp_path):
     assert token_counts.token_counts(none, str(path)).count() == 0
 
 
+def test_token_counts_of_words_without_an_initial_piece(spark):
+    import base64
+
+    with open(token_counts.VOCABULARY, "rb") as f:
+        pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
+    assert b" " in pieces
+
+    def greedy(word):
+        raw, at, n = b" " + word.encode(), 0, 0
+        while at < len(raw):
+            at = next(j for j in range(len(raw), at, -1) if raw[at:j] in pieces)
+            n += 1
+        return n
+
+    some = ["слово", "работа", "привет", "été", "中文", "한국", "漢字かな交じり文" * 20, "😀", "😀👍🏽x", "hello", "\xa0\xa0", "ÿ", "Ωmega", "слово" * 50, "a😀b中c"]
+    got = token_counts.token_counts(spark.createDataFrame(list(enumerate([*some, " ".join(some)])), "doc_id long, text string")).collect()
+    want = [greedy(w) for w in some]
+    assert {r.doc_id: (r.n_tokens, r.n_unknown) for r in got} == {i: (n, 0) for i, n in enumerate([*want, sum(want)])}
+
+
 def test_quality(docs, none):
     got = quality.judge(docs, min_line_docs=3, line_docs_percent=1.0, min_left_percent=90)
     for r in got.collect():
