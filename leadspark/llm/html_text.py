@@ -5,7 +5,8 @@ block and whether a link or a boilerplate container encloses it; tags: their nam
 the main region, learned on a bounded sample of labelled pages: pages that mark their region with exactly one
 `article` element. Words of content get positive scores, tags and boilerplate negative ones. One linear scan over the
 page finds the contiguous run of tokens with the largest sum; it needs no marks. Blocks of the run that stand in
-boilerplate containers (navigation, adverts, forms, comments, ...) are left out.
+boilerplate containers (navigation, adverts, forms, comments, ...) are left out. A whole class word can name such a
+container, but not the page's frame (html, body, main, article) or an element with more than half of the page's words.
 
 One Arrow pass over the pages and no shuffle; the sample is collected as a small table of feature counts.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,30 +25,52 @@ from leadspark.llm.common import slices
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-LABELS = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+LABELS = {"class", "id", "role", "aria-label"}
 #: Elements whose content is no text; void elements; inline elements, which end no block; elements and class words of boilerplate.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "select", "canvas", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ins", "del", "label"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head"}
 BOILERPLATE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Elements that frame the content: class words say nothing about them.
+FRAME = {"html", "body", "main", "article"}
 REGION = "article"
 
 
 class _Open:
-    __slots__ = ("name", "bad")
+    __slots__ = ("name", "bad", "mark")
 
-    def __init__(self, name: str, bad: bool):
-        self.name, self.bad = name, bad
+    def __init__(self, name: str, bad: bool, mark: int):
+        self.name, self.bad, self.mark = name, bad, mark
 
 
-def tokens(page: str):
+def tokens(page: str) -> list[tuple[int, str, str, bool]]:
     """(kind, feature, text, region) in page order. kind 0: a piece of text; 1: a tag. region: inside a marked region."""
+    spans: dict[int, list[int]] = {}
+    found = list(_tokens(page, frozenset(), spans))
+    if spans:
+        words = [0, *accumulate(0 if kind else len(text.split()) for kind, _, text, _ in found)]
+        large = frozenset(k for k, (begin, end) in spans.items() if 2 * (words[end] - words[begin]) > words[-1])
+        if large:
+            found = list(_tokens(page, large, {}))
+    return found
+
+
+def _labelled(tag: str) -> bool:
+    """Whether a whole word of the tag's class, id, role or label names boilerplate."""
+    return any(not BOILERPLATE_WORDS.isdisjoint(v.strip("\"'").lower().split()) for k, v in ATTRIBUTE.findall(tag) if k.lower() in LABELS)
+
+
+def _tokens(page: str, large: frozenset[int], spans: dict[int, list[int]]):
+    """tokens(); elements that class words mark are numbered by their tag's place, spans gets their tokens' range, large ones are not marked."""
+    count = 0
     stack: list[_Open] = []
     at, skip = 0, ""
     block, bad, link, region = "", 0, 0, 0
     for m in TAG.finditer(page):
         if m.start() > at and not skip:
+            count += 1
             yield 0, ("x:" if bad else "a:" if link else "w:") + block, page[at : m.start()], region > 0
         at = m.end()
         tag = m[0]
@@ -60,15 +84,20 @@ def tokens(page: str):
             continue
         if not closing and name in RAW and not tag.endswith("/>"):
             skip = name
+            count += 1
             yield 1, "t:" + name, "", region > 0
             continue
         if not closing:
-            words = {w for v in LABELS.findall(tag) for w in re.split(r"[^a-z]+", v.lower())}
-            wrong = name in BOILERPLATE or (name == "header" and not region) or bool(words & BOILERPLATE_WORDS)
+            wrong = name in BOILERPLATE or (name == "header" and not region)
+            mark = -1
+            if not wrong and name not in FRAME and m.start() not in large and _labelled(tag):
+                wrong, mark = True, m.start()
             if name in ("p", "li", "dd", "dt", "option") and stack:  # a new one closes an open one
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i].name == name:
                         for o in stack[i:]:
+                            if o.mark >= 0:
+                                spans[o.mark][1] = count
                             bad, link, region = bad - o.bad, link - (o.name == "a"), region - (o.name == REGION)
                         del stack[i:]
                         break
@@ -77,13 +106,18 @@ def tokens(page: str):
             if name == REGION:
                 region += 1
             if name not in VOID and not tag.endswith("/>"):
-                stack.append(_Open(name, wrong))
+                stack.append(_Open(name, wrong, mark))
+                if mark >= 0:
+                    spans[mark] = [count, count]
                 bad, link = bad + wrong, link + (name == "a")
+        count += 1
         yield 1, "t:" + name, "", region > 0
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].name == name:
                     for o in stack[i:]:
+                        if o.mark >= 0:
+                            spans[o.mark][1] = count
                         bad, link, region = bad - o.bad, link - (o.name == "a"), region - (o.name == REGION)
                     del stack[i:]
                     break
@@ -92,12 +126,16 @@ def tokens(page: str):
         rest = page[at:]
         if re.match(r"</?[a-zA-Z!]", rest):
             rest = ""
+        count += 1
         yield 0, ("x:" if bad else "a:" if link else "w:") + block, rest, region > 0
+    for o in stack:
+        if o.mark >= 0:
+            spans[o.mark][1] = count
 
 
 def extract(page: str, weights: dict[str, float], tag_score: float, unseen: float = 0.5) -> str:
     """Text of the run of tokens with the largest sum of scores; of equal sums the first and longest run."""
-    found = list(tokens(page))
+    found = tokens(page)
     best = now = 0.0
     begin, run = 0, (0, 0)
     for i, (kind, feature, text, _) in enumerate(found):

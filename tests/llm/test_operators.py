@@ -278,6 +278,15 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+@pytest.mark.parametrize("change", [("<body>", "<body class='has-sidebar'>"), ("<body>", "<body class='header-fixed sidebar'>"), ("<article>", "<article class='post has-comments'>"), ("<article>", "<article id=comments>"),
+                                    ("<article>", "<div class='widget'><article>"), ("<article>", "<div class='widget'><div><article>"), ("<p>First", "<p data-id='ad'>First"), ("<p>First", "<p class='share-price'>First"), ("<p>First", "<p title='class=ad'>First")])
+def test_html_class_words_do_not_decide_over_the_text(spark, change):
+    pages = [(i, f"u{i}", PAGE.replace("First", f"First {words(20, i)}")) for i in range(30)]
+    pages += [(100, "u", PAGE.replace("First", f"First {words(20, 5)}").replace(*change))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[100] == got[5] == f"Head & line First {words(20, 5)} bold text here of the page. Second one © goes on and on."
+
+
 def shingles(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i:i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
