@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -54,20 +57,48 @@ def _clean() -> None:
             return
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def meet(many: DataFrame, one: DataFrame, keys: list[str], count: str, spread: list[str]) -> DataFrame:
+    """many joined with one on keys, which are not null; one has a row for each and in `count` how many rows of many have it.
+
+    Hot keys are dealt to several tasks: rows of many by the hash of `spread`, the row of one in as many copies. A key is
+    hot from `limit` rows on, which grows so that at most a million keys can be hot: the broadcast table of hot keys is bounded.
+    """
+    top = one.agg(F.max(count).alias("top"), F.sum(count).alias("rows")).first()
+    limit = max(1000, (top.rows or 0) // 1_000_000)
+    if (top.top or 0) <= limit:
+        return many.join(one.drop(count), keys)
+    parts = F.ceil(F.col(count) / limit).cast("int")
+    hot = one.where(F.col(count) > limit).select(*keys, parts.alias("_parts"))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copies = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(count)
+    return dealt.join(copies, [*keys, "_part"]).drop("_part")
+
+
+def components(edges: DataFrame, name: str = "components", few: int = 10_000) -> DataFrame:
     """(node, component) of an undirected graph with edges (a, b): component is the smallest node that can be reached.
 
-    Min-label propagation with pointer jumping; every round is written to the shared folder. Nodes and labels stay in
-    Spark; the driver gets one count per round. Minima combine before each shuffle, so a hub is no hot key.
+    Min-label propagation with pointer jumping; every round is written to the shared folder and the one before deleted.
+    Nodes and labels stay in Spark; the driver gets some counts per round. Minima combine before each shuffle, and a hub's
+    edges and a large component's nodes meet their label in several tasks (graphs of at most `few` nodes need no such care).
     """
     some = edges.where("a <> b")
     both = materialize(some.select("a", "b").union(some.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), name)
+    held = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"), F.count("*").alias("degree")), name)
+    large = held.count() > few
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("_near"))
-        hooked = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_l"))
-        jump = labels.select(F.col("node").alias("_l"), F.col("component").alias("_to"))
-        new = materialize(hooked.join(jump, "_l", "left").select("node", F.least("_l", "_to").alias("component"), (F.least("_l", "_to") < F.col("_old")).alias("_moved")), name)
-        labels = new.select("node", "component")
-        if not new.where("_moved").limit(1).count():
-            return labels
+        label = held.select(F.col("node").alias("b"), "component", "degree")
+        near = (meet(both, label, ["b"], "degree", ["a"]) if large else both.join(label, "b")).groupBy("a").agg(F.min("component").alias("_near"))
+        hooked = held.join(near, held.node == near.a).select("node", "degree", F.col("component").alias("_old"), F.least("component", "_near").alias("_l"))
+        jump = held.select(F.col("node").alias("_l"), F.col("component").alias("_to"))
+        if large:
+            hooked = materialize(hooked, name)
+            sizes = materialize(hooked.groupBy("_l").agg(F.count("*").alias("_n")).join(jump, "_l"), name)
+            joined = meet(hooked, sizes, ["_l"], "_n", ["node"])
+        else:
+            joined = hooked.join(jump, "_l")
+        new = materialize(joined.select("node", F.least("_l", "_to").alias("component"), "degree", (F.least("_l", "_to") < F.col("_old")).alias("_moved")), name)
+        discard(held, *((hooked, sizes) if large else ()))
+        held = new
+        if not held.where("_moved").limit(1).count():
+            discard(both)
+            return held.select("node", "component")
