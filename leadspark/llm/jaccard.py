@@ -1,6 +1,6 @@
 """N-gram Jaccard join by count vectors in packed R-trees.
 
-Two documents link when the Jaccard similarity of their sets of 4-word shingles is at least `percent`/100.
+Two documents link when the Jaccard similarity of their sets of k-word shingles is at least `percent`/100.
 
 1. Each document gives its set's size n, a set hash, and the first n - ceil(n * percent/100) + 1 shingles in one
    total order. Two linked documents share one of these, so documents that share a key form blocks; nothing is lost.
@@ -12,9 +12,13 @@ Two documents link when the Jaccard similarity of their sets of 4-word shingles
    overlap of two nodes is at most the sum of the coordinate minima of their upper corners, of two documents the sum of
    the minima of their counts. Members with no partner left are dropped. No texts move in this step.
 4. Texts of the members that are left go to their groups; surviving pairs of different components are verified on the
-   exact sets. Each task returns a spanning forest, so a group of g copies gives g - 1 links and never all pairs.
-   Groups of over `block` members are dealt to tasks as pairs of blocks, so that no task holds an unbounded group.
-5. Components of the links, by min-label propagation.
+   exact sets (of 64-bit hashes). Each task returns a spanning forest: g copies give g - 1 links and never all pairs.
+5. A group of more than `block` members, or `shingles` shingles, is dealt to several tasks, each with the group's
+   smallest document. Near copies link with it or with one another, so a group mostly is one component then, and what
+   is linked already need not be compared. Only the members outside of the group's largest component meet the members
+   of other tasks: a second pass deals them as pairs of parts, so a group of g members with r of them outside costs
+   about g * r / block rows and not g * g / block.
+6. Components of the links, by min-label propagation.
 """
 
 from __future__ import annotations
@@ -22,15 +26,22 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from leadspark.llm.common import U64, components, lists, materialize, mix64, shingle_sets, slices, without
+from leadspark.llm.common import U64, components, discard, lists, materialize, meet, mix64, shingle_sets, slices, without
+
+#: A count of this or more may be any number.
+FULL = 65535
 
 
 def _vector(s: np.ndarray) -> np.ndarray:
     """Counts of a set's hashes in G groups by their top bits; G is the power of two from 16 to 1024 next to n/8."""
     bits = min(10, max(4, int(np.ceil(np.log2(max(1, len(s)) / 8))) if len(s) > 8 else 4))
-    return np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+    return np.minimum(np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), FULL).astype(np.uint16)
+
+
+def _upper(v: np.ndarray) -> np.ndarray:
+    """Upper bounds of the counts of a vector."""
+    return np.where(v == FULL, 1 << 40, v.astype(np.int64)) if v.max(initial=0) == FULL else v
 
 
 def _fold(v: np.ndarray, size: int) -> np.ndarray:
@@ -72,13 +83,14 @@ def _sampled(k: int):
 
 
 def _pairs(n: np.ndarray, vectors: list[np.ndarray], side: np.ndarray, cross: bool, percent: int, leaf: int = 32):
-    """Index pairs that may link: a join of packed R-trees over the count vectors, cut by sizes and summed minima."""
+    """Arrays of index pairs that may link: a join of packed R-trees over the count vectors, cut by sizes and summed minima."""
     order = np.argsort(n, kind="stable")
     classes = np.array([len(vectors[i]) for i in order])
     for g in np.unique(classes):
         own = order[classes == g]
         tree = np.concatenate([own, order[classes == 2 * g]])  # sizes within a factor of 2 differ by one halving at most
-        low = np.stack([_fold(vectors[i], g) for i in tree]).astype(np.int32)
+        low = np.stack([_fold(_upper(vectors[i]), g) for i in tree])
+        low = low.astype(np.int32 if low.max() < 1 << 31 else np.int64)
         sizes = n[tree]
         cuts = np.arange(0, len(tree), leaf)
         upper = np.maximum.reduceat(low, cuts, axis=0)
@@ -108,7 +120,12 @@ def _pairs(n: np.ndarray, vectors: list[np.ndarray], side: np.ndarray, cross: bo
                     if cross:
                         keep = side[i] != side[j]
                         i, j = i[keep], j[keep]
-                    yield from zip(i.tolist(), j.tolist(), strict=True)
+                    if len(i):
+                        yield i, j
+
+
+#: A member x of group g in task (i, j), from its part `side`, known to be in component c.
+MEMBER = ("g", "i", "j", "x", "side", "c")
 
 
 def _groups(batches, columns: list[str]):
@@ -136,15 +153,16 @@ def _survivors(percent: int):
     def run(batches):
         import pyarrow as pa
 
-        out: dict[str, list] = {"g": [], "i": [], "j": [], "x": [], "side": []}
-        for (g, i, j), rows in _groups(batches, ["g", "i", "j", "x", "side", "n", "vector"]):
+        out: dict[str, list] = {c: [] for c in MEMBER}
+        for (_, i, j), rows in _groups(batches, [*MEMBER, "n", "vector"]):
             vectors = [np.frombuffer(v, np.uint16) for v in rows["vector"]]
-            live: set[int] = set()
-            for p in _pairs(np.array(rows["n"]), vectors, np.array(rows["side"]), i != j, percent):
-                live.update(p)
-            for p in sorted(live):
-                for c, v in zip(out, (g, i, j, rows["x"][p], rows["side"][p]), strict=True):
-                    out[c].append(v)
+            known, live = np.array(rows["c"]), np.zeros(len(vectors), bool)
+            for a, b in _pairs(np.array(rows["n"]), vectors, np.array(rows["side"]), i != j, percent):
+                new = known[a] != known[b]
+                live[a[new]] = live[b[new]] = True
+            for p in np.flatnonzero(live):
+                for c in MEMBER:
+                    out[c].append(rows[c][p])
             if len(out["g"]) > 5000:
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
                 out = {c: [] for c in out}
@@ -157,22 +175,17 @@ def _links(percent: int, k: int):
         import pyarrow as pa
 
         out: list[tuple[int, int]] = []
-        for (_, i, j), rows in _groups(batches, ["g", "i", "j", "x", "side", "text"]):
+        for (_, i, j), rows in _groups(batches, [*MEMBER, "text"]):
             sets = shingle_sets(rows["text"], k)
             x, n = rows["x"], np.fromiter(map(len, sets), np.int64, len(sets))
-            parent = list(range(len(x)))
-
-            def root(a, parent=parent):
-                while parent[a] != a:
-                    parent[a] = a = parent[parent[a]]
-                return a
-
-            for a, b in _pairs(n, [_vector(s) for s in sets], np.array(rows["side"]), i != j, percent):
-                ra, rb = root(a), root(b)
-                if ra != rb:
+            label = np.unique(rows["c"], return_inverse=True)[1]
+            for some, others in _pairs(n, [_vector(s) for s in sets], np.array(rows["side"]), i != j, percent):
+                for a, b in zip(some.tolist(), others.tolist(), strict=True):
+                    if label[a] == label[b]:
+                        continue
                     both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                     if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                        parent[max(ra, rb)] = min(ra, rb)
+                        label[label == label[b]] = label[a]
                         out.append((x[a], x[b]))
             if len(out) > 5000:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
@@ -190,39 +203,75 @@ def frequent_shingles(docs: DataFrame, k: int, sample_docs: int, share: float) -
     return np.sort(np.array([r.h for r in found.collect()], np.int64).view(np.uint64))
 
 
-def linked(docs: DataFrame, percent: int = 85, k: int = 4, block: int = 1000, sample_docs: int = 20_000, share: float = 0.002) -> DataFrame:
+def _parts(n: str, weight: str, block: int, shingles: int):
+    return F.ceil(F.greatest(F.col(n) / block, F.col(weight) / shingles)).cast("int")
+
+
+def linked(docs: DataFrame, percent: int = 85, k: int = 4, block: int = 1000, shingles: int = 2_000_000, sample_docs: int = 20_000, share: float = 0.002) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each of docs (doc_id, text).
 
     n_shingles: size of the set of k-word shingles. component_id: the smallest doc_id that links reach, itself included.
     A null or empty text has no shingles and no links; a row without doc_id links with nothing and has a null component;
-    rows of one doc_id are one document for links; an empty table gives no rows.
+    rows of one doc_id are one document for links; an empty table gives no rows. block and shingles bound what a task
+    compares at a time (one document at least) and change no result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     late = spark.sparkContext.broadcast(frequent_shingles(docs, k, sample_docs, share))
     t = materialize(docs.mapInArrow(_features(percent, k, late), "doc_id long, n long, s1 long, s2 long, keys array<long>, vector binary"), "features")
     own = t.where("n > 0 and doc_id is not null")
-    reps = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("x"))
-    heads = own.join(reps, ["s1", "s2"]).where("doc_id = x").dropDuplicates(["s1", "s2"]).select("x", "n", "keys", "vector")
-    heads = materialize(heads, "heads")
-    block_of = Window.partitionBy("key")
-    posts = heads.select("x", F.explode("keys").alias("key")).select("x", F.count("*").over(block_of).alias("_n"), F.min("x").over(block_of).alias("g"))
-    members = materialize(posts.where("_n > 1").select("g", "x").distinct(), "members")
-    many = members.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("_m"))
-    side = F.pmod(F.xxhash64("x"), F.col("_m")).cast("int")
-    dealt = members.join(many, "g").select("g", "x", side.alias("side"), "_m")
-    dealt = dealt.select("g", "x", "side", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o")).select(
-        "g", "x", F.col("side").cast("long").alias("side"), F.least("side", "_o").cast("long").alias("i"), F.greatest("side", "_o").cast("long").alias("j"))
-    with_vectors = dealt.join(heads.select("x", "n", "vector"), "x").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    alive = materialize(with_vectors.select("g", "i", "j", "x", "side", "n", "vector").mapInArrow(_survivors(percent), "g long, i long, j long, x long, side long"), "alive")
-    texts = docs.where("doc_id is not null").join(alive.select(F.col("x").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
-    with_texts = alive.join(texts.withColumnRenamed("doc_id", "x"), "x").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    links = materialize(with_texts.select("g", "i", "j", "x", "side", "text").mapInArrow(_links(percent, k), "a long, b long"), "links")
-    comp = components(links).withColumnRenamed("node", "x")
-    out = t.select("doc_id", "n", "s1", "s2").join(reps, ["s1", "s2"], "left").join(comp, "x", "left")
+    sets = materialize(own.groupBy("s1", "s2").agg(F.min("doc_id").alias("x"), F.count("*").alias("_copies")), "sets")
+    heads = own.join(sets.select(F.col("x").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
+    heads = materialize(heads.select(F.col("doc_id").alias("x"), "n", "keys", "vector"), "heads")
+    posts = heads.select("x", F.explode("keys").alias("key"))
+    keys = materialize(posts.groupBy("key").agg(F.min("x").alias("g"), F.count("*").alias("_n")).where("_n > 1"), "keys")
+    members = meet(posts, keys, ["key"], "_n", ["x"]).select("g", "x").distinct().join(heads.groupBy("x").agg(F.max("n").alias("_w")), "x")
+    members = materialize(members, "members")
+    groups = members.groupBy("g").agg(F.count("*").alias("_n"), F.sum("_w").alias("_weight"))
+    groups = materialize(groups.select("g", "_n", _parts("_n", "_weight", block, shingles).alias("_m")), "groups")
+    side = F.pmod(F.xxhash64("x"), F.col("_m"))
+    dealt = meet(members, groups, ["g"], "_n", ["x"]).select("g", "x", "_m", side.alias("side"))
+    first = dealt.where("x = g and _m > 1").select("g", "x", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o"), F.col("side").alias("_s")).where("_o <> _s")
+    dealt = dealt.select("g", "x", "side").unionByName(first.select("g", "x", F.col("_o").cast("long").alias("side")))
+    dealt = dealt.select("g", F.col("side").alias("i"), F.col("side").alias("j"), "x", "side", F.col("x").alias("c"))
+
+    def verified(dealt: DataFrame) -> DataFrame:
+        with_vectors = dealt.join(heads.select("x", "n", "vector"), "x").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+        alive = materialize(with_vectors.select(*MEMBER, "n", "vector").mapInArrow(_survivors(percent), ", ".join(f"{c} long" for c in MEMBER)), "alive")
+        texts = docs.where("doc_id is not null").join(alive.select(F.col("x").alias("doc_id")).distinct(), "doc_id").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"])
+        with_texts = alive.join(texts.select(F.col("doc_id").alias("x"), "text"), "x").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+        found = materialize(with_texts.select(*MEMBER, "text").mapInArrow(_links(percent, k), "a long, b long"), "links")
+        discard(alive)
+        return found
+
+    links = verified(dealt)
+    comp = components(links)
+    if groups.where("_m > 1").limit(1).count():
+        more = verified(_apart(members, groups, comp, block, shingles))
+        comp = components(links.unionByName(more))
+        discard(more)
+    discard(links, keys, members, groups, heads)
     # an empty set links with nothing; equal sets share their representative
-    component = F.when(F.col("n") > 0, F.coalesce("component", "x", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    whole = sets.join(comp.withColumnRenamed("node", "x"), "x", "left").select("s1", "s2", "_copies", F.coalesce("component", "x").alias("component_id"))
+    out = meet(own.select("doc_id", "n", "s1", "s2"), materialize(whole, "whole"), ["s1", "s2"], "_copies", ["doc_id"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rest = t.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(rest)
+
+
+def _apart(members: DataFrame, groups: DataFrame, comp: DataFrame, block: int, shingles: int) -> DataFrame:
+    """Tasks for the groups in several parts: each member outside of its group's largest component with all members of other components."""
+    several = materialize(groups.where("_m > 1").select("g", "_n"), "several")
+    held = meet(members, several, ["g"], "_n", ["x"]).join(comp.withColumnRenamed("node", "x"), "x", "left")
+    held = materialize(held.select("g", "x", "_w", F.coalesce("component", "x").alias("c")), "labelled")
+    each = held.groupBy("g", "c").agg(F.count("*").alias("_k"), F.sum("_w").alias("_v"))
+    group = each.groupBy("g").agg(F.max(F.struct("_k", "c", "_v")).alias("_top"), F.count("*").alias("_several"), F.sum("_k").alias("_n"), F.sum("_v").alias("_all")).where("_several > 1")
+    group = group.select("g", "_n", F.col("_top.c").alias("_main"), F.col("_top._k").alias("_k"), F.col("_top._v").alias("_v"), (F.col("_n") - F.col("_top._k")).alias("_r"), (F.col("_all") - F.col("_top._v")).alias("_u"))
+    group = materialize(group.select("g", "_n", "_main", _parts("_r", "_u", block, shingles).alias("_rest"), _parts("_k", "_v", block, shingles).alias("_most")), "apart")
+    dealt = meet(held, group, ["g"], "_n", ["x"]).withColumn("_out", F.col("c") != F.col("_main"))
+    side = F.when(F.col("_out"), F.pmod(F.xxhash64("x"), F.col("_rest"))).otherwise(F.col("_rest") + F.pmod(F.xxhash64("x"), F.col("_most")))
+    last = F.when(F.col("_out"), F.col("_rest") + F.col("_most")).otherwise(F.col("_rest")) - 1
+    dealt = dealt.withColumn("side", side).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    return dealt.select("g", F.least("side", "_o").alias("i"), F.greatest("side", "_o").alias("j"), "x", "side", "c")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
