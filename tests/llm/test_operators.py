@@ -249,6 +249,34 @@ def test_substrings(spark, docs, none):
     assert substrings.remove_repeats(docs).count() == len(corpus()) and substrings.remove_repeats(none).count() == 0
 
 
+def test_substrings_of_texts_of_megabytes(spark):
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefgh") for _ in range(5_000_000))
+    shared = "".join(r.choice("ijklmnop") for _ in range(300))
+    cuts = (2_097_000, 4_500_000)  # across and inside of the pieces that long texts are cut into
+    long = long[: cuts[0]] + shared + long[cuts[0] : cuts[1]] + shared + long[cuts[1] :]
+    got = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame([(1, "x" + shared[:250]), (2, long), (3, long[1_000_000:3_500_000])], "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 250 + 300, 2_500_000] and got[2].n_spans == 2
+    assert got[2].kept_sha256 == hashlib.sha256((long[: cuts[0]] + shared[250:] + long[cuts[0] : cuts[1] + 300].replace(shared, "") + long[cuts[1] + 600 :]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("bucket", [1, 4])
+def test_substrings_of_large_buckets(spark, bucket):
+    r = random.Random(bucket)
+    phrases = ["".join(r.choice("abcdef") for _ in range(n)) for n in (40, 70, 90, 95, 130)]
+    table = [(i, "".join("".join(r.choice("xyz") for _ in range(r.randint(1, 40))) + r.choice(phrases) for _ in range(6))) for i in range(60)]
+    seen, want = set(), {}
+    for d, t in table:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 99):
+            if t[i:i + 100] in seen:
+                gone[i:i + 100] = b"\1" * 100
+            seen.add(t[i:i + 100])
+        want[d] = sum(gone)
+    got = substrings.remove_repeats(spark.createDataFrame(table, "doc_id long, text string").repartition(5), bucket=bucket)
+    assert {r.doc_id: r.n_removed for r in got.collect()} == want and sum(want.values()) > 1000
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_maximal_repeats_cover_what_brute_force_removes(spark, seed):
     r = random.Random(seed)
