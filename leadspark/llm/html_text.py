@@ -8,6 +8,9 @@ page finds the contiguous run of tokens with the largest sum; it needs no marks.
 boilerplate containers (navigation, adverts, forms, comments, ...) are left out. A whole class word can name such a
 container, but not the page's frame (html, body, main, article) or an element with more than half of the page's words.
 
+Tokens are read in time linear in the page, however deep its elements nest: scripts and the like end at their own end
+tag only, and each open element knows its block and the last of each name is at hand.
+
 One Arrow pass over the pages and no shuffle; the sample is collected as a small table of feature counts.
 """
 
@@ -23,12 +26,14 @@ from pyspark.sql import functions as F
 
 from leadspark.llm.common import slices
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.S)
+#: Comments, declarations and tags. Quotes matter only behind an equals sign; one that is never closed is a character.
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+")
 LABELS = {"class", "id", "role", "aria-label"}
-#: Elements whose content is no text; void elements; inline elements, which end no block; elements and class words of boilerplate.
+#: Elements whose content is no text; those whose content has no tags but their own end; void elements; inline elements, which end no block; elements and class words of boilerplate.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "select", "canvas", "object"}
+PLAIN = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp")}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ins", "del", "label"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head"}
@@ -39,10 +44,12 @@ REGION = "article"
 
 
 class _Open:
-    __slots__ = ("name", "bad", "mark")
+    """An open element: mark numbers it if class words speak against it, block is the nearest block's name and wall the place of the nearest one but paragraphs on the stack, itself included."""
+
+    __slots__ = ("name", "bad", "mark", "block", "wall")
 
-    def __init__(self, name: str, bad: bool, mark: int):
-        self.name, self.bad, self.mark = name, bad, mark
+    def __init__(self, name: str, bad: bool, mark: int, block: str, wall: int):
+        self.name, self.bad, self.mark, self.block, self.wall = name, bad, mark, block, wall
 
 
 def tokens(page: str) -> list[tuple[int, str, str, bool]]:
@@ -66,9 +73,21 @@ def _tokens(page: str, large: frozenset[int], spans: dict[int, list[int]]):
     """tokens(); elements that class words mark are numbered by their tag's place, spans gets their tokens' range, large ones are not marked."""
     count = 0
     stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # of open elements, by name
+    unended: set[str] = set()
     at, skip = 0, ""
     block, bad, link, region = "", 0, 0, 0
-    for m in TAG.finditer(page):
+
+    def close(i: int) -> None:
+        nonlocal bad, link, region
+        for o in stack[i:]:
+            if o.mark >= 0:
+                spans[o.mark][1] = count
+            bad, link, region = bad - o.bad, link - (o.name == "a"), region - (o.name == REGION)
+            places[o.name].pop()
+        del stack[i:]
+
+    while m := TAG.search(page, at):
         if m.start() > at and not skip:
             count += 1
             yield 0, ("x:" if bad else "a:" if link else "w:") + block, page[at : m.start()], region > 0
@@ -78,11 +97,18 @@ def _tokens(page: str, large: frozenset[int], spans: dict[int, list[int]]):
         if not n:
             continue
         name, closing = n[1].lower(), tag[1] == "/"
+        if not closing and name in PLAIN and name not in unended:
+            if end := PLAIN[name].search(page, at):
+                at = end.start()
+            elif name in ("script", "style"):
+                at = len(page)
+            else:
+                unended.add(name)
         if skip:
             if closing and name == skip:
                 skip = ""
             continue
-        if not closing and name in RAW and not tag.endswith("/>"):
+        if not closing and name in RAW and not tag.endswith("/>") and name not in unended:
             skip = name
             count += 1
             yield 1, "t:" + name, "", region > 0
@@ -92,45 +118,27 @@ def _tokens(page: str, large: frozenset[int], spans: dict[int, list[int]]):
             mark = -1
             if not wrong and name not in FRAME and m.start() not in large and _labelled(tag):
                 wrong, mark = True, m.start()
-            if name in ("p", "li", "dd", "dt", "option") and stack:  # a new one closes an open one
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].name == name:
-                        for o in stack[i:]:
-                            if o.mark >= 0:
-                                spans[o.mark][1] = count
-                            bad, link, region = bad - o.bad, link - (o.name == "a"), region - (o.name == REGION)
-                        del stack[i:]
-                        break
-                    if stack[i].name not in INLINE and stack[i].name != "p":
-                        break
+            if name in ("p", "li", "dd", "dt", "option") and places.get(name) and places[name][-1] >= stack[-1].wall:
+                close(places[name][-1])  # a new one closes an open one
             if name == REGION:
                 region += 1
             if name not in VOID and not tag.endswith("/>"):
-                stack.append(_Open(name, wrong, mark))
+                inline = name in INLINE
+                over = stack[-1] if stack else None
+                stack.append(_Open(name, wrong, mark, (over.block if over else "") if inline else name, (over.wall if over else -1) if inline or name == "p" else len(stack)))
+                places.setdefault(name, []).append(len(stack) - 1)
                 if mark >= 0:
                     spans[mark] = [count, count]
                 bad, link = bad + wrong, link + (name == "a")
         count += 1
         yield 1, "t:" + name, "", region > 0
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    for o in stack[i:]:
-                        if o.mark >= 0:
-                            spans[o.mark][1] = count
-                        bad, link, region = bad - o.bad, link - (o.name == "a"), region - (o.name == REGION)
-                    del stack[i:]
-                    break
-        block = next((o.name for o in reversed(stack) if o.name not in INLINE), "")
+        if closing and places.get(name):
+            close(places[name][-1])
+        block = stack[-1].block if stack else ""
     if at < len(page) and not skip:
-        rest = page[at:]
-        if re.match(r"</?[a-zA-Z!]", rest):
-            rest = ""
         count += 1
-        yield 0, ("x:" if bad else "a:" if link else "w:") + block, rest, region > 0
-    for o in stack:
-        if o.mark >= 0:
-            spans[o.mark][1] = count
+        yield 0, ("x:" if bad else "a:" if link else "w:") + block, page[at:], region > 0
+    close(0)
 
 
 def extract(page: str, weights: dict[str, float], tag_score: float, unseen: float = 0.5) -> str:
@@ -206,7 +214,7 @@ def _extract(model):
 def main_text(pages: DataFrame, model: tuple[dict[str, float], float] | None = None) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each of pages (page_id, url, html).
 
-    A null or empty page, and one without a run of positive score, has an empty text. Rows that repeat stay rows; an
+    A null or empty page, and one without a run of positive score, has an empty text. White space is Unicode's. Rows that repeat stay rows; an
     empty table gives none. Without labelled pages, words outside links and boilerplate score 0.5 and others -1.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
