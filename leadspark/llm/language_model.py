@@ -7,12 +7,14 @@ the training documents that the maximum-likelihood estimates of that step leave
 Texts are read once, into chunks of about 750 thousand tokens: distinct words, and the texts as numbers of words. Each
 chunk sends its distinct unigrams and bigrams, packed and sorted, to count buckets by hash range; a bucket adds up the
 counts of all chunks and answers each chunk in its own order. A frequent n-gram is one entry per chunk, so no bucket is
-hot, and the number of buckets grows with the corpus. With its answers each chunk scores its documents. The driver gets
-N, V and some sums per frequency bucket.
+hot. There are just as many buckets as keep a bucket's entries within memory, so a chunk's part of a bucket stays a long
+run of entries; the rows exchanged are never more than the chunks' distinct n-grams, which grow with the input. With its
+answers each chunk scores its documents. The driver gets N, V and some sums per frequency bucket.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -212,8 +214,8 @@ def _events(n_main: int):
     return run
 
 
-def learn(events: DataFrame, floor: float, rounds: int = 20, stop: float = 1e-3, buckets: int = 48) -> np.ndarray:
-    """Weights (buckets x 3: bigram, unigram, uniform) by expectation-maximisation; each round is one aggregation of events."""
+def learn(events: DataFrame, floor: float, rounds: int = 100, stop: float = 1e-3, buckets: int = 48) -> np.ndarray:
+    """Weights (buckets x 3: bigram, unigram, uniform) by expectation-maximisation, until none moves by `stop`; each round is one aggregation of events. Warns if `rounds` do not suffice."""
     weights = np.tile([0.4, 0.4, 0.2], (buckets, 1))
     weights[0] = [0.0, 0.7, 0.3]
     for _ in range(rounds):
@@ -229,6 +231,8 @@ def learn(events: DataFrame, floor: float, rounds: int = 20, stop: float = 1e-3,
         weights = new
         if moved < stop:
             break
+    else:
+        warnings.warn(f"weights still move by {moved:.2g} after {rounds} rounds", stacklevel=2)
     for b in range(1, buckets):  # buckets without events: as the next lower one
         if seen and b not in seen and (low := [x for x in seen if 0 < x < b]):
             weights[b] = weights[low[-1]]
@@ -254,7 +258,7 @@ def _score(weights: np.ndarray, n: int, v: int):
     return run
 
 
-def score(docs: DataFrame, folds: int = 7, test: int = 2, held: int = 5, chunk_tokens: int = 750_000) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, test: int = 2, held: int = 5, chunk_tokens: int = 750_000, bucket_tokens: int = 8_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each of docs (doc_id, text).
 
     Documents whose crc32(doc_id) mod folds is `test` are scored but not learned from; those with `held` are what the
@@ -263,8 +267,8 @@ def score(docs: DataFrame, folds: int = 7, test: int = 2, held: int = 5, chunk_t
     An empty table gives no rows. Without training documents every probability is 1 / (V + 1) = 1.
     """
     chunks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks(chunk_tokens, folds, test, held), CHUNK), "chunks")
-    n_chunks = chunks.count()
-    bits = max(6, int(np.ceil(np.log2(max(1, n_chunks)))))  # a bucket holds about one chunk's share of keys times the chunks
+    entries = chunks.agg(F.sum(F.octet_length("words") / 8 + F.octet_length("ids") / 4)).first()[0] or 0  # at least the chunks' distinct n-grams
+    bits = max(6, int(np.ceil(np.log2(max(1, entries / bucket_tokens)))))
     keys = chunks.mapInArrow(_emit(bits), KEYS)
     counted = materialize(keys.groupBy("level", "bucket").applyInArrow(_count, "chunk long, level int, bucket long, main binary, other binary, n_main long, n_other long, distinct long"), "counts")
     sums = counted.where("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_main", "n_other", "distinct"))).first()
