@@ -4,7 +4,8 @@ One Arrow pass gives each document's statistics and the hashes of its normalised
 distinct documents (copies with the same text count once); a line in more documents of its host than the limit is
 removed everywhere but in the host's first document with it, and a document that this leaves with too little is
 rejected. Only hashes and counts are shuffled; counts combine before the shuffle, so a hot host or line is no hot key.
-Frequent lines are joined back by (host, line); texts move only where the cleaned text itself is asked for.
+Frequent lines are joined back by (host, line): broadcast while a count shows that they are few, else shuffled with each
+line dealt to as many tasks as its rows need. Texts move only where the cleaned text itself is asked for.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import U64, lists, materialize, mix64, slices
+from leadspark.llm.common import U64, lists, materialize, meet, mix64, slices
 
 SYMBOLS = "#*$%&|<>"
 _DIGITS = bytes(ord("0") if chr(c).isdigit() else c for c in range(128)) + bytes(range(128, 256))
@@ -77,7 +78,7 @@ def _features(batches):
 
 
 def judge(docs: DataFrame, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, min_line_docs: int = 50, line_docs_percent: float = 0.0,
-          min_left_percent: int = 20) -> DataFrame:
+          min_left_percent: int = 20, max_broadcast: int = 500_000) -> DataFrame:
     """A row for each of docs (doc_id, text, host): statistics, base_failed, removed_words, drop_lines (hashes) and kept.
 
     base_failed: fewer than min_words words, or over max_repeat_percent of the words in repeated 5-word windows. A line
@@ -89,16 +90,21 @@ def judge(docs: DataFrame, host: str = "source", min_words: int = 10, max_repeat
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("text_hash"), "text")
     stats = materialize(source.mapInArrow(_features, SCHEMA), "quality")
-    texts = stats.groupBy("host", "text_hash").agg(F.min("doc_id").alias("first"), F.first("lines").alias("lines"))
+    texts = stats.groupBy("host", "text_hash").agg(F.min("doc_id").alias("first"), F.first("lines").alias("lines"), F.count("*").alias("copies"))
     # copies share their lines: a line's documents are counted over distinct texts
-    by_line = texts.select("host", "first", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
+    by_line = texts.select("host", "first", "copies", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.sum("copies").alias("_n"))
+    key = lambda h: F.concat(F.when(h.isNull(), "").otherwise("="), F.coalesce(h, F.lit(""))).alias("_key")
     hosts = texts.groupBy("host").agg(F.count("*").alias("of"))
     many = by_line.where(F.col("docs") > min_line_docs).alias("l").join(hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
-    many = many.where(F.col("docs") * 100 > F.col("of") * line_docs_percent).select(F.col("l.host").alias("_host"), F.col("line").alias("_line"), F.col("first").alias("_first"))
-    once = stats.dropDuplicates(["doc_id", "host", "text_hash"]).select("doc_id", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("z"))
-    hit = once.join(many, F.col("host").eqNullSafe(F.col("_host")) & (F.col("z.lines") == F.col("_line")) & ~F.col("doc_id").eqNullSafe(F.col("_first")))
+    many = many.where(F.col("docs") * 100 > F.col("of") * line_docs_percent).select(key(F.col("l.host")), F.col("line").alias("_line"), F.col("first").alias("_first"), "_n")
+    many = materialize(many, "lines")
+    once = stats.dropDuplicates(["doc_id", "host", "text_hash"]).select("doc_id", "host", "text_hash", key(F.col("host")), F.explode(F.arrays_zip("lines", "line_words")).alias("z"))
+    once = once.select("doc_id", "host", "text_hash", "_key", F.col("z.lines").alias("_line"), F.col("z.line_words").alias("_words"))
+    by = ["_key", "_line"]
+    hit = once.join(F.broadcast(many.drop("_n")), by) if many.count() <= max_broadcast else meet(once, many, by, "_n", ["doc_id", "text_hash"])
+    hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("_first")))
     gone = hit.groupBy(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("text_hash").alias("_t")).agg(
-        F.sum("z.line_words").alias("_removed"), F.collect_list("z.lines").alias("_drop"))  # no longer than the document
+        F.sum("_words").alias("_removed"), F.collect_list("_line").alias("_drop"))  # no longer than the document
     out = stats.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("host").eqNullSafe(F.col("_h")) & (F.col("text_hash") == F.col("_t")), "left")
     removed = F.coalesce("_removed", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -113,9 +119,9 @@ def _clean(columns: list[str]):
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("_drop").to_pylist(), strict=True):
+            for text, drop in zip(batch.column("text").to_pylist(), batch.column("_leadspark_drop").to_pylist(), strict=True):
                 if drop:
                     gone = {x & (2**64 - 1) for x in drop}
                     text = "\n".join(line for line in text.split("\n") if not (k := line_key(line.encode())) or xxhash.xxh3_64_intdigest(k) not in gone)
@@ -129,8 +135,8 @@ def filter_documents(docs: DataFrame, host: str = "source", **rules) -> DataFram
 
     docs has doc_id, text and the host; other columns stay as they are.
     """
-    verdicts = judge(docs, host, **rules).where("kept").select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("text_hash").alias("_t"), F.col("drop_lines").alias("_drop"))
-    verdicts = verdicts.dropDuplicates(["_d", "_h", "_t"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col(host).cast("string").eqNullSafe(F.col("_h")) & (F.xxhash64("text") == F.col("_t"))
-    out = docs.join(verdicts, same).select(*docs.columns, "_drop").mapInArrow(_clean(docs.columns), docs.schema)
+    verdicts = judge(docs, host, **rules).where("kept").select(F.col("doc_id").alias("_leadspark_d"), F.col("host").alias("_leadspark_h"), F.col("text_hash").alias("_leadspark_t"), F.col("drop_lines").alias("_leadspark_drop"))
+    verdicts = verdicts.dropDuplicates(["_leadspark_d", "_leadspark_h", "_leadspark_t"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_leadspark_d")) & F.col(host).cast("string").eqNullSafe(F.col("_leadspark_h")) & (F.xxhash64("text") == F.col("_leadspark_t"))
+    out = docs.join(verdicts, same).select(*docs.columns, "_leadspark_drop").mapInArrow(_clean(docs.columns), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
