@@ -15,9 +15,9 @@ U64 = np.uint64
 
 def without(docs: DataFrame, ids: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
     """Rows of docs whose doc_id is not in ids (one column, no nulls). ids are broadcast only if there are at most max_broadcast."""
-    ids = materialize(ids.select(F.col(ids.columns[0]).alias("_id")).distinct(), "ids")
+    ids = materialize(ids.select(F.col(ids.columns[0]).alias("_leadspark_id")).distinct(), "ids")
     small = ids.count() <= max_broadcast
-    return docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_leadspark_id"), "left_anti")
 
 
 def word_count(text: Column) -> Column:

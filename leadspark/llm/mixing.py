@@ -6,13 +6,15 @@ a prefix of the sources is capped and all others get level * weight, so two pref
 (one row each) replace the rounds. Documents are then repeated floor(target/size) times, and the fraction that is
 left goes to the documents first in a seeded order, up to the document whose middle crosses the target.
 
-Plan: two aggregations (by source, and by source and one of 4096 order buckets; map-side combined, so a hot source is
-only 4096 rows after them), one small window, and a join of the documents with one row per source. That table is
+Plan: two aggregations (by source, and by source and order bucket, of which there are 4096 or more; map-side combined,
+so a hot source is only as many rows after them), one small window, and a join of the documents with one row per source. That table is
 broadcast only after a count has shown it to be small; then documents with their texts are not shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,17 +56,20 @@ def order_key(doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3.0, seed: int = 0, budget: float | None = None,
-        bucket_digits: int = 3, size: Column | None = None, max_broadcast: int = 100_000) -> DataFrame:
+        bucket_digits: int | None = None, size: Column | None = None, max_broadcast: int = 100_000) -> DataFrame:
     """docs with size, source_size, target, repeats (times the mix takes the document) and taken (words it takes).
 
     docs needs doc_id, text and source. A null text has size 0; null is a source of its own; rows that repeat are each
     a document; a table without rows gives none. Columns of docs with these result names are replaced.
-    The same rows and seed give the same mix, however they are partitioned.
+    The same rows and seed give the same mix, however they are partitioned. The order is cut into 16 ** bucket_digits
+    buckets a source, of which one is sorted; unless given, they grow with the rows, and the mix is the same.
     """
     added = ("size", "source_size", "target", "repeats", "taken")
     keep = [c for c in docs.columns if c not in added]
     size = word_count(F.col("text")) if size is None else size
     sized = materialize(docs.select("doc_id", "source", size.alias("size")), "mix")
+    if bucket_digits is None:
+        bucket_digits = max(3, math.ceil(math.log(max(1, sized.count() / 100_000), 16)))
     rank = order_key(F.col("doc_id"), seed)
     bucket = F.substring(rank, 1, bucket_digits)
     parts = sized.groupBy("source", bucket.alias("_bucket")).agg(F.sum("size").alias("_part"))
@@ -85,10 +90,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3
     last = inside.where(2 * F.col("_before") + F.col("size") <= 2 * F.col("_rest")).groupBy("_source").agg(F.max(place).alias("_last"))
     cut = cut.alias("c").join(last.alias("l"), F.col("c._source").eqNullSafe(F.col("l._source")), "left").select("c._source", "c._bucket", "l._last")
     plan = targets.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").select(
-        F.col("source").alias("_source"), "source_size", "target", "_whole", F.col("_bucket").alias("_cut"), "_last")
+        F.col("source").alias("_leadspark_source"), "source_size", "target", F.col("_whole").alias("_leadspark_whole"), F.col("_bucket").alias("_leadspark_cut"), F.col("_last").alias("_leadspark_last"))
     plan = materialize(plan, "plan")
     plan = F.broadcast(plan) if plan.count() <= max_broadcast else plan  # a row per source
-    out = docs.select(*keep, size.alias("size")).join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
-    extra = F.coalesce((bucket < F.col("_cut")) | ((bucket == F.col("_cut")) & (place <= F.col("_last"))), F.lit(False))
-    repeats = F.col("_whole") + extra.cast("int")
+    out = docs.select(*keep, size.alias("size")).join(plan, F.col("source").eqNullSafe(F.col("_leadspark_source")), "left")
+    extra = F.coalesce((bucket < F.col("_leadspark_cut")) | ((bucket == F.col("_leadspark_cut")) & (place <= F.col("_leadspark_last"))), F.lit(False))
+    repeats = F.col("_leadspark_whole") + extra.cast("int")
     return out.select(*keep, "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"))

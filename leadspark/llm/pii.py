@@ -129,10 +129,10 @@ def find(docs: DataFrame, alpha: float = 0.05, remove: float = 0.95, generalise:
 
 
 def _attached(docs: DataFrame, spans: DataFrame, text_hash: Column) -> DataFrame:
-    """docs with _spans, found again by id and the text's hash; an empty array where there are none."""
-    s = spans.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
-    out = docs.join(s, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (text_hash == F.col("_t")), "left").drop("_d", "_t")
-    return out.withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,remove:boolean>>")))
+    """docs with _leadspark_spans, found again by id and the text's hash; an empty array where there are none."""
+    s = spans.select(F.col("doc_id").alias("_leadspark_d"), F.col("t").alias("_leadspark_t"), F.col("spans").alias("_leadspark_spans"))
+    out = docs.join(s, F.col("doc_id").cast("long").eqNullSafe(F.col("_leadspark_d")) & (text_hash == F.col("_leadspark_t")), "left").drop("_leadspark_d", "_leadspark_t")
+    return out.withColumn("_leadspark_spans", F.coalesce("_leadspark_spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,remove:boolean>>")))
 
 
 def _listed(spans: Column) -> Column:
@@ -148,9 +148,9 @@ def report(docs: DataFrame, **options) -> DataFrame:
     """
     ids = docs.select("doc_id", F.xxhash64("text").alias("t"))
     out = _attached(ids, find(docs, **options), F.col("t"))
-    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
-    base = F.filter("_spans", lambda s: s["kind"] < 4)
-    return out.select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"), count(4).alias("n_term"))
+    count = lambda k: F.size(F.filter("_leadspark_spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("_leadspark_spans", lambda s: s["kind"] < 4)
+    return out.select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("_leadspark_spans")).alias("spans"), count(4).alias("n_term"))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
@@ -165,6 +165,6 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
         new = F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int") + 1, (begin - a["at"]).cast("int")), F.when(s["end"] > a["at"], mark).otherwise(""))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), new.alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int") + 1, F.lit(2**31 - 1))))
-    out = held.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    done = F.aggregate("_leadspark_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int") + 1, F.lit(2**31 - 1))))
+    out = held.withColumn("text", F.when(F.size("_leadspark_spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -33,7 +33,7 @@ from leadspark.llm.common import U64, discard, materialize, meet, mix64, slices
 
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 #: Bits of a place in a buffer of pieces, and the bytes of a piece: fixed, so that every string has the same anchor in texts of any length.
-BITS, PIECE = 22, 1 << 21
+BITS, PIECE = 22, 1 << 20
 _BASE, _INVERSE = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 

@@ -381,11 +381,12 @@ def test_field_finds_secrets_that_no_pattern_names():
     import numpy as np
 
     field = secrets.Field()
-    shapes, labels = [], []
+    shapes, mixes, labels = [], [], []
     for i in range(200):
-        w = [secrets.shape(x.encode()) for x in ("word", "other", "passphrase", "is", "xK9dQ2mZ7pLr4" if i % 2 else "ordinary", "and", "more")]
-        shapes.append(w)
+        w = secrets.features([x.encode() for x in ("word", "other", "passphrase", "is", "xK9dQ2mZ7pLr4" if i % 2 else "ordinary", "and", "more")], {})
+        shapes.append(w[:, 0])
+        mixes.append(w[:, 1])
         labels.append([0, 0, 0, 0, i % 2, 0, 0])
-    field.fit(np.array(shapes), np.zeros(200, int), np.array(labels))
+    field.fit(np.array(shapes), np.array(mixes), np.zeros(200, int), np.array(labels))
     spans = secrets.spans_of(["hello other passphrase is 'xK8dQ5mZ1pLr9', and more", "nothing to see in here"], field)
     assert spans[0] == [(27, 3, 40)] and spans[1] == []
