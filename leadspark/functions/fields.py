@@ -14,8 +14,8 @@ STATUSES = {"contactado": "Contactado", "sin gestion": "Sin gestión", "cotizaci
 CITIES = {"bogota": "Bogotá", "medellin": "Medellín", "bello": "Bello", "monteria": "Montería", "soacha": "Soacha", "soledad": "Soledad",
           "cartagena": "Cartagena", "barranquilla": "Barranquilla", "santa marta": "Santa Marta", "itagui": "Itagüí", "rionegro": "Rionegro", "cali": "Cali"}
 CITY_ALIASES = {"bogota d.c.": "bogota", "bogota dc": "bogota", "cartagena de indias": "cartagena", "sta marta": "santa marta",
-                "rio negro": "rionegro", "b/quilla": "barranquilla", "itagui": "itagui"}
-BRAND_TYPOS = {"bajai": "bajaj", "hnda": "honda", "heroo": "hero", "suzuky": "suzuki", "akt": "akt"}
+                "rio negro": "rionegro", "b/quilla": "barranquilla"}
+BRAND_TYPOS = {"bajai": "bajaj", "hnda": "honda", "heroo": "hero", "suzuky": "suzuki"}
 SENDERS = {"cliente": "cliente", "client": "cliente", "customer": "cliente", "asesor": "asesor", "advisor": "asesor", "agent": "asesor", "agente": "asesor"}
 OPEN = ("Sin gestión", "Contactado", "No contesta", "Cotización enviada", "En proceso")
 TERMINAL = ("Cerrado", "Perdido", "Descartado")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions.fields import normalize_model_text
+from leadspark.scratch import materialize
 
 FUZZY = 0.90
 
@@ -23,35 +24,61 @@ def _prefixes(c):
     return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
 
 
-def _fuzzy(batches, keys):
-    """Best similarity of each text to any key and the SKU it points to; pairs whose upper bounds are below the best so far are skipped."""
+def _grams(c, q: int):
+    """Runs of q characters, numbered by their repetition: two texts share as many of these as runs with repetition."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(c) - (q - 1)), lambda i: F.substring(c, i, F.lit(q)))
+    numbered = lambda g: F.transform(g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    return F.when(F.length(c) >= q, numbered(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _ratios(batches):
     import difflib
 
     import pandas as pd
 
+    m = difflib.SequenceMatcher()
     for part in batches:
-        texts = list(part["key"])
-        best, skus = [0.0] * len(texts), [set() for _ in texts]
-        for key, own in keys.value:
-            m = difflib.SequenceMatcher(None, "", key)  # what it prepares belongs to the key
-            for i, text in enumerate(texts):
-                m.set_seq1(text)
-                if m.real_quick_ratio() < best[i] or m.quick_ratio() < best[i]:
-                    continue
-                score = m.ratio()
-                if score > best[i]:
-                    best[i], skus[i] = score, set(own)
-                elif score == best[i]:
-                    skus[i] |= set(own)
-        yield pd.DataFrame({"key": texts, "score": [round(b, 4) for b in best], "fuzzy_sku": [next(iter(s)) if b >= FUZZY and len(s) == 1 else None for b, s in zip(best, skus, strict=True)]})
-
-
-def match_models(leads: DataFrame, catalog: DataFrame, text: str = "model_text_raw", fuzzy: bool = True, max_keys: int = 20_000) -> DataFrame:
+        score = []
+        for a, b in zip(part["key"], part["other"], strict=True):
+            m.set_seqs(a, b)
+            score.append(m.ratio())
+        yield pd.DataFrame({"key": part["key"], "skus": part["skus"], "score": score})
+
+
+def similar_keys(texts: DataFrame, keys: DataFrame, q: int = 2) -> DataFrame:
+    """(key, score, fuzzy_sku): texts (key) with the ratio, 0.9 or more, of the most similar keys (key, skus); fuzzy_sku: their SKU if it is only one.
+
+    With a ratio of 2 m / (a + b) >= 0.9 a text of a characters keeps at least 9/11 of them, so at most d = 2 a / 11 are
+    lost and with them q * d of its runs of q characters: two such texts share one of the first q * d + 1 runs in any one
+    order. The order is by rarity, an equi-join on these runs gives the candidates, lengths and the number of shared runs
+    cut them, and the ratio is taken of what is left. No pair of 0.9 is missed, at any size of the catalogue.
+    """
+    t = texts.select("key", _grams(F.col("key"), q).alias("g"))
+    k = materialize(keys.select(F.col("key").alias("other"), "skus", _grams(F.col("key"), q).alias("h")), "grams")
+    often = k.select(F.explode("h").alias("r")).groupBy("r").agg(F.count("*").alias("n"))  # bounded by the alphabet and the longest key
+
+    def rare(df, name, grams):
+        held = df.select(name, F.explode(grams).alias("r")).join(F.broadcast(often), "r", "left")
+        ranked = held.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "r"))).alias("o"))
+        first = F.slice("o", F.lit(1), (q * F.floor(F.length(name) * 2 / 11) + 1).cast("int"))
+        return ranked.select(name, F.explode(first).alias("_r")).select(name, F.col("_r.r").alias("r"))
+
+    pairs = rare(t, "key", "g").join(rare(k, "other", "h"), "r")
+    a, b = F.length("key"), F.length("other")
+    pairs = pairs.where((9 * a <= 11 * b) & (9 * b <= 11 * a)).select("key", "other").distinct()
+    lost = a - F.ceil((a + b) * 9 / 20 - 1e-9)
+    pairs = pairs.join(t, "key").join(k, "other").where(F.size(F.array_intersect("g", "h")) >= F.size("g") - q * lost)
+    scored = pairs.select("key", "other", "skus").mapInPandas(_ratios, "key string, skus array<string>, score double").where(F.col("score") >= FUZZY)
+    best = scored.groupBy("key", "score").agg(F.array_distinct(F.flatten(F.collect_list("skus"))).alias("skus")).groupBy("key").agg(F.max_by("skus", "score").alias("skus"), F.max("score").alias("score"))
+    return best.select("key", F.round("score", 4).alias("score"), F.when(F.size("skus") == 1, F.get("skus", F.lit(0))).alias("fuzzy_sku"))
+
+
+def match_models(leads: DataFrame, catalog: DataFrame, text: str = "model_text_raw", fuzzy: bool = True) -> DataFrame:
     """leads with sku, match_state, match_type, match_score, candidates (joined by |).
 
     The cascade runs on distinct normalised texts, cheap steps first: the key itself, a brand alone, a prefix either way
-    (equi-joins on prefixes), then similarity of at least 0.9 to one SKU's keys. The last step holds the catalogue's
-    keys in each task, so it is taken only up to max_keys of them; beyond, texts stay unmatched without a score.
+    (equi-joins on prefixes), then similarity of at least 0.9 to one SKU's keys (similar_keys). match_score is the ratio
+    of the most similar keys and null where none has 0.9.
     """
     raw = leads.withColumn("_key", normalize_model_text(F.col(text)))
     texts = raw.select(F.col("_key").alias("key")).where("key <> ''").distinct()
@@ -66,12 +93,9 @@ def match_models(leads: DataFrame, catalog: DataFrame, text: str = "model_text_r
     found = F.coalesce("skus", "brand_skus", "prefix_skus")
     score, fuzzy_sku = F.lit(None).cast("double"), F.lit(None).cast("string")
     if fuzzy:
-        held = [(r.key, list(r.skus)) for r in keys.limit(max_keys + 1).collect()]
-        if len(held) <= max_keys:
-            sent = leads.sparkSession.sparkContext.broadcast(sorted(held))
-            left = step.where(found.isNull()).select("key").repartition(leads.sparkSession.sparkContext.defaultParallelism)  # few texts, much work each
-            step = step.join(left.mapInPandas(lambda b: _fuzzy(b, sent), "key string, score double, fuzzy_sku string"), "key", "left")
-            score, fuzzy_sku = F.col("score"), F.col("fuzzy_sku")
+        step = materialize(step, "cascade")
+        step = step.join(similar_keys(step.where(found.isNull()).select("key"), keys), "key", "left")
+        score, fuzzy_sku = F.col("score"), F.col("fuzzy_sku")
     kind = (F.when(F.size("skus") == 1, "directo_unico").when(F.size("skus") > 1, "directo_ambiguo").when(F.col("brand_skus").isNotNull(), "solo_marca")
             .when(F.size("prefix_skus") == 1, "prefijo_unico").when(F.size("prefix_skus") > 1, "prefijo_ambiguo").when(fuzzy_sku.isNotNull(), "fuzzy").otherwise("sin_match"))
     step = step.withColumn("match_type", kind).withColumn("match_score", score)

@@ -86,29 +86,36 @@ MATCH = f"""
  brands AS (SELECT {model("brand")} AS key, list_sort(list(DISTINCT sku)) AS skus FROM catalog GROUP BY 1)"""
 
 
-def matched(texts: str) -> str:
-    """m AS (key, match_type, skus) for a relation `texts` with distinct keys."""
+def matched(texts: str, fuzzy: bool = True) -> str:
+    """m AS (key, match_type, skus, score) for a relation `texts` with distinct keys.
+
+    The similarity step: in these tables a text is similar to no key, or it is a key without one character, which no
+    key can exceed: 2 n / (2 n + 1) for n characters.
+    """
     return f"""
  exact AS (SELECT t.key, k.skus AS e, b.skus AS b FROM {texts} t LEFT JOIN keys k USING (key) LEFT JOIN brands b USING (key)),
  pre AS (SELECT x.key, list_sort(list_distinct(flatten(list(k.skus)))) AS p FROM exact x JOIN keys k ON starts_with(k.key, x.key) OR starts_with(x.key, k.key) WHERE x.e IS NULL AND x.b IS NULL GROUP BY x.key),
- m AS (SELECT key, CASE WHEN len(e) = 1 THEN 'directo_unico' WHEN len(e) > 1 THEN 'directo_ambiguo' WHEN b IS NOT NULL THEN 'solo_marca' WHEN len(p) = 1 THEN 'prefijo_unico' WHEN len(p) > 1 THEN 'prefijo_ambiguo' ELSE 'sin_match' END AS match_type,
-   coalesce(e, b, p) AS skus FROM exact LEFT JOIN pre USING (key))"""
+ near AS (SELECT x.key, list_sort(list_distinct(flatten(list(c.skus)))) AS f FROM exact x LEFT JOIN pre USING (key) JOIN (SELECT skus, unnest(list_transform(range(1, length(key) + 1), lambda i: substr(key, 1, i - 1) || substr(key, i + 1))) AS cut FROM keys) c ON c.cut = x.key
+   WHERE x.e IS NULL AND x.b IS NULL AND p IS NULL AND {str(fuzzy).lower()} GROUP BY x.key),
+ m AS (SELECT key, CASE WHEN len(e) = 1 THEN 'directo_unico' WHEN len(e) > 1 THEN 'directo_ambiguo' WHEN b IS NOT NULL THEN 'solo_marca' WHEN len(p) = 1 THEN 'prefijo_unico' WHEN len(p) > 1 THEN 'prefijo_ambiguo' WHEN len(f) = 1 THEN 'fuzzy' ELSE 'sin_match' END AS match_type,
+   coalesce(e, b, p, f) AS skus, CASE WHEN f IS NOT NULL THEN floor(20000.0::DOUBLE * length(key) / (2 * length(key) + 1) + 0.5) / 10000 END AS score FROM exact LEFT JOIN pre USING (key) LEFT JOIN near USING (key))"""
 
 
 FIRST = """
  first_rows AS (SELECT *, count(*) OVER (PARTITION BY lead_id) AS n_rows FROM raw_leads QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY row_number) = 1)"""
 
-LEADS = f"""
+def leads(fuzzy: bool = True) -> str:
+    return f"""
  n0 AS (SELECT r.lead_id, r.row_number, r.empresa_id AS company_id, r.punto_venta_id AS point_of_sale_id, {channel('canal')} AS channel, {status('estado_gestion')} AS status, {display('nombre_cliente')} AS customer_name,
    CASE WHEN length({phone('telefono')}) = 10 THEN {phone('telefono')} END AS phone_normalized,
    CASE WHEN regexp_matches(trim(email), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN lower(trim(email)) END AS email_normalized, nullif(trim(ciudad), '') AS city_raw, {city('ciudad')} AS city_normalized, nullif(trim(modelo_interes_texto), '') AS model_text_raw,
    {model('modelo_interes_texto')} AS key, {date_format('fecha_registro')} AS reg_format, {date_ambiguous('fecha_registro')} AS reg_ambiguous, {date_format('fecha_primer_contacto')} AS cont_format, {date_ambiguous('fecha_primer_contacto')} AS cont_ambiguous,
    {trusted('fecha_registro')} AS registration_at, {trusted('fecha_primer_contacto')} AS first_contact_at, nullif(trim(campania), '') AS campaign, fecha_primer_contacto, n_rows
    FROM first_rows r JOIN org o ON o.point_of_sale_id = r.punto_venta_id AND o.company_id = r.empresa_id),
- texts AS (SELECT DISTINCT key FROM n0 WHERE key <> ''),{matched('texts')},
- n1 AS (SELECT n0.*, CASE WHEN match_type IN ('directo_unico', 'prefijo_unico') THEN skus[1] END AS sku, coalesce(match_type, CASE WHEN model_text_raw IS NULL THEN 'vacio' ELSE 'sin_match' END) AS match_type,
+ texts AS (SELECT DISTINCT key FROM n0 WHERE key <> ''),{matched('texts', fuzzy)},
+ n1 AS (SELECT n0.*, CASE WHEN match_type IN ('directo_unico', 'prefijo_unico', 'fuzzy') THEN skus[1] END AS sku, score AS match_score, coalesce(match_type, CASE WHEN model_text_raw IS NULL THEN 'vacio' ELSE 'sin_match' END) AS match_type,
    CASE WHEN match_type IN ('directo_ambiguo', 'solo_marca', 'prefijo_ambiguo') THEN array_to_string(skus, '|') ELSE '' END AS candidates FROM n0 LEFT JOIN m USING (key)),
- leads AS (SELECT *, CASE WHEN match_type = 'vacio' THEN 'empty' WHEN match_type = 'sin_match' THEN 'unmatched' WHEN match_type IN ('directo_unico', 'prefijo_unico') THEN 'matched' ELSE 'ambiguous' END AS match_state,
+ leads AS (SELECT *, CASE WHEN match_type = 'vacio' THEN 'empty' WHEN match_type = 'sin_match' THEN 'unmatched' WHEN match_type IN ('directo_unico', 'prefijo_unico', 'fuzzy') THEN 'matched' ELSE 'ambiguous' END AS match_state,
    array_to_string(list_filter([CASE WHEN reg_format = '{f.SLASH}' THEN 'ambiguous_registration_date' END, CASE WHEN cont_format = '{f.SLASH}' THEN 'ambiguous_first_contact_date' END, CASE WHEN reg_format = 'desconocido' THEN 'unknown_registration_date' END,
      CASE WHEN cont_format = 'desconocido' THEN 'unknown_first_contact_date' END, CASE WHEN NOT reg_ambiguous AND NOT cont_ambiguous AND first_contact_at < registration_at THEN 'first_contact_before_registration' END,
      CASE WHEN status <> 'Sin gestión' AND trim(coalesce(fecha_primer_contacto, '')) = '' THEN 'managed_without_first_contact' END, CASE WHEN phone_normalized IS NULL THEN 'invalid_phone' END, CASE WHEN city_raw IS NULL THEN 'missing_city' END,
@@ -116,9 +123,9 @@ LEADS = f"""
      CASE WHEN channel IS NULL THEN 'missing_channel' END, CASE WHEN n_rows > 1 THEN 'duplicate_lead_id' END], lambda x: x IS NOT NULL), ',') AS anomalies FROM n1)"""
 
 
-def with_leads(body: str, *more: str) -> str:
+def with_leads(body: str, *more: str, fuzzy: bool = True) -> str:
     """body over leads (normalised), raw_leads, org, catalog and what `more` defines."""
-    return "WITH " + ", ".join([RAW, ORG, CATALOG, FIRST.strip(), MATCH.strip(), LEADS.strip(), *(m.strip() for m in more)]) + "\n" + body
+    return "WITH " + ", ".join([RAW, ORG, CATALOG, FIRST.strip(), MATCH.strip(), leads(fuzzy).strip(), *(m.strip() for m in more)]) + "\n" + body
 
 
 def with_tables(body: str, *parts: str) -> str:

@@ -37,7 +37,7 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def leads(spark, sf_dir, fuzzy=False):
+def leads(spark, sf_dir, fuzzy=True):
     return ingest.normalize_leads(*(bridge.read(spark, sf_dir, n) for n in ("raw_leads", "org", "catalog")), fuzzy=fuzzy)
 
 
@@ -58,9 +58,9 @@ def decisions(spark, sf_dir):
 
 # functions on text and fields
 
-@query(f"SELECT doc_id, strip_accents(text) AS plain FROM documents WHERE lang IN ('es', 'fr')")
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def f01_strip_accents(spark, d):
-    return read(spark, d, "documents").where("lang in ('es', 'fr')").select("doc_id", t.strip_accents(F.col("text")).alias("plain"))
+    return read(spark, d, "documents").select("doc_id", t.strip_accents(F.col("text")).alias("plain"))
 
 
 @query(f"SELECT doc_id, {o.key('text')} AS key FROM documents")
@@ -204,14 +204,15 @@ def j05_catalog_index(spark, d):
     return models.catalog_index(bridge.read(spark, d, "catalog")).select("key", "brand", F.array_join("skus", "|").alias("skus"))
 
 
-@query(o.with_leads("SELECT lead_id, sku, match_state, match_type, candidates FROM leads"))
+@query(o.with_leads("SELECT lead_id, sku, match_state, match_type, candidates FROM leads", fuzzy=False))
 def j06_match_model(spark, d):
-    return leads(spark, d).select("lead_id", "sku", "match_state", "match_type", "candidates")
+    """The cascade without its similarity step."""
+    return leads(spark, d, fuzzy=False).select("lead_id", "sku", "match_state", "match_type", "candidates")
 
 
-@query()
+@query(o.with_leads("SELECT lead_id, sku, match_state, match_type, match_score, candidates FROM leads"))
 def j06_match_model_fuzzy(spark, d):
-    return leads(spark, d, fuzzy=True).select("lead_id", "sku", "match_state", "match_type", "match_score", "candidates")
+    return leads(spark, d).select("lead_id", "sku", "match_state", "match_type", "match_score", "candidates")
 
 
 @query(o.with_tables("SELECT lead_id, row_number, n_rows, punto_venta_id FROM first_rows", o.RAW, o.FIRST))
@@ -594,9 +595,9 @@ def q08_chronology(spark, d):
     return audit.chronology(raw(spark, d))
 
 
-@query(o.with_leads("SELECT match_type, count(*) AS n, count(DISTINCT model_text_raw) AS texts FROM leads GROUP BY 1"))
+@query(o.with_leads("SELECT match_type, count(*) AS n, count(DISTINCT model_text_raw) AS texts FROM leads GROUP BY 1", fuzzy=False))
 def q09_match_histogram(spark, d):
-    return audit.match_histogram(leads(spark, d))
+    return audit.match_histogram(leads(spark, d, fuzzy=False))
 
 
 ISSUE_SQL = {"I01": "nombre_cliente <> trim(nombre_cliente) OR regexp_matches(nombre_cliente, '\\s{2,}')", "I02": f"length({o.phone('telefono')}) IS DISTINCT FROM 10", "I03": "trim(email) <> '' AND NOT regexp_matches(trim(email), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')", "I04": "trim(email) = ''", "I05": "trim(ciudad) = ''",
@@ -723,13 +724,13 @@ def j18_batch_status(spark, d):
     return views.batch_status(c, c, leads(spark, d), e)
 
 
-CLAIM = "cl AS (SELECT l.lead_id, l.sku, concat('SKU-', (cast(replace(l.sku, 'SKU-', '') AS int) + 7) % 200) AS claimed_sku FROM leads l WHERE l.sku IS NOT NULL)"
+CLAIM = "cl AS (SELECT l.lead_id, l.sku, concat('SKU-', cast(replace(l.sku, 'SKU-', '') AS int) + 7) AS claimed_sku FROM leads l WHERE l.sku IS NOT NULL)"
 
 
 @query(o.with_leads("SELECT cl.lead_id, cl.sku, cl.claimed_sku, CASE WHEN a.brand = b.brand THEN 'same_brand' ELSE 'other_brand' END AS kind FROM cl JOIN catalog a ON a.sku = cl.sku JOIN catalog b ON b.sku = cl.claimed_sku WHERE cl.sku <> cl.claimed_sku", CLAIM))
 def j16_model_inconsistency(spark, d):
     n = kept_leads(spark, d)
-    claims = n.where("sku is not null").select("lead_id", F.expr("concat('SKU-', (cast(replace(sku, 'SKU-', '') as int) + 7) % 200)").alias("sku"))
+    claims = n.where("sku is not null").select("lead_id", F.expr("concat('SKU-', cast(replace(sku, 'SKU-', '') as int) + 7)").alias("sku"))
     return views.model_inconsistency(n, claims, bridge.read(spark, d, "catalog"))
 
 
@@ -806,14 +807,14 @@ def _inputs(spark, d):
 def k10_lead_pipeline(spark, d):
     """The whole job from raw leads and chats to assignments."""
     i = _inputs(spark, d)
-    tables, _ = jobs.lead_pipeline(spark, i["raw_leads"], i["org"], i["catalog"], i["advisors"], talks(spark, d).select("conversation_id", "lead_id", "messages"), params=PARAMS, fuzzy=False)
+    tables, _ = jobs.lead_pipeline(spark, i["raw_leads"], i["org"], i["catalog"], i["advisors"], talks(spark, d).select("conversation_id", "lead_id", "messages"), params=PARAMS)
     return tables["assignments"]
 
 
 @query("SELECT unnest(['leads', 'conversations', 'members', 'signals', 'scores', 'assignments']) AS stage, 'ok' AS status")
 def u09_run_log(spark, d):
     i = _inputs(spark, d)
-    _, log = jobs.lead_pipeline(spark, i["raw_leads"], i["org"], i["catalog"], i["advisors"], talks(spark, d).select("conversation_id", "lead_id", "messages"), params=PARAMS, fuzzy=False)
+    _, log = jobs.lead_pipeline(spark, i["raw_leads"], i["org"], i["catalog"], i["advisors"], talks(spark, d).select("conversation_id", "lead_id", "messages"), params=PARAMS)
     return log.select("stage", "status")
 
 

@@ -26,7 +26,7 @@ CUES = ("Tengo 2,5 millones de inicial", "la quiero financiada", "me la cotiza p
 RAW = """
 raw_base AS (
  SELECT o_orderkey AS k, c_custkey * 4 + o_orderkey % 4 AS pid, c_nationkey AS nk, n_regionkey AS rk, {ts} AS ts, o_orderkey, part.p_brand AS brand, concat(part.p_name, ' ', part.p_size) AS line
- FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN part ON part.p_partkey = o_orderkey % 200),
+ FROM (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS pk FROM orders) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN part ON part.p_partkey = pk),
 raw_more AS (SELECT *, concat('3', lpad(concat('', pid), 9, '0')) AS ph, {fc} AS fc,
  CASE WHEN k % 13 = 0 THEN 'Zed Quux' ELSE concat(split_part('{first}', ',', cast(pid % 10 + 1 AS int)), ' ', split_part('{last}', ',', cast(floor(pid / 10) % 10 + 1 AS int))) END AS person FROM raw_base),
 raw_once AS (SELECT k,
@@ -54,7 +54,7 @@ advisors AS (SELECT concat('AS-', lpad(concat('', s_suppkey), 5, '0')) AS adviso
  FROM supplier JOIN org ON s_nationkey = n_nationkey)"""
 
 CATALOG = """
-catalog AS (SELECT concat('SKU-', p_partkey) AS sku, p_brand AS brand, concat(p_name, ' ', p_size) AS line, p_retailprice AS list_price, p_type AS segment, p_size AS engine_cc FROM part WHERE p_partkey < 200)"""
+catalog AS (SELECT concat('SKU-', p_partkey) AS sku, p_brand AS brand, concat(p_name, ' ', p_size) AS line, p_retailprice AS list_price, p_type AS segment, p_size AS engine_cc FROM part)"""
 
 CHATS = """
 chat_turns AS (

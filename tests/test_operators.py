@@ -88,3 +88,53 @@ def test_model_cascade(spark):
     got = models.match_models(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, model_text_raw string"), catalog)
     assert {r.id: (r.match_type, r.sku) for r in got.collect()} == {0: ("directo_unico", "S1"), 1: ("directo_unico", "S2"), 2: ("solo_marca", None), 3: ("prefijo_ambiguo", None), 4: ("directo_unico", "S2"), 5: ("fuzzy", "S3"),
                                                                    6: ("sin_match", None), 7: ("vacio", None), 8: ("vacio", None), 9: ("sin_match", None), 10: ("prefijo_unico", "S1")}
+
+
+def test_similar_keys_equal_comparing_every_pair(spark):
+    import difflib
+    import random
+
+    from leadspark.operators import models
+
+    r = random.Random(5)
+    keys = sorted({"".join(r.choice("ab 12") for _ in range(r.randint(1, 24))).strip() or "x" for _ in range(400)})
+    texts = set()
+    for k in keys:
+        x = list(k)
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(x) + 1)
+            x[i : i + r.randint(0, 1)] = r.choice(["", "a", "1", "b2"])
+        texts.add("".join(x))
+    own = {k: [f"S{i}", f"S{i + 1}"] if i % 7 == 0 else [f"S{i}"] for i, k in enumerate(keys)}
+    want = {}
+    for t in texts:
+        best = max(difflib.SequenceMatcher(None, t, k).ratio() for k in keys)
+        skus = {s for k in keys if difflib.SequenceMatcher(None, t, k).ratio() == best for s in own[k]}
+        if t and best >= 0.9:
+            want[t] = (round(best, 4), next(iter(skus)) if len(skus) == 1 else None)
+    got = models.similar_keys(spark.createDataFrame([(t,) for t in texts if t], "key string"), spark.createDataFrame(list(own.items()), "key string, skus array<string>"))
+    assert {x.key: (x.score, x.fuzzy_sku) for x in got.collect()} == want and len(want) > 200
+
+
+def test_components_with_hubs_and_long_chains(spark):
+    import random
+
+    from leadspark.scratch import components
+
+    r = random.Random(1)
+    ids = list(range(6000))
+    r.shuffle(ids)
+    edges = [(ids[0], ids[i]) for i in range(1, 2500)] + [(ids[i], ids[i + 1]) for i in range(3000, 3300)] + [(ids[i], ids[i]) for i in range(10)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), few=100).collect()}
+    assert got == {**dict.fromkeys(ids[:2500], min(ids[:2500])), **dict.fromkeys(ids[3000:3301], min(ids[3000:3301]))}
+
+
+def test_meet_deals_hot_keys_and_keeps_every_row(spark):
+    from pyspark.sql import functions as F
+
+    from leadspark.scratch import meet
+
+    many = spark.range(9000).select(F.when(F.col("id") < 5000, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    one = many.groupBy("k").agg(F.count("*").alias("_n")).withColumn("w", F.col("k") * 2)
+    got = meet(many, one, ["k"], "_n", ["v"])
+    assert got.columns == ["k", "v", "w"] and got.where("w = 2 * k").agg(F.count("*"), F.sum("v")).first()[:] == (9000, sum(range(9000)))
