@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions.similarity import jaro_winkler
 from leadspark.functions.text import normalize_key
-from leadspark.scratch import components, materialize
+from leadspark.scratch import components, materialize, meet
 
 STRONG, POSSIBLE, WEAK = "PHONE_EMAIL_EXACT", "PHONE_NAME_SIMILAR", "NAME_CITY_MATCH"
 THRESHOLD = 0.90
@@ -28,8 +28,9 @@ def keyed(leads: DataFrame) -> DataFrame:
 def phone_pairs(leads: DataFrame, max_block: int | None = None) -> DataFrame:
     """(a, b, rule, name_similarity) of leads of a company with one phone, a < b; rule null: discarded.
 
-    A hash self-join on (company, phone). A phone of n leads gives n(n-1)/2 pairs; max_block leaves larger blocks out
-    (off by default; oversized_blocks() reports them). Similarity is computed on distinct pairs of different names.
+    A hash self-join on (company, phone). A phone of n leads gives n(n-1)/2 pairs: this is the list of all pairs, which
+    clusters, rules and reports don't need. max_block leaves larger blocks out (off by default; oversized_blocks()
+    reports them). Similarity is that of the two names in alphabetical order, computed once for each pair of names.
     """
     k = keyed(leads).where("phone_normalized is not null")
     if max_block is not None:
@@ -37,10 +38,25 @@ def phone_pairs(leads: DataFrame, max_block: int | None = None) -> DataFrame:
     a, b = k.alias("a"), k.alias("b")
     pairs = a.join(b, (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.phone_normalized") == F.col("b.phone_normalized")) & (F.col("a.lead_id") < F.col("b.lead_id")))
     pairs = pairs.select(F.col("a.lead_id").alias("a"), F.col("b.lead_id").alias("b"), F.coalesce(F.col("a.email_normalized") == F.col("b.email_normalized"), F.lit(False)).alias("_mail"), F.col("a.name").alias("_x"), F.col("b.name").alias("_y"))
-    pairs = pairs.withColumn("name_similarity", F.when(F.col("_x") == F.col("_y"), 1.0).otherwise(jaro_winkler("_x", "_y")))
+    pairs = pairs.withColumns({"_least": F.least("_x", "_y"), "_most": F.greatest("_x", "_y")})
+    names = k.select("company_id", "phone_normalized", "name").distinct()
+    some = _name_pairs(names).select(F.col("x").alias("_least"), F.col("y").alias("_most")).distinct().withColumn("_s", jaro_winkler("_least", "_most"))
+    pairs = pairs.join(some, ["_least", "_most"], "left").withColumn("name_similarity", F.when(F.col("_x") == F.col("_y"), 1.0).otherwise(F.col("_s")))
     return pairs.select("a", "b", F.when(F.col("_mail"), STRONG).when(F.col("name_similarity") >= THRESHOLD, POSSIBLE).alias("rule"), F.round("name_similarity", 4).alias("name_similarity"))
 
 
+PHONE = ["company_id", "phone_normalized"]
+PLACE = ["company_id", "name", "city_normalized"]
+
+
+def _name_pairs(names: DataFrame) -> DataFrame:
+    """(company_id, phone_normalized, x, y, and what names has as _a and _b) for the different names of one phone."""
+    more = [c for c in names.columns if c not in (*PHONE, "name")]
+    a = names.select(*PHONE, F.col("name").alias("x"), *(F.col(c).alias(f"{c}_a") for c in more))
+    b = names.select(*PHONE, F.col("name").alias("y"), *(F.col(c).alias(f"{c}_b") for c in more))
+    return a.join(b, PHONE).where("x < y")
+
+
 def oversized_blocks(leads: DataFrame, max_block: int) -> DataFrame:
     return leads.where("phone_normalized is not null").groupBy("company_id", "phone_normalized").count().where(F.col("count") > max_block).drop("count")
 
@@ -57,48 +73,101 @@ def name_city_pairs(leads: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.lead_id").alias("a"), F.col("b.lead_id").alias("b")).join(edges.select("a", "b"), ["a", "b"], "left_anti").withColumn("rule", F.lit(WEAK))
 
 
-def best_rules(leads: DataFrame, edges: DataFrame) -> DataFrame:
-    """(lead_id, rule, strength, related_lead_id): the strongest edge of each lead; of equal ones the smallest related lead.
+def _groups(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, _n, _1, _2): number of leads, the smallest and the second one, of groups of two or more."""
+    first = materialize(rows.groupBy(*group).agg(F.count("*").alias("_n"), F.min("lead_id").alias("_1")).where("_n > 1"), "first")
+    rest = meet(rows.select("lead_id", *group), first, group, "_n", ["lead_id"]).where("lead_id <> _1").groupBy(*group).agg(F.min("lead_id").alias("_2"))
+    return materialize(first.join(rest, group), "groups")
 
-    A lead with phone edges is served by them. Any other lead of a (name, city) group has weak edges to all the others:
-    the smallest other one is the group's first or second lead.
-    """
-    both = edges.select(F.col("a").alias("lead_id"), F.col("b").alias("other"), "rule").unionByName(edges.select(F.col("b").alias("lead_id"), F.col("a").alias("other"), "rule"))
-    by_phone = both.groupBy("lead_id").agg(F.min(F.struct(_order(F.col("rule")).alias("o"), "other", "rule")).alias("m")).select("lead_id", "m.rule", F.col("m.other").alias("related_lead_id"))
-    k = _name_city(leads)
-    group = ["company_id", "name", "city_normalized"]
-    first = k.groupBy(*group).agg(F.min("lead_id").alias("_1"), F.count("*").alias("_n")).where("_n > 1")
-    second = k.join(first, group).where("lead_id <> _1").groupBy(*group).agg(F.min("lead_id").alias("_2"))
-    weak = k.join(first, group).join(second, group).join(by_phone.select("lead_id"), "lead_id", "left_anti").select("lead_id", F.lit(WEAK).alias("rule"), F.when(F.col("lead_id") == F.col("_1"), F.col("_2")).otherwise(F.col("_1")).alias("related_lead_id"))
-    out = by_phone.unionByName(weak)
-    return out.select("lead_id", "rule", _strength(F.col("rule")).alias("strength"), "related_lead_id")
 
+class Evidence:
+    """What links the leads of a company, as tables of groups and no list of pairs.
 
-def resolve_identities(leads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    mails, names, places: groups of leads with one phone and e-mail, one phone and name, one name and city. similar: pairs
+    of different names of one phone that are alike, with their leads' numbers and smallest ids. each: leads by phone, name, e-mail.
+    """
+
+    def __init__(self, leads: DataFrame):
+        self.leads = materialize(keyed(leads), "identity")
+        self.phones = self.leads.where("phone_normalized is not null")
+        self.mailed = self.phones.where("email_normalized is not null")
+        self.placed = self.leads.where("name <> '' and city_normalized is not null")
+        self.mails, self.names, self.places = _groups(self.mailed, [*PHONE, "email_normalized"]), _groups(self.phones, [*PHONE, "name"]), _groups(self.placed, PLACE)
+        self.each = materialize(self.phones.groupBy(*PHONE, "name", "email_normalized").agg(F.count("*").alias("n"), F.min("lead_id").alias("m")), "each")
+        names = self.each.groupBy(*PHONE, "name").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
+        self.similar = materialize(_name_pairs(names).where(jaro_winkler("x", "y") >= THRESHOLD), "similar")
+
+    def inside(self) -> DataFrame:
+        """(m, pairs): pairs of leads of one phone and name without a common e-mail, by the smallest lead."""
+        couples = lambda n: n * (n - 1) / 2
+        mail = F.sum(F.when(F.col("email_normalized").isNotNull(), couples(F.col("n"))).otherwise(0))
+        return self.each.groupBy(*PHONE, "name").agg(F.min("m").alias("m"), (couples(F.sum("n")) - mail).cast("long").alias("pairs")).where("pairs > 0").select("m", "pairs")
+
+    def between(self) -> DataFrame:
+        """(m, pairs): the same of two similar names, by the smallest lead of the first."""
+        e = self.each.where("email_normalized is not null")
+        mine, theirs = e.select(*PHONE, F.col("name").alias("x"), "email_normalized", F.col("n").alias("_a")), e.select(*PHONE, F.col("name").alias("y"), "email_normalized", F.col("n").alias("_b"))
+        same = self.similar.select(*PHONE, "x", "y").join(mine, [*PHONE, "x"]).join(theirs, [*PHONE, "y", "email_normalized"]).groupBy(*PHONE, "x", "y").agg(F.sum(F.col("_a") * F.col("_b")).alias("_same"))
+        out = self.similar.join(same, [*PHONE, "x", "y"], "left").select(F.col("m_a").alias("m"), (F.col("n_a") * F.col("n_b") - F.coalesce("_same", F.lit(0))).alias("pairs"))
+        return out.where("pairs > 0")
+
+    def weak(self) -> DataFrame:
+        """(m): the smallest lead of each (name, city) group that has a pair without a common phone."""
+        within = self.placed.where("phone_normalized is not null").groupBy(*PLACE, "phone_normalized").agg(F.count("*").alias("c")).groupBy(*PLACE).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("_within"))
+        return self.places.join(within, PLACE, "left").where("_n * (_n - 1) / 2 > coalesce(_within, 0)").select(F.col("_1").alias("m"))
+
+    def edges(self) -> DataFrame:
+        """(a, b): stars that connect what the rules connect."""
+        parts = [meet(rows, g, group, "_n", ["lead_id"]).where("lead_id <> _1").select(F.col("_1").alias("a"), F.col("lead_id").alias("b"))
+                 for rows, g, group in ((self.mailed, self.mails, [*PHONE, "email_normalized"]), (self.phones, self.names, [*PHONE, "name"]), (self.placed, self.places, PLACE))]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(self.similar.select(F.col("m_a").alias("a"), F.col("m_b").alias("b")))
+
+    def best(self) -> DataFrame:
+        """(lead_id, rule, strength, related_lead_id): the strongest edge of each lead; of equal ones the smallest related lead."""
+        def other(rows, g, group):
+            return meet(rows, g, group, "_n", ["lead_id"]).select("lead_id", F.when(F.col("lead_id") == F.col("_1"), F.col("_2")).otherwise(F.col("_1")).alias("related_lead_id"))
+
+        strong = materialize(other(self.mailed, self.mails, [*PHONE, "email_normalized"]), "strong")
+        # without a strong edge, no other lead of the phone has the lead's e-mail
+        pairs = self.similar.select(*PHONE, F.col("x").alias("name"), "n_a", "m_b").unionByName(self.similar.select(*PHONE, F.col("y").alias("name"), F.col("n_b").alias("n_a"), F.col("m_a").alias("m_b")))
+        near = materialize(pairs.groupBy(*PHONE, "name").agg(F.max("n_a").alias("_n"), F.min("m_b").alias("related_lead_id")), "near")
+        alike = meet(self.phones, near, [*PHONE, "name"], "_n", ["lead_id"]).select("lead_id", "related_lead_id").unionByName(other(self.phones, self.names, [*PHONE, "name"]))
+        possible = materialize(alike.groupBy("lead_id").agg(F.min("related_lead_id").alias("related_lead_id")).join(strong, "lead_id", "left_anti"), "possible")
+        weak = other(self.placed, self.places, PLACE).join(strong, "lead_id", "left_anti").join(possible, "lead_id", "left_anti")
+        named = lambda df, rule: df.select("lead_id", F.lit(rule).alias("rule"), "related_lead_id")
+        out = named(strong, STRONG).unionByName(named(possible, POSSIBLE)).unionByName(named(weak, WEAK))
+        return out.select("lead_id", "rule", _strength(F.col("rule")).alias("strength"), "related_lead_id")
+
+
+def best_rules(leads: DataFrame) -> DataFrame:
+    """(lead_id, rule, strength, related_lead_id): the strongest edge of each lead that has one; of equal ones the smallest related lead."""
+    return Evidence(leads).best()
+
+
+def resolve_identities(leads: DataFrame, evidence: Evidence | None = None) -> tuple[DataFrame, DataFrame]:
     """(clusters, members). clusters: canonical_lead_id, company_id, size, strength, status, matched_rules. members: canonical_lead_id, lead_id, role, rule, strength, related_lead_id, status.
 
-    Connectivity uses a star per (name, city) group instead of its clique. Whether a weak edge is left in a group follows
-    from counts: it is when the group has more pairs than phone edges inside.
+    Connectivity uses a star for each group of leads and an edge for each pair of similar names. Which rules hold in a
+    cluster follows from counts of the groups: no list of pairs is made.
     """
-    leads = materialize(leads.select("lead_id", "company_id", "customer_name", "phone_normalized", "email_normalized", "city_normalized"), "identity")
-    edges = materialize(phone_pairs(leads).where("rule is not null"), "edges")
-    k = _name_city(leads)
-    group = ["company_id", "name", "city_normalized"]
-    heads = k.groupBy(*group).agg(F.min("lead_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    in_group = k.join(heads, group).select("lead_id", "head", "n")
-    inside = edges.join(in_group.select(F.col("lead_id").alias("a"), F.col("head").alias("_ha")), "a").join(in_group.select(F.col("lead_id").alias("b"), F.col("head").alias("_hb")), "b").where("_ha = _hb").groupBy(F.col("_ha").alias("head")).agg(F.count("*").alias("_edges"))
-    weak = heads.join(inside, "head", "left").where(F.col("n") * (F.col("n") - 1) / 2 > F.coalesce("_edges", F.lit(0))).select("head")
-    star = in_group.where("lead_id <> head").select(F.col("head").alias("a"), F.col("lead_id").alias("b"))
-    comp = materialize(components(edges.select("a", "b").unionByName(star)), "members")
-    rules = edges.join(comp, F.col("a") == F.col("node")).select("component", "rule").unionByName(weak.join(comp, F.col("head") == F.col("node")).select("component", F.lit(WEAK).alias("rule")))
+    e = Evidence(leads) if evidence is None else evidence
+    comp = components(e.edges())
+    found = lambda df, rule: df.select("m", F.lit(rule).alias("rule"))
+    rules = found(e.mails.select(F.col("_1").alias("m")), STRONG).unionByName(found(e.inside(), POSSIBLE)).unionByName(found(e.between(), POSSIBLE)).unionByName(found(e.weak(), WEAK)).distinct()
+    rules = rules.join(comp, F.col("m") == F.col("node")).select("component", "rule")
     by_rule = rules.groupBy("component").agg(F.array_sort(F.collect_set("rule")).alias("_rules"), F.min(_order(F.col("rule"))).alias("_o"), F.max(_order(F.col("rule"))).alias("_last"))
     sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
-    clusters = sizes.join(by_rule, "component").join(leads.select(F.col("lead_id").alias("component"), "company_id"), "component").select(
+    clusters = sizes.join(by_rule, "component").join(e.leads.select(F.col("lead_id").alias("component"), "company_id"), "component").select(
         F.col("component").alias("canonical_lead_id"), "company_id", "size", F.element_at(F.array(F.lit("strong"), F.lit("possible"), F.lit("weak")), F.col("_o") + 1).alias("strength"),
         F.when(F.col("_last") == 0, "auto").otherwise("possible_pending").alias("status"), F.array_join("_rules", ",").alias("matched_rules"))
-    members = comp.join(best_rules(leads, edges), F.col("node") == F.col("lead_id")).join(clusters.select(F.col("canonical_lead_id").alias("component"), "status"), "component").select(
-        F.col("component").alias("canonical_lead_id"), "lead_id", F.when(F.col("lead_id") == F.col("component"), "canonical").otherwise("member").alias("role"), "rule", "strength", "related_lead_id", "status")
-    return clusters, members
+    clusters = materialize(clusters, "clusters")
+
+    def members() -> DataFrame:
+        held = meet(comp, clusters.select(F.col("canonical_lead_id").alias("component"), "status", "size"), ["component"], "size", ["node"])
+        return held.join(e.best(), F.col("node") == F.col("lead_id")).select(
+            F.col("component").alias("canonical_lead_id"), "lead_id", F.when(F.col("lead_id") == F.col("component"), "canonical").otherwise("member").alias("role"), "rule", "strength", "related_lead_id", "status")
+
+    return clusters, members()
 
 
 def merge_clusters(stored: DataFrame, members: DataFrame) -> DataFrame:
@@ -118,11 +187,18 @@ def merge_clusters(stored: DataFrame, members: DataFrame) -> DataFrame:
     return both.select("lead_id", F.coalesce("_new", "_kept").alias("cluster_id"), change.alias("change"))
 
 
-def identity_report(leads: DataFrame, pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(metric, value): leads, edges by rule, discarded pairs, clusters and members by size."""
+def identity_report(evidence: Evidence, clusters: DataFrame) -> DataFrame:
+    """(metric, value): leads, edges by rule, discarded pairs, clusters and members by size. Pairs are counted and not listed."""
+    couples = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0)).cast("long")
+    every = evidence.each.groupBy(*PHONE).agg(F.sum("n").alias("n")).agg(couples("n").alias("value"))
+    strong = evidence.mails.agg(couples("_n").alias("value"))
+    possible = evidence.inside().unionByName(evidence.between()).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("value"))
+    each = every.withColumn("k", F.lit("every")).unionByName(strong.withColumn("k", F.lit("strong"))).unionByName(possible.withColumn("k", F.lit("possible")))
+    sums = each.groupBy().pivot("k", ["every", "strong", "possible"]).agg(F.first("value"))
+    rows = F.array(*(F.struct(F.lit(name).alias("metric"), value.alias("value")) for name, value in ((f"edges {STRONG}", F.col("strong")), (f"edges {POSSIBLE}", F.col("possible")), ("pairs discarded", F.col("every") - F.col("strong") - F.col("possible")))))
     parts = [
-        leads.agg(F.lit("leads_evaluated").alias("metric"), F.count("*").alias("value")),
-        pairs.groupBy(F.coalesce(F.concat(F.lit("edges "), "rule"), F.lit("pairs discarded")).alias("metric")).agg(F.count("*").alias("value")),
+        evidence.leads.agg(F.lit("leads_evaluated").alias("metric"), F.count("*").alias("value")),
+        sums.select(F.explode(rows).alias("r")).select("r.metric", "r.value").where("value > 0"),
         clusters.groupBy(F.concat(F.lit("clusters of "), "size").alias("metric")).agg(F.count("*").alias("value")),
         clusters.groupBy(F.concat(F.lit("status "), "status").alias("metric")).agg(F.count("*").alias("value"))]
     out = parts[0]

@@ -357,8 +357,7 @@ def j08_name_city_pairs(spark, d):
 
 @query(o.with_leads(f"SELECT a AS lead_id, arg_min(rule, concat({ORDER}, b)) AS rule, min(concat({ORDER}, b))[2:] AS related_lead_id FROM sides GROUP BY a", PAIRS, WEAK_PAIRS, EDGES))
 def x04_best_rules(spark, d):
-    n = kept_leads(spark, d)
-    return identity.best_rules(n, identity.phone_pairs(n).where("rule is not null")).select("lead_id", "rule", "related_lead_id")
+    return identity.best_rules(leads(spark, d)).select("lead_id", "rule", "related_lead_id")
 
 
 CLUSTERS = f"""
@@ -386,8 +385,8 @@ def k05_members(spark, d):
 @query(o.with_leads(f"""SELECT 'leads_evaluated' AS metric, count(*) AS value FROM leads UNION ALL SELECT coalesce('edges ' || rule, 'pairs discarded'), count(*) FROM pairs GROUP BY 1
  UNION ALL SELECT 'clusters of ' || size, count(*) FROM cl GROUP BY 1 UNION ALL SELECT 'status ' || CASE WHEN hi = 0 THEN 'auto' ELSE 'possible_pending' END, count(*) FROM cr GROUP BY 1""", PAIRS, WEAK_PAIRS, EDGES, CLUSTERS))
 def g01_identity_report(spark, d):
-    n = kept_leads(spark, d)
-    return identity.identity_report(n, identity.phone_pairs(n), identity.resolve_identities(n)[0])
+    e = identity.Evidence(leads(spark, d))
+    return identity.identity_report(e, identity.resolve_identities(e.leads, e)[0])
 
 
 @query()
