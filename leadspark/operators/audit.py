@@ -47,6 +47,18 @@ def profile_columns(rows: DataFrame, columns: list[str] | None = None, top: int
     return out.withColumn("type", kind).join(tops, "column", "left").select("column", "n", "nulls", "distinct", "type", "top")
 
 
+def profile_conversations(talks: DataFrame, messages: str = "messages") -> DataFrame:
+    """One row: conversations, messages, and the names, sorted, of columns and of message fields that hold a value anywhere."""
+    own = [c for c in sorted(talks.columns)]
+    parts = sorted(talks.schema[messages].dataType.elementType.names)
+    filled = [F.max(F.col(c).isNotNull()).alias(f"_c{i}") for i, c in enumerate(own)]
+    held = lambda name: F.exists(messages, lambda m: m[name].isNotNull())
+    inner = [F.max(held(p)).alias(f"_m{i}") for i, p in enumerate(parts)]
+    sums = talks.agg(F.count("*").alias("conversations"), F.coalesce(F.sum(F.size(messages)), F.lit(0)).alias("messages"), *filled, *inner)
+    names = lambda mark, all_: F.array_join(F.array_compact(F.array(*(F.when(F.col(f"{mark}{i}"), F.lit(c)) for i, c in enumerate(all_)))), ",")
+    return sums.select("conversations", "messages", names("_c", own).alias("columns"), names("_m", parts).alias("message_columns"))
+
+
 def missing_values(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, blank, share) of columns with blanks."""
     blank = F.coalesce(trim(F.col("value")), F.lit("")) == ""

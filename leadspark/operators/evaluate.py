@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions import signals as g
 from leadspark.functions.text import normalize_key
+from leadspark.scratch import materialize
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -82,28 +83,86 @@ def pattern_exposure(talks: DataFrame) -> DataFrame:
     return sums.select("_all", F.explode(F.array(*(F.struct(F.lit(n).alias("pattern"), F.col(n).alias("n")) for n in PATTERNS))).alias("r")).select("r.pattern", "r.n", _rate(F.col("r.n"), F.col("_all")).alias("share"))
 
 
-def take_in_order(rows: DataFrame, steps: list[tuple[str, Column, int]], key: str, order: list[Column], target: int | None = None) -> DataFrame:
-    """rows picked by a list of (label, predicate, quota): each step takes the first quota rows, by order, that none before has taken.
-
-    A sampling operator: a bounded number of steps, each a top-k with an anti-join of the few rows picked so far. What
-    is missing to target is filled with every n-th remaining row in key order.
-    """
-    spark = rows.sparkSession
-    picked: list = []
-    out = None
-    for label, predicate, quota in steps:
-        some = rows.where(F.coalesce(predicate, F.lit(False)))
-        if picked:
-            some = some.where(~F.col(key).isin(picked))  # at most the sum of the quotas
-        taken = some.orderBy(*order).limit(quota).withColumn("label", F.lit(label))
-        picked += [r[0] for r in taken.select(key).collect()]
-        out = taken if out is None else out.unionByName(taken)
-    labels = {k: None for k in picked}
-    if target is not None and len(picked) < target:
-        n = rows.count()
-        step = max(1, n // max(1, target - len(picked)))
-        spread = rows.select(key).where((F.pmod(F.xxhash64(key), F.lit(step)) == 0) & ~F.col(key).isin(picked)).orderBy(key).limit(target - len(picked))
-        fill = [r[0] for r in spread.collect()]
-        out = out.unionByName(rows.where(F.col(key).isin(fill)).withColumn("label", F.lit("fill")))
-    del labels, spark
-    return out
+#: What a conversation's customer texts hold to count for a quota of the gold sample, in the order of the quotas.
+QUOTAS = (("initial", ("inicial", "entrada", "enganche"), 18), ("no_initial", ("no tengo inicial", "sin inicial"), 4), ("payment_form", ("financiad", "credito", "contado"), 18),
+          ("objection", ("muy caro", "muy cara", "otra marca", "mas economico", "solo mirando", "no me alcanza", "tasa", "descuento"), 15), ("appointment", ("visit", "pasar", "cita", "agendar", "manana voy", "voy manana"), 15),
+          ("quote", ("cotiz", "mandela", "enviela", "mandemela"), 15), ("multi_model", (), 15), ("high_intent", ("me sirve", "la quiero", "ya voy", "hagale", "la separo"), 10), ("short", (), 10), ("long", (), 10),
+          ("informative", ("informacion", "cuanto vale", "precio"), 10))
+
+
+def quota_steps(text: Column, messages: Column, models: Column | None = None) -> list[tuple[str, Column, int]]:
+    """The quotas of the gold sample as steps of take_in_order; models: how many products the customer named."""
+    own = {"multi_model": F.lit(False) if models is None else models >= 2, "short": messages <= 4, "long": messages >= 8}
+    return [(name, own[name] if name in own else reduce(lambda a, b: a | b, (text.contains(c) for c in cues)), quota) for name, cues, quota in QUOTAS]
+
+
+def _heads(rows: DataFrame, steps: list[tuple[str, Column, int]], key: str, order: list[Column], most: int, *more: Column) -> dict[int, list]:
+    """For each step the first `most` rows, by order, that meet its predicate: what a bounded choice can depend on. One job."""
+    sort = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    parts = [rows.where(F.coalesce(predicate, F.lit(False))).orderBy(*order).limit(most).select(F.lit(i).alias("_step"), F.col(key).alias("_key"), *sort, *more) for i, (_, predicate, _) in enumerate(steps)]
+    found: dict[int, list] = {i: [] for i in range(len(steps))}
+    for r in reduce(DataFrame.unionByName, parts).collect():  # at most steps * most rows
+        found[r["_step"]].append(r)
+    return {i: sorted(v, key=lambda r: tuple(r[f"_o{j}"] for j in range(len(order)))) for i, v in found.items()}
+
+
+def _labelled(rows: DataFrame, key: str, picked: dict) -> DataFrame:
+    table = rows.sparkSession.createDataFrame([(k, label, i) for i, (k, label) in enumerate(picked.items())], f"`{key}` {dict(rows.dtypes)[key]}, label string, place int")
+    return rows.join(F.broadcast(table), key)  # at most the sum of the quotas
+
+
+def take_in_order(rows: DataFrame, steps: list[tuple[str, Column, int]], key: str, order: list[Column], forced: tuple = ()) -> DataFrame:
+    """rows with label and place, picked by a list of (label, predicate, quota): each step takes the first quota rows, by
+    order (ascending, no nulls), that none before has taken; `forced` keys that exist come first. A sampling operator."""
+    steps = [("forced", F.col(key).isin(*forced), len(forced)), *steps] if forced else steps
+    heads = _heads(rows, steps, key, order, sum(q for _, _, q in steps))
+    picked: dict = {}
+    for i, (label, _, quota) in enumerate(steps):
+        new = [r["_key"] for r in heads[i] if r["_key"] not in picked][:quota]
+        picked |= dict.fromkeys(new, label)
+    return _labelled(rows, key, picked)
+
+
+def row_index(rows: DataFrame, key: str) -> DataFrame:
+    """(key, index) from 0 in the order of key: sorted ranges, and the sizes of those before each. No task holds all rows."""
+    numbered = materialize(rows.select(key).orderBy(key).select(key, F.monotonically_increasing_id().alias("_i")), "numbered")
+    part, place = F.shiftright("_i", 33), F.col("_i").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r["p"], r["count"]) for r in numbered.groupBy(part.alias("p")).count().collect())  # one for each range
+    starts = [(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes]
+    table = rows.sparkSession.createDataFrame(starts, "_p long, _start long")
+    return numbered.join(F.broadcast(table), part == F.col("_p")).select(key, (F.col("_start") + place).alias("index"))
+
+
+def stratified_sample(rows: DataFrame, steps: list[tuple[str, Column, int]], key: str, target: int, forced: tuple = ()) -> DataFrame:
+    """take_in_order by key, then every n-th row of the whole table in key order until target is reached; the first target rows by key. label tells why."""
+    picked = take_in_order(rows, steps, key, [F.col(key)], forced).select(*rows.columns, "label")
+    n = picked.count()
+    if n < target:
+        stride = max(1, rows.count() // (target - n))
+        more = row_index(rows, key).where(F.col("index") % stride == 0).select(key).join(picked.select(key), key, "left_anti").orderBy(key).limit(target - n)
+        picked = picked.unionByName(rows.join(F.broadcast(more), key).withColumn("label", F.lit("fill")).select(*picked.columns))
+    return picked.orderBy(key).limit(target)
+
+
+def select_cases(rows: DataFrame, predicates: list[tuple[str, Column]], key: str, order: list[Column], length: Column, limit: int = 10) -> DataFrame:
+    """One row not yet taken for each predicate, in order, then the shortest of the others, up to limit; label tells why."""
+    cases = take_in_order(rows, [(label, p, 1) for label, p in predicates][:limit], key, order)
+    left = rows.join(cases.select(key), key, "left_anti").orderBy(length, key).limit(max(0, limit - cases.count()))
+    return cases.drop("place").unionByName(left.withColumn("label", F.lit("adicional")).select(*rows.columns, "label"))
+
+
+def cover_cases(rows: DataFrame, categories: list[tuple[str, Column]], key: str, first: object = None, limit: int = 10) -> DataFrame:
+    """Rows, with label and place, that cover the categories: `first` if there, then for each category that no taken row has
+    the first row, by key, with it; then the first others up to limit. A sampling operator: what it may take is bounded."""
+    held = F.array_compact(F.array(*(F.when(F.coalesce(p, F.lit(False)), F.lit(name)) for name, p in categories))).alias("_has")
+    steps = [("must", F.col(key) == F.lit(first), 1), *((name, p, 1) for name, p in categories), ("fill", F.lit(True), limit)]
+    heads = _heads(rows, steps, key, [F.col(key)], len(categories) + limit + 1, held)
+    picked: dict = {}
+    covered: set = set()
+    for i, (label, _, quota) in enumerate(steps):
+        if label in covered:
+            continue
+        for r in [r for r in heads[i] if r["_key"] not in picked][: quota if label != "fill" else max(0, limit - len(picked))]:
+            picked[r["_key"]] = label
+            covered.update(r["_has"])
+    return _labelled(rows, key, dict(list(picked.items())[:limit]))

@@ -62,10 +62,10 @@ def weak_labels(talks: DataFrame, catalog: DataFrame | None = None) -> DataFrame
     kinds = F.array_compact(F.array(*(F.when(g.last_cue(text, cues).isNotNull(), F.struct(g.last_cue(text, cues)["place"].alias("place"), F.lit(i).alias("o"), F.lit(kind).alias("kind"))) for i, (kind, cues) in enumerate(OBJECTIONS.items()))))
     objection = F.array_min(kinds)["kind"]
     t = t.withColumns({"intencion_compra": intent, "forma_pago": pay, "cuota_inicial": down, "presupuesto": budget, "objecion": objection, "solicitud_cita": F.when(_has(text, VISIT), True), "solicitud_cotizacion": F.when(_has(text, QUOTE), True)})
-    model_low, model_mid, t = F.lit(False), F.lit(False), t.withColumn("model_interes", F.lit(None).cast("string"))
+    model_low, model_mid = F.lit(False), F.lit(False)
+    t = t.withColumn("model_interes", F.lit(None).cast("string"))
     if catalog is not None:
         t = _with_models(t, catalog)
-        model_low, model_mid = F.col("_models") > 1, F.lit(False)
         model_mid = (F.col("_models") > 1) & F.col("model_interes").isNotNull()
         model_low = (F.col("_models") > 1) & F.col("model_interes").isNull()
     low = model_low | (F.col("objecion") == "disponibilidad")
@@ -192,3 +192,18 @@ def revalidate(stored: DataFrame, talks: DataFrame) -> DataFrame:
     rows = stored.select(*rest, payload.alias("payload")).join(talks.select("conversation_id", "messages"), "conversation_id")
     out = validate_extractions(rows)
     return out.withColumn("changed", F.col("invalidated") != "").drop("payload", "messages")
+
+
+def batch_report(outcomes: DataFrame) -> DataFrame:
+    """One row from a batch's outcomes (status success, error or failed; reused): candidates, processed, success, reused, errors, failed.
+
+    failed did not come back at all; an error came back without a result, and a reused one is no error."""
+    failed, reused = F.col("status") == "failed", F.coalesce(F.col("reused"), F.lit(False))
+    errors = F.count_if(~failed & ~reused & (F.col("status") == "error"))
+    processed = F.count_if(~failed)
+    return outcomes.agg(F.count("*").alias("candidates"), processed.alias("processed"), (processed - errors).alias("success"), F.count_if(~failed & reused).alias("reused"), errors.alias("errors"), F.count_if(failed).alias("failed"))
+
+
+def batch_reasons(outcomes: DataFrame) -> DataFrame:
+    """(reason, n) of the outcomes' errors; null: none."""
+    return outcomes.groupBy(F.col("error").alias("reason")).agg(F.count("*").alias("n"))

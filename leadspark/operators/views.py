@@ -128,6 +128,18 @@ def page(rows: DataFrame, order: list, number: int, size: int = 50) -> tuple[Dat
     return rows.orderBy(*order).offset((number - 1) * size).limit(size), number, total, pages
 
 
+def page_after(rows: DataFrame, order: list[tuple[str, bool]], last: tuple | None, size: int = 50) -> DataFrame:
+    """The next page by key: order is (column, descending) with a unique last column and no nulls, last the order's values in
+    the last row shown. A deep page costs as much as the first: rows before it are filtered and not sorted."""
+    if last is not None:
+        past = F.lit(False)
+        for i in reversed(range(len(order))):
+            c, down = order[i]
+            past = (F.col(c) < F.lit(last[i]) if down else F.col(c) > F.lit(last[i])) | ((F.col(c) == F.lit(last[i])) & past)
+        rows = rows.where(past)
+    return rows.orderBy(*(F.col(c).desc() if down else F.col(c).asc() for c, down in order)).limit(size)
+
+
 def priority_reasons(reasons: Column) -> Column:
     """Commercial and urgency reasons; quality does not count towards the queue."""
     return F.filter(reasons, lambda r: r["dimension"].isin("commercial", "urgency"))

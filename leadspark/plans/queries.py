@@ -15,7 +15,7 @@ from leadspark.operators import assign, audit, evaluate, identity, ingest, model
 from leadspark.plans import jobs
 from leadspark.plans import oracles as o
 from leadspark.scratch import materialize
-from leadspark.sources import bridge
+from leadspark.sources import bridge, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,14 +184,22 @@ def f39_last_cue(spark, d):
 
 # sources, organisation and models
 
-@query(o.with_tables("SELECT company_id, count(*) AS branches FROM org GROUP BY company_id", o.ORG))
+@query(o.with_tables("SELECT point_of_sale_id, arg_max(CASE WHEN row_number % 40 = 7 THEN 'EMP-00' ELSE company_id END, row_number) AS company_id FROM (SELECT *, cast(right(advisor_id, 5) AS bigint) AS row_number FROM advisors) GROUP BY 1", o.ORG, o.ADVISORS))
 def a06_org_dimension(spark, d):
-    return bridge.read(spark, d, "org").groupBy("company_id").agg(F.count("*").alias("branches"))
+    """The last row of a branch in the roster decides its company; some rows name another one."""
+    rows = bridge.read(spark, d, "advisors").withColumn("row_number", F.substring("advisor_id", 4, 9).cast("long"))
+    return files.org_dimension(rows.withColumn("company_id", F.when(F.col("row_number") % 40 == 7, "EMP-00").otherwise(F.col("company_id"))))
 
 
-@query(o.with_tables("SELECT advisor_id, company_id, point_of_sale_id, daily_capacity, active FROM advisors", o.ORG, o.ADVISORS))
+@query(o.with_tables("SELECT advisor_id, name, company_id, point_of_sale_id, CASE WHEN k % 13 <> 0 THEN daily_capacity END AS daily_capacity, active, CASE WHEN k % 11 <> 0 THEN DATE '2024-01-01' + cast(k % 300 AS int) END AS start_date FROM (SELECT *, cast(right(advisor_id, 5) AS bigint) AS k FROM advisors)", o.ORG, o.ADVISORS))
 def a05_advisors(spark, d):
-    return bridge.read(spark, d, "advisors").select("advisor_id", "company_id", "point_of_sale_id", "daily_capacity", "active")
+    """The roster as a file has it, text with stray spaces and odd values, and typed again by the operator."""
+    k = F.substring("advisor_id", 4, 9).cast("int")
+    rows = bridge.read(spark, d, "advisors").select(
+        F.concat(F.lit(" "), "advisor_id").alias("asesor_id"), F.concat("name", F.lit("  ")).alias("nombre"), F.col("point_of_sale_id").alias("punto_venta_id"), F.concat(F.lit("  "), "company_id", F.lit(" ")).alias("empresa_id"),
+        F.when(k % 13 == 0, "muchos").otherwise(F.concat(F.col("daily_capacity").cast("string"), F.lit(" "))).alias("capacidad_diaria_leads"), F.when(F.col("active"), F.when(k % 2 == 0, "si ").otherwise("SI")).otherwise("No").alias("activo"),
+        F.when(k % 11 == 0, "ayer").otherwise(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), k % 300), "yyyy-MM-dd")).alias("fecha_ingreso"))
+    return files.load_advisors(rows)
 
 
 @query(o.with_tables("SELECT row_number, CASE WHEN o.point_of_sale_id IS NULL THEN 'unknown_point_of_sale' WHEN o.company_id <> r.empresa_id THEN 'foreign_company' END AS org_error FROM raw_leads r LEFT JOIN org o ON o.point_of_sale_id = r.punto_venta_id", o.RAW, o.ORG))
@@ -315,9 +323,12 @@ def g05_assignment_summary(spark, d):
     return assign.assignment_summary(decisions(spark, d))
 
 
-@query(o.with_leads("SELECT d.lead_id FROM decided d JOIN org USING (point_of_sale_id) WHERE org.company_id <> d.company_id", *DECIDED))
+@query(o.with_leads("SELECT lead_id, CASE right(lead_id, 1) WHEN '1' THEN 'unknown_point_of_sale' WHEN '2' THEN 'foreign_company' ELSE 'foreign_advisor' END AS violation FROM decided WHERE right(lead_id, 1) IN ('1', '2') OR (right(lead_id, 1) = '3' AND advisor_id IS NOT NULL)", *DECIDED))
 def j02_check_decisions(spark, d):
-    return assign.check_decisions(decisions(spark, d), bridge.read(spark, d, "org"), bridge.read(spark, d, "advisors")).select("lead_id")
+    """Decisions of which three in ten are spoilt: the violations, and nothing of the others."""
+    end = F.right("lead_id", F.lit(1))
+    spoilt = decisions(spark, d).withColumns({"point_of_sale_id": F.when(end == "1", "PV-999").otherwise(F.col("point_of_sale_id")), "company_id": F.when(end == "2", "EMP-99").otherwise(F.col("company_id")), "advisor_id": F.when((end == "3") & F.col("advisor_id").isNotNull(), "AS-none").otherwise(F.col("advisor_id"))})
+    return assign.check_decisions(spoilt, bridge.read(spark, d, "org"), bridge.read(spark, d, "advisors")).select("lead_id", "violation")
 
 
 @query(o.with_leads("SELECT advisor_id, priority_rank, d.lead_id, customer_name, band, urgency_band, d.queue FROM decided d JOIN scored USING (lead_id) WHERE d.status = 'assigned'", *DECIDED))
@@ -456,8 +467,15 @@ def g10_benchmark_metrics(spark, d):
 
 
 @query(o.with_tables("SELECT CASE WHEN conv_id % 23 = 0 THEN 'invalid JSON' WHEN conv_id % 19 = 0 THEN 'schema validation failed: 1 error(s)' END AS reason, count(*) AS n FROM chats GROUP BY 1", o.CHATS))
+def g09_batch_reasons(spark, d):
+    return signals.batch_reasons(parsed(spark, d))
+
+
+@query(o.with_tables("""SELECT count(*) AS candidates, count_if(NOT lost) AS processed, count_if(NOT lost AND (again OR NOT bad)) AS success, count_if(NOT lost AND again) AS reused, count_if(NOT lost AND NOT again AND bad) AS errors, count_if(lost) AS failed
+ FROM (SELECT conv_id % 29 = 0 AS lost, conv_id % 5 = 0 AS again, conv_id % 23 = 0 OR conv_id % 19 = 0 AS bad FROM chats)""", o.CHATS))
 def g09_batch_report(spark, d):
-    return parsed(spark, d).groupBy(F.col("error").alias("reason")).agg(F.count("*").alias("n"))
+    c = F.col("conv_id")
+    return signals.batch_report(parsed(spark, d).withColumns({"status": F.when(c % 29 == 0, "failed").otherwise(F.col("status")), "reused": c % 5 == 0}))
 
 
 @query(o.with_tables("""SELECT count(*) AS attempts, cast(count_if(conv_id % 23 <> 0) AS double) / count(*) AS ok_rate, min(100 + conv_id % 900) AS min_ms, max(100 + conv_id % 900) AS max_ms, quantile_disc(100 + conv_id % 900, 0.95) AS p95_ms FROM chats""", o.CHATS))
@@ -535,9 +553,9 @@ def p01_l04_profile_top_values(spark, d):
     return audit.profile_columns(raw(spark, d), RAW_COLUMNS)
 
 
-@query(o.with_tables("SELECT count(*) AS conversations, sum(n) AS messages FROM (SELECT conv_id, count(*) AS n FROM chat_turns GROUP BY conv_id)", o.CHATS))
+@query(o.with_tables("SELECT count(*) AS conversations, sum(n) AS messages, 'conv_id,conversation_id,lead_id,messages' AS columns, 'hour,sender,seq,text' AS message_columns FROM (SELECT conv_id, count(*) AS n FROM chat_turns GROUP BY conv_id)", o.CHATS))
 def p02_profile_conversations(spark, d):
-    return talks(spark, d).agg(F.count("*").alias("conversations"), F.sum(F.size("messages")).alias("messages"))
+    return audit.profile_conversations(talks(spark, d).withColumn("nothing", F.lit(None).cast("string")))
 
 
 @query(o.with_tables("""SELECT col AS "column", count_if(trim(coalesce(value, '')) = '') AS blank, count_if(trim(coalesce(value, '')) = '') / count(*) AS share FROM long GROUP BY col HAVING blank > 0""", o.RAW, LONG))
@@ -653,9 +671,11 @@ def j13_s02_key_overlap(spark, d):
     return audit.key_overlap(raw(spark, d), history(spark, d))
 
 
-@query(o.with_tables("SELECT point_of_sale_id FROM org EXCEPT SELECT point_of_sale_id FROM advisors WHERE active", o.ORG, o.ADVISORS))
+@query(o.with_tables("SELECT point_of_sale_id FROM org EXCEPT SELECT point_of_sale_id FROM advisors WHERE active AND right(point_of_sale_id, 1) NOT IN ('3', '7')", o.ORG, o.ADVISORS))
 def j14_branches_without_advisor(spark, d):
-    return audit.branches_without_advisor(bridge.read(spark, d, "org"), bridge.read(spark, d, "advisors"))
+    """All advisors of some branches are made inactive."""
+    roster = bridge.read(spark, d, "advisors").withColumn("active", F.col("active") & ~F.right("point_of_sale_id", F.lit(1)).isin("3", "7"))
+    return audit.branches_without_advisor(bridge.read(spark, d, "org"), roster)
 
 
 @query(o.with_tables(f"""SELECT count(c.price) AS known, count_if(c.price IS NULL) AS unknown, count_if(c.price <> h.price) AS price_differs FROM (SELECT *, {o.model('model')} AS key FROM history) h
@@ -754,10 +774,11 @@ def u05_snapshot_assignments(spark, d):
     return assign.snapshot_assignments(a, a.drop("run_date", "is_current"), "2026-09-01").select("lead_id", "is_current")
 
 
-@query(o.with_leads("SELECT lead_id FROM decided WHERE 1 = 0", *DECIDED))
-def u06_retry_unchanged(spark, d):
+@query(o.with_leads("SELECT lead_id, priority_rank, 'gone' AS side FROM decided WHERE right(lead_id, 1) = '7' UNION ALL SELECT lead_id, priority_rank + 1000000, 'new' FROM decided WHERE right(lead_id, 1) = '7'", *DECIDED))
+def u06_retry_changed(spark, d):
+    """A second run that ranks a tenth of the leads anew: these, before and after, and none of the others."""
     a = assignments(spark, d)
-    return assign.changed(a, a).select("lead_id")
+    return assign.changed(a, a.withColumn("priority_rank", F.col("priority_rank") + F.when(F.col("lead_id").endswith("7"), 1_000_000).otherwise(0))).select("lead_id", "priority_rank", "side")
 
 
 @query(o.with_tables("SELECT pattern, count_if(has) AS n, count_if(has) / count(*) AS share FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS pattern, {' OR '.join(f'contains(t, {o.quoted(c)})' for c in cues)} AS has FROM txt" for n, cues in evaluate.PATTERNS.items()) + ") GROUP BY 1", o.CHATS, f"txt AS (SELECT conv_id, string_agg({o.key('text')}, ' || ' ORDER BY turn) AS t FROM chat_turns WHERE sender = 'cliente' GROUP BY conv_id)"))
@@ -766,34 +787,138 @@ def g15_pattern_exposure(spark, d):
 
 
 def labelled(spark, d):
-    """Rule labels and validated extractions as gold and prediction."""
-    gold = materialize(signals.weak_labels(talks(spark, d)).drop("messages"), "gold")
-    pred = materialize(validated(spark, d).select("conv_id", *g.FIELDS), "pred")
-    return gold, pred
+    """Gold labels and predictions of every conversation, made from its number: right, missing, invented and wrong values."""
+    c = F.col("conv_id")
+    chats = bridge.read(spark, d, "chats").select("conv_id")
+    word = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    gold = {"intencion_compra": word(INTENTS, c), "forma_pago": word(FORMS, c), "objecion": word(OBJECTED, c), "model_interes": F.when(c % 4 != 0, "Honda XR 150"), "cuota_inicial": F.when(c % 3 != 0, 1_000_000.0 + c), "presupuesto": F.when(c % 3 == 0, 9_000_000.0), "solicitud_cita": F.when(c % 5 < 3, c % 5 == 1), "solicitud_cotizacion": c % 2 == 0}
+    said = {"intencion_compra": word(INTENTS, c + F.when(c % 7 == 0, 1).otherwise(0)), "forma_pago": F.when(c % 11 == 0, "financiacion").otherwise(word(FORMS, c)), "objecion": word(OBJECTED, c + c % 2), "model_interes": F.when(c % 4 != 1, F.when(c % 6 == 0, "Otra").otherwise("HONDA  xr 150")),
+            "cuota_inicial": F.when(c % 3 != 0, (1_000_000.0 + c) * F.when(c % 2 == 0, 1.05).otherwise(1.5)), "presupuesto": F.when(c % 13 == 0, 1_000_000.0 + c).when(c % 3 == 0, 9_000_000.0), "solicitud_cita": F.when(c % 3 != 0, c % 2 == 0), "solicitud_cotizacion": c % 2 == 0}
+    return chats.select("conv_id", *(v.alias(n) for n, v in gold.items())), chats.select("conv_id", *(v.alias(n) for n, v in said.items()))
 
 
-@query()
-def g11_g12_field_metrics(spark, d):
-    return evaluate.field_metrics(evaluate.field_confusion(*labelled(spark, d)))
+INTENTS, FORMS, OBJECTED = ("alta", "media", "baja"), ("contado", "financiacion", None), ("precio", None, "otra marca", "tasa")
+_pick = lambda values, i: f"[{', '.join('NULL' if v is None else o.quoted(v) for v in values)}][cast(({i}) % {len(values)} + 1 AS int)]"
+CONFUSION = f"""
+ ab AS (SELECT conv_id AS c, {_pick(INTENTS, "conv_id")} AS a1, {_pick(INTENTS, "conv_id + CASE WHEN conv_id % 7 = 0 THEN 1 ELSE 0 END")} AS b1, {_pick(FORMS, "conv_id")} AS a2, CASE WHEN conv_id % 11 = 0 THEN 'financiacion' ELSE {_pick(FORMS, "conv_id")} END AS b2, {_pick(OBJECTED, "conv_id")} AS a3, {_pick(OBJECTED, "conv_id + conv_id % 2")} AS b3,
+   CASE WHEN conv_id % 4 <> 0 THEN 'x' END AS a4, CASE WHEN conv_id % 4 <> 1 THEN CASE WHEN conv_id % 6 = 0 THEN 'y' ELSE 'x' END END AS b4, CASE WHEN conv_id % 3 <> 0 THEN 1000000.0::DOUBLE + conv_id END AS a5, CASE WHEN conv_id % 3 <> 0 THEN (1000000.0::DOUBLE + conv_id) * CASE WHEN conv_id % 2 = 0 THEN 1.05::DOUBLE ELSE 1.5::DOUBLE END END AS b5,
+   CASE WHEN conv_id % 3 = 0 THEN 9000000.0::DOUBLE END AS a6, CASE WHEN conv_id % 13 = 0 THEN 1000000.0::DOUBLE + conv_id WHEN conv_id % 3 = 0 THEN 9000000.0::DOUBLE END AS b6, coalesce(conv_id % 5 = 1, false) AS a7, CASE WHEN conv_id % 3 <> 0 THEN conv_id % 2 = 0 ELSE false END AS b7, conv_id % 2 = 0 AS a8, conv_id % 2 = 0 AS b8 FROM chats),
+ confusion AS ({" UNION ALL ".join(f"SELECT c AS conv_id, '{n}' AS field, CASE WHEN a{i} IS NULL AND b{i} IS NULL THEN 'tn' WHEN a{i} IS NULL THEN 'fp' WHEN b{i} IS NULL THEN 'fn' WHEN {same.format(i=i)} THEN 'tp' ELSE 'wrong' END AS class FROM ab" for i, n, same in ((1, 'intencion_compra', 'a{i} = b{i}'), (2, 'forma_pago', 'a{i} = b{i}'), (3, 'objecion', 'a{i} = b{i}'), (4, 'model_interes', 'a{i} = b{i}'), (5, 'cuota_inicial', 'abs(a{i} - b{i}) <= greatest(1, abs(a{i}) * 0.1)'), (6, 'presupuesto', 'abs(a{i} - b{i}) <= greatest(1, abs(a{i}) * 0.1)')))}
+   UNION ALL {" UNION ALL ".join(f"SELECT c, '{n}', CASE WHEN a{i} AND b{i} THEN 'tp' WHEN NOT a{i} AND NOT b{i} THEN 'tn' WHEN b{i} THEN 'fp' ELSE 'fn' END FROM ab" for i, n in ((7, 'solicitud_cita'), (8, 'solicitud_cotizacion')))})"""
 
 
-@query()
+@query(o.with_tables("SELECT conv_id, field, class FROM confusion", o.CHATS, CONFUSION))
+def g11_field_confusion(spark, d):
+    return evaluate.field_confusion(*labelled(spark, d))
+
+
+@query(o.with_tables("""SELECT field, tp + fp + fn + tn AS total, tp, fp, fn, tn, wrong, (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS accuracy, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(tp + fn, 0) AS recall FROM (
+ SELECT coalesce(field, 'overall') AS field, count_if(class = 'tp') AS tp, count_if(class IN ('fp', 'wrong')) AS fp, count_if(class IN ('fn', 'wrong')) AS fn, count_if(class = 'tn') AS tn, count_if(class = 'wrong') AS wrong FROM confusion GROUP BY GROUPING SETS ((field), ())) WHERE field = 'overall'""", o.CHATS, CONFUSION))
+def g12_overall_metrics(spark, d):
+    return evaluate.field_metrics(evaluate.field_confusion(*labelled(spark, d))).where("field = 'overall'").drop("null_rate")
+
+
+@query(o.with_tables("""SELECT field, n AS total, tp, fp, fn, tn, wrong, (tp + tn)::DOUBLE / n AS accuracy, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(tp + fn, 0) AS recall FROM (
+ SELECT field, count(*) AS n, count_if(class = 'tp') AS tp, count_if(class IN ('fp', 'wrong')) AS fp, count_if(class IN ('fn', 'wrong')) AS fn, count_if(class = 'tn') AS tn, count_if(class = 'wrong') AS wrong FROM confusion GROUP BY field)""", o.CHATS, CONFUSION))
+def g12_field_metrics(spark, d):
+    return evaluate.field_metrics(evaluate.field_confusion(*labelled(spark, d))).where("field <> 'overall'").drop("null_rate")
+
+
+@query(o.with_tables("""SELECT conv_id, field, class AS kind FROM confusion WHERE class NOT IN ('tp', 'tn') UNION ALL SELECT c, 'presupuesto', 'down_payment_as_budget' FROM ab WHERE a5 IS NOT NULL AND a6 IS NULL AND b6 = a5
+ UNION ALL SELECT c, 'forma_pago', 'down_payment_implies_financing' FROM ab WHERE a5 IS NOT NULL AND a2 IS NULL AND b2 = 'financiacion'""", o.CHATS, CONFUSION))
 def g13_error_analysis(spark, d):
     return evaluate.error_analysis(*labelled(spark, d))
 
 
-@query()
-def k07_k08_k09_stratified_sample(spark, d):
-    """Quotas by tag in order, first by id, then an even fill: a sampling operator."""
-    x = materialize(talks(spark, d).select("conv_id", F.array_join(F.transform(g.customer_texts(F.col("messages")), t.normalize_key), " || ").alias("t"), F.size("messages").alias("n")), "talks")
-    c = F.col("t")
-    steps = [("inicial", c.contains("inicial"), 18), ("pago", c.rlike("financiad|credito|contado"), 18), ("objecion", c.rlike("muy caro|otra marca|descuento"), 15), ("cita", c.rlike("visit|cita|voy"), 15), ("corta", F.col("n") <= 4, 10), ("larga", F.col("n") >= 8, 10)]
-    return evaluate.take_in_order(x, steps, "conv_id", [F.col("conv_id")], 110).select("conv_id", "label")
+def tagged(spark, d):
+    """Conversations with the customer's words and the number of messages."""
+    return materialize(talks(spark, d).select("conv_id", F.array_join(F.transform(g.customer_texts(F.col("messages")), t.normalize_key), " || ").alias("t"), F.size("messages").alias("n")), "talks")
+
+
+TAGGED = f"tagged AS (SELECT conv_id, coalesce(string_agg({o.key('text')}, ' || ' ORDER BY turn) FILTER (WHERE sender = 'cliente' AND trim(text, ' \t\n\r') <> ''), '') AS t, count(*) AS n FROM chat_turns GROUP BY conv_id)"
+CASES = (("presupuesto", "presupuesto|tengo hasta"), ("cuota", "cuota"), ("financiacion", "financ|credito"), ("solicitud_cita", "cita|agendar|visitar|voy"), ("cotizacion", "cotiz"), ("objecion", "caro|descuento|otra marca"), ("ambigua", "averiguando|mirando"))
+FORCED = (58, 4)
+
+
+def _has(cues) -> str:
+    return " OR ".join(f"contains(t, {o.quoted(c)})" for c in cues)
+
+
+def _taken(steps, start="SELECT NULL::BIGINT AS conv_id, NULL AS label WHERE false", order="conv_id") -> tuple[str, str]:
+    """CTEs that take rows of `tagged` step by step, and the last one's name."""
+    out = [f"s0 AS MATERIALIZED ({start})"]
+    for i, (label, predicate, quota) in enumerate(steps, 1):
+        out.append(f"s{i} AS MATERIALIZED (SELECT conv_id, label FROM s{i - 1} UNION ALL (SELECT conv_id, '{label}' FROM tagged WHERE ({predicate}) AND conv_id NOT IN (SELECT conv_id FROM s{i - 1}) ORDER BY {order} LIMIT {quota}))")
+    return ",\n ".join(out), f"s{len(steps)}"
+
+
+QUOTA_SQL, _LAST = _taken([("forced", f"conv_id IN {FORCED}", len(FORCED)), *((n, {"multi_model": "false", "short": "n <= 4", "long": "n >= 8"}.get(n) or _has(cues), q) for n, cues, q in evaluate.QUOTAS)])
+
+
+@query(o.with_tables(f"SELECT * FROM (SELECT conv_id, label FROM {_LAST} UNION ALL (SELECT conv_id, 'fill' FROM numbered, wanted WHERE missing > 0 AND i % greatest(1, total // greatest(1, missing)) = 0 AND conv_id NOT IN (SELECT conv_id FROM {_LAST}) ORDER BY conv_id LIMIT (SELECT greatest(0, missing) FROM wanted))) ORDER BY conv_id LIMIT 110",
+                     o.CHATS, TAGGED, QUOTA_SQL, "numbered AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS i FROM tagged)", f"wanted AS (SELECT 110 - (SELECT count(*) FROM {_LAST}) AS missing, (SELECT count(*) FROM tagged) AS total)"))
+def k07_stratified_sample(spark, d):
+    """Forced conversations, eleven quotas by tag in order, first by id, then every n-th: a sampling operator."""
+    x = tagged(spark, d)
+    return evaluate.stratified_sample(x, evaluate.quota_steps(F.col("t"), F.col("n")), "conv_id", 110, FORCED).select("conv_id", "label")
+
+
+CASE_SQL, _CASES = _taken([(n, _has(c.split("|")), 1) for n, c in CASES])
+
+
+@query(o.with_tables(f"SELECT conv_id, label FROM {_CASES} UNION ALL (SELECT conv_id, 'adicional' FROM tagged WHERE conv_id NOT IN (SELECT conv_id FROM {_CASES}) ORDER BY n, conv_id LIMIT (SELECT 10 - count(*) FROM {_CASES}))", o.CHATS, TAGGED, CASE_SQL))
+def k08_select_cases(spark, d):
+    """One conversation for each case, then the shortest: a sampling operator."""
+    return evaluate.select_cases(tagged(spark, d), [(n, F.col("t").rlike(c)) for n, c in CASES], "conv_id", [F.col("conv_id")], F.col("n")).select("conv_id", "label")
+
+
+def _covered() -> str:
+    out = ["c0 AS MATERIALIZED (SELECT conv_id, 'must' AS label FROM tagged WHERE conv_id = 58)"]
+    for i, (n, c) in enumerate(CASES, 1):
+        p = _has(c.split("|"))
+        out.append(f"c{i} AS MATERIALIZED (SELECT conv_id, label FROM c{i - 1} UNION ALL (SELECT conv_id, '{n}' FROM tagged WHERE ({p}) AND conv_id NOT IN (SELECT conv_id FROM c{i - 1}) AND NOT EXISTS (SELECT 1 FROM tagged JOIN c{i - 1} USING (conv_id) WHERE {p}) ORDER BY conv_id LIMIT 1))")
+    return ",\n ".join(out)
+
+
+@query(o.with_tables(f"SELECT conv_id, label FROM c{len(CASES)} UNION ALL (SELECT conv_id, 'fill' FROM tagged WHERE conv_id NOT IN (SELECT conv_id FROM c{len(CASES)}) ORDER BY conv_id LIMIT (SELECT 10 - count(*) FROM c{len(CASES)}))", o.CHATS, TAGGED, _covered()))
+def k09_cover_cases(spark, d):
+    """Conversations that cover all cases, then the first others: a sampling operator."""
+    return evaluate.cover_cases(tagged(spark, d), [(n, F.col("t").rlike(c)) for n, c in CASES], "conv_id", 58).select("conv_id", "label")
+
+
+DATED = "dated AS (SELECT conv_id, concat('CONV-', lpad(concat('', conv_id), 6, '0')) AS conversation_id, lead_id, CASE WHEN conv_id % 7 <> 0 THEN DATE '2026-01-01' + cast(conv_id % 90 AS int) END AS started_at, DATE '2026-05-01' + cast(conv_id % 30 AS int) AS created_at FROM chats)"
+
+
+def dated(spark, d):
+    c = F.col("conv_id").cast("int")
+    day = lambda first, n: F.date_add(F.lit(first).cast("date"), c % n)
+    return talks(spark, d).select("conv_id", "conversation_id", "lead_id", F.when(c % 7 != 0, day("2026-01-01", 90)).alias("started_at"), day("2026-05-01", 30).alias("created_at"))
+
+
+@query(o.with_leads("SELECT w.c AS canonical_lead_id, lead_id, conversation_id, started_at FROM dated JOIN w14 w ON w.node = lead_id", PAIRS, WEAK_PAIRS, EDGES, CLUSTERS, o.CHATS, DATED))
+def j17_cluster_conversations(spark, d):
+    return identity.cluster_conversations(identity.resolve_identities(leads(spark, d))[1], dated(spark, d)).select("canonical_lead_id", "lead_id", "conversation_id", "started_at")
+
+
+@query(o.with_tables("SELECT conversation_id, created_at, 3 AS page, cast(ceil((SELECT count(*) FROM dated) / 20.0) AS int) AS pages FROM dated ORDER BY created_at DESC, conversation_id LIMIT 20 OFFSET 40", o.CHATS, DATED))
+def l02_l03_page(spark, d):
+    """The third page of the analysed conversations, latest first: a paging operator."""
+    rows, number, _, pages = views.page(dated(spark, d), views.analyzed_order("analyzed_desc"), 3, 20)
+    return rows.select("conversation_id", "created_at", F.lit(number).alias("page"), F.lit(pages).alias("pages"))
+
+
+@query(o.with_tables("SELECT conversation_id, created_at FROM dated WHERE created_at < DATE '2026-05-20' OR (created_at = DATE '2026-05-20' AND conversation_id > 'CONV-000100') ORDER BY created_at DESC, conversation_id LIMIT 20", o.CHATS, DATED))
+def l02_page_after(spark, d):
+    """The page after a row, by key: a paging operator."""
+    import datetime
+
+    return views.page_after(dated(spark, d), [("created_at", True), ("conversation_id", False)], (datetime.date(2026, 5, 20), "CONV-000100"), 20).select("conversation_id", "created_at")
 
 
-@query(o.with_leads("SELECT lead_id, md5(concat_ws('|', lead_id, company_id, status)) AS digest FROM leads"))
-def a07_digest(spark, d):
-    return leads(spark, d).select("lead_id", F.md5(F.concat_ws("|", "lead_id", "company_id", "status").cast("binary")).alias("digest"))
+@query(o.with_leads("""SELECT lead_id, sha256('{"company_id":' || coalesce(to_json(company_id), 'null') || ',"first_contact":' || CASE WHEN first_contact_at IS NULL THEN 'null' ELSE '1' END || ',"status":' || coalesce(to_json(status), 'null') || '}') AS digest FROM leads"""))
+def a07_content_hash(spark, d):
+    n = leads(spark, d).withColumn("first_contact", F.when(F.col("first_contact_at").isNotNull(), 1))
+    return n.select("lead_id", ingest.content_hash("status", "company_id", "first_contact").alias("digest"))
 
 
 # jobs
