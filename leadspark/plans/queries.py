@@ -553,7 +553,7 @@ def p01_l04_profile_top_values(spark, d):
     return audit.profile_columns(raw(spark, d), RAW_COLUMNS)
 
 
-@query(o.with_tables("SELECT count(*) AS conversations, sum(n) AS messages, 'conv_id,conversation_id,lead_id,messages' AS columns, 'hour,sender,seq,text' AS message_columns FROM (SELECT conv_id, count(*) AS n FROM chat_turns GROUP BY conv_id)", o.CHATS))
+@query(o.with_tables("SELECT count(*) AS conversations, sum(n) AS messages, 'conv_id,conversation_id,lead_id,messages' AS columns, 'sender,text,turn' AS message_columns FROM (SELECT conv_id, count(*) AS n FROM chat_turns GROUP BY conv_id)", o.CHATS))
 def p02_profile_conversations(spark, d):
     return audit.profile_conversations(talks(spark, d).withColumn("nothing", F.lit(None).cast("string")))
 
