@@ -45,14 +45,15 @@ def _ratios(batches):
         yield pd.DataFrame({"key": part["key"], "skus": part["skus"], "score": score})
 
 
-def similar_keys(texts: DataFrame, keys: DataFrame, q: int = 2) -> DataFrame:
+def similar_keys(texts: DataFrame, keys: DataFrame, q: int = 2, shared: int = 4) -> DataFrame:
     """(key, score, fuzzy_sku): texts (key) with the ratio, 0.9 or more, of the most similar keys (key, skus); fuzzy_sku: their SKU if it is only one.
 
     A ratio of 2 m / (a + b) >= 0.9 leaves a - m characters of one text and b - m of the other unmatched. Each of the
     former breaks q of a text's runs of q characters, each of the latter q - 1; with 1.1 (a - m) + 0.9 (b - m) <= 0.2 a
     that is at most 2 q a / 11 (for q up to 5), so two such texts share one of that many first runs and one more, in any
-    one order. The order is by rarity, an equi-join on these runs gives the candidates, lengths and the number of shared
-    runs cut them, and the ratio is taken of what is left. No pair of 0.9 is missed, at any size of the catalogue.
+    one order, and with `shared` more runs that many of them (or all that must be left). The order is by rarity, an
+    equi-join on these runs that counts them gives the candidates, lengths and the number of shared runs cut them, and
+    the ratio is taken of what is left. No pair of 0.9 is missed, at any size of the catalogue.
     """
     t = texts.select("key", _grams(F.col("key"), q).alias("g"))
     k = materialize(keys.select(F.col("key").alias("other"), "skus", _grams(F.col("key"), q).alias("h")), "grams")
@@ -61,12 +62,14 @@ def similar_keys(texts: DataFrame, keys: DataFrame, q: int = 2) -> DataFrame:
     def rare(df, name, grams):
         held = df.select(name, F.explode(grams).alias("r")).join(F.broadcast(often), "r", "left")
         ranked = held.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "r"))).alias("o"))
-        first = F.slice("o", F.lit(1), (F.floor(F.length(name) * (2 * q) / 11) + 1).cast("int"))
-        return ranked.select(name, F.explode(first).alias("_r")).select(name, F.col("_r.r").alias("r"))
+        broken = F.floor(F.length(name) * (2 * q) / 11).cast("int")
+        least = F.least(F.lit(shared), F.size("o") - broken).alias(f"_{name}")
+        return ranked.select(name, least, F.explode(F.slice("o", F.lit(1), broken + shared)).alias("_r")).select(name, f"_{name}", F.col("_r.r").alias("r"))
 
     pairs = rare(t, "key", "g").join(rare(k, "other", "h"), "r")
     a, b = F.length("key"), F.length("other")
-    pairs = pairs.where((9 * a <= 11 * b) & (9 * b <= 11 * a)).select("key", "other").distinct()
+    pairs = pairs.where((9 * a <= 11 * b) & (9 * b <= 11 * a))
+    pairs = pairs.groupBy("key", "other", "_key", "_other").agg(F.count("*").alias("_n")).where(F.col("_n") >= F.least("_key", "_other")).select("key", "other")
     m = F.ceil((a + b) * 9 / 20 - 1e-9)
     pairs = pairs.join(t, "key").join(k, "other").where(F.size(F.array_intersect("g", "h")) >= F.size("g") - q * (a - m) - (q - 1) * (b - m))
     scored = pairs.select("key", "other", "skus").mapInPandas(_ratios, "key string, skus array<string>, score double").where(F.col("score") >= FUZZY)
