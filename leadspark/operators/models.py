@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,35 +47,58 @@ def _ratios(batches):
         yield pd.DataFrame({"key": part["key"], "skus": part["skus"], "score": score})
 
 
-def similar_keys(texts: DataFrame, keys: DataFrame, q: int = 2, shared: int = 4) -> DataFrame:
-    """(key, score, fuzzy_sku): texts (key) with the ratio, 0.9 or more, of the most similar keys (key, skus); fuzzy_sku: their SKU if it is only one.
+def _candidates(t: DataFrame, k: DataFrame, least_ratio: float, q: int, shared: int = 4, block: int = 1_000_000) -> DataFrame:
+    """(key, other, skus): pairs of t (key) and k (other, skus) among which all of a ratio of least_ratio or more are.
 
-    A ratio of 2 m / (a + b) >= 0.9 leaves a - m characters of one text and b - m of the other unmatched. Each of the
-    former breaks q of a text's runs of q characters, each of the latter q - 1; with 1.1 (a - m) + 0.9 (b - m) <= 0.2 a
-    that is at most 2 q a / 11 (for q up to 5), so two such texts share one of that many first runs and one more, in any
-    one order, and with `shared` more runs that many of them (or all that must be left). The order is by rarity, an
-    equi-join on these runs that counts them gives the candidates, lengths and the number of shared runs cut them, and
-    the ratio is taken of what is left. No pair of 0.9 is missed, at any size of the catalogue.
+    A ratio of 2 m / (a + b) >= r leaves s = a - m characters of one text and u = b - m of the other unmatched, with
+    (2 - r) s + r u <= 2 a (1 - r). Each of the former breaks q of a text's runs of q characters, each of the latter
+    q - 1, so at most `broken` of its runs. By one order for both sides the first `broken` + shared runs of each hold the
+    first `shared` common runs (or all that must be left). The order is by rarity; an equi-join on these runs counts
+    them, and lengths and the number of all common runs cut the pairs further. A run with many pairs is dealt to several
+    tasks: the longer of its two lists by hash, the shorter in copies.
     """
-    t = texts.select("key", _grams(F.col("key"), q).alias("g"))
-    k = materialize(keys.select(F.col("key").alias("other"), "skus", _grams(F.col("key"), q).alias("h")), "grams")
-    often = k.select(F.explode("h").alias("r")).groupBy("r").agg(F.count("*").alias("n"))  # bounded by the alphabet and the longest key
-
-    def rare(df, name, grams):
-        held = df.select(name, F.explode(grams).alias("r")).join(F.broadcast(often), "r", "left")
-        ranked = held.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "r"))).alias("o"))
-        broken = F.floor(F.length(name) * (2 * q) / 11).cast("int")
+    t = materialize(t.select("key", _grams(F.col("key"), q).alias("g")), "grams")
+    k = materialize(k.select(F.col("key").alias("other"), "skus", _grams(F.col("key"), q).alias("h")), "grams")
+    count = lambda df, grams, n: df.select(F.explode(grams).alias("r")).groupBy("r").agg(F.count("*").alias(n))
+    # a row for each run of q characters of normalised texts: bounded by the alphabet and the longest text
+    often = count(k, "h", "nk").join(count(t, "g", "nt"), "r", "full").select("r", F.coalesce("nk", F.lit(0)).alias("nk"), F.coalesce("nt", F.lit(0)).alias("nt"))
+    often = materialize(often.withColumn("parts", F.greatest(F.lit(1), F.least(F.ceil(F.col("nk") * F.col("nt") / block), F.greatest("nk", "nt"))).cast("int")), "runs")
+    most = max(q / (2 - least_ratio), (q - 1) / least_ratio) * 2 * (1 - least_ratio)
+
+    def rare(df, name, grams, mine, theirs):
+        held = df.select(name, F.explode(grams).alias("r")).join(F.broadcast(often), "r")
+        ranked = held.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("nk", "r", "nt", "parts"))).alias("o"))
+        broken = F.floor(F.length(name) * most + 1e-9).cast("int")
         least = F.least(F.lit(shared), F.size("o") - broken).alias(f"_{name}")
-        return ranked.select(name, least, F.explode(F.slice("o", F.lit(1), broken + shared)).alias("_r")).select(name, f"_{name}", F.col("_r.r").alias("r"))
+        first = ranked.select(name, least, F.explode(F.slice("o", F.lit(1), broken + shared)).alias("_r"))
+        longer = (F.col(f"_r.{mine}") > F.col(f"_r.{theirs}")) | ((F.col(f"_r.{mine}") == F.col(f"_r.{theirs}")) & F.lit(mine == "nt"))
+        own = F.pmod(F.xxhash64(name), F.col("_r.parts")).cast("int")
+        return first.where(F.col(f"_r.{theirs}") > 0).select(name, f"_{name}", F.col("_r.r").alias("r"), F.explode(F.when(longer, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("_r.parts") - 1))).alias("part"))
 
-    pairs = rare(t, "key", "g").join(rare(k, "other", "h"), "r")
+    pairs = rare(t, "key", "g", "nt", "nk").join(rare(k, "other", "h", "nk", "nt"), ["r", "part"])
     a, b = F.length("key"), F.length("other")
-    pairs = pairs.where((9 * a <= 11 * b) & (9 * b <= 11 * a))
-    pairs = pairs.groupBy("key", "other", "_key", "_other").agg(F.count("*").alias("_n")).where(F.col("_n") >= F.least("_key", "_other")).select("key", "other")
-    m = F.ceil((a + b) * 9 / 20 - 1e-9)
+    near = lambda x, y: x * least_ratio <= y * (2 - least_ratio) + 1e-9
+    pairs = pairs.where(near(a, b) & near(b, a)).groupBy("key", "other", "_key", "_other").agg(F.count("*").alias("_n"))
+    pairs = pairs.where(F.col("_n") >= F.greatest("_key", "_other")).select("key", "other")
+    m = F.ceil((a + b) * (least_ratio / 2) - 1e-9)
     pairs = pairs.join(t, "key").join(k, "other").where(F.size(F.array_intersect("g", "h")) >= F.size("g") - q * (a - m) - (q - 1) * (b - m))
-    scored = pairs.select("key", "other", "skus").mapInPandas(_ratios, "key string, skus array<string>, score double").where(F.col("score") >= FUZZY)
-    best = scored.groupBy("key", "score").agg(F.array_distinct(F.flatten(F.collect_list("skus"))).alias("skus")).groupBy("key").agg(F.max_by("skus", "score").alias("skus"), F.max("score").alias("score"))
+    return pairs.select("key", "other", "skus")
+
+
+def similar_keys(texts: DataFrame, keys: DataFrame, levels: tuple[tuple[float, int], ...] = ((0.97, 3), (0.95, 3), (FUZZY, 2))) -> DataFrame:
+    """(key, score, fuzzy_sku): texts (key) with the ratio, that of the last level or more, of the most similar keys (key, skus); fuzzy_sku: their SKU if it is only one.
+
+    levels: (ratio, length of the runs), falling. A level finds all keys of its ratio (_candidates), so a text that it
+    finds a key for has its most similar ones there, and only the others go on to the next, wider level. The result is
+    the same as with the last level alone, at any size of the catalogue.
+    """
+    found = []
+    for ratio, q in levels:
+        scored = _candidates(texts, keys, ratio, q).mapInPandas(_ratios, "key string, skus array<string>, score double").where(F.col("score") >= ratio)
+        best = scored.groupBy("key", "score").agg(F.array_distinct(F.flatten(F.collect_list("skus"))).alias("skus")).groupBy("key").agg(F.max_by("skus", "score").alias("skus"), F.max("score").alias("score"))
+        found.append(materialize(best, "similar"))
+        texts = texts.join(found[-1].select("key"), "key", "left_anti")
+    best = reduce(DataFrame.unionByName, found)
     return best.select("key", F.round("score", 4).alias("score"), F.when(F.size("skus") == 1, F.get("skus", F.lit(0))).alias("fuzzy_sku"))
 
 
