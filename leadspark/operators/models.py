@@ -85,7 +85,7 @@ def _candidates(t: DataFrame, k: DataFrame, least_ratio: float, q: int, shared:
     return pairs.select("key", "other", "skus")
 
 
-def similar_keys(texts: DataFrame, keys: DataFrame, levels: tuple[tuple[float, int], ...] = ((0.97, 3), (0.95, 3), (FUZZY, 2))) -> DataFrame:
+def similar_keys(texts: DataFrame, keys: DataFrame, levels: tuple[tuple[float, int], ...] = ((0.96, 3), (FUZZY, 2))) -> DataFrame:
     """(key, score, fuzzy_sku): texts (key) with the ratio, that of the last level or more, of the most similar keys (key, skus); fuzzy_sku: their SKU if it is only one.
 
     levels: (ratio, length of the runs), falling. A level finds all keys of its ratio (_candidates), so a text that it
@@ -111,7 +111,7 @@ def match_models(leads: DataFrame, catalog: DataFrame, text: str = "model_text_r
     """
     raw = leads.withColumn("_key", normalize_model_text(F.col(text)))
     texts = raw.select(F.col("_key").alias("key")).where("key <> ''").distinct()
-    index = catalog_index(catalog)
+    index = materialize(catalog_index(catalog), "index")  # each step and level reads it
     keys, brands = index.where("not brand").select("key", "skus"), index.where("brand").select("key", F.col("skus").alias("brand_skus"))
     step = texts.join(keys, "key", "left").join(brands, "key", "left")
     rest = step.where("skus is null and brand_skus is null").select("key")
