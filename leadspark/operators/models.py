@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions.fields import normalize_model_text
-from leadspark.scratch import materialize
+from leadspark.scratch import discard, materialize
 
 FUZZY = 0.90
 
@@ -47,8 +47,8 @@ def _ratios(batches):
         yield pd.DataFrame({"key": part["key"], "skus": part["skus"], "score": score})
 
 
-def _candidates(t: DataFrame, k: DataFrame, least_ratio: float, q: int, shared: int = 4, block: int = 1_000_000) -> DataFrame:
-    """(key, other, skus): pairs of t (key) and k (other, skus) among which all of a ratio of least_ratio or more are.
+def _candidates(t: DataFrame, k: DataFrame, least_ratio: float, q: int, shared: int = 4, block: int = 1_000_000) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, other, skus), and the tables it reads: pairs of t (key) and k (other, skus) among which all of a ratio of least_ratio or more are.
 
     A ratio of 2 m / (a + b) >= r leaves s = a - m characters of one text and u = b - m of the other unmatched, with
     (2 - r) s + r u <= 2 a (1 - r). Each of the former breaks q of a text's runs of q characters, each of the latter
@@ -82,7 +82,7 @@ def _candidates(t: DataFrame, k: DataFrame, least_ratio: float, q: int, shared:
     pairs = pairs.where(F.col("_n") >= F.greatest("_key", "_other")).select("key", "other")
     m = F.ceil((a + b) * (least_ratio / 2) - 1e-9)
     pairs = pairs.join(t, "key").join(k, "other").where(F.size(F.array_intersect("g", "h")) >= F.size("g") - q * (a - m) - (q - 1) * (b - m))
-    return pairs.select("key", "other", "skus")
+    return pairs.select("key", "other", "skus"), [t, k, often]
 
 
 def similar_keys(texts: DataFrame, keys: DataFrame, levels: tuple[tuple[float, int], ...] = ((0.96, 3), (FUZZY, 2))) -> DataFrame:
@@ -94,9 +94,11 @@ def similar_keys(texts: DataFrame, keys: DataFrame, levels: tuple[tuple[float, i
     """
     found = []
     for ratio, q in levels:
-        scored = _candidates(texts, keys, ratio, q).mapInPandas(_ratios, "key string, skus array<string>, score double").where(F.col("score") >= ratio)
+        pairs, tables = _candidates(texts, keys, ratio, q)
+        scored = pairs.mapInPandas(_ratios, "key string, skus array<string>, score double").where(F.col("score") >= ratio)
         best = scored.groupBy("key", "score").agg(F.array_distinct(F.flatten(F.collect_list("skus"))).alias("skus")).groupBy("key").agg(F.max_by("skus", "score").alias("skus"), F.max("score").alias("score"))
         found.append(materialize(best, "similar"))
+        discard(*tables)
         texts = texts.join(found[-1].select("key"), "key", "left_anti")
     best = reduce(DataFrame.unionByName, found)
     return best.select("key", F.round("score", 4).alias("score"), F.when(F.size("skus") == 1, F.get("skus", F.lit(0))).alias("fuzzy_sku"))
