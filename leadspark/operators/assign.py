@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from leadspark.functions.fields import is_terminal
 from leadspark.operators.ingest import priority_rank
+from leadspark.scratch import ranked
 
 GROUP = ("company_id", "point_of_sale_id")
 
@@ -40,18 +41,19 @@ def assign_leads(candidates: DataFrame, advisors: DataFrame, kept: DataFrame | N
     ..., 1 of an advisor with r left; larger first, then advisor) and the leads (by rank), and joining on the number.
     kept (lead_id, advisor_id): open leads stay with an active advisor of their branch and take no slot.
     """
-    ranked = priority_rank(candidates)
+    queue = priority_rank(candidates)
     pool = available_capacity(advisors, load)
     if kept is None:
-        ranked = ranked.withColumn("_keep", F.lit(None).cast("string"))
+        queue = queue.withColumns({"_keep": F.lit(None).cast("string"), "_slot": F.col("priority_rank")})
     else:
         stay = kept.join(pool.select("advisor_id", *(F.col(c).alias(f"_{c}") for c in GROUP)), "advisor_id").select(F.col("lead_id").alias("_lead"), F.col("advisor_id").alias("_keep"), *(f"_{c}" for c in GROUP))
-        ranked = ranked.join(stay, (F.col("lead_id") == F.col("_lead")) & (F.col("company_id") == F.col("_company_id")) & (F.col("point_of_sale_id") == F.col("_point_of_sale_id")), "left").drop("_lead", "_company_id", "_point_of_sale_id")
+        queue = queue.join(stay, (F.col("lead_id") == F.col("_lead")) & (F.col("company_id") == F.col("_company_id")) & (F.col("point_of_sale_id") == F.col("_point_of_sale_id")), "left").drop("_lead", "_company_id", "_point_of_sale_id")
+        queue = ranked(queue.withColumn("_stays", F.col("_keep").isNotNull()), [*GROUP, "_stays"], [F.col("priority_rank").asc()], "_place")
+        queue = queue.withColumn("_slot", F.when(~F.col("_stays"), F.col("_place")))
+    # a branch's slots are its advisors' places of one day: bounded by its staff, not by the leads
     slots = pool.where("remaining > 0").select(*GROUP, "advisor_id", F.explode(F.sequence(F.lit(1), F.col("remaining"))).alias("_left"))
     slots = slots.withColumn("_slot", F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.col("_left").desc(), "advisor_id")))
-    waiting = Window.partitionBy(*GROUP, F.col("_keep").isNotNull()).orderBy("priority_rank")
-    ranked = ranked.withColumn("_slot", F.when(F.col("_keep").isNull(), F.row_number().over(waiting)))
-    out = ranked.join(slots.select(*GROUP, "_slot", F.col("advisor_id").alias("_given")), [*GROUP, "_slot"], "left")
+    out = queue.join(slots.select(*GROUP, "_slot", F.col("advisor_id").alias("_given")), [*GROUP, "_slot"], "left")
     advisor = F.coalesce("_keep", "_given")
     reason = (F.when(F.col("_keep").isNotNull(), "continuidad: conserva el asesor vigente").when(F.col("_given").isNull(), "sin_capacidad")
               .otherwise(F.concat(F.lit("rank "), "priority_rank", F.lit(" por prioridad en "), "company_id", F.lit("/"), "point_of_sale_id", F.lit("; asesor con mayor capacidad restante"))))

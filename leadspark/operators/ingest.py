@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leadspark.functions import fields as f
 from leadspark.functions.text import blank_to_null, clean_display
 from leadspark.operators.models import match_models
-from leadspark.scratch import materialize
+from leadspark.scratch import materialize, ranked
 
 RAW = ("lead_id", "fecha_registro", "canal", "empresa_id", "punto_venta_id", "nombre_cliente", "telefono", "email", "ciudad", "modelo_interes_texto", "estado_gestion", "fecha_primer_contacto", "campania")
 
@@ -110,5 +109,4 @@ def latest_current(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 def priority_rank(rows: DataFrame) -> DataFrame:
     """rows with priority_rank: 1, 2, ... in each company and branch by queue (null last) and lead_id."""
-    w = Window.partitionBy("company_id", "point_of_sale_id").orderBy(F.col("queue").desc_nulls_last(), "lead_id")
-    return rows.withColumn("priority_rank", F.row_number().over(w))
+    return ranked(rows, ["company_id", "point_of_sale_id"], [F.col("queue").desc_nulls_last(), F.col("lead_id").asc()], "priority_rank")

@@ -7,8 +7,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _written: dict[str, SparkSession] = {}
 
@@ -74,6 +75,20 @@ def meet(many: DataFrame, one: DataFrame, keys: list[str], count: str, spread: l
     return dealt.join(copies, [*keys, "_part"]).drop("_part")
 
 
+def ranked(df: DataFrame, groups: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with `name`: 1, 2, ... in each group by order, which tells all rows of a group apart; null is a group like any other.
+
+    Rows are dealt by ranges of group and order and written once, so a large group takes many tasks: a row's rank is the
+    one inside its range plus the rows of its group in the ranges before, of which each range and group gives one number.
+    """
+    dealt = materialize(df.repartitionByRange(*groups, *order).withColumn("_in", F.struct(*groups, F.spark_partition_id().alias("_range"))), "ranges")
+    sizes = dealt.groupBy("_in").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(F.col(f"_in.{g}") for g in groups)).orderBy("_in._range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("_in").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_in").orderBy(*order)))
+    return rows.join(sizes, F.col("_in") == F.col("_at")).select(*df.columns, (F.col(name) + F.col("_before")).alias(name))
+
+
 def components(edges: DataFrame, name: str = "components", few: int = 10_000) -> DataFrame:
     """(node, component) of an undirected graph with edges (a, b): component is the smallest node that can be reached.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadspark.operators import assign, evaluate, identity, ingest, scoring, signals, views
-from leadspark.scratch import components
+from leadspark.scratch import components, ranked
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -32,6 +32,23 @@ def test_assignment_equals_the_greedy_rule(spark, seed):
     assert {x.lead_id: (x.priority_rank, x.advisor_id) for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_ranks_over_ranges_equal_a_sort_of_each_group(spark, n):
+    """Two thirds of the rows in one group with one value of the first order column, null groups and null values among the rest."""
+    r = random.Random(n)
+    rows = [("a", "x", 1.0, i) if r.random() < 0.66 else (r.choice(["a", "b", None]), r.choice(["x", None]), r.choice([None, 1.0, 2.0]), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, h string, v double, i long").repartition(16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        got = {x.i: x.rank for x in ranked(df, ["g", "h"], [F.col("v").desc_nulls_last(), F.col("i").asc()], "rank").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, seen = {}, {}
+    for g, h, v, i in sorted(rows, key=lambda x: (x[2] is None, -(x[2] or 0), x[3])):
+        want[i] = seen[g, h] = seen.get((g, h), 0) + 1
+    assert got == want
+
+
 def test_scores(spark):
     signals_ = spark.createDataFrame([("a", None, True, "alta", True, None, None, None, None, None, True, True, True, True, True, "Sin gestión", 3, False), ("b", 20e6, False, None, None, None, 25e6, 5e6, "contado", "precio", True, False, False, False, False, "raro", None, False)],
                                      "lead_id string, list_price double, model_resolved boolean, intencion_compra string, solicitud_cita boolean, solicitud_cotizacion boolean, presupuesto double, cuota_inicial double, forma_pago string, objecion string, has_conversation boolean, phone_valid boolean, email_present boolean, city_present boolean, registration_trustworthy boolean, estado_gestion string, days_since_registration int, has_first_contact boolean")
@@ -119,7 +136,7 @@ def test_similar_keys_equal_comparing_every_pair(spark):
 def test_components_with_hubs_and_long_chains(spark):
     import random
 
-    from leadspark.scratch import components
+    from leadspark.scratch import components, ranked
 
     r = random.Random(1)
     ids = list(range(6000))
