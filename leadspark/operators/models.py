@@ -27,10 +27,13 @@ def _prefixes(c):
 
 
 def _grams(c, q: int):
-    """Runs of q characters, numbered by their repetition: two texts share as many of these as runs with repetition."""
+    """Runs of q characters, numbered by their repetition: two texts share as many of these as runs with repetition.
+
+    The runs are bound once, as the element of an array: named inside the inner lambda, they would be cut anew for each run.
+    """
     runs = F.transform(F.sequence(F.lit(1), F.length(c) - (q - 1)), lambda i: F.substring(c, i, F.lit(q)))
     numbered = lambda g: F.transform(g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
-    return F.when(F.length(c) >= q, numbered(runs)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(c) >= q, F.element_at(F.transform(F.array(runs), numbered), 1)).otherwise(F.array().cast("array<string>"))
 
 
 def _ratios(batches):
