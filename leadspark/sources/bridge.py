@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 DIALECT = {
     "spark": {"ts": "cast(o_orderdate AS timestamp) + make_dt_interval(0, cast(o_orderkey % 24 AS int), cast(o_orderkey % 60 AS int), 0)", "fc": "ts + make_dt_interval(cast(o_orderkey % 5 AS int) - 1, 0, 0, 0)",
-              "fmt": "date_format({0}, '{1}')", "iso_t": "yyyy-MM-dd''T''HH:mm:ss", "iso_s": "yyyy-MM-dd HH:mm:ss", "iso_d": "yyyy-MM-dd", "dmy": "dd/MM/yyyy HH:mm", "mdy": "MM/dd/yyyy HH:mm", "dash": "dd-MM-yyyy HH:mm"},
+              "fmt": "date_format({0}, '{1}')", "iso_t": "yyyy-MM-dd''T''HH:mm:ss", "iso_s": "yyyy-MM-dd HH:mm:ss", "iso_d": "yyyy-MM-dd", "dmy": "dd/MM/yyyy HH:mm", "mdy": "MM/dd/yyyy HH:mm", "dash": "dd-MM-yyyy HH:mm",
+              "copies": "explode(CASE WHEN k % 500 = 0 THEN array(k, k + 1000000000) ELSE array(k) END)"},
     "duckdb": {"ts": "o_orderdate + to_hours(cast(o_orderkey % 24 AS int)) + to_minutes(cast(o_orderkey % 60 AS int))", "fc": "ts + to_days(cast(o_orderkey % 5 AS int) - 1)",
-               "fmt": "strftime({0}, '{1}')", "iso_t": "%Y-%m-%dT%H:%M:%S", "iso_s": "%Y-%m-%d %H:%M:%S", "iso_d": "%Y-%m-%d", "dmy": "%d/%m/%Y %H:%M", "mdy": "%m/%d/%Y %H:%M", "dash": "%d-%m-%Y %H:%M"},
+               "fmt": "strftime({0}, '{1}')", "iso_t": "%Y-%m-%dT%H:%M:%S", "iso_s": "%Y-%m-%d %H:%M:%S", "iso_d": "%Y-%m-%d", "dmy": "%d/%m/%Y %H:%M", "mdy": "%m/%d/%Y %H:%M", "dash": "%d-%m-%Y %H:%M",
+               "copies": "unnest(CASE WHEN k % 500 = 0 THEN [k, k + 1000000000] ELSE [k] END)"},
 }
 FIRST = "José,María,Andrés,Sofía,Raúl,Lucía,Tomás,Inés,Óscar,Zoë"
 LAST = "Muñoz,Pérez,Gómez,Núñez,López,Díaz,Ríos,Peña,Ávila,Suárez"
@@ -44,7 +46,7 @@ raw_once AS (SELECT k,
  split_part('{status}', ',', cast(k % 11 + 1 AS int)) AS estado_gestion,
  CASE WHEN k % 3 = 0 THEN '' WHEN k % 2 = 0 THEN {fc_s} ELSE {fc_dmy} END AS fecha_primer_contacto,
  CASE WHEN k % 4 = 0 THEN '' ELSE concat('C', k % 5) END AS campania FROM raw_more),
-raw_leads AS (SELECT k AS row_number, raw_once.* FROM raw_once UNION ALL SELECT k + 1000000000, raw_once.* FROM raw_once WHERE k % 500 = 0)"""
+raw_leads AS (SELECT {copies} AS row_number, raw_once.* FROM raw_once)"""
 
 ORG = """
 org AS (SELECT concat('PV-', lpad(concat('', n_nationkey + 1), 3, '0')) AS point_of_sale_id, concat('EMP-', lpad(concat('', n_regionkey + 1), 2, '0')) AS company_id, n_nationkey FROM nation)"""
@@ -75,7 +77,7 @@ def text(part: str, dialect: str) -> str:
     """One of the texts above in a dialect."""
     d = DIALECT[dialect]
     f = lambda column, kind: d["fmt"].format(column, d[kind])
-    return part.format(ts=d["ts"], fc=d["fc"], first=FIRST, last=LAST, channel=CHANNEL, alias=ALIAS, city=CITY, status=STATUS, cues="|".join(CUES), ts_t=f("ts", "iso_t"), ts_s=f("ts", "iso_s"), ts_d=f("ts", "iso_d"),
+    return part.format(ts=d["ts"], fc=d["fc"], copies=d["copies"], first=FIRST, last=LAST, channel=CHANNEL, alias=ALIAS, city=CITY, status=STATUS, cues="|".join(CUES), ts_t=f("ts", "iso_t"), ts_s=f("ts", "iso_s"), ts_d=f("ts", "iso_d"),
                        ts_dmy=f("ts", "dmy"), ts_mdy=f("ts", "mdy"), ts_dash=f("ts", "dash"), fc_s=f("fc", "iso_s"), fc_dmy=f("fc", "dmy"))
 
 
