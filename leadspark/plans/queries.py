@@ -548,7 +548,19 @@ def p01_profile_columns(spark, d):
     return audit.profile_columns(raw(spark, d), RAW_COLUMNS).select("column", "n", "nulls", "distinct")
 
 
-@query()
+KINDS = r"""
+ counts AS (SELECT col, value, trim(coalesce(value, '')) AS v, count(*) AS n FROM long GROUP BY col, value),
+ kinds AS (SELECT *, v = '' AS blank, CASE WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}|^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4}') THEN 'date'
+   WHEN regexp_matches(v, '^[+(]?[0-9][0-9() +-]*$') AND length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 9 AND 12 THEN 'phone' WHEN regexp_matches(v, '^-?[0-9]+$') THEN 'integer' WHEN regexp_matches(v, '^-?[0-9]*[.][0-9]+$') THEN 'decimal'
+   WHEN regexp_matches(v, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN 'email' ELSE 'text' END AS kind FROM counts),
+ sums AS (SELECT col, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (blank), 0)::BIGINT AS nulls, count_if(NOT blank) AS several, coalesce(sum(n) FILTER (NOT blank), 0) AS filled FROM kinds GROUP BY col),
+ shares AS (SELECT col, kind, sum(n) AS n FROM kinds WHERE NOT blank GROUP BY col, kind),
+ typed AS (SELECT s.col, CASE WHEN filled = 0 THEN 'empty' WHEN coalesce(max(h.n) FILTER (kind = 'date'), 0) >= 0.95 * filled THEN 'date' WHEN max(h.n) FILTER (kind = 'phone') = filled THEN 'phone' WHEN max(h.n) FILTER (kind = 'integer') = filled THEN 'integer'
+   WHEN max(h.n) FILTER (kind = 'email') = filled THEN 'email' WHEN sum(h.n) FILTER (kind IN ('integer', 'decimal')) = filled THEN 'decimal' ELSE 'text' END AS type FROM sums s LEFT JOIN shares h ON s.col = h.col GROUP BY s.col, filled),
+ tops AS (SELECT col, string_agg(concat(value, ':', n), '|' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS r FROM kinds WHERE NOT blank) WHERE r <= 5 GROUP BY col)"""
+
+
+@query(o.with_tables("""SELECT s.col AS "column", n, nulls, several AS "distinct", type, top FROM sums s JOIN typed t ON s.col = t.col LEFT JOIN tops p ON s.col = p.col""", o.RAW, LONG, KINDS))
 def p01_l04_profile_top_values(spark, d):
     return audit.profile_columns(raw(spark, d), RAW_COLUMNS)
 
