@@ -11,7 +11,7 @@ audits of equally many rows are never prefixes of each other, so ranks and costs
 and backward cost vectors meet in the middle of a run; of the crossings that are optimal the one with the least audit is
 taken and both halves are solved alone, so a run needs space for its rows and a few vectors.
 
-On Spark: rows are numbered in order without their texts, dealt into blocks of 1 024 and summed up; the sums of blocks
+On Spark: rows are numbered in order without their texts, dealt into blocks of 1 024 rows and summed up; the sums of blocks
 that a conversation has are summed up in the same way until it has one, and crossings are then handed down again. So a
 conversation with a third of all rows takes many tasks of bounded memory. Texts are shuffled once, next to their block's
 audit, and streamed in order.
@@ -142,27 +142,29 @@ def unpack(data: bytes) -> tuple:
     return tuple(tuple((v[4 * p + q], v[16 + 4 * p + q]) for q in STATES) for p in STATES)
 
 
-def _blocks(batches):
+def _blocks(size: int):
     """Blocks of marks (place * 32 + 4 * initial, + 1 if blank, + 16 if truncated; + 31: the row there is the first of its role and text) to codes, sums and audits of short conversations."""
-    import pyarrow as pa
-
-    for batch in batches:
-        rows = []
-        for k, block, marks in zip(*(batch.column(c).to_pylist() for c in ("k", "block", "marks")), strict=True):
-            marks.sort()
-            codes, row = bytearray(), 0
-            for m in marks:
-                if m & 31 == 31:  # the row before is the first of its role and text
-                    codes[-1] = (row & 12) | (3 if row & 16 else 0)
-                else:
-                    row = m & 31
-                    codes.append((row & 12) | (1 if row & 3 else 2))
-            codes = bytes(codes)
-            short = block == 0 and len(codes) < BLOCK
-            rows.append((k, block, codes, None if short else pack(total([ROWS[c] for c in codes])), _alone(codes) if short else None))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string())
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), batch.column("at")], ["k", "block", "codes", "sums", "audit", "at"])
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for k, block, marks in zip(*(batch.column(c).to_pylist() for c in ("k", "block", "marks")), strict=True):
+                marks.sort()
+                codes, row = bytearray(), 0
+                for m in marks:
+                    if m & 31 == 31:  # the row before is the first of its role and text
+                        codes[-1] = (row & 12) | (3 if row & 16 else 0)
+                    else:
+                        row = m & 31
+                        codes.append((row & 12) | (1 if row & 3 else 2))
+                codes = bytes(codes)
+                short = block == 0 and len(codes) < size
+                rows.append((k, block, codes, None if short else pack(total([ROWS[c] for c in codes])), _alone(codes) if short else None))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), batch.column("at")], ["k", "block", "codes", "sums", "audit", "at"])
+    return run
 
 
 def _sums(batches):
@@ -255,7 +257,7 @@ def _key(column):
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
-def repair(conversations: DataFrame) -> DataFrame:
+def repair(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """The edits of conversations (conv_id, turn, role, text), in order: k (key of the conv_id), step 1, 2, ..., edit, cost, fault, turn, old_role and the role and text that stay (null: deleted).
 
     A conversation's rows follow each other in one partition. They are taken by turn (null first); rows of one turn by
@@ -275,22 +277,22 @@ def repair(conversations: DataFrame) -> DataFrame:
     first = numbered.where(F.col("code") % 4 != 1).groupBy("k", "role", "md5").agg(F.min("place").alias("place"))
     nothing = F.lit(None).cast("struct<turn:bigint,role:string,head:string,md5:binary>")
     marks = numbered.select("k", "place", "code", F.struct(*order).alias("at")).unionByName(first.select("k", "place", F.lit(31).alias("code"), nothing.alias("at")))
-    grouped = marks.groupBy("k", F.floor(F.col("place") / BLOCK).alias("block")).agg(F.collect_list(F.col("place") * 32 + F.col("code")).alias("marks"), F.min("at").alias("at"))
-    blocks = materialize(grouped.mapInArrow(_blocks, "k string, block long, codes binary, sums binary, audit string, at struct<turn:bigint,role:string,head:string,md5:binary>"), "blocks")
+    grouped = marks.groupBy("k", F.floor(F.col("place") / block).alias("block")).agg(F.collect_list(F.col("place") * 32 + F.col("code")).alias("marks"), F.min("at").alias("at"))
+    blocks = materialize(grouped.mapInArrow(_blocks(block), "k string, block long, codes binary, sums binary, audit string, at struct<turn:bigint,role:string,head:string,md5:binary>"), "blocks")
     audits = blocks.where("audit is not null").select("k", "block", "codes", "audit", "at")
     if blocks.where("audit is null").limit(1).count():
-        audits = audits.unionByName(_long_audits(blocks.where("audit is null")))
+        audits = audits.unionByName(_long_audits(blocks.where("audit is null"), block))
     here = rows.select("k", *order, "text", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), F.lit(None).cast("string").alias("audit"), F.lit(None).cast("binary").alias("codes"))
     there = audits.select("k", "at.*", F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind"), "block", "audit", "codes")
     stream = here.unionByName(there).repartition("k").sortWithinPartitions("k", *order, "kind", "block")
     return stream.select("k", "turn", "role", "text", "kind", "audit", "codes").mapInArrow(_edits, EDITS)
 
 
-def _long_audits(blocks: DataFrame) -> DataFrame:
+def _long_audits(blocks: DataFrame, block: int) -> DataFrame:
     """Audits of blocks whose conversations may have several: sums go up until each conversation has one, crossings come down."""
     levels, sums = [], blocks.select("k", "block", "sums")
     while (sums.agg(F.max("block")).first()[0] or 0) > 0:
-        runs = materialize(sums.groupBy("k", F.floor(F.col("block") / BLOCK).alias("block")).agg(F.collect_list(F.struct("block", "sums")).alias("items")), "runs")
+        runs = materialize(sums.groupBy("k", F.floor(F.col("block") / block).alias("block")).agg(F.collect_list(F.struct("block", "sums")).alias("items")), "runs")
         levels.append(runs)
         sums = materialize(runs.mapInArrow(_sums, "k string, block long, sums binary"), "sums")
     kind = "k string, block long, p int, q int, last boolean"
