@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leadspark.functions.fields import normalize_model_text
 from leadspark.scratch import discard, materialize
@@ -50,8 +51,8 @@ def _ratios(batches):
         yield pd.DataFrame({"key": part["key"], "skus": part["skus"], "score": score})
 
 
-def _candidates(t: DataFrame, k: DataFrame, least_ratio: float, q: int, shared: int = 4, block: int = 1_000_000) -> tuple[DataFrame, list[DataFrame]]:
-    """(key, other, skus), and the tables it reads: pairs of t (key) and k (other, skus) among which all of a ratio of least_ratio or more are.
+def _candidates(t: DataFrame, k: DataFrame, least_ratio: float, q: int, shared: int = 4, block: int = 1_000_000, max_broadcast: int = 1_000_000) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, other, skus), and the tables it reads: pairs of t (key, least) and k (other, skus) among which all of a ratio of the text's least or more are; least_ratio is at most any least.
 
     A ratio of 2 m / (a + b) >= r leaves s = a - m characters of one text and u = b - m of the other unmatched, with
     (2 - r) s + r u <= 2 a (1 - r). Each of the former breaks q of a text's runs of q characters, each of the latter
@@ -60,51 +61,97 @@ def _candidates(t: DataFrame, k: DataFrame, least_ratio: float, q: int, shared:
     them, and lengths and the number of all common runs cut the pairs further. A run with many pairs is dealt to several
     tasks: the longer of its two lists by hash, the shorter in copies.
     """
-    t = materialize(t.select("key", _grams(F.col("key"), q).alias("g")), "grams")
+    t = materialize(t.select("key", "least", _grams(F.col("key"), q).alias("g")), "grams")
     k = materialize(k.select(F.col("key").alias("other"), "skus", _grams(F.col("key"), q).alias("h")), "grams")
     count = lambda df, grams, n: df.select(F.explode(grams).alias("r")).groupBy("r").agg(F.count("*").alias(n))
-    # a row for each run of q characters of normalised texts: bounded by the alphabet and the longest text
+    # a row for each run of q characters of normalised texts, with its number of repetitions
     often = count(k, "h", "nk").join(count(t, "g", "nt"), "r", "full").select("r", F.coalesce("nk", F.lit(0)).alias("nk"), F.coalesce("nt", F.lit(0)).alias("nt"))
     often = materialize(often.withColumn("parts", F.greatest(F.lit(1), F.least(F.ceil(F.col("nk") * F.col("nt") / block), F.greatest("nk", "nt"))).cast("int")), "runs")
-    most = max(q / (2 - least_ratio), (q - 1) / least_ratio) * 2 * (1 - least_ratio)
+    few_runs = often.count() <= max_broadcast
 
-    def rare(df, name, grams, mine, theirs):
-        held = df.select(name, F.explode(grams).alias("r")).join(F.broadcast(often), "r")
-        ranked = held.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("nk", "r", "nt", "parts"))).alias("o"))
-        broken = F.floor(F.length(name) * most + 1e-9).cast("int")
+    def rare(df, name, grams, mine, theirs, least):
+        held = df.select(name, least.alias("_r"), F.explode(grams).alias("r")).join(F.broadcast(often) if few_runs else often, "r")
+        ranked = held.groupBy(name, "_r").agg(F.array_sort(F.collect_list(F.struct("nk", "r", "nt", "parts"))).alias("o")).withColumn("most", F.greatest(q / (2 - F.col("_r")), (q - 1) / F.col("_r")) * 2 * (1 - F.col("_r")))
+        broken = F.floor(F.length(name) * F.col("most") + 1e-9).cast("int")
         least = F.least(F.lit(shared), F.size("o") - broken).alias(f"_{name}")
         first = ranked.select(name, least, F.explode(F.slice("o", F.lit(1), broken + shared)).alias("_r"))
         longer = (F.col(f"_r.{mine}") > F.col(f"_r.{theirs}")) | ((F.col(f"_r.{mine}") == F.col(f"_r.{theirs}")) & F.lit(mine == "nt"))
         own = F.pmod(F.xxhash64(name), F.col("_r.parts")).cast("int")
         return first.where(F.col(f"_r.{theirs}") > 0).select(name, f"_{name}", F.col("_r.r").alias("r"), F.explode(F.when(longer, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("_r.parts") - 1))).alias("part"))
 
-    pairs = rare(t, "key", "g", "nt", "nk").join(rare(k, "other", "h", "nk", "nt"), ["r", "part"])
+    pairs = rare(t, "key", "g", "nt", "nk", F.col("least")).join(rare(k, "other", "h", "nk", "nt", F.lit(least_ratio)), ["r", "part"])
     a, b = F.length("key"), F.length("other")
-    near = lambda x, y: x * least_ratio <= y * (2 - least_ratio) + 1e-9
-    pairs = pairs.where(near(a, b) & near(b, a)).groupBy("key", "other", "_key", "_other").agg(F.count("*").alias("_n"))
+    near = lambda x, y, r: x * r <= y * (2 - r) + 1e-9
+    pairs = pairs.where(near(a, b, F.lit(least_ratio)) & near(b, a, F.lit(least_ratio))).groupBy("key", "other", "_key", "_other").agg(F.count("*").alias("_n"))
     pairs = pairs.where(F.col("_n") >= F.greatest("_key", "_other")).select("key", "other")
-    m = F.ceil((a + b) * (least_ratio / 2) - 1e-9)
-    pairs = pairs.join(t, "key").join(k, "other").where(F.size(F.array_intersect("g", "h")) >= F.size("g") - q * (a - m) - (q - 1) * (b - m))
+    m = F.ceil((a + b) * (F.col("least") / 2) - 1e-9)
+    pairs = pairs.join(t, "key").where(near(a, b, F.col("least")) & near(b, a, F.col("least"))).join(k, "other").where(F.size(F.array_intersect("g", "h")) >= F.size("g") - q * (a - m) - (q - 1) * (b - m))
     return pairs.select("key", "other", "skus"), [t, k, often]
 
 
-def similar_keys(texts: DataFrame, keys: DataFrame, levels: tuple[tuple[float, int], ...] = ((0.96, 3), (FUZZY, 2))) -> DataFrame:
-    """(key, score, fuzzy_sku): texts (key) with the ratio, that of the last level or more, of the most similar keys (key, skus); fuzzy_sku: their SKU if it is only one.
+def _best(pairs: DataFrame, least: float | None = None) -> DataFrame:
+    """(key, skus, score): the highest ratio of each key of pairs (key, other, skus) and the SKUs of all keys that have it."""
+    scored = pairs.mapInPandas(_ratios, "key string, skus array<string>, score double")
+    if least is not None:
+        scored = scored.where(F.col("score") >= least)
+    return scored.groupBy("key", "score").agg(F.array_distinct(F.flatten(F.collect_list("skus"))).alias("skus")).groupBy("key").agg(F.max_by("skus", "score").alias("skus"), F.max("score").alias("score"))
+
+
+#: Levels of nearest keys below FUZZY: least ratio, length of the runs, shortest text whose runs of that length can be counted.
+BELOW = ((0.8, 2, 4), (0.7, 2, 14), (0.5, 1, 1), (0.3, 1, 1), (0.0, 1, 1))
+
+
+def similar_keys(texts: DataFrame, keys: DataFrame, levels: tuple[tuple[float, int], ...] = ((0.96, 3), (FUZZY, 2)), below: bool = True) -> DataFrame:
+    """(key, score, fuzzy_sku): texts (key) with the ratio of the most similar keys (key, skus); fuzzy_sku: their SKU if it is only one and the ratio that of the last level or more.
 
     levels: (ratio, length of the runs), falling. A level finds all keys of its ratio (_candidates), so a text that it
-    finds a key for has its most similar ones there, and only the others go on to the next, wider level. The result is
-    the same as with the last level alone, at any size of the catalogue.
+    finds a key for has its most similar ones there, and only the others go on to the next, wider level. Texts without a
+    key of the last level go on to nearest_keys(), or without `below` have no row. The result does not depend on levels.
     """
     found = []
     for ratio, q in levels:
-        pairs, tables = _candidates(texts, keys, ratio, q)
-        scored = pairs.mapInPandas(_ratios, "key string, skus array<string>, score double").where(F.col("score") >= ratio)
-        best = scored.groupBy("key", "score").agg(F.array_distinct(F.flatten(F.collect_list("skus"))).alias("skus")).groupBy("key").agg(F.max_by("skus", "score").alias("skus"), F.max("score").alias("score"))
-        found.append(materialize(best, "similar"))
+        pairs, tables = _candidates(texts.select("key", F.lit(ratio).alias("least")), keys, ratio, q)
+        found.append(materialize(_best(pairs, ratio), "similar"))
         discard(*tables)
         texts = texts.join(found[-1].select("key"), "key", "left_anti")
+    if below:
+        rest = materialize(texts.select("key"), "rest")
+        if rest.limit(1).count():
+            found.append(nearest_keys(rest, keys))
+    best = reduce(DataFrame.unionByName, found)
+    return best.select("key", F.round("score", 4).alias("score"), F.when((F.size("skus") == 1) & (F.col("score") >= levels[-1][0]), F.get("skus", F.lit(0))).alias("fuzzy_sku"))
+
+
+def nearest_keys(texts: DataFrame, keys: DataFrame, seeds: int = 20) -> DataFrame:
+    """(key, score, skus): the highest ratio that any of keys (key, skus) has to each of texts (key), whatever it is; 0 where no character is shared.
+
+    First a lower bound: the best of some keys that share a rare pair of characters with the text, `seeds` for each of its
+    rarest pairs. No key counts from there on whose shared runs rule that ratio out, so each text meets only the keys whose
+    upper bound reaches what it has already; a text is done in one level, that of its own bound, and keys need only be
+    laid out for the levels that some text has. The bound changes the work and not the result.
+    """
+    runs = lambda df, name: df.select(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(2))))).alias("r"))
+    k = keys.select(F.col("key").alias("other"), "skus")
+    mine = runs(texts, "key")
+    nearby = runs(k, "other").join(mine.select("r").distinct(), "r")
+    some = nearby.withColumn("_i", F.row_number().over(Window.partitionBy("r").orderBy(F.xxhash64("other"), "other"))).where(F.col("_i") <= seeds)
+    often = nearby.groupBy("r").agg(F.count("*").alias("n"))
+    rarest = mine.join(often, "r").withColumn("_i", F.row_number().over(Window.partitionBy("key").orderBy("n", "r"))).where("_i <= 4")
+    seeded = _best(rarest.select("key", "r").join(some.select("r", "other"), "r").select("key", "other").distinct().join(k, "other"))
+    bounds = materialize(texts.join(seeded.select("key", "score"), "key", "left").select("key", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.001)).alias("least")), "bounds")
+    level = F.lit(len(BELOW) - 1)
+    for i, (ratio, _, shortest) in reversed(list(enumerate(BELOW))):
+        level = F.when((F.col("least") >= ratio) & (F.length("key") >= shortest), i).otherwise(level)
+    bounds = bounds.withColumn("level", level)
+    found, done = [], []
+    for i in sorted(r.level for r in bounds.select("level").distinct().collect()):
+        ratio, q, _ = BELOW[i]
+        pairs, tables = _candidates(bounds.where(F.col("level") == i), keys, max(ratio, 0.001), q)
+        found.append(materialize(_best(pairs), "nearest"))
+        done += tables
+    discard(*done)
     best = reduce(DataFrame.unionByName, found)
-    return best.select("key", F.round("score", 4).alias("score"), F.when(F.size("skus") == 1, F.get("skus", F.lit(0))).alias("fuzzy_sku"))
+    return texts.join(best, "key", "left").select("key", F.coalesce("skus", F.array().cast("array<string>")).alias("skus"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def match_models(leads: DataFrame, catalog: DataFrame, text: str = "model_text_raw", fuzzy: bool = True) -> DataFrame:
@@ -112,7 +159,7 @@ def match_models(leads: DataFrame, catalog: DataFrame, text: str = "model_text_r
 
     The cascade runs on distinct normalised texts, cheap steps first: the key itself, a brand alone, a prefix either way
     (equi-joins on prefixes), then similarity of at least 0.9 to one SKU's keys (similar_keys). match_score is the ratio
-    of the most similar keys and null where none has 0.9.
+    of the most similar keys for every text that the steps before leave, matched or not.
     """
     raw = leads.withColumn("_key", normalize_model_text(F.col(text)))
     texts = raw.select(F.col("_key").alias("key")).where("key <> ''").distinct()

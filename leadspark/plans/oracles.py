@@ -89,16 +89,21 @@ MATCH = f"""
 def matched(texts: str, fuzzy: bool = True) -> str:
     """m AS (key, match_type, skus, score) for a relation `texts` with distinct keys.
 
-    The similarity step: in these tables a text is similar to no key, or it is a key without one character, which no
-    key can exceed: 2 n / (2 n + 1) for n characters.
+    The similarity step: a key without one character has a ratio that no key can exceed, 2 n / (2 n + 1) for n
+    characters; for other texts the ratio of each key is counted: the longest common run, the first of equal ones, and
+    the same again left and right of it.
     """
+    common = "list_max(flatten(list_transform(range(a0, a1), lambda i: list_transform(range(b0, b1), lambda j: {'n': len(list_filter(range(1, least(a1 - i, b1 - j) + 1), lambda n: substr(t, i, n) = substr(k, j, n))), 'i': -i, 'j': -j}))))"
     return f"""
  exact AS (SELECT t.key, k.skus AS e, b.skus AS b FROM {texts} t LEFT JOIN keys k USING (key) LEFT JOIN brands b USING (key)),
  pre AS (SELECT x.key, list_sort(list_distinct(flatten(list(k.skus)))) AS p FROM exact x JOIN keys k ON starts_with(k.key, x.key) OR starts_with(x.key, k.key) WHERE x.e IS NULL AND x.b IS NULL GROUP BY x.key),
  near AS (SELECT x.key, list_sort(list_distinct(flatten(list(c.skus)))) AS f FROM exact x LEFT JOIN pre USING (key) JOIN (SELECT skus, unnest(list_transform(range(1, length(key) + 1), lambda i: substr(key, 1, i - 1) || substr(key, i + 1))) AS cut FROM keys) c ON c.cut = x.key
    WHERE x.e IS NULL AND x.b IS NULL AND p IS NULL AND {str(fuzzy).lower()} GROUP BY x.key),
+ runs AS (SELECT *, {common} AS m FROM (SELECT x.key AS t, k.key AS k, 1 AS a0, length(x.key) + 1 AS a1, 1 AS b0, length(k.key) + 1 AS b1 FROM exact x LEFT JOIN pre USING (key) LEFT JOIN near USING (key), keys k WHERE e IS NULL AND b IS NULL AND p IS NULL AND f IS NULL AND {str(fuzzy).lower()})
+   UNION ALL SELECT *, {common} FROM (SELECT t, k, x.a0, x.a1, x.b0, x.b1 FROM (SELECT t, k, unnest([{{'a0': a0, 'a1': -m.i, 'b0': b0, 'b1': -m.j}}, {{'a0': m.n - m.i, 'a1': a1, 'b0': m.n - m.j, 'b1': b1}}]) AS x FROM runs WHERE m.n > 0)) WHERE a0 < a1 AND b0 < b1),
+ best AS (SELECT t AS key, max(r) AS r FROM (SELECT t, k, 2.0::DOUBLE * coalesce(sum(m.n), 0) / (length(t) + length(k)) AS r FROM runs GROUP BY t, k) GROUP BY t),
  m AS (SELECT key, CASE WHEN len(e) = 1 THEN 'directo_unico' WHEN len(e) > 1 THEN 'directo_ambiguo' WHEN b IS NOT NULL THEN 'solo_marca' WHEN len(p) = 1 THEN 'prefijo_unico' WHEN len(p) > 1 THEN 'prefijo_ambiguo' WHEN len(f) = 1 THEN 'fuzzy' ELSE 'sin_match' END AS match_type,
-   coalesce(e, b, p, f) AS skus, CASE WHEN f IS NOT NULL THEN floor(20000.0::DOUBLE * length(key) / (2 * length(key) + 1) + 0.5) / 10000 END AS score FROM exact LEFT JOIN pre USING (key) LEFT JOIN near USING (key))"""
+   coalesce(e, b, p, f) AS skus, CASE WHEN f IS NOT NULL THEN floor(20000.0::DOUBLE * length(key) / (2 * length(key) + 1) + 0.5) / 10000 ELSE floor(10000 * r + 0.5) / 10000 END AS score FROM exact LEFT JOIN pre USING (key) LEFT JOIN near USING (key) LEFT JOIN best USING (key))"""
 
 
 FIRST = """
@@ -125,11 +130,11 @@ def leads(fuzzy: bool = True) -> str:
 
 def with_leads(body: str, *more: str, fuzzy: bool = True) -> str:
     """body over leads (normalised), raw_leads, org, catalog and what `more` defines."""
-    return "WITH " + ", ".join([RAW, ORG, CATALOG, FIRST.strip(), MATCH.strip(), leads(fuzzy).strip(), *(m.strip() for m in more)]) + "\n" + body
+    return "WITH RECURSIVE " + ", ".join([RAW, ORG, CATALOG, FIRST.strip(), MATCH.strip(), leads(fuzzy).strip(), *(m.strip() for m in more)]) + "\n" + body
 
 
 def with_tables(body: str, *parts: str) -> str:
-    return "WITH " + ", ".join(p.strip() for p in parts) + "\n" + body
+    return "WITH RECURSIVE " + ", ".join(p.strip() for p in parts) + "\n" + body
 
 
 def half_up(x: str) -> str:

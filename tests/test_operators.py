@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadspark.operators import assign, evaluate, identity, ingest, scoring, signals, views
+from leadspark.operators import assign, evaluate, identity, ingest, models, scoring, signals, views
 from leadspark.scratch import components, ranked
 
 
@@ -155,3 +155,21 @@ def test_meet_deals_hot_keys_and_keeps_every_row(spark):
     one = many.groupBy("k").agg(F.count("*").alias("_n")).withColumn("w", F.col("k") * 2)
     got = meet(many, one, ["k"], "_n", ["v"])
     assert got.columns == ["k", "v", "w"] and got.where("w = 2 * k").agg(F.count("*"), F.sum("v")).first()[:] == (9000, sum(range(9000)))
+
+
+def test_nearest_keys_equal_brute_force(spark):
+    import difflib
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).strip() or "a"
+    keys = sorted({word(r.randrange(1, 24)) for _ in range(150)})
+    texts = sorted({word(r.randrange(1, 24)) for _ in range(60)} | {k[:-1] + "x" for k in keys[:20] if len(k) > 1} | {"zzz", "q", keys[3] + keys[5]})
+    k = spark.createDataFrame([(x, [f"S{i}", f"S{i // 2}"]) for i, x in enumerate(keys)], "key string, skus array<string>")
+    got = {x.key: x for x in models.similar_keys(spark.createDataFrame([(x,) for x in texts], "key string"), k).collect()}
+    assert len(got) == len(texts)
+    for text in texts:
+        ratios = [difflib.SequenceMatcher(None, text, x).ratio() for x in keys]
+        best = max(ratios)
+        skus = {s for i, x in enumerate(ratios) if x == best for s in (f"S{i}", f"S{i // 2}")}
+        want = next(iter(skus)) if best >= 0.9 and len(skus) == 1 else None
+        assert abs(got[text].score - best) < 1e-4 and got[text].fuzzy_sku == want, (text, best)
