@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.functions.similarity import jaro_winkler
+from leadspark.functions.similarity import similar_pairs
 from leadspark.functions.text import normalize_key
 from leadspark.scratch import components, materialize, meet
 
@@ -25,52 +25,41 @@ def keyed(leads: DataFrame) -> DataFrame:
     return leads.select("lead_id", "company_id", normalize_key(F.col("customer_name")).alias("name"), "phone_normalized", "email_normalized", "city_normalized")
 
 
-def phone_pairs(leads: DataFrame, max_block: int | None = None) -> DataFrame:
-    """(a, b, rule, name_similarity) of leads of a company with one phone, a < b; rule null: discarded.
-
-    A hash self-join on (company, phone). A phone of n leads gives n(n-1)/2 pairs: this is the list of all pairs, which
-    clusters, rules and reports don't need. max_block leaves larger blocks out (off by default; oversized_blocks()
-    reports them). Similarity is that of the two names in alphabetical order, computed once for each pair of names.
-    """
-    k = keyed(leads).where("phone_normalized is not null")
-    if max_block is not None:
-        k = k.join(oversized_blocks(leads, max_block), ["company_id", "phone_normalized"], "left_anti")
-    a, b = k.alias("a"), k.alias("b")
-    pairs = a.join(b, (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.phone_normalized") == F.col("b.phone_normalized")) & (F.col("a.lead_id") < F.col("b.lead_id")))
-    pairs = pairs.select(F.col("a.lead_id").alias("a"), F.col("b.lead_id").alias("b"), F.coalesce(F.col("a.email_normalized") == F.col("b.email_normalized"), F.lit(False)).alias("_mail"), F.col("a.name").alias("_x"), F.col("b.name").alias("_y"))
-    pairs = pairs.withColumns({"_least": F.least("_x", "_y"), "_most": F.greatest("_x", "_y")})
-    names = k.select("company_id", "phone_normalized", "name").distinct()
-    some = _name_pairs(names).select(F.col("x").alias("_least"), F.col("y").alias("_most")).distinct().withColumn("_s", jaro_winkler("_least", "_most"))
-    pairs = pairs.join(some, ["_least", "_most"], "left").withColumn("name_similarity", F.when(F.col("_x") == F.col("_y"), 1.0).otherwise(F.col("_s")))
-    return pairs.select("a", "b", F.when(F.col("_mail"), STRONG).when(F.col("name_similarity") >= THRESHOLD, POSSIBLE).alias("rule"), F.round("name_similarity", 4).alias("name_similarity"))
-
-
 PHONE = ["company_id", "phone_normalized"]
 PLACE = ["company_id", "name", "city_normalized"]
 
 
-def _name_pairs(names: DataFrame) -> DataFrame:
-    """(company_id, phone_normalized, x, y, and what names has as _a and _b) for the different names of one phone."""
-    more = [c for c in names.columns if c not in (*PHONE, "name")]
-    a = names.select(*PHONE, F.col("name").alias("x"), *(F.col(c).alias(f"{c}_a") for c in more))
-    b = names.select(*PHONE, F.col("name").alias("y"), *(F.col(c).alias(f"{c}_b") for c in more))
-    return a.join(b, PHONE).where("x < y")
+SIMILAR = "company_id string, phone_normalized string, x string, y string, n_a long, m_a string, n_b long, m_b string, similarity double"
 
 
-def oversized_blocks(leads: DataFrame, max_block: int) -> DataFrame:
-    return leads.where("phone_normalized is not null").groupBy("company_id", "phone_normalized").count().where(F.col("count") > max_block).drop("count")
+def _similar(threshold: float):
+    def run(batches):
+        import pyarrow as pa
 
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64())
+        for batch in batches:
+            out = []
+            for company, phone, i, j, members in zip(*(batch.column(c).to_pylist() for c in (*PHONE, "i", "j", "members")), strict=True):
+                left, right = [m for m in members if m["own"] == i], [m for m in members if m["own"] == j]
+                for a, b, s in similar_pairs([m["name"] for m in left], None if i == j else [m["name"] for m in right], threshold):
+                    a, b = sorted((left[a], right[b]), key=lambda m: m["name"].encode())
+                    out.append((company, phone, a["name"], b["name"], a["n"], a["m"], b["n"], b["m"], s))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 9, kinds, strict=True)], [c.split()[0] for c in SIMILAR.split(", ")])
+    return run
 
-def _name_city(leads: DataFrame) -> DataFrame:
-    return keyed(leads).where("name <> '' and city_normalized is not null").select("lead_id", "company_id", "name", "city_normalized")
 
+def similar_names(names: DataFrame, threshold: float = THRESHOLD, tile: int = 500) -> DataFrame:
+    """(company_id, phone_normalized, x, y, n_a, m_a, n_b, m_b, similarity): different names of one phone, x before y, that are alike. names: a row for each name of a phone, with n and m.
 
-def name_city_pairs(leads: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, rule) of leads with one name and city in a company that have no phone edge. The list of all pairs; clusters don't need it."""
-    k = _name_city(leads)
-    a, b = k.alias("a"), k.alias("b")
-    pairs = a.join(b, (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.city_normalized") == F.col("b.city_normalized")) & (F.col("a.lead_id") < F.col("b.lead_id")))
-    return pairs.select(F.col("a.lead_id").alias("a"), F.col("b.lead_id").alias("b")).join(edges.select("a", "b"), ["a", "b"], "left_anti").withColumn("rule", F.lit(WEAK))
+    Up to about `tile` names of a phone are compared in one group. More are dealt to parts by hash, and each two parts
+    meet in a group of their own: a phone with g names takes g / tile copies of each name in as many tasks as it has pairs
+    of parts, no task holds more than two parts, and only pairs that are alike leave a task.
+    """
+    sizes = names.groupBy(*PHONE).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_parts", F.ceil(F.col("_n") / tile).cast("int"))
+    many = meet(names, materialize(sizes, "phones"), PHONE, "_n", ["name"]).withColumn("own", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int"))
+    met = many.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns({"i": F.least("own", "_with"), "j": F.greatest("own", "_with")})
+    groups = met.groupBy(*PHONE, "i", "j").agg(F.collect_list(F.struct("name", "n", "m", "own")).alias("members")).where(F.size("members") > 1)
+    return groups.mapInArrow(_similar(threshold), SIMILAR)
 
 
 def _groups(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -95,7 +84,23 @@ class Evidence:
         self.mails, self.names, self.places = _groups(self.mailed, [*PHONE, "email_normalized"]), _groups(self.phones, [*PHONE, "name"]), _groups(self.placed, PLACE)
         self.each = materialize(self.phones.groupBy(*PHONE, "name", "email_normalized").agg(F.count("*").alias("n"), F.min("lead_id").alias("m")), "each")
         names = self.each.groupBy(*PHONE, "name").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
-        self.similar = materialize(_name_pairs(names).where(jaro_winkler("x", "y") >= THRESHOLD), "similar")
+        self.similar = materialize(similar_names(names), "similar")
+
+    def phone_links(self) -> DataFrame:
+        """(rule, kind, a, b, leads_a, leads_b, name_similarity): which leads of one phone belong together, without a list of pairs.
+
+        group: all leads_a leads of one e-mail or one name are linked, a and b are the smallest two; pair: the leads_a leads
+        of one name are linked with the leads_b of a similar one, a and b are the smallest of each.
+        """
+        group = lambda g, rule, s: g.select(F.lit(rule).alias("rule"), F.lit("group").alias("kind"), F.col("_1").alias("a"), F.col("_2").alias("b"), F.col("_n").alias("leads_a"), F.lit(0).cast("long").alias("leads_b"), F.lit(s).cast("double").alias("name_similarity"))
+        pair = self.similar.select(F.lit(POSSIBLE).alias("rule"), F.lit("pair").alias("kind"), F.col("m_a").alias("a"), F.col("m_b").alias("b"), F.col("n_a").alias("leads_a"), F.col("n_b").alias("leads_b"), F.round("similarity", 4).alias("name_similarity"))
+        return group(self.mails, STRONG, None).unionByName(group(self.names, POSSIBLE, 1.0)).unionByName(pair)
+
+    def place_links(self) -> DataFrame:
+        """(rule, a, b, leads, pairs): leads of one name and city, the smallest two of them, and how many of their pairs have no common phone; groups with such pairs only."""
+        within = self.placed.where("phone_normalized is not null").groupBy(*PLACE, "phone_normalized").agg(F.count("*").alias("c")).groupBy(*PLACE).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("_within"))
+        out = self.places.join(within, PLACE, "left").withColumn("pairs", (F.col("_n") * (F.col("_n") - 1) / 2 - F.coalesce("_within", F.lit(0))).cast("long"))
+        return out.where("pairs > 0").select(F.lit(WEAK).alias("rule"), F.col("_1").alias("a"), F.col("_2").alias("b"), F.col("_n").alias("leads"), "pairs")
 
     def inside(self) -> DataFrame:
         """(m, pairs): pairs of leads of one phone and name without a common e-mail, by the smallest lead."""
@@ -113,8 +118,7 @@ class Evidence:
 
     def weak(self) -> DataFrame:
         """(m): the smallest lead of each (name, city) group that has a pair without a common phone."""
-        within = self.placed.where("phone_normalized is not null").groupBy(*PLACE, "phone_normalized").agg(F.count("*").alias("c")).groupBy(*PLACE).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("_within"))
-        return self.places.join(within, PLACE, "left").where("_n * (_n - 1) / 2 > coalesce(_within, 0)").select(F.col("_1").alias("m"))
+        return self.place_links().select(F.col("a").alias("m"))
 
     def edges(self) -> DataFrame:
         """(a, b): stars that connect what the rules connect."""

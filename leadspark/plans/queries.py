@@ -355,15 +355,18 @@ EDGES = f"""
 ORDER = f"CASE rule WHEN '{identity.STRONG}' THEN 0 WHEN '{identity.POSSIBLE}' THEN 1 ELSE 2 END"
 
 
-@query(o.with_leads("SELECT a, b, rule FROM pairs", PAIRS))
+@query(o.with_leads(f"""SELECT '{identity.STRONG}' AS rule, 'group' AS kind, min(lead_id) AS a, list_sort(list(lead_id))[2] AS b, count(*) AS leads_a, 0 AS leads_b, NULL::DOUBLE AS name_similarity FROM idk WHERE phone IS NOT NULL AND email IS NOT NULL GROUP BY company_id, phone, email HAVING count(*) > 1
+ UNION ALL SELECT '{identity.POSSIBLE}', 'group', min(lead_id), list_sort(list(lead_id))[2], count(*), 0, 1.0 FROM idk WHERE phone IS NOT NULL GROUP BY company_id, phone, name HAVING count(*) > 1
+ UNION ALL SELECT '{identity.POSSIBLE}', 'pair', x.m, y.m, x.n, y.n, floor(10000 * jaro_winkler_similarity(x.name, y.name) + 0.5) / 10000 FROM idn x JOIN idn y ON x.company_id = y.company_id AND x.phone = y.phone AND x.name < y.name AND jaro_winkler_similarity(x.name, y.name) >= 0.9""",
+    PAIRS, "idn AS (SELECT company_id, phone, name, min(lead_id) AS m, count(*) AS n FROM idk WHERE phone IS NOT NULL GROUP BY ALL)"))
 def j07_f37_phone_pairs(spark, d):
-    return identity.phone_pairs(leads(spark, d)).select("a", "b", "rule")
+    """Groups of one e-mail or name, and pairs of similar names, as classes of leads."""
+    return identity.Evidence(leads(spark, d)).phone_links()
 
 
-@query(o.with_leads("SELECT a, b, rule FROM weak_pairs", PAIRS, WEAK_PAIRS))
+@query(o.with_leads("SELECT g.rule, min(m) AS a, list_sort(list(m))[2] AS b, count(*) AS leads, any_value(g.pairs) AS pairs FROM (SELECT p.rule, x.company_id, x.name, x.city, count(*) AS pairs FROM weak_pairs p JOIN idk x ON x.lead_id = p.a GROUP BY ALL) g JOIN (SELECT company_id, name, city, lead_id AS m FROM idk) USING (company_id, name, city) GROUP BY g.rule, company_id, name, city", PAIRS, WEAK_PAIRS))
 def j08_name_city_pairs(spark, d):
-    n = kept_leads(spark, d)
-    return identity.name_city_pairs(n, identity.phone_pairs(n).where("rule is not null"))
+    return identity.Evidence(leads(spark, d)).place_links()
 
 
 @query(o.with_leads(f"SELECT a AS lead_id, arg_min(rule, concat({ORDER}, b)) AS rule, min(concat({ORDER}, b))[2:] AS related_lead_id FROM sides GROUP BY a", PAIRS, WEAK_PAIRS, EDGES))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from leadspark.functions.similarity import jaro_winkler_value
 from leadspark.operators import assign, evaluate, identity, ingest, models, scoring, signals, views
 from leadspark.scratch import components, ranked
 
@@ -173,3 +174,20 @@ def test_nearest_keys_equal_brute_force(spark):
         skus = {s for i, x in enumerate(ratios) if x == best for s in (f"S{i}", f"S{i // 2}")}
         want = next(iter(skus)) if best >= 0.9 and len(skus) == 1 else None
         assert abs(got[text].score - best) < 1e-4 and got[text].fuzzy_sku == want, (text, best)
+
+
+@pytest.mark.parametrize("tile", [500, 7])
+def test_similar_names_of_a_phone_equal_brute_force(spark, tile):
+    """One phone has most of the names; parts of seven names meet in groups of their own."""
+    r = random.Random(5)
+    first, last = ["maria", "mariana", "jose", "josé", "ana", "martha", "marta", ""], ["perez", "peres", "gomez", "gomes", "nunez", "lopez de la cruz"]
+    names = {f"{r.choice(first)} {r.choice(last)}{r.choice(['', 's', ' x', 'a'])}".strip() for _ in range(400)}
+    names |= {"".join(r.choice("abc") for _ in range(r.randrange(0, 12))) for _ in range(60)}
+    rows = [("E", "1", x, 2, f"L{i}") for i, x in enumerate(sorted(names))] + [("E", p, x, 1, f"M{p}{x}") for p in "234" for x in r.sample(sorted(names), 3)] + [("F", "1", "maria perez", 1, "Z1")]
+    got = {(c.company_id, c.phone_normalized, c.x, c.y): (c.n_a, c.m_a, c.n_b, c.m_b, c.similarity) for c in identity.similar_names(spark.createDataFrame(rows, "company_id string, phone_normalized string, name string, n long, m string"), tile=tile).collect()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[:2] == b[:2] and a[2].encode() < b[2].encode() and (s := jaro_winkler_value(a[2], b[2])) >= 0.9:
+                want[(*a[:2], a[2], b[2])] = (a[3], a[4], b[3], b[4], s)
+    assert got == want and len(want) > 100
