@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions import signals as g
 from leadspark.functions.text import normalize_for_match, normalize_key, trim
+from leadspark.scratch import materialize
 
 OUTCOME = "conversation_id string, success boolean, latency_ms long, raw_text string, error string"
 # Cues of the built-in extractor.
@@ -75,13 +76,34 @@ def weak_labels(talks: DataFrame, catalog: DataFrame | None = None) -> DataFrame
     return t.withColumn("confidence", confidence).drop("_texts", "_t", "_models")
 
 
+def mentions(texts: DataFrame, lines: DataFrame, piece: int = 2000, max_broadcast: int = 200_000) -> DataFrame:
+    """(id, at, line): which of lines (line, distinct) each of texts (id, at, text) holds, anywhere and inside of words too.
+
+    All lines at once: a place of a text is looked up by its first characters among the beginnings of lines, and only there
+    the runs of the lengths that lines with this beginning have are cut out and joined with the whole lines. Beginnings
+    are as long as the shortest line, four characters at most. Long texts are read in overlapping pieces. Empty lines are
+    in no text. Beginnings are broadcast if there are at most max_broadcast; lines meet by an ordinary join on equality.
+    """
+    known = lines.where("line <> ''")
+    size = known.agg(F.min(F.length("line")).alias("least"), F.max(F.length("line")).alias("most")).first()
+    if size.least is None:
+        return texts.select("id", "at", F.col("text").alias("line")).limit(0)
+    q = min(4, size.least)
+    heads = known.groupBy(F.substring("line", 1, q).alias("head")).agg(F.collect_set(F.length("line")).alias("sizes"))
+    if known.select(F.substring("line", 1, q)).distinct().count() <= max_broadcast:
+        heads = F.broadcast(heads)
+    pieces = texts.where(F.length("text") >= q).select("id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.length("text"), F.lit(piece)), lambda i: F.substring(F.col("text"), i, F.lit(piece + size.most - 1)))).alias("text"))
+    places = pieces.where(F.length("text") >= q).select("id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(piece), F.length("text") - (q - 1))), lambda i: F.substring(F.col("text"), i, F.lit(size.most)))).alias("ahead"))
+    cut = places.withColumn("head", F.substring("ahead", 1, q)).join(heads, "head").select("id", "at", "ahead", F.explode("sizes").alias("n")).where(F.length("ahead") >= F.col("n"))
+    return cut.select("id", "at", F.substring(F.col("ahead"), F.lit(1), F.col("n")).alias("line")).distinct().join(known.select("line"), "line").select("id", "at", "line")
+
+
 def _with_models(t: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Adds model_interes and _models (how many). Candidates meet by an equi-join on a line's words: word runs of the texts against the catalogue's keys."""
-    lines = catalog.select(normalize_key(F.col("line")).alias("_line"), F.concat_ws(" ", F.trim("brand"), F.trim("line")).alias("_model")).where("_line <> ''").groupBy("_line").agg(F.max("_model").alias("_model"))
-    texts = t.select("conv_id", F.posexplode("_texts").alias("_i", "_text"))
-    first = lines.withColumn("_word", F.split_part("_line", F.lit(" "), F.lit(1)))
-    words = texts.select("conv_id", "_i", "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"[a-z0-9#.-]+"), F.lit(0)))).alias("_word"))
-    hits = words.join(first, "_word").where(F.contains("_text", F.col("_line"))).groupBy("conv_id", "_model").agg(F.min("_i").alias("_at"))
+    """Adds model_interes and _models (how many). Of lines with one key the last model by name counts; of models first named in one text too."""
+    lines = catalog.select(normalize_key(F.col("line")).alias("line"), F.concat_ws(" ", F.trim("brand"), F.trim("line")).alias("_model")).where("line <> ''").groupBy("line").agg(F.max("_model").alias("_model"))
+    lines = materialize(lines, "lines")
+    texts = t.select(F.col("conv_id").alias("id"), F.posexplode("_texts").alias("at", "text"))
+    hits = mentions(texts, lines.select("line")).join(lines, "line").groupBy(F.col("id").alias("conv_id"), "_model").agg(F.min("at").alias("_at"))
     last = hits.groupBy("conv_id").agg(F.max(F.struct("_at", "_model")).alias("_l"), F.count("*").alias("_models"))
     t = t.join(last, "conv_id", "left").withColumn("_models", F.coalesce("_models", F.lit(0)))
     after = F.array_join(F.slice("_texts", F.coalesce(F.col("_l._at"), F.lit(0)) + 1, F.size("_texts") + 1), " || ")

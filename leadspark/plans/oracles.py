@@ -143,3 +143,13 @@ def half_up(x: str) -> str:
 
 def clamp(x: str) -> str:
     return f"least(100.0::DOUBLE, greatest(0.0::DOUBLE, {half_up(x)}))"
+
+
+def last_place(x: str, cues: list[str]) -> str:
+    """Where the rightmost of cues begins in x; null without any."""
+    some = ", ".join(f"CASE WHEN contains({x}, {quoted(c)}) THEN length({x}) - instr(reverse({x}), {quoted(c[::-1])}) - {len(c)} + 1 END" for c in cues)
+    return f"list_max([{some}])"
+
+
+def has(x: str, cues: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({x}, {quoted(c)})" for c in cues) + ")"

@@ -511,9 +511,34 @@ def u03_upsert_extractions(spark, d):
     return signals.upsert_extractions(stored, new).select("conversation_id", "input_hash", "status")
 
 
-@query()
+#: Further turns in which customers name products: alone, inside of other letters, a second one, and what they say to it.
+NAMED = """
+ named AS (SELECT t.conv_id, k.i + 101 AS turn, 'cliente' AS sender, CASE k.i WHEN 0 THEN concat('Que tal la ', c.line, '?') WHEN 1 THEN concat('o la xx', c.line, 'yy no') ELSE 'listo, de acuerdo' END AS text
+  FROM chats t JOIN (VALUES (0, 0), (0, 1), (0, 2)) k(odd, i) ON t.conv_id % 2 = k.odd JOIN catalog c ON c.sku = concat('SKU-', cast(t.conv_id * 7 + 1 + 3 * k.i AS int)) WHERE (k.i = 0 OR t.conv_id % 4 = 0) AND (k.i < 2 OR t.conv_id % 8 = 0)),
+ said AS (SELECT conv_id, turn, sender, text FROM chat_turns UNION ALL SELECT conv_id, turn, sender, text FROM named)"""
+LABELLED = f"""
+ mine AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, {o.key('text')} AS text FROM said WHERE trim(sender) = 'cliente' AND trim(text, ' \t\n\r') <> ''),
+ joined AS (SELECT conv_id, string_agg(text, ' || ' ORDER BY i) AS t FROM mine GROUP BY conv_id),
+ lines AS (SELECT {o.key('line')} AS line, max(trim(brand) || ' ' || trim(line)) AS model FROM catalog GROUP BY 1),
+ hits AS (SELECT conv_id, model, min(i) AS i FROM mine JOIN lines ON lines.line <> '' AND contains(mine.text, lines.line) GROUP BY ALL),
+ lasts AS (SELECT conv_id, max({{'i': i, 'm': model}}) AS l, count(*) AS n FROM hits GROUP BY conv_id),
+ after AS (SELECT conv_id, string_agg(text, ' || ' ORDER BY mine.i) AS a FROM mine JOIN lasts USING (conv_id) WHERE mine.i >= l.i GROUP BY conv_id),
+ places AS (SELECT conv_id, t, n, l.m AS m, a, {', '.join(f"{o.last_place('t', cues)} AS {name}" for name, cues in (('high', signals.HIGH), ('medium', signals.MEDIUM), ('low', signals.LOW), ('fin', signals.FINANCED), ('cash', signals.CASH), *((f'o_{k}', v) for k, v in signals.OBJECTIONS.items())))},
+   list_max({AMOUNTS_SQL.replace('said', 't')}) AS amount FROM joined LEFT JOIN lasts USING (conv_id) LEFT JOIN after USING (conv_id)),
+ labelled AS (SELECT conv_id, CASE WHEN high >= greatest(coalesce(medium, -1), coalesce(low, -1)) THEN 'alta' WHEN medium >= coalesce(low, -1) THEN 'media' WHEN low IS NOT NULL THEN 'baja' WHEN {o.has('t', signals.INFORMATIVE)} THEN 'informativa' END AS intencion_compra,
+   coalesce(high, medium, low) IS NOT NULL AS told, CASE WHEN fin > coalesce(cash, -1) THEN 'financiacion' WHEN cash IS NOT NULL THEN 'contado' END AS forma_pago,
+   CASE WHEN {o.has('t', signals.NO_DOWN)} THEN 0.0 WHEN {o.has('t', signals.DOWN)} THEN amount END AS cuota_inicial, {o.has('t', signals.DOWN)} AS down, CASE WHEN NOT {o.has('t', signals.NOT_BUDGET)} AND {o.has('t', signals.BUDGET)} THEN amount END AS presupuesto,
+   list_min(list_filter([{', '.join(f"{{'p': o_{k}, 'i': {i}, 'k': '{k}'}}" for i, k in enumerate(signals.OBJECTIONS))}], lambda x: x.p IS NOT NULL)).k AS objecion, CASE WHEN {o.has('t', signals.VISIT)} THEN true END AS solicitud_cita, CASE WHEN {o.has('t', signals.QUOTE)} THEN true END AS solicitud_cotizacion,
+   CASE WHEN n = 1 OR {o.has('a', [*signals.ACCEPTANCE, *signals.HIGH, *signals.MEDIUM])} THEN m END AS model_interes, coalesce(n, 0) AS n FROM places),
+ weak AS (SELECT *, CASE WHEN (n > 1 AND model_interes IS NULL) OR coalesce(objecion, '') = 'disponibilidad' THEN 'low' WHEN n > 1 OR NOT told OR (cuota_inicial IS NULL AND down) OR presupuesto IS NOT NULL THEN 'medium' ELSE 'high' END AS confidence FROM labelled)"""
+
+
+@query(o.with_tables(f"SELECT conv_id, lead_id, {', '.join(g.FIELDS)}, confidence FROM weak JOIN chats USING (conv_id)", o.CHATS, o.CATALOG, NAMED, LABELLED))
 def k06_weak_labels(spark, d):
-    return signals.weak_labels(talks(spark, d), bridge.read(spark, d, "catalog")).drop("messages")
+    """All eight signals and the confidence, with products named in a part of the conversations."""
+    t = {name: bridge.read(spark, d, name) for name in ("chat_turns", "chats", "catalog")}
+    said = spark.sql("WITH " + NAMED.replace("FROM chats", "FROM {chats}").replace("JOIN catalog", "JOIN {catalog}").replace("FROM chat_turns", "FROM {chat_turns}") + " SELECT * FROM said", **t)
+    return signals.weak_labels(signals.conversations(said, t["chats"]), t["catalog"]).select("conv_id", "lead_id", *g.FIELDS, "confidence")
 
 
 @query()

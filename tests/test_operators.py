@@ -191,3 +191,16 @@ def test_similar_names_of_a_phone_equal_brute_force(spark, tile):
             if a[:2] == b[:2] and a[2].encode() < b[2].encode() and (s := jaro_winkler_value(a[2], b[2])) >= 0.9:
                 want[(*a[:2], a[2], b[2])] = (a[3], a[4], b[3], b[4], s)
     assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("piece", [2000, 10])
+def test_mentions_anywhere_in_texts_equal_brute_force(spark, piece):
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("ab c") for _ in range(n))
+    lines = {text(r.randrange(2, 9)) for _ in range(40)} | {"zz", ""}
+    texts = [(i, j, text(r.randrange(0, 60))) for i in range(20) for j in range(3)] + [(50, 0, ""), (51, 0, None), (52, 0, "xzzx zz"), (53, 0, text(3000))]
+    got = signals.mentions(spark.createDataFrame(texts, "id long, at int, text string"), spark.createDataFrame([(x,) for x in lines], "line string"), piece=piece)
+    want = {(i, j, line) for i, j, t in texts for line in lines if line and t and line in t}
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert signals.mentions(spark.createDataFrame(texts, "id long, at int, text string"), spark.createDataFrame([], "line string")).count() == 0
