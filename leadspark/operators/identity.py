@@ -174,21 +174,61 @@ def resolve_identities(leads: DataFrame, evidence: Evidence | None = None) -> tu
     return clusters, members()
 
 
-def merge_clusters(stored: DataFrame, members: DataFrame) -> DataFrame:
-    """(lead_id, cluster_id, change) after a new resolution. stored: cluster_id, lead_id; members: canonical_lead_id, lead_id.
-
-    A component takes over the stored cluster that shares most leads with it (of equal ones the smallest id) and absorbs
-    the others that it touches; without one its canonical lead names a new cluster. Stored clusters it does not touch stay.
+def merge_clusters(stored: DataFrame, stored_members: DataFrame, clusters: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters, members, report) after a new resolution is merged into stored clusters.
+
+    stored: cluster_id (long), company_id, canonical_lead_id, status, strength, matched_rules; stored_members: cluster_id,
+    lead_id, role, rule, strength. clusters and members are those of resolve_identities().
+
+    A new cluster and a stored one of its company meet if they share a lead. What meets, directly or through others, ends
+    in one cluster: chains are the components of the graph of both, so a chain of absorptions has one result whatever the
+    order. Of its stored clusters that which shares most leads with the chain goes on (of equal ones the smallest id) and
+    takes over the others' members. Its canonical lead is the smallest of the chain's new clusters, its strength the
+    strongest, and it is `auto` only if all of them are: a new possible link calls for review again. A new cluster that
+    meets none is created under `new:` and its canonical lead; a stored one that meets none stays as it is.
+
+    clusters: cluster_id (string), company_id, canonical_lead_id, status, strength, matched_rules, change (created, reused,
+    kept), absorbed. members: cluster_id, lead_id, role, rule, strength, change (created, updated, unchanged; kept: in no
+    new cluster), moved. report: clusters_created, clusters_reused (new clusters that met one), clusters_total,
+    members_created, members_updated, members_unchanged, members_total.
     """
-    m, s = members.select("canonical_lead_id", "lead_id"), stored.select("cluster_id", "lead_id")
-    shared = m.join(s, "lead_id").groupBy("canonical_lead_id", "cluster_id").agg(F.count("*").alias("n"))
-    target = shared.groupBy("canonical_lead_id").agg(F.max(F.struct("n", (-F.col("cluster_id")).alias("x"))).alias("t")).select("canonical_lead_id", (-F.col("t.x")).alias("target"))
-    moved = shared.join(target, "canonical_lead_id").select("cluster_id", "target").groupBy("cluster_id").agg(F.min("target").alias("target"))
-    old = s.join(moved, "cluster_id", "left").select("lead_id", "cluster_id", F.coalesce("target", "cluster_id").cast("string").alias("_kept"))
-    new = m.join(target, "canonical_lead_id", "left").select("lead_id", F.coalesce(F.col("target").cast("string"), F.concat(F.lit("new:"), "canonical_lead_id")).alias("_new"))
-    both = old.join(new, "lead_id", "full")
-    change = F.when(F.col("cluster_id").isNull(), "created").when(F.coalesce("_new", "_kept") == F.col("cluster_id").cast("string"), "unchanged").otherwise("moved")
-    return both.select("lead_id", F.coalesce("_new", "_kept").alias("cluster_id"), change.alias("change"))
+    new = materialize(members.select("canonical_lead_id", "lead_id", "rule", "strength").join(clusters.select("canonical_lead_id", "company_id"), "canonical_lead_id"), "new")
+    old = materialize(stored_members.join(stored.select("cluster_id", "company_id"), "cluster_id").select("cluster_id", "company_id", "lead_id", "role", "rule", "strength"), "old")
+    shared = materialize(new.join(old.select("cluster_id", "company_id", "lead_id"), ["company_id", "lead_id"]).groupBy("canonical_lead_id", "cluster_id").agg(F.count("*").alias("n")), "shared")
+    mine, theirs = F.concat(F.lit("new:"), F.col("canonical_lead_id")), F.concat(F.lit("old:"), F.col("cluster_id").cast("string"))
+    chains = materialize(components(shared.select(mine.alias("a"), theirs.alias("b")), "chains"), "chains")
+    of_new = chains.where("node LIKE 'new:%'").select(F.substring("node", 5, 1 << 30).alias("canonical_lead_id"), "component")
+    of_old = chains.where("node LIKE 'old:%'").select(F.substring("node", 5, 1 << 30).cast("long").alias("cluster_id"), "component")
+    weights = shared.groupBy("cluster_id").agg(F.sum("n").alias("n")).join(of_old, "cluster_id")
+    targets = weights.groupBy("component").agg((-F.max(F.struct("n", (-F.col("cluster_id")).alias("x")))["x"]).cast("string").alias("target"), (F.count("*") - 1).alias("absorbed"))
+    targets = materialize(targets, "targets")
+    # new clusters by the cluster that they end in, and what that is made of
+    ends = clusters.join(of_new.join(targets, "component"), "canonical_lead_id", "left").withColumn("cluster_id", F.coalesce("target", F.concat(F.lit("new:"), F.col("canonical_lead_id"))))
+    ends = materialize(ends.select("canonical_lead_id", "cluster_id", "company_id", "status", "strength", "matched_rules", F.col("target").isNotNull().alias("met"), F.coalesce("absorbed", F.lit(0)).cast("long").alias("absorbed")), "ends")
+    order = F.when(F.col("strength") == "strong", 0).when(F.col("strength") == "possible", 1).otherwise(2)
+    made = ends.groupBy("cluster_id").agg(
+        F.min("company_id").alias("company_id"), F.min("canonical_lead_id").alias("canonical_lead_id"), F.when(F.bool_and(F.col("status") == "auto"), "auto").otherwise("possible_pending").alias("status"),
+        F.min_by("strength", order).alias("strength"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("matched_rules", ","))))), ",").alias("matched_rules"),  # three rules
+        F.when(F.bool_or("met"), "reused").otherwise("created").alias("change"), F.max("absorbed").alias("absorbed"))
+    kept = stored.join(of_old.select("cluster_id"), "cluster_id", "left_anti").select(F.col("cluster_id").cast("string").alias("cluster_id"), "company_id", "canonical_lead_id", "status", "strength", "matched_rules", F.lit("kept").alias("change"), F.lit(0).cast("long").alias("absorbed"))
+    out = materialize(made.unionByName(kept), "merged")
+    # members: of a lead's rows in a chain that of the surviving cluster counts, else that of the smallest id
+    moved = old.join(of_old.join(targets.select("component", "target"), "component"), "cluster_id", "left").withColumn("own", F.coalesce("target", F.col("cluster_id").cast("string")))
+    best = F.min(F.struct((F.col("own") != F.col("cluster_id").cast("string")).alias("moved"), "cluster_id", "role", "rule", "strength")).alias("was")
+    before = moved.groupBy(F.col("own").alias("cluster_id"), "lead_id").agg(best)
+    after = new.join(ends.select("canonical_lead_id", "cluster_id"), "canonical_lead_id").select("cluster_id", "lead_id", F.struct("rule", "strength").alias("now"))
+    sizes = out.select("cluster_id", F.col("canonical_lead_id").alias("_canonical"))
+    both = before.join(after, ["cluster_id", "lead_id"], "full")
+    counted = materialize(both.groupBy("cluster_id").agg(F.count("*").alias("_n")).join(sizes, "cluster_id"), "sizes")
+    both = meet(both, counted, ["cluster_id"], "_n", ["lead_id"])
+    role = F.when(F.col("now").isNull(), F.col("was.role")).when(F.col("lead_id") == F.col("_canonical"), "canonical").otherwise("member")
+    rule, strength = F.coalesce("now.rule", "was.rule"), F.coalesce("now.strength", "was.strength")
+    same = role.eqNullSafe(F.col("was.role")) & rule.eqNullSafe(F.col("was.rule")) & strength.eqNullSafe(F.col("was.strength"))
+    change = F.when(F.col("now").isNull(), "kept").when(F.col("was").isNull(), "created").when(same, "unchanged").otherwise("updated")
+    people = materialize(both.select("cluster_id", "lead_id", role.alias("role"), rule.alias("rule"), strength.alias("strength"), change.alias("change"), F.coalesce("was.moved", F.lit(False)).alias("moved")), "people")
+    counts = {f"members_{c}": F.count_if(F.col("change") == c) for c in ("created", "updated", "unchanged")} | {"members_total": F.count("*")}
+    report = ends.agg(F.count_if(~F.col("met")).alias("clusters_created"), F.count_if("met").alias("clusters_reused")).join(out.agg(F.count("*").alias("clusters_total"))).join(people.agg(*(v.alias(k) for k, v in counts.items())))
+    return out, people, report
 
 
 def identity_report(evidence: Evidence, clusters: DataFrame) -> DataFrame:

@@ -403,13 +403,48 @@ def g01_identity_report(spark, d):
     return identity.identity_report(e, identity.resolve_identities(e.leads, e)[0])
 
 
-@query()
-def u07_merge_clusters(spark, d):
-    """Members of a resolution over four fifths of the leads, merged with the resolution over all."""
+#: Stored clusters made of the resolution: those of near canonical leads of a company in one, a few leads in the next one, a fifth not there yet, other rules for some.
+STORED_MEMBERS = f"""
+ res AS (SELECT w.c AS canonical_lead_id, w.node AS lead_id, r.rule, x.company_id, CAST(substr(w.c, 4) AS BIGINT) AS cn, CAST(substr(w.node, 4) AS BIGINT) AS ln FROM w14 w JOIN (SELECT a, arg_min(rule, concat({ORDER}, b)) AS rule FROM sides GROUP BY a) r ON r.a = w.node JOIN idk x ON x.lead_id = w.node),
+ new_clusters AS (SELECT canonical_lead_id, company_id, lo, hi, matched_rules FROM cl JOIN cr USING (canonical_lead_id) JOIN idk ON idk.lead_id = canonical_lead_id),
+ st AS (SELECT (cn // 300) * 1000 + CAST(right(company_id, 2) AS BIGINT) * 10 + CASE WHEN ln % 97 = 0 THEN 1000 ELSE 0 END AS cluster_id, company_id, lead_id, CASE WHEN ln % 3 = 0 THEN 'canonical' ELSE 'member' END AS role, CASE WHEN ln % 7 = 0 THEN '{identity.WEAK}' ELSE rule END AS rule FROM res WHERE ln % 5 <> 0
+   UNION ALL SELECT 7, 'EMP-01', 'LD-none', 'member', '{identity.STRONG}'),
+ sh AS (SELECT canonical_lead_id, cluster_id, count(*) AS n FROM res JOIN st USING (company_id, lead_id) GROUP BY ALL),
+ links AS (SELECT 'new:' || canonical_lead_id AS a, 'old:' || cluster_id AS b FROM sh),
+ both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+ reach AS (SELECT a AS node, a AS r FROM both_ways UNION SELECT reach.node, w.b FROM reach JOIN both_ways w ON w.a = reach.r),
+ chain AS (SELECT node, min(r) AS c FROM reach GROUP BY node),
+ weight AS (SELECT cluster_id, c, sum(n) AS n FROM sh JOIN chain ON node = 'old:' || cluster_id GROUP BY ALL),
+ target AS (SELECT c, CAST(arg_min(cluster_id, (-n, cluster_id)) AS VARCHAR) AS target, count(*) - 1 AS absorbed FROM weight GROUP BY c),
+ ends AS (SELECT n.*, coalesce(target, 'new:' || canonical_lead_id) AS cluster_id, target IS NOT NULL AS met, coalesce(absorbed, 0) AS absorbed FROM new_clusters n LEFT JOIN chain ON node = 'new:' || canonical_lead_id LEFT JOIN target USING (c))"""
+
+
+def merged(spark, d):
     n = kept_leads(spark, d)
-    before = identity.resolve_identities(n.where("row_number % 5 <> 0"))[1]
-    stored = before.select(F.substring("canonical_lead_id", 4, 20).cast("long").alias("cluster_id"), "lead_id")
-    return identity.merge_clusters(stored, identity.resolve_identities(n)[1])
+    clusters, members = identity.resolve_identities(n)
+    members = materialize(members, "members")
+    at = members.join(clusters.select("canonical_lead_id", "company_id"), "canonical_lead_id").withColumns({"cn": F.substring("canonical_lead_id", 4, 20).cast("long"), "ln": F.substring("lead_id", 4, 20).cast("long")}).where("ln % 5 <> 0")
+    rows = at.select((F.floor(F.col("cn") / 300) * 1000 + F.right("company_id", F.lit(2)).cast("long") * 10 + F.when(F.col("ln") % 97 == 0, 1000).otherwise(0)).alias("cluster_id"), "company_id", "lead_id", F.when(F.col("ln") % 3 == 0, "canonical").otherwise("member").alias("role"),
+                     F.when(F.col("ln") % 7 == 0, identity.WEAK).otherwise(F.col("rule")).alias("rule"))
+    rows = rows.unionByName(spark.range(1).select(F.lit(7).cast("long").alias("cluster_id"), F.lit("EMP-01").alias("company_id"), F.lit("LD-none").alias("lead_id"), F.lit("member").alias("role"), F.lit(identity.STRONG).alias("rule")))
+    rows = materialize(rows.withColumn("strength", F.when(F.col("rule") == identity.STRONG, "strong").when(F.col("rule") == identity.POSSIBLE, "possible").otherwise("weak")), "stored")
+    stored = rows.groupBy("cluster_id").agg(F.min("company_id").alias("company_id"), F.min("lead_id").alias("canonical_lead_id"), F.lit("confirmed").alias("status"), F.lit("weak").alias("strength"), F.lit("").alias("matched_rules"))
+    return identity.merge_clusters(stored, rows.drop("company_id"), clusters, members)
+
+
+@query(o.with_leads(f"""SELECT cluster_id, min(canonical_lead_id) AS canonical_lead_id, CASE WHEN max(hi) = 0 THEN 'auto' ELSE 'possible_pending' END AS status, ['strong', 'possible', 'weak'][min(lo) + 1] AS strength, array_to_string(list_sort(list_distinct(flatten(list(string_split(matched_rules, ','))))), ',') AS matched_rules,
+ CASE WHEN any_value(met) THEN 'reused' ELSE 'created' END AS change, any_value(absorbed) AS absorbed FROM ends GROUP BY cluster_id UNION ALL SELECT '7', 'LD-none', 'confirmed', 'weak', '', 'kept', 0""", PAIRS, WEAK_PAIRS, EDGES, CLUSTERS, STORED_MEMBERS))
+def u07_merge_clusters(spark, d):
+    """Clusters after a resolution is merged into stored ones, with chains of absorption."""
+    return merged(spark, d)[0].drop("company_id")
+
+
+@query(o.with_leads(f"""SELECT coalesce(o.cluster_id, n.cluster_id) AS cluster_id, coalesce(o.lead_id, n.lead_id) AS lead_id, CASE WHEN n.lead_id IS NULL THEN o.was.role ELSE n.role END AS role, coalesce(n.rule, o.was.rule) AS rule,
+ CASE WHEN n.lead_id IS NULL THEN 'kept' WHEN o.lead_id IS NULL THEN 'created' WHEN n.role = o.was.role AND n.rule = o.was.rule THEN 'unchanged' ELSE 'updated' END AS change, coalesce(o.was.moved, false) AS moved
+ FROM (SELECT coalesce(target, CAST(cluster_id AS VARCHAR)) AS cluster_id, lead_id, min({{'moved': coalesce(target <> CAST(cluster_id AS VARCHAR), false), 'i': cluster_id, 'role': role, 'rule': rule}}) AS was FROM st LEFT JOIN chain ON node = 'old:' || cluster_id LEFT JOIN target USING (c) GROUP BY 1, 2) o
+ FULL JOIN (SELECT e.cluster_id, r.lead_id, r.rule, CASE WHEN r.lead_id = m.first THEN 'canonical' ELSE 'member' END AS role FROM res r JOIN ends e USING (canonical_lead_id) JOIN (SELECT cluster_id, min(canonical_lead_id) AS first FROM ends GROUP BY 1) m USING (cluster_id)) n ON n.cluster_id = o.cluster_id AND n.lead_id = o.lead_id""", PAIRS, WEAK_PAIRS, EDGES, CLUSTERS, STORED_MEMBERS))
+def u07_merge_members(spark, d):
+    return merged(spark, d)[1].drop("strength")
 
 
 # signals
