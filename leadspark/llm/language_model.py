@@ -152,7 +152,7 @@ def _count(table):
         mine = np.concatenate([unpack(x, np.uint32) for x in table.column(c).to_pylist()])
         sums.append(np.bincount(place, weights=mine, minlength=len(keys)).astype(np.uint64))
     cuts, chunks = np.cumsum([0, *map(len, parts)]), table.column("chunk").to_pylist()
-    out = [[c, level, bucket, *(pack(s[place[cuts[i] : cuts[i + 1]]].astype(np.uint32)) for s in sums), None, None, None] for i, c in enumerate(chunks)]
+    out = [[c, level, bucket, *(pack(s[place[cuts[i] : cuts[i + 1]]]) for s in sums), None, None, None] for i, c in enumerate(chunks)]
     if level == 1:
         words = keys != START
         out.append([-1, level, bucket, None, None, *(int(s[words].sum()) for s in sums), int(((sums[0] + sums[1] > 0) & words).sum())])
@@ -168,7 +168,7 @@ def _join(bits: int):
         row = left.slice(0, 1).to_pylist()[0]
         found = right.to_pylist()
         found.sort(key=lambda r: (r["level"], r["bucket"]))
-        got = {(lv, c): np.concatenate([unpack(r[c], np.uint32) for r in found if r["level"] == lv]) for lv in (1, 2) for c in ("main", "other")}
+        got = {(lv, c): np.concatenate([unpack(r[c], np.uint64) for r in found if r["level"] == lv]) for lv in (1, 2) for c in ("main", "other")}
         _, sizes, ids, _ = _read(row)
         hashes = np.frombuffer(row["words"], np.uint64)
         _, where = np.unique(hashes, return_inverse=True)
@@ -202,7 +202,7 @@ def _events(n_main: int):
 
         for row in _rows(batches):
             _, _, ids, part, before, at = _tokens(row)
-            m1, m2 = (unpack(row[c], np.uint32).astype(np.float64) for c in ("m1", "m2"))
+            m1, m2 = (unpack(row[c], np.uint64).astype(np.float64) for c in ("m1", "m2"))
             t = np.flatnonzero(part == 1)
             c, h, w = m2[at[t]], m1[before[t]], m1[ids[t]]
             order = np.lexsort((w, h, c))
@@ -245,8 +245,8 @@ def _score(weights: np.ndarray, n: int, v: int):
 
         for row in _rows(batches):
             fold, sizes, ids, _, before, at = _tokens(row)
-            c1 = unpack(row["m1"], np.uint32).astype(np.float64) + unpack(row["o1"], np.uint32)
-            c2 = unpack(row["m2"], np.uint32).astype(np.float64) + unpack(row["o2"], np.uint32)
+            c1 = unpack(row["m1"], np.uint64).astype(np.float64) + unpack(row["o1"], np.uint64)
+            c2 = unpack(row["m2"], np.uint64).astype(np.float64) + unpack(row["o2"], np.uint64)
             w, h = c1[ids], c1[before]
             weight = weights[context_bucket(h)]
             p = weight[:, 0] * c2[at] / np.maximum(h, 1) + weight[:, 1] * w / max(1, n) + weight[:, 2] / (v + 1)
