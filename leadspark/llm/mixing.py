@@ -67,7 +67,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3
     added = ("size", "source_size", "target", "repeats", "taken")
     keep = [c for c in docs.columns if c not in added]
     size = word_count(F.col("text")) if size is None else size
-    sized = materialize(docs.select("doc_id", "source", size.alias("size")), "mix")
+    tie = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))) if "text" in docs.columns else F.lit(b"")
+    sized = materialize(docs.select("doc_id", "source", size.alias("size"), tie.alias("tie")), "mix")
     if bucket_digits is None:
         bucket_digits = max(3, math.ceil(math.log(max(1, sized.count() / 100_000), 16)))
     rank = order_key(F.col("doc_id"), seed)
@@ -84,16 +85,31 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3
     cut = t.join(c, F.col("t.source").eqNullSafe(F.col("c.source")) & (F.col("_start") <= F.col("_rest")) & (F.col("_start") + F.col("_part") > F.col("_rest"))).select(
         F.col("t.source").alias("_source"), "_bucket", "_start", "_rest")
     inside = sized.join(cut, F.col("source").eqNullSafe(F.col("_source")) & (bucket == F.col("_bucket")))
-    place = F.struct(rank.alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"))
-    run = Window.partitionBy("_source", "_bucket").orderBy(rank, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("_before", F.col("_start") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    last = inside.where(2 * F.col("_before") + F.col("size") <= 2 * F.col("_rest")).groupBy("_source").agg(F.max(place).alias("_last"))
+    # equal rows (one id and text) are one entry with their number; the last entry that is taken gives some of its rows
+    inside = inside.groupBy("_source", "_bucket", "_start", "_rest", rank.alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"), F.col("tie").alias("t")).agg(F.count("*").alias("n"))
+    run = Window.partitionBy("_source", "_bucket").orderBy("k", "d", "s", "t").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_free", F.col("_rest") - F.col("_start") - F.coalesce(F.sum(F.col("s") * F.col("n")).over(run), F.lit(0)))
+    fits = F.when(F.col("s") == 0, F.when(F.col("_free") >= 0, F.col("n")).otherwise(0)).otherwise(F.least(F.col("n"), F.floor((2 * F.col("_free") - F.col("s")) / (2 * F.col("s"))) + 1))
+    last = inside.withColumn("_fits", fits).where("_fits > 0").groupBy("_source").agg(F.max(F.struct("k", "d", "s", "t", F.col("_fits").alias("f"), "n")).alias("_last"))
     cut = cut.alias("c").join(last.alias("l"), F.col("c._source").eqNullSafe(F.col("l._source")), "left").select("c._source", "c._bucket", "l._last")
     plan = targets.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").select(
-        F.col("source").alias("_leadspark_source"), "source_size", "target", F.col("_whole").alias("_leadspark_whole"), F.col("_bucket").alias("_leadspark_cut"), F.col("_last").alias("_leadspark_last"))
+        F.col("source").alias("_leadspark_source"), "source_size", "target", F.col("_whole").alias("_leadspark_whole"), F.col("_bucket").alias("_leadspark_cut"),
+        F.when(F.col("_last").isNotNull(), F.struct("_last.k", "_last.d", "_last.s", "_last.t")).alias("_leadspark_last"), F.when(F.col("_last.f") < F.col("_last.n"), F.col("_last.f")).alias("_leadspark_few"))
     plan = materialize(plan, "plan")
+    some = plan.where("_leadspark_few is not null").limit(1).count() > 0
     plan = F.broadcast(plan) if plan.count() <= max_broadcast else plan  # a row per source
     out = docs.select(*keep, size.alias("size")).join(plan, F.col("source").eqNullSafe(F.col("_leadspark_source")), "left")
-    extra = F.coalesce((bucket < F.col("_leadspark_cut")) | ((bucket == F.col("_leadspark_cut")) & (place <= F.col("_leadspark_last"))), F.lit(False))
-    repeats = F.col("_leadspark_whole") + extra.cast("int")
-    return out.select(*keep, "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"))
+    place = F.struct(rank.alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"), tie.alias("t"))
+    in_cut = bucket == F.col("_leadspark_cut")
+    extra = F.coalesce((bucket < F.col("_leadspark_cut")) | (in_cut & (place <= F.col("_leadspark_last"))), F.lit(False))
+
+    def taken(rows: DataFrame, extra: Column) -> DataFrame:
+        repeats = F.col("_leadspark_whole") + extra.cast("int")
+        return rows.select(*keep, "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"))
+
+    if not some:
+        return taken(out, extra)
+    # of equal rows at the end of a source's share, the first few are taken: they alone are numbered
+    equal = F.coalesce(F.col("_leadspark_few").isNotNull() & in_cut & (place == F.col("_leadspark_last")), F.lit(False))
+    number = F.row_number().over(Window.partitionBy("_leadspark_source").orderBy("size"))
+    return taken(out.where(~equal), extra).unionByName(taken(out.where(equal).withColumn("_leadspark_i", number), F.col("_leadspark_i") <= F.col("_leadspark_few")))

@@ -20,7 +20,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS tie, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
  w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, source_size * 3.0::DOUBLE AS cap FROM s),
  l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
@@ -30,7 +30,7 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
        / (sum(w) OVER () - sum(CASE WHEN capped THEN w ELSE 0 END) OVER ()) * w) END AS target FROM c),
  u AS (SELECT *, CAST(floor(CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END) AS INTEGER) AS whole FROM t),
  r AS (SELECT doc_id, size, source_size, target, whole,
-       coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+       coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id NULLS FIRST, size, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
        FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
 SELECT doc_id, size, source_size, target, CAST(repeats * size AS BIGINT) AS taken, repeats FROM (
  SELECT *, whole + CASE WHEN source_size > 0 AND 2 * before + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END AS repeats FROM r)
