@@ -245,6 +245,9 @@ def linked(docs: DataFrame, percent: int = 85, k: int = 4, block: int = 1000, sh
         return found
 
     links = verified(dealt)
+    repeated = _repeated(own, sets)
+    if repeated is not None:
+        links = materialize(links.unionByName(repeated), "links")
     comp = components(links)
     if groups.where("_m > 1").limit(1).count():
         more = verified(_apart(members, groups, comp, block, shingles))
@@ -258,6 +261,18 @@ def linked(docs: DataFrame, percent: int = 85, k: int = 4, block: int = 1000, sh
     return out.unionByName(rest)
 
 
+def _repeated(own: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(a, b): edges between the representatives of the sets that rows of one doc_id have; None where each id has one set."""
+    several = own.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi"), F.count("*").alias("_n")).where("lo <> hi").select("doc_id", "_n")
+    several = materialize(several, "several")
+    if not several.limit(1).count():
+        return None
+    each = meet(own.select("doc_id", "s1", "s2"), several, ["doc_id"], "_n", ["s1", "s2"]).distinct()
+    each = materialize(meet(each, sets.select("s1", "s2", "x", "_copies"), ["s1", "s2"], "_copies", ["doc_id"]).select("doc_id", "x").distinct(), "each")
+    first = materialize(each.groupBy("doc_id").agg(F.min("x").alias("a"), F.count("*").alias("_n")), "first")
+    return meet(each, first, ["doc_id"], "_n", ["x"]).select("a", F.col("x").alias("b")).where("a <> b").distinct()
+
+
 def _apart(members: DataFrame, groups: DataFrame, comp: DataFrame, block: int, shingles: int) -> DataFrame:
     """Tasks for the groups in several parts: each member outside of its group's largest component with all members of other components."""
     several = materialize(groups.where("_m > 1").select("g", "_n"), "several")
@@ -277,12 +292,13 @@ def _apart(members: DataFrame, groups: DataFrame, comp: DataFrame, block: int, s
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """Of each group of linked documents (and of copies), the row with the smallest doc_id; all rows without links stay.
 
-    Of rows with the same doc_id one stays; rows without doc_id all stay.
+    Of rows with the same doc_id that of the least MD5 of its text stays; rows without doc_id all stay.
     """
     found = materialize(linked(docs, **options).where("doc_id is not null"), "linked")
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     copies = found.where("component_id <> doc_id").select("doc_id")
     alone = without(docs, copies.unionByName(repeated))
-    # rows that repeat an id are few: one of each is put back
-    once = docs.join(repeated.join(copies, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return alone.unionByName(once)
+    # one row of each id that repeats is put back, the same whatever the order: a minimum, combined before the shuffle
+    once = docs.join(repeated.join(copies, "doc_id", "left_anti"), "doc_id", "left_semi")
+    key = F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"), F.xxhash64(*docs.columns).alias("h"))
+    return alone.unionByName(once.groupBy(F.col("doc_id").alias("_leadspark_id")).agg(F.min_by(F.struct(*docs.columns), key).alias("_leadspark_row")).select("_leadspark_row.*"))
