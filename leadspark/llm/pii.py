@@ -98,7 +98,8 @@ def disclosures(docs: DataFrame, texts: DataFrame, held: DataFrame, alpha: float
     n_e = materialize(n_e.withColumn("most", F.pow(F.col("n_e"), F.lit(generalise)) * F.pow(F.lit(float(total)), F.lit(1 - generalise)) * (1 + 1e-9)), "entities")
     known = materialize(held.join(n_e, "entity"), "held")
     most = known.groupBy("t").agg(F.max("most").alias("_most"))
-    rare = words.select("t", "copies", F.explode("terms").alias("term")).join(most, "t").join(n_t, "term").where(F.col("n_t") <= F.col("_most"))
+    top = n_e.agg(F.max("most")).first()[0] or 0.0  # terms of more documents disclose nothing
+    rare = words.select("t", "copies", F.explode("terms").alias("term")).join(most, "t").join(n_t.where(F.col("n_t") <= top), "term").where(F.col("n_t") <= F.col("_most"))
     pairs = rare.join(known, "t").where(F.col("n_t") <= F.col("most"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts_te"), *(F.first(c).alias(c) for c in ("n_t", "n_e", "texts_e", "m")))
     share = 1 - F.ln(F.greatest(F.lit(1.0), F.col("n_t") / F.col("n_te"))) / F.greatest(F.lit(1e-9), F.ln(total / F.col("n_e")))
@@ -115,7 +116,11 @@ def find(docs: DataFrame, alpha: float = 0.05, remove: float = 0.95, generalise:
     texts = materialize(texts_with(docs, found), "texts")
     held = materialize(found.select("t", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct(), "pairs")
     shown = disclosures(docs, texts, held, alpha, generalise)
-    telling = materialize(held.join(shown, "entity").groupBy("t", F.col("term").alias("_term")).agg((F.max("disclosure") >= remove).alias("remove")), "telling")
+    # only terms that a text holds: as many rows as texts have telling terms, and not texts of an entity times its terms
+    shown = materialize(shown, "shown")
+    occur = texts.select("t", F.explode(_terms(F.col("text"))).alias("term")).join(shown.select("term").distinct(), "term")
+    telling = occur.join(held, "t").join(shown, ["entity", "term"]).groupBy("t", F.col("term").alias("_term")).agg((F.max("disclosure") >= remove).alias("remove"))
+    telling = materialize(telling, "telling")
     pieces = texts.join(telling.select("t").distinct(), "t", "left_semi").select("t", F.split("text", TERM, -1).alias("p"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"))
     pieces = pieces.select("t", "p", F.posexplode("m").alias("i", "word")).select("t", "i", "word", F.length(F.get("p", F.col("i"))).alias("_n"))
     so_far = Window.partitionBy("t").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # one text
