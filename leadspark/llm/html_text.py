@@ -38,6 +38,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ins", "del", "label"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head"}
 BOILERPLATE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Those that say so as a part of a hyphenated word too, unless another part turns the meaning; an `entry-header` holds the title.
+BOILERPLATE_PARTS = BOILERPLATE_WORDS - {"header", "banner", "notice"}
+TURNS = {"no", "not", "has", "with", "without", "is", "hide", "off"}
 #: Elements that frame the content: class words say nothing about them.
 FRAME = {"html", "body", "main", "article"}
 REGION = "article"
@@ -64,9 +67,17 @@ def tokens(page: str) -> list[tuple[int, str, str, bool]]:
     return found
 
 
+def _says(word: str) -> bool:
+    """Whether a class word names boilerplate, as a whole or in a part between hyphens or underscores."""
+    if word in BOILERPLATE_WORDS:
+        return True
+    parts = word.replace("_", "-").split("-")
+    return len(parts) > 1 and TURNS.isdisjoint(parts) and not BOILERPLATE_PARTS.isdisjoint(parts)
+
+
 def _labelled(tag: str) -> bool:
-    """Whether a whole word of the tag's class, id, role or label names boilerplate."""
-    return any(not BOILERPLATE_WORDS.isdisjoint(v.strip("\"'").lower().split()) for k, v in ATTRIBUTE.findall(tag) if k.lower() in LABELS)
+    """Whether a word of the tag's class, id, role or label names boilerplate."""
+    return any(any(map(_says, v.strip("\"'").lower().split())) for k, v in ATTRIBUTE.findall(tag) if k.lower() in LABELS)
 
 
 def _tokens(page: str, large: frozenset[int], spans: dict[int, list[int]]):

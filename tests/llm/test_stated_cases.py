@@ -241,3 +241,10 @@ def test_rows_without_id_and_repeated_ids_are_decontaminated(spark):
 def test_the_mix_does_not_depend_on_its_buckets(docs):
     one, two = (sorted(map(str, rows(mixing.mix(docs, bucket_digits=n)))) for n in (1, 5))
     assert one == two
+
+
+@pytest.mark.parametrize(("name", "kept"), [("site-footer", False), ("ad-slot", False), ("comment-list", False), ("cookie-notice", False), ("related-posts", False), ("post_comments", False), ("entry-header", True), ("content-no-sidebar", True), ("adventure", True), ("story-body", True)])
+def test_parts_of_class_words_inside_an_article(name, kept):
+    page = f"<body><article><p>{ARTICLE}</p><div class='{name}'>some words that follow here</div><p>{ARTICLE}</p></article></body>"
+    for weights in ({}, {"w:article": 2.0, "w:p": 1.0, "w:div": 1.0, "t:p": -0.2, "t:div": -0.2}):
+        assert html_text.extract(page, weights, -0.2) == " ".join([ARTICLE, *(["some words that follow here"] if kept else []), ARTICLE])
