@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from leadspark.functions import fields as f
 from leadspark.functions.text import normalize_key, trim
+from leadspark.operators.quantiles import quantiles, with_quantiles
 
 
 def unpivot(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -173,7 +174,9 @@ def history_distribution(history: DataFrame) -> DataFrame:
 def history_numeric_stats(history: DataFrame, columns: list[str]) -> DataFrame:
     """(field, outcome, n, min, max, mean, median); blanks and non-numbers are left out."""
     long = history.select("outcome", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").try_cast("double").alias("v")) for c in columns))).alias("r")).select("outcome", "r.field", "r.v").where("v is not null")
-    return long.groupBy("field", "outcome").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), (F.floor(F.avg("v") * 100 + 0.5) / 100).alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"))
+    by = ["field", "outcome"]
+    stats = long.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), (F.floor(F.avg("v") * 100 + 0.5) / 100).alias("mean"))
+    return with_quantiles(stats, quantiles(long, by, "v", {"median": (0.5, "linear")}), by)
 
 
 def leakage_check(history: DataFrame, column: str, outcome: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions import signals as g
 from leadspark.functions.text import normalize_key
+from leadspark.operators.quantiles import quantiles, with_quantiles
 from leadspark.scratch import materialize
 
 
@@ -20,8 +21,10 @@ def benchmark_metrics(rows: DataFrame) -> DataFrame:
     """One row from parsed outcomes (payload, latency_ms): success and schema rates, latency of successes, evidence rate."""
     ok = F.coalesce(F.col("payload.success"), F.lit(False))
     extracted, proven = F.sum(g.fields_extracted(F.col("payload"))), F.sum(g.fields_with_evidence(F.col("payload")))
-    return rows.agg(F.count("*").alias("requests"), _rate(F.count_if(ok), F.count("*")).alias("success_rate"), _rate(F.count_if(F.col("payload.schema_valid")), F.count("*")).alias("schema_rate"), F.avg(F.when(ok, F.col("latency_ms"))).alias("mean_ms"),
-                    F.percentile(F.when(ok, F.col("latency_ms")), F.lit(0.5)).alias("median_ms"), extracted.alias("fields_extracted"), proven.alias("fields_with_evidence"), _rate(proven, extracted).alias("evidence_rate"))
+    median = quantiles(rows.select(F.when(ok, F.col("latency_ms")).alias("ms")), [], "ms", {"median_ms": (0.5, "linear")})
+    stats = rows.agg(F.count("*").alias("requests"), _rate(F.count_if(ok), F.count("*")).alias("success_rate"), _rate(F.count_if(F.col("payload.schema_valid")), F.count("*")).alias("schema_rate"), F.avg(F.when(ok, F.col("latency_ms"))).alias("mean_ms"),
+                     extracted.alias("fields_extracted"), proven.alias("fields_with_evidence"), _rate(proven, extracted).alias("evidence_rate"))
+    return with_quantiles(stats, median, [])
 
 
 def availability(rows: DataFrame) -> DataFrame:
@@ -29,8 +32,9 @@ def availability(rows: DataFrame) -> DataFrame:
     e = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
     share = lambda cond: _rate(F.count_if(F.coalesce(cond, F.lit(False))), F.count("*"))
     x = F.col("latency_ms")
-    return rows.agg(F.count("*").alias("attempts"), share(F.col("ok")).alias("ok_rate"), share(g.is_rate_limit(e)).alias("rate_limited"), share(g.is_timeout(e)).alias("timeouts"), F.avg(x).alias("mean_ms"), F.percentile(x, F.lit(0.5)).alias("median_ms"),
-                    F.min(x).alias("min_ms"), F.max(x).alias("max_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p95_ms"))
+    places = quantiles(rows, [], "latency_ms", {"median_ms": (0.5, "linear"), "p95_ms": (0.95, "nearest")}).withColumn("p95_ms", F.col("p95_ms").cast("long"))
+    stats = rows.agg(F.count("*").alias("attempts"), share(F.col("ok")).alias("ok_rate"), share(g.is_rate_limit(e)).alias("rate_limited"), share(g.is_timeout(e)).alias("timeouts"), F.avg(x).alias("mean_ms"), F.min(x).alias("min_ms"), F.max(x).alias("max_ms"))
+    return with_quantiles(stats, places, [])
 
 
 def _class(name: str, gold: Column, pred: Column) -> Column:

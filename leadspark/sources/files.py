@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from leadspark.functions.fields import normalize_sender
 from leadspark.functions.text import trim
 from leadspark.operators.ingest import RAW
+from leadspark.sources import splits
 
 MESSAGE = "struct<emisor:string,sender:string,rol:string,role:string,tipo:string,hora:string,hour:string,time:string,texto:string,text:string,mensaje:string,message:string>"
 CHAT = f"conversacion_id string, conversation_id string, id string, lead_id string, canal string, channel string, fecha_inicio string, started_at string, mensajes array<{MESSAGE}>, messages array<{MESSAGE}>"
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """All-string rows of a UTF-8 CSV file (byte-order mark or not) by header name, with row_number in file order.
+    """All-string rows of UTF-8 CSV files (byte-order mark or not) by header name, with row_number 1, 2, ... in file order.
 
-    Missing columns are null, others are left out. The order is the reader's: by file and offset.
+    Missing columns are null, others are left out. Quoted fields may hold line breaks; a large file takes many tasks
+    (splits.records). Files under path, by name, have one header each, like that of the first, and are numbered on.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
-    names = {c.lstrip("﻿").strip(): c for c in raw.columns}
-    return raw.select(*((F.col(f"`{names[c]}`") if c in names else F.lit(None)).cast("string").alias(c) for c in columns)).withColumn("row_number", F.monotonically_increasing_id() + 1)
+    found = splits.records(spark, path, splits.Lines())
+    head = found.where("number = 0").orderBy("file").select("text").first()
+    if head is None:
+        return spark.createDataFrame([], ", ".join([*(f"{c} string" for c in columns), "row_number long"]))
+    names = [c.strip() for c in next(csv.reader([head.text]))]
+    fields = StructType([StructField(f"_{i}", StringType()) for i in range(len(names))])
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    offsets = found.groupBy("file").agg(F.max("number").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    rows = found.where("number > 0").withColumn("_r", F.from_csv("text", fields.simpleString()[7:-1].replace(":", " "), {"escape": '"', "multiLine": "true"})).join(F.broadcast(offsets), "file")
+    at = {c: i for i, c in reversed(list(enumerate(names)))}
+    return rows.select(*((F.col(f"_r._{at[c]}") if c in at else F.lit(None).cast("string")).alias(c) for c in columns), (F.col("number") + F.col("_before")).alias("row_number"))
 
 
 def read_leads_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -35,9 +49,10 @@ def coalesce_aliases(names: list[str], prefix: str = "") -> Column:
 def read_conversations_json(spark: SparkSession, path: str) -> DataFrame:
     """(conversation_id, lead_id, channel, started_at, messages) of a JSON array; objects without an id and other items are skipped.
 
-    messages: array of (seq, sender, hour, text); seq is the place in the source array.
+    messages: array of (seq, sender, hour, text); seq is the place in the source array. A large array takes many tasks
+    (splits.records).
     """
-    raw = spark.read.schema(CHAT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    raw = splits.records(spark, path, splits.Objects()).select(F.from_json("text", CHAT, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
     message = lambda m, i: F.when(m.isNotNull(), F.struct((i + 1).alias("seq"), normalize_sender(F.coalesce(m["emisor"], m["sender"], m["rol"], m["role"], m["tipo"])).alias("sender"),
                                                           F.coalesce(m["hora"], m["hour"], m["time"], F.lit("")).alias("hour"), F.coalesce(m["texto"], m["text"], m["mensaje"], m["message"], F.lit("")).alias("text")))
     out = raw.select(trim(coalesce_aliases(["conversacion_id", "conversation_id", "id"])).alias("conversation_id"), "lead_id", coalesce_aliases(["canal", "channel"]).alias("channel"), coalesce_aliases(["fecha_inicio", "started_at"]).alias("started_at"),

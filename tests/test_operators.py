@@ -1,5 +1,6 @@
 """Assignment, scoring, identity and versions against plain restatements."""
 
+import math
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions.similarity import jaro_winkler_value
 from leadspark.operators import assign, evaluate, identity, ingest, models, scoring, signals, views
+from leadspark.operators.quantiles import quantiles
 from leadspark.scratch import components, ranked
 
 
@@ -204,3 +206,20 @@ def test_mentions_anywhere_in_texts_equal_brute_force(spark, piece):
     rows = [tuple(x) for x in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert signals.mentions(spark.createDataFrame(texts, "id long, at int, text string"), spark.createDataFrame([], "line string")).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1024, 3])
+def test_quantiles_equal_a_sort_of_each_group(spark, ranges):
+    r = random.Random(9)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.choice([None, 0.0, 1.5, -3.0, r.gauss(0, 1e6), r.random() * 1e-9, float(r.randrange(10))])) for _ in range(3000)] + [("one", 4.0), ("none", None), ("big", 1e308), ("big", -1e308), ("big", 7.0)]
+    got = {x.g: x for x in quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", {"median": (0.5, "linear"), "tenth": (0.1, "linear"), "p95": (0.95, "nearest")}, ranges).collect()}
+    assert set(got) == {"a", "b", None, "one", "big"}
+    for g, x in got.items():
+        v = sorted(b for a, b in rows if a == g and b is not None)
+        def linear(share):
+            place = share * (len(v) - 1)
+            low, high = v[math.floor(place)], v[math.ceil(place)]
+            return low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high
+        assert (x.median, x.tenth, x.p95) == (linear(0.5), linear(0.1), v[math.ceil(0.95 * len(v)) - 1]), g
+    assert quantiles(spark.createDataFrame(rows, "g string, v double"), [], "v", {"m": (0.5, "linear")}).count() == 1
+    assert quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", {"m": (0.5, "linear")}).count() == 0

@@ -1,8 +1,60 @@
 """Readers and writers on small files."""
 
+import csv
+import io
 import json
+import random
 
-from leadspark.sources import files
+import pytest
+
+from leadspark.sources import files, splits
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Byte ranges of 300 bytes, a task each."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_csv_over_many_ranges_keeps_rows_and_numbers(spark, tmp_path, small_ranges, seed):
+    r = random.Random(seed)
+    value = lambda: r.choice(["", "plain", "with, comma", 'a "quoted" word', "two\nlines", "three\n\n\nlines", "x" * r.randrange(700), "é ñ", "\r\nbreak"])
+    rows = [[f"LD-{i}", value(), value()] for i in range(120)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator=r.choice(["\n", "\r\n"]), quoting=r.choice([csv.QUOTE_MINIMAL, csv.QUOTE_ALL])).writerows([["lead_id", "telefono", "ciudad"], *rows])
+    p = tmp_path / "leads.csv"
+    p.write_bytes(b"\xef\xbb\xbf" + out.getvalue().encode())
+    df = files.read_csv(spark, str(p), ("lead_id", "telefono", "ciudad", "email"))
+    got = {x.row_number: [x.lead_id, x.telefono or "", x.ciudad or ""] for x in df.collect()}
+    assert got == {i: x for i, x in enumerate(rows, 1)}
+    assert spark.read.text(str(p)).rdd.getNumPartitions() > 10
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_json_array_over_many_ranges_keeps_objects_and_skips_other_items(spark, tmp_path, small_ranges, indent):
+    r = random.Random(3)
+    text = lambda: r.choice(["hola", 'a "b" } {', "back\\slash\\", "[{]}", "x" * r.randrange(900), "} \\\" ] é", "", "line\nbreak"])
+    talks = [{"conversation_id": f"C{i}", "lead_id": f"L{i}", "messages": [{"emisor": "cliente", "texto": text()} for _ in range(r.randrange(4))]} for i in range(60)]
+    items = []
+    for t in talks:
+        items += [*r.choice([[], [5], ["} text {"], [[1, {"conversation_id": "nested"}]], [None]]), t]
+    p = tmp_path / "talks.json"
+    p.write_text(json.dumps([*items, "end", [{}]], indent=indent, ensure_ascii=False))
+    got = {x.conversation_id: (x.lead_id, [m.text for m in x.messages]) for x in files.read_conversations_json(spark, str(p)).collect()}
+    assert got == {t["conversation_id"]: (t["lead_id"], [m["texto"] for m in t["messages"]]) for t in talks}
+    assert splits.records(spark, str(p), splits.Objects()).count() == 60 and spark.read.option("lineSep", "}").text(str(p)).rdd.getNumPartitions() > 10
+
+
+def test_empty_files_have_no_records(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "none.json").write_text(" [ ] ")
+    assert files.read_leads_csv(spark, str(tmp_path / "none.csv")).count() == 0 and files.read_conversations_json(spark, str(tmp_path / "none.json")).count() == 0
 
 
 def test_leads_csv(spark, tmp_path):
