@@ -76,6 +76,12 @@ def weak_labels(talks: DataFrame, catalog: DataFrame | None = None) -> DataFrame
     return t.withColumn("confidence", confidence).drop("_texts", "_t", "_models")
 
 
+def labels_as_extractions(labels: DataFrame) -> DataFrame:
+    """Weak labels of linked conversations as rows for consolidate(): without evidence, in the order of their conversation_id."""
+    proof = {f"{n}_evidence": F.lit(None).cast("string") for n in ("forma_pago", "objecion", "presupuesto", "cuota_inicial")}
+    return labels.where("lead_id is not null").withColumns(proof).withColumn("extraction_id", F.col("conversation_id"))
+
+
 def mentions(texts: DataFrame, lines: DataFrame, piece: int = 2000, max_broadcast: int = 200_000) -> DataFrame:
     """(id, at, line): which of lines (line, distinct) each of texts (id, at, text) holds, anywhere and inside of words too.
 

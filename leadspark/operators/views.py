@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadspark.functions import fields as f
 from leadspark.functions.text import contains_ci
 from leadspark.operators.ingest import latest_current
+from leadspark.scratch import materialize, meet
 
 UNKNOWN = "Desconocido"
 
@@ -105,19 +106,33 @@ def lead_detail(leads: DataFrame, scores: DataFrame, assignments: DataFrame, tal
 
 
 def status_transitions(leads: DataFrame, events: DataFrame) -> DataFrame:
-    """leads (lead_id, status, closed_at, close_reason) after events (lead_id, new_status, reason, at), one per lead; with rejected.
+    """leads (lead_id, status, closed_at, close_reason) after all events (lead_id, new_status, reason, at, event_id), in order of at and event_id; with applied, unknown and reopenings (how many of each).
 
-    Rejected: an unknown status, and reopening a terminal lead. Closing sets closed_at once and a reason (the given one,
-    else the stored one, else Otro); an open status clears both.
+    An unknown status is rejected, and so is reopening a terminal lead. Closing sets closed_at once and a reason (the
+    given one, else the stored one, else Otro); an open status clears both. Events without a time come first.
+
+    A lead that is terminal stays so, hence a run of events is summed up by its first terminal event, the last open one
+    before it, and the last terminal one and last valid reason from there on: minima and maxima that combine in any order,
+    so a lead's events are neither sorted nor collected. The first terminal event is found first; then all others are
+    judged by it.
     """
-    e = events.select("lead_id", "new_status", "reason", "at")
-    x = leads.join(e, "lead_id", "left")
-    rejected = F.when(F.col("new_status").isNotNull() & ~f.is_known_status(F.col("new_status")), "unknown_status").when(F.col("new_status").isNotNull() & f.is_terminal(F.col("status")) & f.is_open(F.col("new_status")), "reopening")
-    go = F.col("new_status").isNotNull() & F.col("rejected").isNull()
-    end = go & f.is_terminal(F.col("new_status"))
-    x = x.withColumn("rejected", rejected)
-    return x.select("lead_id", F.when(go, F.col("new_status")).otherwise(F.col("status")).alias("status"), F.when(end, F.coalesce("closed_at", "at")).when(go, None).otherwise(F.col("closed_at")).alias("closed_at"),
-                    F.when(end, F.coalesce(f.normalize_close_reason(F.col("reason")), f.normalize_close_reason(F.col("close_reason")), F.lit("Otro"))).when(go, None).otherwise(F.col("close_reason")).alias("close_reason"), "rejected")
+    e = events.select("lead_id", "new_status", "reason", F.struct("at", "event_id").alias("_at"))
+    known, ends = f.is_known_status(F.col("new_status")), f.is_terminal(F.col("new_status"))
+    first = e.groupBy("lead_id").agg(F.min(F.when(ends, F.col("_at"))).alias("_first"), F.count("*").alias("_n"))
+    start = materialize(first.join(leads.select("lead_id", f.is_terminal(F.col("status")).alias("_ended")), "lead_id"), "first")
+    x = meet(e, start, ["lead_id"], "_n", ["_at", "new_status"])
+    late = F.col("_ended") | F.coalesce(F.col("_at") > F.col("_first"), F.lit(False))
+    opened, closed = known & ~ends & ~late, ends
+    reason = f.normalize_close_reason(F.col("reason"))
+    sums = x.groupBy("lead_id").agg(
+        F.max_by(F.when(opened, F.col("new_status")), F.when(opened, F.col("_at"))).alias("_open"), F.max_by(F.when(closed, F.col("new_status")), F.when(closed, F.col("_at"))).alias("_end"), F.min(F.when(closed, F.col("_at"))).alias("_first"),
+        F.max_by(F.when(closed & reason.isNotNull(), reason), F.when(closed & reason.isNotNull(), F.col("_at"))).alias("_reason"),
+        F.count_if(opened | closed).alias("applied"), F.count_if(~known).alias("unknown"), F.count_if(known & ~ends & late).alias("reopenings"))
+    y = leads.select("lead_id", "status", "closed_at", "close_reason").join(sums, "lead_id", "left")
+    cleared, end = F.col("_open").isNotNull(), F.col("_end").isNotNull()
+    old_time, old_reason = F.when(~cleared, F.col("closed_at")), F.when(~cleared, F.col("close_reason"))
+    return y.select("lead_id", F.coalesce("_end", "_open", "status").alias("status"), F.when(end, F.coalesce(old_time, F.col("_first.at"))).otherwise(old_time).alias("closed_at"),
+                    F.when(end, F.coalesce("_reason", f.normalize_close_reason(old_reason), F.lit("Otro"))).otherwise(old_reason).alias("close_reason"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("applied", "unknown", "reopenings")))
 
 
 def page(rows: DataFrame, order: list, number: int, size: int = 50) -> tuple[DataFrame, int, int, int]:

@@ -835,12 +835,25 @@ def j19_x02_lead_detail(spark, d):
     return views.lead_detail(n, s, assignments(spark, d), talks(spark, d)).select("lead_id", "band", "advisor_id", "priority_rank", "conversations")
 
 
-@query(o.with_leads("""SELECT lead_id, CASE WHEN k % 4 = 0 THEN CASE WHEN status = 'Descartado' THEN status ELSE 'En proceso' END WHEN k % 4 = 1 THEN 'Cerrado' ELSE status END AS status, CASE WHEN k % 4 = 1 THEN 'Otro' END AS close_reason,
- CASE WHEN k % 4 = 0 AND status = 'Descartado' THEN 'reopening' WHEN k % 4 = 2 THEN 'unknown_status' END AS rejected FROM (SELECT *, cast(substr(lead_id, 4) AS bigint) AS k FROM leads)"""))
+#: Up to four events a lead, unknown ones, reopenings and further closings among them.
+EVENTS = """
+ pairs_of(m, i) AS (VALUES (1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2), (4, 3)),
+ numbered AS (SELECT lead_id, cast(substr(lead_id, 4) AS bigint) AS k FROM leads),
+ moves AS (SELECT lead_id, i AS event_id, split_part('En proceso,Cerrado,Inventado,Contactado,Descartado,No contesta,Perdido', ',', cast((k * 5 + i * (k % 3 + 1)) % 7 + 1 AS int)) AS new_status,
+  split_part('Otro,Cliente desistió,sin motivo', ',', cast((k + i) % 3 + 1 AS int)) AS reason, cast(concat('2026-09-0', cast(1 + cast(floor(i / 2) AS int) AS string)) AS timestamp) AS moved_at FROM numbered JOIN pairs_of ON m = k % 5)"""
+CLOSED, KNOWN = ", ".join(map(o.quoted, f.TERMINAL)), ", ".join(map(o.quoted, (*f.OPEN, *f.TERMINAL)))
+
+
+@query(o.with_leads(f"""SELECT lead_id, status, strftime(closed_at, '%Y-%m-%d') AS closed, close_reason, applied, unknown, reopenings FROM walk WHERE i = (SELECT count(*) FROM moves WHERE moves.lead_id = walk.lead_id)""", EVENTS.replace("AS string", "AS varchar"), f"""
+ stepped AS (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY moved_at, event_id) AS n, new_status IN ({KNOWN}) AS known, new_status IN ({CLOSED}) AS ends, CASE WHEN reason IN ({', '.join(map(o.quoted, f.CLOSE_REASONS))}) THEN reason END AS good FROM moves),
+ walk AS (SELECT lead_id, 0 AS i, status, NULL::TIMESTAMP AS closed_at, NULL::VARCHAR AS close_reason, 0 AS applied, 0 AS unknown, 0 AS reopenings FROM leads
+  UNION ALL SELECT w.lead_id, w.i + 1, CASE WHEN ok THEN new_status ELSE w.status END, CASE WHEN ok AND ends THEN coalesce(w.closed_at, moved_at) WHEN ok THEN NULL ELSE w.closed_at END, CASE WHEN ok AND ends THEN coalesce(good, w.close_reason, 'Otro') WHEN ok THEN NULL ELSE w.close_reason END,
+   applied + ok::INT, unknown + (NOT known)::INT, reopenings + (known AND NOT ok)::INT FROM (SELECT w.*, s.new_status, s.moved_at, s.known, s.ends, s.good, known AND (ends OR coalesce(w.status, '') NOT IN ({CLOSED})) AS ok FROM walk w JOIN stepped s ON s.lead_id = w.lead_id AND s.n = w.i + 1) w)"""))
 def u08_f34_status_transitions(spark, d):
-    n = leads(spark, d).select("lead_id", "status").withColumns({"closed_at": F.lit(None).cast("timestamp"), "close_reason": F.lit(None).cast("string"), "k": F.substring("lead_id", 4, 20).cast("long")})
-    events = n.where("k % 4 < 3").select("lead_id", F.expr("case k % 4 when 0 then 'En proceso' when 1 then 'Cerrado' else 'Inventado' end").alias("new_status"), F.lit("sin motivo").alias("reason"), F.lit("2026-09-01").cast("timestamp").alias("at"))
-    return views.status_transitions(n.drop("k"), events).drop("closed_at")
+    n = leads(spark, d).select("lead_id", "status").withColumns({"closed_at": F.lit(None).cast("timestamp"), "close_reason": F.lit(None).cast("string")})
+    n = materialize(n, "statuses")
+    events = spark.sql("WITH " + EVENTS.replace("FROM leads", "FROM {n}") + " SELECT *, moved_at AS at FROM moves", n=n)
+    return views.status_transitions(n, events).withColumn("closed_at", F.date_format("closed_at", "yyyy-MM-dd")).withColumnRenamed("closed_at", "closed")
 
 
 @query(o.with_leads("SELECT lead_id, false AS is_current FROM decided UNION ALL SELECT lead_id, true FROM decided", *DECIDED))

@@ -223,3 +223,29 @@ def test_quantiles_equal_a_sort_of_each_group(spark, ranges):
         assert (x.median, x.tenth, x.p95) == (linear(0.5), linear(0.1), v[math.ceil(0.95 * len(v)) - 1]), g
     assert quantiles(spark.createDataFrame(rows, "g string, v double"), [], "v", {"m": (0.5, "linear")}).count() == 1
     assert quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", {"m": (0.5, "linear")}).count() == 0
+
+
+def test_transitions_equal_a_loop_over_each_leads_events(spark):
+    r = random.Random(2)
+    known, ends = {"Sin gestión", "Contactado", "En proceso", "Cerrado", "Perdido", "Descartado"}, {"Cerrado", "Perdido", "Descartado"}
+    leads = [(f"L{i}", r.choice([*sorted(known), None, "Raro"]), r.choice([None, "2020-01-01"]), r.choice([None, "Otro", "Cliente desistió"])) for i in range(200)]
+    events = [(f"L{r.randrange(210) if r.random() < 0.6 else 3}", r.choice([*sorted(known), "Inventado", None]), r.choice([None, " Otro ", "No interesado", "zzz"]), r.choice([None, f"2026-01-{r.randrange(1, 9):02d}"]), i) for i in range(900)]
+    want = {}
+    for lead, status, closed, reason in leads:
+        counts = [0, 0, 0]
+        for _, new, why, at, _ in sorted((e for e in events if e[0] == lead), key=lambda e: (e[3] or "", e[4])):
+            if new not in known:
+                counts[1] += 1
+            elif status in ends and new not in ends:
+                counts[2] += 1
+            else:
+                counts[0] += 1
+                good = lambda x: x.strip() if x and x.strip() in ("Otro", "No interesado", "Cliente desistió") else None
+                # a closing without a time leaves none, and the next one sets it: the first event's time counts as it is
+                closed, reason = (closed or at, good(why) or good(reason) or "Otro") if new in ends else (None, None)
+                status = new
+        want[lead] = (status, reason, *counts)
+    day = lambda c: F.col(c).cast("timestamp").alias(c)
+    got = views.status_transitions(spark.createDataFrame(leads, "lead_id string, status string, closed_at string, close_reason string").select("lead_id", "status", day("closed_at"), "close_reason"),
+                                   spark.createDataFrame(events, "lead_id string, new_status string, reason string, at string, event_id long").select("lead_id", "new_status", "reason", day("at"), "event_id"))
+    assert {x.lead_id: (x.status, x.close_reason, x.applied, x.unknown, x.reopenings) for x in got.collect()} == want

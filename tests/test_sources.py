@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from leadspark.sources import files, splits
+from leadspark.sources import files, published, splits
 
 
 @pytest.fixture
@@ -79,3 +79,20 @@ def test_catalog_advisors_and_tables(spark, tmp_path):
     assert (a.daily_capacity, a.active, a.start_date) == (5, True, None)
     files.write_tables({"t": spark.createDataFrame([("E", 1)], "company_id string, n int")}, f"file://{tmp_path}/out", by={"t": ["company_id"]})
     assert spark.read.parquet(f"file://{tmp_path}/out/t").first().n == 1 and files.file_hashes(spark, f"file://{tmp_path}/out/t/*/*.parquet").count() == 1
+
+
+def test_published_partitions_and_killed_runs(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    df = lambda rows: spark.createDataFrame(rows, "company_id string, run_date string, n int")
+    by, held = ["company_id", "run_date"], lambda v=None: sorted(tuple(r) for r in published.read(spark, path, v).select("company_id", "run_date", "n").collect())
+    assert published.publish(df([("E1", "d1", 1), ("E1", "d2", 2), ("E2", "d1", 3)]), path, by, "first") == 1
+    published.stage(df([("E1", "d1", 99)]), path, by, "killed")  # a run that ends before its manifest
+    assert held() == [("E1", "d1", 1), ("E1", "d2", 2), ("E2", "d1", 3)]
+    assert published.publish(df([("E1", "d1", 7), ("E1", "d1", 8), ("E3", "d1", 9)]), path, by, "second") == 2
+    assert held() == [("E1", "d1", 7), ("E1", "d1", 8), ("E1", "d2", 2), ("E2", "d1", 3), ("E3", "d1", 9)] and held(1) == [("E1", "d1", 1), ("E1", "d2", 2), ("E2", "d1", 3)]
+    late = published.stage(df([("E2", "d1", 0)]), path, by, "late")
+    with pytest.raises(RuntimeError):  # both began with version 1
+        published.commit(spark, path, late, 1)
+    assert published.publish(df([]), path, by) == 3 and len(held()) == 5
+    assert "company_id" in published.read(spark, path).where("company_id = 'E3'")._jdf.queryExecution().executedPlan().toString()
+    assert published.expire(spark, path, 1) == 1 and len(held()) == 5 and published.versions(spark, path) == [3]
