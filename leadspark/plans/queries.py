@@ -265,17 +265,26 @@ def u01_upsert_diff(spark, d):
 
 # scores and assignment
 
-def _score_sql() -> str:
-    p = PARAMS
+def _score_sql(p: dict = PARAMS, chats: bool = False) -> str:
+    """ref, sig, pts, urg and scored; with chats from the consolidated signals `con` too."""
     case = lambda k, table, default: f"CASE {k} " + " ".join(f"WHEN {o.quoted(a)} THEN {float(b)}::DOUBLE" for a, b in table.items()) + f" ELSE {float(default)}::DOUBLE END"
     q = p["quality_points"]
+    names = ("intencion_compra", "solicitud_cita", "solicitud_cotizacion", "presupuesto", "cuota_inicial", "forma_pago", "objecion")
+    said = ", ".join(f"n.{x}" for x in names) if chats else ", ".join(f"NULL::{'BOOLEAN' if x.startswith('solicitud') else 'DOUBLE' if x in g.AMOUNTS else 'VARCHAR'} AS {x}" for x in names)
+    rules = [("true", f"{float(p['base_gestionable'])}::DOUBLE", "'BASE_GESTIONABLE'"), (f"intencion_compra IN ({', '.join(map(o.quoted, p['intencion_points']))})", case("intencion_compra", p["intencion_points"], 0), "'INTENCION_' || upper(intencion_compra)"),
+             ("cita", f"{p['cita_points']}::DOUBLE", "'CLIENTE_PIDIO_CITA'"), ("coalesce(solicitud_cotizacion, false)", f"{p['cotizacion_points']}::DOUBLE", "'CLIENTE_PIDIO_COTIZACION'"), ("presupuesto >= list_price", f"{p['presupuesto_compatible_points']}::DOUBLE", "'PRESUPUESTO_COMPATIBLE'"),
+             ("presupuesto < list_price", f"({p['presupuesto_insuficiente_points']})::DOUBLE", "'PRESUPUESTO_INSUFICIENTE'"), (f"list_price > 0 AND cuota_inicial >= list_price * {p['cuota_suficiente_ratio']}::DOUBLE", f"{p['cuota_suficiente_points']}::DOUBLE", "'CUOTA_SUFICIENTE'"),
+             ("forma_pago IS NOT NULL", f"{p['forma_pago_points']}::DOUBLE", "'FORMA_PAGO_DECLARADA'"), ("objecion IS NOT NULL", case("objecion", p["objecion_points"], -5), "'OBJECION_' || upper(objecion)"),
+             ("list_price IS NOT NULL", o.half_up(f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, (list_price - {p['catalog_min_price']}::DOUBLE) / {p['catalog_max_price'] - p['catalog_min_price']}::DOUBLE)) * {float(p['ticket_max_points'])}::DOUBLE * {p['ticket_weight']}::DOUBLE"), "'TICKET_REGLA_NEGOCIO'")]
+    points = " + ".join(f"CASE WHEN {when} THEN {what} ELSE 0 END" for when, what, _ in rules)
+    codes = ", ".join(f"CASE WHEN {when} THEN {code} END" for when, _, code in rules)
     return f"""
  ref AS (SELECT max(registration_at) AS reference_at FROM leads),
- sig AS (SELECT l.*, c.list_price, floor((epoch_us(reference_at) - epoch_us(registration_at)) / 86400000000)::BIGINT AS days FROM leads l LEFT JOIN catalog c USING (sku), ref),
- pts AS (SELECT *, {o.clamp(f"{p['base_gestionable']}::DOUBLE + CASE WHEN list_price IS NOT NULL THEN " + o.half_up(f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, (list_price - {p['catalog_min_price']}::DOUBLE) / {p['catalog_max_price'] - p['catalog_min_price']}::DOUBLE)) * {float(p['ticket_max_points'])}::DOUBLE * {p['ticket_weight']}::DOUBLE") + " ELSE 0 END")} AS commercial,
+ sig AS (SELECT l.*, c.list_price::DOUBLE AS list_price, floor((epoch_us(reference_at) - epoch_us(registration_at)) / 86400000000)::BIGINT AS days, {said}, coalesce({'n.solicitud_cita' if chats else 'false'}, false) AS cita FROM leads l LEFT JOIN catalog c USING (sku) {'LEFT JOIN con n USING (lead_id)' if chats else ''}, ref),
+ pts AS (SELECT *, {o.clamp(points)} AS commercial, array_to_string(list_filter([{codes}], lambda x: x IS NOT NULL), ',') AS codes,
    {o.clamp(f"(CASE WHEN phone_normalized IS NOT NULL THEN {q['phone']} ELSE 0 END + CASE WHEN sku IS NOT NULL THEN {q['model']} ELSE 0 END + CASE WHEN email_normalized IS NOT NULL THEN {q['email']} ELSE 0 END + CASE WHEN city_raw IS NOT NULL THEN {q['city']} ELSE 0 END + CASE WHEN registration_at IS NOT NULL THEN {q['registration_date']} ELSE 0 END)::DOUBLE")} AS quality,
-   {case('status', p['estado_base'], p['estado_desconocido_base'])} + CASE WHEN registration_at IS NOT NULL AND first_contact_at IS NULL THEN CASE WHEN days >= 2 THEN {float(p['antiguedad_points']['mas_48h'])}::DOUBLE WHEN days = 1 THEN {float(p['antiguedad_points']['24_48h'])}::DOUBLE ELSE 0 END ELSE 0 END AS u FROM sig),
- urg AS (SELECT *, {o.clamp(f"CASE WHEN registration_at IS NOT NULL AND status = 'Sin gestión' AND days >= 2 AND u < {p['sin_gestion_mas_48h_min']} THEN {float(p['sin_gestion_mas_48h_min'])}::DOUBLE ELSE u END")} AS urgency FROM pts),
+   {case('status', p['estado_base'], p['estado_desconocido_base'])} + CASE WHEN NOT cita AND registration_at IS NOT NULL AND first_contact_at IS NULL THEN CASE WHEN days >= 2 THEN {float(p['antiguedad_points']['mas_48h'])}::DOUBLE WHEN days = 1 THEN {float(p['antiguedad_points']['24_48h'])}::DOUBLE ELSE 0 END ELSE 0 END AS u FROM sig),
+ urg AS (SELECT *, {o.clamp(f"CASE WHEN cita THEN {float(p['cita_urgency_override'])}::DOUBLE WHEN registration_at IS NOT NULL AND status = 'Sin gestión' AND days >= 2 AND u < {p['sin_gestion_mas_48h_min']} THEN {float(p['sin_gestion_mas_48h_min'])}::DOUBLE ELSE u END")} AS urgency FROM pts),
  scored AS (SELECT *, {o.half_up(f"commercial * {p['queue_commercial_weight']}::DOUBLE + urgency * {p['queue_urgency_weight']}::DOUBLE")} AS queue, CASE WHEN commercial >= {p['band_alta_desde']} THEN 'Alta' WHEN commercial >= {p['band_media_desde']} THEN 'Media' ELSE 'Baja' END AS band,
    CASE WHEN urgency >= {p['urgency_hoy_desde']} THEN 'Hoy' WHEN urgency >= {p['urgency_24h_desde']} THEN '24 h' ELSE 'Semana' END AS urgency_band FROM urg)"""
 
@@ -298,21 +307,32 @@ def g08_score_distribution(spark, d):
     return scoring.score_distribution(scores(spark, d))
 
 
-ASSIGNED = f"""
- cand AS (SELECT lead_id, company_id, point_of_sale_id, queue FROM scored WHERE status IS NULL OR status NOT IN ({', '.join(map(o.quoted, f.TERMINAL))})),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY company_id, point_of_sale_id ORDER BY queue DESC NULLS LAST, lead_id) AS priority_rank FROM cand),
- slot0 AS (SELECT company_id, point_of_sale_id, advisor_id, unnest(range(1, daily_capacity + 1)) AS r FROM advisors WHERE active AND daily_capacity > 0),
- slots AS (SELECT *, row_number() OVER (PARTITION BY company_id, point_of_sale_id ORDER BY r DESC, advisor_id) AS slot FROM slot0),
- decided AS (SELECT k.lead_id, k.company_id, k.point_of_sale_id, queue, priority_rank, advisor_id, CASE WHEN advisor_id IS NULL THEN 'overflow' ELSE 'assigned' END AS status FROM ranked k LEFT JOIN slots s ON s.company_id = k.company_id AND s.point_of_sale_id = k.point_of_sale_id AND s.slot = k.priority_rank)"""
+def _assign_sql(secondary: str | None = None, again: bool = False) -> str:
+    """cand, ranked and decided; without leads of the relation `secondary`. again: a second run over `kept` and `load`, its relations end with 2."""
+    n = "2" if again else ""
+    outside = f" AND lead_id NOT IN (SELECT lead_id FROM {secondary})" if secondary else ""
+    remaining = "greatest(0, daily_capacity - coalesce(load, 0))" if again else "daily_capacity"
+    return f"""
+ cand{n} AS (SELECT lead_id, company_id, point_of_sale_id, queue FROM scored WHERE (status IS NULL OR status NOT IN ({', '.join(map(o.quoted, f.TERMINAL))})){outside}),
+ ranked{n} AS (SELECT *, row_number() OVER (PARTITION BY company_id, point_of_sale_id ORDER BY queue DESC NULLS LAST, lead_id) AS priority_rank FROM cand{n}),
+ pool{n} AS (SELECT company_id, point_of_sale_id, advisor_id, {remaining} AS remaining FROM advisors {'LEFT JOIN load USING (advisor_id)' if again else ''} WHERE active AND daily_capacity > 0),
+ stays{n} AS (SELECT r.lead_id, {'k.advisor_id' if again else 'NULL::VARCHAR AS advisor_id'} FROM ranked{n} r {f'JOIN kept k USING (lead_id) JOIN pool{n} p ON p.advisor_id = k.advisor_id AND p.company_id = r.company_id AND p.point_of_sale_id = r.point_of_sale_id' if again else 'WHERE false'}),
+ slots{n} AS (SELECT *, row_number() OVER (PARTITION BY company_id, point_of_sale_id ORDER BY r DESC, advisor_id) AS slot FROM (SELECT company_id, point_of_sale_id, advisor_id, unnest(range(1, remaining + 1)) AS r FROM pool{n})),
+ free{n} AS (SELECT lead_id, company_id, point_of_sale_id, row_number() OVER (PARTITION BY company_id, point_of_sale_id ORDER BY priority_rank) AS slot FROM ranked{n} WHERE lead_id NOT IN (SELECT lead_id FROM stays{n})),
+ decided{n} AS (SELECT r.lead_id, r.company_id, r.point_of_sale_id, queue, priority_rank, coalesce(t.advisor_id, s.advisor_id) AS advisor_id, CASE WHEN coalesce(t.advisor_id, s.advisor_id) IS NULL THEN 'overflow' ELSE 'assigned' END AS status,
+   CASE WHEN t.advisor_id IS NOT NULL THEN 'kept' WHEN s.advisor_id IS NULL THEN 'full' ELSE 'rank' END AS way FROM ranked{n} r LEFT JOIN stays{n} t USING (lead_id) LEFT JOIN free{n} e USING (lead_id) LEFT JOIN slots{n} s ON s.company_id = e.company_id AND s.point_of_sale_id = e.point_of_sale_id AND s.slot = e.slot)"""
+
+
+ASSIGNED = _assign_sql()
 DECIDED = (o.ADVISORS, SCORED, ASSIGNED)
 
 
-@query(o.with_leads("SELECT * FROM decided", *DECIDED))
+@query(o.with_leads("SELECT * EXCLUDE (way) FROM decided", *DECIDED))
 def k04_assign_leads(spark, d):
     return decisions(spark, d).drop("reason")
 
 
-@query(o.with_leads("SELECT lead_id, company_id, point_of_sale_id, priority_rank FROM ranked", SCORED, ASSIGNED.split(" slot0 AS")[0].rstrip(", \n")))
+@query(o.with_leads("SELECT lead_id, company_id, point_of_sale_id, priority_rank FROM ranked", SCORED, ASSIGNED.split(" pool AS")[0].rstrip(", \n")))
 def x03_priority_rank(spark, d):
     n = kept_leads(spark, d)
     return ingest.priority_rank(assign.eligible_candidates(n, scoring.score_leads(scoring.lead_signals(n, bridge.read(spark, d, "catalog")), PARAMS))).drop("queue")
@@ -581,12 +601,70 @@ def v01_apply_extractor(spark, d):
     return signals.apply_extractor(talks(spark, d), lambda cid, text: {"raw_text": '{"solicitud_cita": %s}' % ("true" if "voy" in text else "null"), "latency_ms": len(text)})
 
 
-@query(o.with_leads("SELECT lead_id, priority_rank, advisor_id FROM decided", *DECIDED))
+OTHER = scoring.params(**CATALOG_RANGE, score_version="v9", base_gestionable=5, ticket_weight=0.5, ticket_max_points=60, queue_commercial_weight=0.2, queue_urgency_weight=0.8, sin_gestion_mas_48h_min=65, antiguedad_points={"mas_48h": 5, "24_48h": 30}, estado_base=PARAMS["estado_base"] | {"Contactado": 75}, band_media_desde=20)
+
+
+@query(o.with_leads("SELECT lead_id, 'v9' AS score_version, commercial, urgency, band, priority_rank, advisor_id FROM decided JOIN scored USING (lead_id)", o.ADVISORS, _score_sql(OTHER), ASSIGNED))
 def v02_params_as_data(spark, d):
-    """Parameters travel as data: the same decisions from a copy of them."""
+    """Parameters travel as data: scores and decisions by weights that differ from those of the other queries."""
     n = kept_leads(spark, d)
-    s = scoring.score_leads(scoring.lead_signals(n, bridge.read(spark, d, "catalog")), scoring.params(**CATALOG_RANGE))
-    return assign.assign_leads(assign.eligible_candidates(n, s), bridge.read(spark, d, "advisors")).select("lead_id", "priority_rank", "advisor_id")
+    s = scoring.score_leads(scoring.lead_signals(n, bridge.read(spark, d, "catalog")), OTHER)
+    out = assign.assign_leads(assign.eligible_candidates(n, s), bridge.read(spark, d, "advisors"))
+    return out.join(s.select("lead_id", "score_version", "commercial", "urgency", "band"), "lead_id").select("lead_id", "score_version", "commercial", "urgency", "band", "priority_rank", "advisor_id")
+
+
+#: Chat signals of a lead from weak labels of its conversations: the highest intent, then the latest; the latest of the others.
+CHAT_SIGNALS = LABELLED.replace("FROM said", "FROM chat_turns") + """,
+ con AS (SELECT lead_id, arg_max(intencion_compra, (CASE intencion_compra WHEN 'alta' THEN 4 WHEN 'media' THEN 3 WHEN 'baja' THEN 2 ELSE 1 END, conv_id)) FILTER (intencion_compra IS NOT NULL) AS intencion_compra, bool_or(solicitud_cita) AS solicitud_cita, bool_or(solicitud_cotizacion) AS solicitud_cotizacion,
+  arg_max(presupuesto, conv_id) FILTER (presupuesto IS NOT NULL) AS presupuesto, arg_max(cuota_inicial, conv_id) FILTER (cuota_inicial IS NOT NULL) AS cuota_inicial, arg_max(forma_pago, conv_id) FILTER (forma_pago IS NOT NULL) AS forma_pago, arg_max(objecion, conv_id) FILTER (objecion IS NOT NULL) AS objecion
+  FROM weak JOIN chats USING (conv_id) WHERE lead_id IS NOT NULL GROUP BY lead_id)"""
+CHAT_SCORED = (o.CHATS, CHAT_SIGNALS, _score_sql(chats=True))
+
+
+def chat_scores(spark, d, n):
+    con = signals.consolidate(signals.labels_as_extractions(signals.weak_labels(talks(spark, d))))
+    linked = ingest.link_conversations(bridge.read(spark, d, "chats"), n).where("status = 'linked'")
+    return scoring.score_leads(scoring.lead_signals(n, bridge.read(spark, d, "catalog"), con, linked), PARAMS)
+
+
+@query(o.with_leads("SELECT lead_id, commercial, quality, urgency, queue, band, urgency_band, codes FROM scored", *CHAT_SCORED))
+def k03_score_chat_signals(spark, d):
+    """Scores with what customers said: intent, budget, payment, objections, appointments; and the commercial reasons."""
+    s = chat_scores(spark, d, kept_leads(spark, d))
+    codes = F.array_join(F.transform(F.filter("reasons", lambda r: r["dimension"] == "commercial"), lambda r: r["code"]), ",")
+    return s.select("lead_id", "commercial", "quality", "urgency", "queue", "band", "urgency_band", codes.alias("codes"))
+
+
+SECONDARY = " secondary AS (SELECT node AS lead_id FROM w14 WHERE node <> c)"
+
+
+@query(o.with_leads("SELECT * EXCLUDE (way) FROM decided", *CHAT_SCORED, o.ADVISORS, PAIRS, WEAK_PAIRS, EDGES, CLUSTERS, SECONDARY, _assign_sql("secondary")))
+def k10_lead_pipeline(spark, d):
+    """The whole job from raw leads and chats to assignments."""
+    i = _inputs(spark, d)
+    tables, _ = jobs.lead_pipeline(spark, i["raw_leads"], i["org"], i["catalog"], i["advisors"], talks(spark, d).select("conversation_id", "lead_id", "messages"), params=PARAMS)
+    return tables["assignments"].drop("reason")
+
+
+#: The day before: a third of the first run's assignments are current, some of them in another branch's hands.
+BEFORE = """
+ yesterday AS (SELECT lead_id, CASE WHEN ln % 15 = 0 THEN 'AS-00001' ELSE advisor_id END AS advisor_id, status, ln % 6 = 0 AS is_current FROM (SELECT *, cast(substr(lead_id, 4) AS bigint) AS ln FROM decided) WHERE ln % 3 = 0)"""
+LOAD = f"""
+ load AS (SELECT advisor_id, count(*) AS load FROM yesterday JOIN leads l USING (lead_id) WHERE is_current AND yesterday.status = 'assigned' AND (l.status IS NULL OR l.status NOT IN ({', '.join(map(o.quoted, f.TERMINAL))})) GROUP BY advisor_id),
+ kept AS (SELECT lead_id, advisor_id FROM yesterday WHERE is_current AND status = 'assigned')"""
+
+
+@query(o.with_leads("SELECT * FROM decided2", *CHAT_SCORED, o.ADVISORS, ASSIGNED, BEFORE, LOAD, PAIRS, WEAK_PAIRS, EDGES, CLUSTERS, SECONDARY, _assign_sql("secondary", True)))
+def k04_second_day(spark, d):
+    """A second day's run: open load takes capacity, current leads keep their advisor, cluster members wait."""
+    n, advisors = kept_leads(spark, d), bridge.read(spark, d, "advisors")
+    s = materialize(chat_scores(spark, d, n).select("lead_id", "queue"), "scores")
+    first = materialize(assign.assign_leads(assign.eligible_candidates(n, s), advisors), "first")
+    yesterday = spark.sql("WITH" + BEFORE.replace("FROM decided", "FROM {first}") + " SELECT * FROM yesterday", first=first)
+    kept = yesterday.where("is_current and status = 'assigned'").select("lead_id", "advisor_id")
+    out = assign.assign_leads(assign.eligible_candidates(n, s, identity.resolve_identities(n)[1]), advisors, kept, assign.open_load(yesterday, n))
+    way = F.when(F.col("reason").startswith("continuidad"), "kept").when(F.col("reason") == "sin_capacidad", "full").otherwise("rank")
+    return out.withColumn("way", way).drop("reason")
 
 
 @query(o.with_leads("SELECT lead_id, 1 AS run_id, lead_id NOT IN (SELECT lead_id FROM scored WHERE right(lead_id, 1) = '7') AS is_current FROM scored UNION ALL SELECT lead_id, 2, true FROM scored WHERE right(lead_id, 1) = '7'", SCORED))
@@ -1015,14 +1093,6 @@ def _inputs(spark, d):
     return {n: bridge.read(spark, d, n) for n in ("raw_leads", "org", "catalog", "advisors")}
 
 
-@query()
-def k10_lead_pipeline(spark, d):
-    """The whole job from raw leads and chats to assignments."""
-    i = _inputs(spark, d)
-    tables, _ = jobs.lead_pipeline(spark, i["raw_leads"], i["org"], i["catalog"], i["advisors"], talks(spark, d).select("conversation_id", "lead_id", "messages"), params=PARAMS)
-    return tables["assignments"]
-
-
 @query("SELECT unnest(['leads', 'conversations', 'members', 'signals', 'scores', 'assignments']) AS stage, 'ok' AS status")
 def u09_run_log(spark, d):
     i = _inputs(spark, d)
