@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import copy
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadspark.scratch import materialize
+
 #: The parameters of version v1. A weight of 0 turns a rule off.
 PARAMS = {
     "score_version": "v1", "base_gestionable": 20, "intencion_points": {"alta": 30, "media": 15, "baja": 5, "informativa": 0}, "cita_points": 20, "cotizacion_points": 10,
@@ -151,5 +154,24 @@ def version_scores(stored: DataFrame, new: DataFrame, run: int) -> DataFrame:
 
 
 def score_distribution(scores: DataFrame) -> DataFrame:
-    """(band, urgency_band, n, commercial and queue ranges), each band and urgency band."""
-    return scores.groupBy("band", "urgency_band").agg(F.count("*").alias("n"), F.min("commercial").alias("commercial_min"), F.max("commercial").alias("commercial_max"), F.min("queue").alias("queue_min"), F.max("queue").alias("queue_max"))
+    """(band, urgency_band, n, commercial and queue ranges and means), each band and urgency band."""
+    stats = [f(c).alias(f"{c}_{n}") for c in ("commercial", "queue") for n, f in (("min", F.min), ("max", F.max), ("mean", lambda x: half_up(F.avg(x))))]
+    return scores.groupBy("band", "urgency_band").agg(F.count("*").alias("n"), *stats)
+
+
+def score_samples(scores: DataFrame, k: int = 2, reasons: int = 3) -> DataFrame:
+    """(band, place, lead_id, commercial, urgency, queue, quality, top): the first k leads of each band by lead_id, with the reasons of most weight.
+
+    k aggregations of one value a band, each a minimum of what comes after the one before: tasks hold a row a band and no
+    band is sorted. top: code(points) of the `reasons` largest contributions, sign apart; of equal ones the first.
+    """
+    ids = scores.select("band", "lead_id")
+    last = ids.groupBy("band").agg(F.min("lead_id").alias("lead_id")).withColumn("place", F.lit(1))
+    found = [materialize(last, "samples")]  # a row a band
+    for i in range(2, k + 1):
+        after = ids.join(F.broadcast(found[-1].select("band", F.col("lead_id").alias("_last"))), "band").where("lead_id > _last")
+        found.append(materialize(after.groupBy("band").agg(F.min("lead_id").alias("lead_id")).withColumn("place", F.lit(i)), "samples"))
+    some = reduce(DataFrame.unionByName, found)
+    weighed = F.transform("reasons", lambda r, i: F.struct((-F.abs(r["points"])).alias("w"), i.alias("i"), F.concat(r["code"], F.lit("("), F.when(r["points"] >= 0, "+").otherwise(""), F.round(r["points"], 2).cast("string"), F.lit(")")).alias("t")))
+    top = F.array_join(F.transform(F.slice(F.array_sort(weighed), 1, reasons), lambda x: x["t"]), "; ")
+    return scores.join(F.broadcast(some.select("lead_id", "place")), "lead_id").select("band", "place", "lead_id", "commercial", "urgency", "queue", "quality", top.alias("top"))

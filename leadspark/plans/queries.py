@@ -302,7 +302,7 @@ def g02_reference_date(spark, d):
     return scoring.reference_date(leads(spark, d)).select(F.col("reference_at").cast("timestamp_ntz").alias("reference_at"))
 
 
-@query(o.with_leads("SELECT band, urgency_band, count(*) AS n, min(commercial) AS commercial_min, max(commercial) AS commercial_max, min(queue) AS queue_min, max(queue) AS queue_max FROM scored GROUP BY 1, 2", SCORED))
+@query(o.with_leads(f"SELECT band, urgency_band, count(*) AS n, min(commercial) AS commercial_min, max(commercial) AS commercial_max, {o.half_up('avg(commercial)')} AS commercial_mean, min(queue) AS queue_min, max(queue) AS queue_max, {o.half_up('avg(queue)')} AS queue_mean FROM scored GROUP BY 1, 2", SCORED))
 def g08_score_distribution(spark, d):
     return scoring.score_distribution(scores(spark, d))
 
@@ -618,6 +618,15 @@ CHAT_SIGNALS = LABELLED.replace("FROM said", "FROM chat_turns") + """,
  con AS (SELECT lead_id, arg_max(intencion_compra, (CASE intencion_compra WHEN 'alta' THEN 4 WHEN 'media' THEN 3 WHEN 'baja' THEN 2 ELSE 1 END, conv_id)) FILTER (intencion_compra IS NOT NULL) AS intencion_compra, bool_or(solicitud_cita) AS solicitud_cita, bool_or(solicitud_cotizacion) AS solicitud_cotizacion,
   arg_max(presupuesto, conv_id) FILTER (presupuesto IS NOT NULL) AS presupuesto, arg_max(cuota_inicial, conv_id) FILTER (cuota_inicial IS NOT NULL) AS cuota_inicial, arg_max(forma_pago, conv_id) FILTER (forma_pago IS NOT NULL) AS forma_pago, arg_max(objecion, conv_id) FILTER (objecion IS NOT NULL) AS objecion
   FROM weak JOIN chats USING (conv_id) WHERE lead_id IS NOT NULL GROUP BY lead_id)"""
+_P, _Q = PARAMS, PARAMS["quality_points"]
+#: All reasons of a lead with their points, in order: those of `codes` and what quality and urgency add.
+EXPLAINED = f"""
+ explained AS (SELECT *, list_concat(list_transform(string_split(codes, ','), lambda c: {{'c': c, 'p': CASE c WHEN 'BASE_GESTIONABLE' THEN {float(_P['base_gestionable'])}::DOUBLE {' '.join(f"WHEN 'INTENCION_{k.upper()}' THEN {float(v)}" for k, v in _P['intencion_points'].items())} WHEN 'CLIENTE_PIDIO_CITA' THEN {float(_P['cita_points'])} WHEN 'CLIENTE_PIDIO_COTIZACION' THEN {float(_P['cotizacion_points'])}
+   WHEN 'PRESUPUESTO_COMPATIBLE' THEN {float(_P['presupuesto_compatible_points'])} WHEN 'PRESUPUESTO_INSUFICIENTE' THEN {float(_P['presupuesto_insuficiente_points'])} WHEN 'CUOTA_SUFICIENTE' THEN {float(_P['cuota_suficiente_points'])} WHEN 'FORMA_PAGO_DECLARADA' THEN {float(_P['forma_pago_points'])}
+   {' '.join(f"WHEN 'OBJECION_{k.upper()}' THEN {float(v)}" for k, v in _P['objecion_points'].items())} ELSE {o.half_up(f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, (list_price - {_P['catalog_min_price']}::DOUBLE) / {_P['catalog_max_price'] - _P['catalog_min_price']}::DOUBLE)) * {float(_P['ticket_max_points'])}::DOUBLE * {_P['ticket_weight']}::DOUBLE")} END}}),
+  list_filter([{', '.join(f"{{'c': '{c}', 'p': CASE WHEN {w} THEN {float(_Q[k])}::DOUBLE END}}" for c, w, k in (('TELEFONO_VALIDO', 'phone_normalized IS NOT NULL', 'phone'), ('MODELO_RESUELTO', 'sku IS NOT NULL', 'model'), ('EMAIL_PRESENTE', 'email_normalized IS NOT NULL', 'email'), ('CIUDAD_PRESENTE', 'city_raw IS NOT NULL', 'city'), ('FECHA_CONFIABLE', 'registration_at IS NOT NULL', 'registration_date')))},
+   {{'c': 'ESTADO_OPERATIVO', 'p': CASE status {' '.join(f"WHEN {o.quoted(k)} THEN {float(v)}::DOUBLE" for k, v in _P['estado_base'].items())} END}}, {{'c': 'ESTADO_DESCONOCIDO', 'p': CASE WHEN status IS NULL OR status NOT IN ({', '.join(map(o.quoted, _P['estado_base']))}) THEN {float(_P['estado_desconocido_base'])}::DOUBLE END}},
+   {{'c': 'SIN_CONTACTO_MAS_48H', 'p': CASE WHEN NOT cita AND registration_at IS NOT NULL AND first_contact_at IS NULL AND days >= 2 THEN {float(_P['antiguedad_points']['mas_48h'])}::DOUBLE END}}, {{'c': 'SIN_CONTACTO_24_48H', 'p': CASE WHEN NOT cita AND registration_at IS NOT NULL AND first_contact_at IS NULL AND days = 1 THEN {float(_P['antiguedad_points']['24_48h'])}::DOUBLE END}}], lambda x: x.p IS NOT NULL)) AS code_points FROM scored)"""
 CHAT_SCORED = (o.CHATS, CHAT_SIGNALS, _score_sql(chats=True))
 
 
@@ -635,6 +644,13 @@ def k03_score_chat_signals(spark, d):
     return s.select("lead_id", "commercial", "quality", "urgency", "queue", "band", "urgency_band", codes.alias("codes"))
 
 
+@query(o.with_leads("""SELECT band, place, lead_id, commercial, urgency, queue, quality, array_to_string(list_transform(list_sort(list_filter(whys, lambda x: x.t IS NOT NULL))[1:3], lambda x: x.t), '; ') AS top FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY lead_id) AS place,
+ list_transform(range(1, len(code_points) + 1), lambda i: {'w': -abs(code_points[i].p), 'i': i, 't': code_points[i].c || '(' || CASE WHEN code_points[i].p >= 0 THEN '+' ELSE '' END || CAST(code_points[i].p AS VARCHAR) || ')'}) AS whys FROM explained) WHERE place <= 2""", *CHAT_SCORED, EXPLAINED))
+def g08_score_samples(spark, d):
+    """Two leads of each band with their three weightiest reasons."""
+    return scoring.score_samples(materialize(chat_scores(spark, d, kept_leads(spark, d)), "scores"))
+
+
 SECONDARY = " secondary AS (SELECT node AS lead_id FROM w14 WHERE node <> c)"
 
 
