@@ -23,7 +23,7 @@ SENDERS = {"cliente": "Cliente", "asesor": "Asesor"}
 def reason_label(c: Column) -> Column:
     """The label of a reason; an unknown code as a sentence (SOME_CODE: Some code); Razón for none."""
     words = F.lower(F.trim(F.replace(trim(c), F.lit("_"), F.lit(" "))))
-    sentence = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000))
+    sentence = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
     return F.coalesce(lookup(trim(c), REASONS), F.nullif(sentence, F.lit("")), F.lit("Razón"))
 
 

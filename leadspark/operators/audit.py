@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from leadspark.functions import fields as f
 from leadspark.functions.text import normalize_key, trim
 from leadspark.operators.quantiles import quantiles, with_quantiles
+from leadspark.scratch import materialize
 
 
 def unpivot(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -121,13 +122,29 @@ def chronology(rows: DataFrame) -> DataFrame:
     return r.agg(F.count_if(both & ~unsure & (F.col("b.parsed") < F.col("a.parsed"))).alias("contact_before_registration"), F.count_if(~both).alias("unparsed"), F.count_if(both & unsure).alias("skipped_ambiguous"))
 
 
+def chronology_examples(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(row_number, lead_id, fecha_registro, fecha_primer_contacto) of the first k rows whose contact is before the registration: a top-k, no sort of the table."""
+    a, b = f.classify_date(F.col("fecha_registro")), f.classify_date(F.col("fecha_primer_contacto"))
+    wrong = ~a["ambiguous"] & ~b["ambiguous"] & (b["parsed"] < a["parsed"])
+    return rows.where(wrong).select("row_number", "lead_id", "fecha_registro", "fecha_primer_contacto").orderBy("row_number").limit(k)
+
+
 def match_histogram(matched: DataFrame) -> DataFrame:
     return matched.groupBy("match_type").agg(F.count("*").alias("n"), F.count_distinct("model_text_raw").alias("texts"))
 
 
 def catalog_summary(catalog: DataFrame) -> DataFrame:
-    """(brand, n, price range and mean), one aggregation."""
-    return catalog.groupBy("brand").agg(F.count("*").alias("n"), F.min("list_price").alias("price_min"), F.max("list_price").alias("price_max"), (F.floor(F.avg("list_price") * 100 + 0.5) / 100).alias("price_mean"))
+    """(dimension, value, n, price, units and branch ranges) for the whole catalogue, each brand, segment and engine size: one aggregation.
+
+    units and branches (how many branches have it) come from availability, if the catalogue has it.
+    """
+    held = "availability" in catalog.columns
+    units, branches = (F.col("availability.units_total"), F.size("availability.points_of_sale")) if held else (F.lit(None).cast("int"), F.lit(None).cast("int"))
+    parts = F.array(F.struct(F.lit("all").alias("d"), F.lit("").alias("v")), *(F.struct(F.lit(c).alias("d"), F.col(c).cast("string").alias("v")) for c in ("brand", "segment", "engine_cc")))
+    rows = catalog.select("line", "list_price", units.alias("u"), branches.alias("b"), F.explode(parts).alias("p"))
+    return rows.groupBy(F.col("p.d").alias("dimension"), F.col("p.v").alias("value")).agg(
+        F.count("*").alias("n"), F.count_distinct("line").alias("lines"), F.min("list_price").alias("price_min"), F.max("list_price").alias("price_max"), (F.floor(F.avg("list_price") * 100 + 0.5) / 100).alias("price_mean"),
+        F.sum("u").alias("units_total"), F.min("u").alias("units_min"), F.max("u").alias("units_max"), F.min("b").alias("branches_min"), F.max("b").alias("branches_max"))
 
 
 def advisor_summary(advisors: DataFrame, org: DataFrame) -> DataFrame:
@@ -137,14 +154,32 @@ def advisor_summary(advisors: DataFrame, org: DataFrame) -> DataFrame:
 
 
 def conversation_stats(talks: DataFrame, leads: DataFrame) -> DataFrame:
-    """One row on conversations (lead_id, messages): links, empties, first sender, lengths."""
+    """One row on conversations (lead_id, messages): links, empties, first sender, and messages, characters and words of each (range, mean, median)."""
     m = F.col("messages")
     known = leads.select(F.col("lead_id").alias("_lead")).distinct()
-    t = talks.join(known, F.col("lead_id") == F.col("_lead"), "left")
-    size = F.size(m)
-    senders = F.size(F.array_distinct(F.transform(m, lambda x: x["sender"])))
-    return t.agg(F.count("*").alias("conversations"), F.count("_lead").alias("matched"), F.count_if(F.col("_lead").isNull()).alias("unmatched"), F.count_if(size == 0).alias("empty"), F.count_if(F.get(m, F.lit(0))["sender"] != "cliente").alias("not_by_customer"),
-                 F.count_if(senders == 1).alias("single_sender"), F.sum(size).alias("messages"), F.min(size).alias("shortest"), F.max(size).alias("longest"), F.percentile(size, F.lit(0.5)).alias("median"))
+    total = lambda each: F.aggregate(F.transform(m, each), F.lit(0), lambda a, x: a + x)
+    text = lambda x: F.coalesce(x["text"], F.lit(""))
+    measures = {"messages": F.size(m), "characters": total(lambda x: F.length(text(x))), "words": total(lambda x: F.regexp_count(text(x), F.lit(r"\S+")))}
+    t = talks.select("lead_id", F.size(F.array_distinct(F.transform(m, lambda x: x["sender"]))).alias("_senders"), F.get(m, F.lit(0))["sender"].alias("_first"), *(v.cast("long").alias(k) for k, v in measures.items()))
+    t = materialize(t.join(known, F.col("lead_id") == F.col("_lead"), "left"), "talks")
+    ranges = [f(k).alias(f"{k}_{n}") for k in measures for n, f in (("min", F.min), ("max", F.max), ("mean", lambda x: F.floor(F.avg(x) * 10 + 0.5) / 10))]
+    out = t.agg(F.count("*").alias("conversations"), F.count("_lead").alias("matched"), F.count_if(F.col("_lead").isNull()).alias("unmatched"), F.count_if(F.col("messages") == 0).alias("empty"), F.count_if(F.col("_first") != "cliente").alias("not_by_customer"),
+                F.count_if(F.col("_senders") == 1).alias("single_sender"), F.sum("messages").alias("messages"), *ranges)
+    for k in measures:
+        out = with_quantiles(out, quantiles(t, [], k, {f"{k}_median": (0.5, "linear")}), [])
+    return out
+
+
+def sender_counts(talks: DataFrame) -> DataFrame:
+    """(sender, n): messages of each sender."""
+    return talks.select(F.explode("messages").alias("m")).groupBy(F.col("m.sender").alias("sender")).agg(F.count("*").alias("n"))
+
+
+def chat_coverage(talks: DataFrame, leads: DataFrame) -> DataFrame:
+    """One row: leads without a conversation, lead ids with several, and conversations of unknown leads."""
+    chats = talks.groupBy("lead_id").agg(F.count("*").alias("_n"))
+    both = leads.select("lead_id").distinct().withColumn("_lead", F.lit(True)).join(chats, "lead_id", "full")
+    return both.agg(F.count_if(F.col("_lead") & F.col("_n").isNull()).alias("leads_without_chat"), F.count_if(F.col("_n") > 1).alias("leads_with_several"), F.coalesce(F.sum(F.when(F.col("_lead").isNull(), F.col("_n"))), F.lit(0)).alias("unmatched"))
 
 
 def key_overlap(a: DataFrame, b: DataFrame, key: str = "lead_id") -> DataFrame:
@@ -156,11 +191,38 @@ def branches_without_advisor(org: DataFrame, advisors: DataFrame) -> DataFrame:
     return org.select("point_of_sale_id").join(advisors.where("active").select("point_of_sale_id"), "point_of_sale_id", "left_anti")
 
 
+def availability_check(catalog: DataFrame, org: DataFrame, advisors: DataFrame) -> DataFrame:
+    """(kind, sku, point_of_sale_id) from the branches that the catalogue (sku, availability) says have a product.
+
+    unknown_branch: no such branch, for each product; without_advisor: a branch of the catalogue without an active
+    advisor, once each (sku null). Branches meet by equi-joins on the exploded lists.
+    """
+    each = catalog.select("sku", F.explode("availability.points_of_sale").alias("point_of_sale_id"))
+    unknown = each.join(org.select("point_of_sale_id"), "point_of_sale_id", "left_anti").select(F.lit("unknown_branch").alias("kind"), "sku", "point_of_sale_id")
+    staffed = advisors.where("active").select("point_of_sale_id").distinct()
+    alone = each.select("point_of_sale_id").distinct().join(staffed, "point_of_sale_id", "left_anti").select(F.lit("without_advisor").alias("kind"), F.lit(None).cast("string").alias("sku"), "point_of_sale_id")
+    return unknown.unionByName(alone)
+
+
+def with_catalog_price(history: DataFrame, catalog: DataFrame) -> DataFrame:
+    """history with catalog_price: that of the model by brand and line, else by line alone, null if the catalogue has neither. Of rows with one key the highest price counts."""
+    priced = lambda key, name: catalog.select(key.alias("_key"), F.col("list_price").alias("_p")).where("_key <> ''").groupBy("_key").agg(F.max("_p").alias(name))
+    full, line = priced(f.normalize_model_text(F.concat_ws(" ", "brand", "line")), "_full"), priced(f.normalize_model_text(F.col("line")), "_line")
+    out = history.withColumn("_key", f.normalize_model_text(F.col("model"))).join(full, "_key", "left").join(line, "_key", "left")
+    return out.withColumn("catalog_price", F.coalesce("_full", "_line")).drop("_key", "_full", "_line")
+
+
 def history_vs_catalog(history: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row: history rows whose model the catalogue has by brand and line, has not, or has at another price."""
-    c = catalog.select(f.normalize_model_text(F.concat_ws(" ", "brand", "line")).alias("_key"), F.col("list_price").alias("_price")).groupBy("_key").agg(F.max("_price").alias("_price"))
-    h = history.withColumn("_key", f.normalize_model_text(F.col("model"))).join(c, "_key", "left")
-    return h.agg(F.count("_price").alias("known"), F.count_if(F.col("_price").isNull()).alias("unknown"), F.count_if(F.col("_price") != F.col("price")).alias("price_differs"))
+    """One row: history rows whose model the catalogue has (by brand and line, or by line), has not, or has at another price."""
+    price = F.col("catalog_price")
+    return with_catalog_price(history, catalog).agg(F.count(price).alias("known"), F.count_if(price.isNull()).alias("unknown"), F.count_if(price != F.col("price")).alias("price_differs"))
+
+
+def unknown_models(history: DataFrame, catalog: DataFrame, matched: DataFrame) -> DataFrame:
+    """(dataset, text, n): models of the history that the catalogue has not, and product texts of leads without a match (matched: match_type, model_text_raw)."""
+    old = with_catalog_price(history, catalog).where("catalog_price is null").groupBy(F.col("model").alias("text")).agg(F.count("*").alias("n"))
+    new = matched.where("match_type = 'sin_match'").groupBy(F.col("model_text_raw").alias("text")).agg(F.count("*").alias("n"))
+    return union([old.select(F.lit("history").alias("dataset"), "text", "n"), new.select(F.lit("leads").alias("dataset"), "text", "n")])
 
 
 def history_distribution(history: DataFrame) -> DataFrame:
@@ -210,3 +272,56 @@ def issue_catalog(rows: DataFrame) -> DataFrame:
 
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+#: The issues of the whole audit; id, tables, field, kind, class of remedy.
+ALL_ISSUES = (
+    ("Q01", "leads", "lead_id", "duplicados", "auto"), ("Q02", "leads", "canal", "formatos", "auto"), ("Q03", "leads", "estado_gestion", "formatos", "auto"), ("Q04", "leads", "fecha_registro / fecha_primer_contacto", "fechas", "rule"), ("Q05", "leads", "fecha_registro", "fechas", "auto"),
+    ("Q06", "leads", "fecha_primer_contacto", "integridad", "human"), ("Q07", "leads", "telefono", "formatos", "auto"), ("Q08", "leads", "telefono", "valores_invalidos", "human"), ("Q09", "leads", "telefono", "duplicados", "rule"), ("Q10", "leads", "email", "valores_faltantes", "rule"),
+    ("Q11", "leads", "email", "duplicados", "human"), ("Q12", "leads", "ciudad", "formatos", "auto"), ("Q13", "leads", "ciudad", "valores_faltantes", "rule"), ("Q14", "leads", "modelo_interes_texto", "formatos", "rule"), ("Q15", "leads", "modelo_interes_texto", "formatos", "auto"),
+    ("Q16", "leads", "modelo_interes_texto", "valores_faltantes", "rule"), ("Q17", "leads", "campania", "valores_faltantes", "keep"), ("Q18", "leads", "fecha_primer_contacto", "integridad", "rule"), ("Q19", "leads", "fecha_registro / fecha_primer_contacto", "fechas", "human"), ("Q20", "leads", "canal", "valores_faltantes", "rule"),
+    ("Q21", "leads", "nombre_cliente", "formatos", "auto"), ("Q22", "leads", "nombre_cliente / telefono", "duplicados", "rule"), ("R01", "todos", "punto_venta_id / empresa_id", "referencias", "keep"), ("R02", "catalogo_motos", "puntos_venta_disponibles", "referencias", "keep"), ("R03", "leads / historico_cierres", "lead_id", "llave_compartida", "rule"),
+    ("C01", "conversaciones", "lead_id", "referencia_rota", "human"), ("C02", "conversaciones", "lead_id", "duplicados", "rule"), ("C03", "leads", "lead_id", "cobertura", "keep"), ("H01", "historico_cierres", "horas_al_primer_contacto", "data_leakage", "rule"), ("H02", "historico_cierres", "numero_contactos", "data_leakage", "rule"),
+    ("H03", "historico_cierres", "desenlace", "desbalance_clases", "keep"), ("K01", "catalogo_motos / historico_cierres", "modelo_cotizado / marca+linea", "consistencia", "keep"), ("K02", "catalogo_motos / historico_cierres", "precio_lista", "consistencia", "keep"), ("A01", "asesores", "activo", "estado", "keep"), ("A02", "asesores", "punto_venta_id / empresa_id", "referencias", "keep"))
+
+
+def issues(rows: DataFrame, columns: list[str], matched: DataFrame, org: DataFrame, catalog: DataFrame, advisors: DataFrame, history: DataFrame, talks: DataFrame) -> DataFrame:
+    """(issue_id, dataset, field, kind, remedy, affected): all issues of the audit, those with nothing affected too.
+
+    rows: raw leads with the columns that make a row; matched: match_type of each row's product text by the cascade without
+    similarity; catalog with availability; history: lead_id, model, price, outcome, contacts, hours. Row checks are one
+    aggregation; groups, references and tables against tables are aggregations and equi-joins of their own, put together
+    by union(). R03 counts keys that leads and history share; R01 and A02 count references to unknown branches and
+    branches of another company, of leads and advisors and of advisors alone.
+    """
+    blank = lambda c: F.coalesce(trim(F.col(c)), F.lit("")) == ""
+    reg, con = f.classify_date(F.col("fecha_registro")), f.classify_date(F.col("fecha_primer_contacto"))
+    digits, status = F.length(f.phone_digits(F.col("telefono"))), f.normalize_status(F.col("estado_gestion"))
+    name = F.col("nombre_cliente")
+    by_row = {
+        "Q02": ~blank("canal") & ~trim(F.col("canal")).isin("WhatsApp", "Meta Ads", "Formulario Web"), "Q03": ~trim(F.col("estado_gestion")).eqNullSafe(status), "Q04": reg["format"] == f.SLASH, "Q05": reg["format"].isin("ISO_T", "ISO_SPACE", f.DASH),
+        "Q06": ~reg["ambiguous"] & ~con["ambiguous"] & (con["parsed"] < reg["parsed"]), "Q07": ~f.phone_format(F.col("telefono")).isin("plano_10", "vacio"), "Q08": ~digits.between(10, 12), "Q10": blank("email"), "Q13": blank("ciudad"), "Q16": blank("modelo_interes_texto"), "Q17": blank("campania"),
+        "Q18": blank("fecha_primer_contacto") & ~status.eqNullSafe("Sin gestión"), "Q20": blank("canal"), "Q21": (name != trim(name)) | F.contains(name, F.lit("  "))}
+    one = lambda i, df: df.select(F.lit(i).alias("issue_id"), F.col(df.columns[0]).cast("long").alias("affected"))
+    counted = rows.agg(*(F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in by_row.items()))
+    groups = lambda keys, df=rows: df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    phone, mail, city = f.normalize_phone(F.col("telefono")), f.normalize_email(F.col("email")), trim(F.col("ciudad"))
+    shared = rows.where(phone.isNotNull()).groupBy(phone.alias("p")).agg(F.count_distinct("lead_id").alias("_n")).where("_n > 1")
+    unreadable = unpivot(rows, ["fecha_registro", "fecha_primer_contacto"]).where(f.classify_date(F.col("value"))["format"] == "desconocido").select("column", trim(F.col("value")).alias("v")).distinct()
+    types = matched.agg(F.count_if(F.col("match_type").isin("solo_marca", "prefijo_ambiguo")).alias("Q14"), F.count_if(F.col("match_type").isin("directo_unico", "prefijo_unico")).alias("Q15"))
+    cities = rows.where(~blank("ciudad")).agg((F.count_distinct(city) - F.count_distinct(f.resolve_city(F.col("ciudad"))["key"])).alias("n"))
+    owner = org.select(F.col("point_of_sale_id").alias("_pos"), F.col("company_id").alias("_owner"))
+    refs = lambda df, pos, company: df.select(F.col(pos).alias("_p"), F.col(company).alias("_c")).join(owner, F.col("_p") == F.col("_pos"), "left").where("_owner is null or (_c <> '' and _owner <> _c)")
+    people = refs(advisors, "point_of_sale_id", "company_id")
+    chats = chat_coverage(talks, rows)
+    past = history.agg(F.count_if(F.coalesce(trim(F.col("hours").cast("string")), F.lit("")) == "").alias("H01"), F.count_if(F.col("contacts").cast("double") == 0).alias("H02"), F.count_if(F.col("outcome") == "Cerrado").alias("H03"))
+    prices = history_vs_catalog(history, catalog)
+    number = lambda df: df.agg(F.count("*").alias("n"))
+    pivot = lambda df, names: df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("issue_id"), F.col(c).cast("long").alias("affected")) for i, c in names.items()))).alias("r")).select("r.*")
+    found = union([
+        pivot(counted, {k: k for k in by_row}), one("Q01", groups(columns).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"))), one("Q09", number(shared)), one("Q11", number(groups([mail], rows.where(mail.isNotNull())))), one("Q12", cities), pivot(types, {"Q14": "Q14", "Q15": "Q15"}),
+        one("Q19", number(unreadable)), one("Q22", number(groups([normalize_key(name), phone]))), one("R01", number(refs(rows, "punto_venta_id", "empresa_id").unionByName(people))), one("R02", number(availability_check(catalog, org, advisors).where("kind = 'unknown_branch'"))),
+        one("R03", key_overlap(rows, history).select("both")), pivot(chats, {"C01": "unmatched", "C02": "leads_with_several", "C03": "leads_without_chat"}), pivot(past, {"H01": "H01", "H02": "H02", "H03": "H03"}), pivot(prices, {"K01": "unknown", "K02": "price_differs"}),
+        one("A01", advisors.agg(F.count_if(~F.col("active")).alias("n"))), one("A02", number(people))])
+    names = rows.sparkSession.createDataFrame(list(ALL_ISSUES), "issue_id string, dataset string, field string, kind string, remedy string")
+    return names.join(F.broadcast(found), "issue_id")  # a row for each issue

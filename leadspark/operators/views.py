@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadspark.functions import fields as f
 from leadspark.functions.text import contains_ci
 from leadspark.operators.ingest import latest_current
+from leadspark.operators.models import match_models
 from leadspark.scratch import materialize, meet
 
 UNKNOWN = "Desconocido"
@@ -90,6 +91,11 @@ def batch_status(batch: DataFrame, talks: DataFrame, leads: DataFrame, extractio
     return out.select("conversation_id", "lead_id", "company_id", F.coalesce("_s", F.lit("pending")).alias("status"))
 
 
+def claimed_models(texts: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(lead_id, sku): the product that each of texts (lead_id, text) names, as match_models() finds it; ambiguous and unknown ones have none."""
+    return match_models(texts, catalog, "text").where("match_state = 'matched'").select("lead_id", "sku")
+
+
 def model_inconsistency(leads: DataFrame, claims: DataFrame, catalog: DataFrame) -> DataFrame:
     """(lead_id, sku, claimed_sku, kind): a chat names another product than the lead: of the same brand, or of another. claims: lead_id, sku; ambiguous ones have none."""
     c = catalog.select("sku", "brand")

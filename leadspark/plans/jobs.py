@@ -91,7 +91,9 @@ def lead_pipeline(spark: SparkSession, raw: DataFrame, org: DataFrame, catalog:
 def quality_audit(raw: DataFrame, org: DataFrame, catalog: DataFrame, advisors: DataFrame, history: DataFrame, talks: DataFrame) -> dict[str, DataFrame]:
     """The audit's tables by name, ready for write_tables()."""
     columns = list(ingest.RAW)
-    return {
+    matched = materialize(ingest.normalize_leads(raw, org, catalog, fuzzy=False), "matched")
+    stock = {} if "availability" not in catalog.columns else {"availability": audit.availability_check(catalog, org, advisors), "all_issues": audit.issues(raw, columns, matched, org, catalog, advisors, history, talks)}
+    return stock | {
         "structure": audit.profile_columns(raw, columns), "missing": audit.missing_values(raw, columns), "issues": audit.issue_catalog(raw), "duplicates": audit.duplicate_keys(raw, "lead_id"), "phone_formats": raw.groupBy(audit.f.phone_format(F.col("telefono")).alias("format")).count(),
         "date_formats": audit.date_formats(raw, ["fecha_registro", "fecha_primer_contacto"]), "chronology": audit.chronology(raw), "catalog": audit.catalog_summary(catalog), "advisors": audit.advisor_summary(advisors, org), "history": audit.history_distribution(history),
-        "history_catalog": audit.history_vs_catalog(history, catalog), "orphans": talks.join(raw.select("lead_id").distinct(), "lead_id", "left_anti").select("conversation_id", "lead_id")}
+        "history_catalog": audit.history_vs_catalog(history, catalog), "unknown_models": audit.unknown_models(history, catalog, matched), "orphans": talks.join(raw.select("lead_id").distinct(), "lead_id", "left_anti").select("conversation_id", "lead_id")}

@@ -59,3 +59,10 @@ def test_jaro_winkler():
 def test_errors(spark):
     assert value(spark, g.classify_error, "HTTP 429", "timed out", "weird", None) == ["provider_rate_limit", "provider_timeout", "unknown_provider_error", "unknown_provider_error"]
     assert value(spark, g.is_quota_exhausted, "rate limit reached, try again in 3s", "rate limit reached", None) == [False, True, False]
+
+
+def test_labels_of_unknown_codes_are_whole(spark):
+    from leadspark.functions.labels import reason_label
+
+    row = spark.createDataFrame([("A" + "_B" * 1500,)], "c string").select(reason_label(F.col("c")).alias("x")).first()
+    assert row.x == "A" + " b" * 1500
