@@ -120,7 +120,7 @@ def _with_models(t: DataFrame, catalog: DataFrame) -> DataFrame:
 def apply_extractor(talks: DataFrame, extract: Callable[[str, str], dict], model: str = "custom") -> DataFrame:
     """Runs extract(conversation_id, transcript) -> {"raw_text": ..., "latency_ms": ...} on every conversation.
 
-    An exception makes an error row and the batch goes on. The function is shipped to the executors and works on Arrow
+    An exception makes an error row, with the first 500 characters of its text, and the batch goes on. The function is shipped to the executors and works on Arrow
     batches of its partition.
     """
     import pandas as pd

@@ -596,9 +596,17 @@ def k06_weak_labels(spark, d):
     return signals.weak_labels(signals.conversations(said, t["chats"]), t["catalog"]).select("conv_id", "lead_id", *g.FIELDS, "confidence")
 
 
-@query()
+def _extract(cid: str, text: str) -> dict:
+    """An extractor that fails on a part of the conversations."""
+    if cid.endswith("7"):
+        raise ValueError(f"no answer for {cid}")
+    return {"raw_text": '{"solicitud_cita": %s}' % ("true" if "voy" in text else "null"), "latency_ms": len(text)}
+
+
+@query(o.with_tables("""SELECT conversation_id, NOT bad AS success, CASE WHEN NOT bad THEN length(transcript) END AS latency_ms, CASE WHEN NOT bad THEN '{"solicitud_cita": ' || CASE WHEN contains(transcript, 'voy') THEN 'true' ELSE 'null' END || '}' END AS raw_text, CASE WHEN bad THEN 'ValueError: no answer for ' || conversation_id END AS error, 'custom' AS model
+ FROM (SELECT concat('CONV-', lpad(concat('', conv_id), 6, '0')) AS conversation_id, conv_id % 10 = 7 AS bad, string_agg(trim(sender) || ': ' || trim(text, ' \t\n\r'), '\n' ORDER BY turn) AS transcript FROM chat_turns WHERE trim(text, ' \t\n\r') <> '' GROUP BY conv_id)""", o.CHATS))
 def v01_apply_extractor(spark, d):
-    return signals.apply_extractor(talks(spark, d), lambda cid, text: {"raw_text": '{"solicitud_cita": %s}' % ("true" if "voy" in text else "null"), "latency_ms": len(text)})
+    return signals.apply_extractor(talks(spark, d), _extract)
 
 
 OTHER = scoring.params(**CATALOG_RANGE, score_version="v9", base_gestionable=5, ticket_weight=0.5, ticket_max_points=60, queue_commercial_weight=0.2, queue_urgency_weight=0.8, sin_gestion_mas_48h_min=65, antiguedad_points={"mas_48h": 5, "24_48h": 30}, estado_base=PARAMS["estado_base"] | {"Contactado": 75}, band_media_desde=20)
