@@ -132,7 +132,7 @@ def test_similar_keys_equal_comparing_every_pair(spark):
         skus = {s for k in keys if difflib.SequenceMatcher(None, t, k).ratio() == best for s in own[k]}
         if t and best >= 0.9:
             want[t] = (round(best, 4), next(iter(skus)) if len(skus) == 1 else None)
-    got = models.similar_keys(spark.createDataFrame([(t,) for t in texts if t], "key string"), spark.createDataFrame(list(own.items()), "key string, skus array<string>"))
+    got = models.similar_keys(spark.createDataFrame([(t,) for t in texts if t], "key string"), spark.createDataFrame(list(own.items()), "key string, skus array<string>"), below=False)
     assert {x.key: (x.score, x.fuzzy_sku) for x in got.collect()} == want and len(want) > 200
 
 
