@@ -39,6 +39,16 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def pack_counts(a: np.ndarray) -> bytes:
+    """Counts as planes of bytes, of 32 bits where they fit and else of 64, with the width in front."""
+    kind = np.uint32 if not len(a) or int(a.max()) < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + pack(a.astype(kind))
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    return unpack(memoryview(b)[1:], np.uint32 if b[0] == 4 else np.uint64)
+
+
 def _chunks(tokens: int, folds: int, test: int, held: int):
     def run(batches):
         import pyarrow as pa
@@ -152,7 +162,7 @@ def _count(table):
         mine = np.concatenate([unpack(x, np.uint32) for x in table.column(c).to_pylist()])
         sums.append(np.bincount(place, weights=mine, minlength=len(keys)).astype(np.uint64))
     cuts, chunks = np.cumsum([0, *map(len, parts)]), table.column("chunk").to_pylist()
-    out = [[c, level, bucket, *(pack(s[place[cuts[i] : cuts[i + 1]]]) for s in sums), None, None, None] for i, c in enumerate(chunks)]
+    out = [[c, level, bucket, *(pack_counts(s[place[cuts[i] : cuts[i + 1]]]) for s in sums), None, None, None] for i, c in enumerate(chunks)]
     if level == 1:
         words = keys != START
         out.append([-1, level, bucket, None, None, *(int(s[words].sum()) for s in sums), int(((sums[0] + sums[1] > 0) & words).sum())])
@@ -168,12 +178,12 @@ def _join(bits: int):
         row = left.slice(0, 1).to_pylist()[0]
         found = right.to_pylist()
         found.sort(key=lambda r: (r["level"], r["bucket"]))
-        got = {(lv, c): np.concatenate([unpack(r[c], np.uint64) for r in found if r["level"] == lv]) for lv in (1, 2) for c in ("main", "other")}
+        got = {(lv, c): np.concatenate([unpack_counts(r[c]) for r in found if r["level"] == lv]) for lv in (1, 2) for c in ("main", "other")}
         _, sizes, ids, _ = _read(row)
         hashes = np.frombuffer(row["words"], np.uint64)
         _, where = np.unique(hashes, return_inverse=True)
         _, place = _keys(_pairs(ids, _before(ids, sizes))[0], hashes, bits)
-        counts = [pack(got[lv, c][at]) for lv, at in ((1, where), (2, place)) for c in ("main", "other")]
+        counts = [pack_counts(got[lv, c][at]) for lv, at in ((1, where), (2, place)) for c in ("main", "other")]
         data = [*(row[c] for c in ("docs", "has_id", "fold", "sizes", "ids")), *counts]
         kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 7)
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(data, kinds, strict=True)], names=[c.split()[0] for c in JOINED.split(", ")])
@@ -202,7 +212,7 @@ def _events(n_main: int):
 
         for row in _rows(batches):
             _, _, ids, part, before, at = _tokens(row)
-            m1, m2 = (unpack(row[c], np.uint64).astype(np.float64) for c in ("m1", "m2"))
+            m1, m2 = (unpack_counts(row[c]).astype(np.float64) for c in ("m1", "m2"))
             t = np.flatnonzero(part == 1)
             c, h, w = m2[at[t]], m1[before[t]], m1[ids[t]]
             order = np.lexsort((w, h, c))
@@ -245,8 +255,8 @@ def _score(weights: np.ndarray, n: int, v: int):
 
         for row in _rows(batches):
             fold, sizes, ids, _, before, at = _tokens(row)
-            c1 = unpack(row["m1"], np.uint64).astype(np.float64) + unpack(row["o1"], np.uint64)
-            c2 = unpack(row["m2"], np.uint64).astype(np.float64) + unpack(row["o2"], np.uint64)
+            c1 = unpack_counts(row["m1"]).astype(np.float64) + unpack_counts(row["o1"])
+            c2 = unpack_counts(row["m2"]).astype(np.float64) + unpack_counts(row["o2"])
             w, h = c1[ids], c1[before]
             weight = weights[context_bucket(h)]
             p = weight[:, 0] * c2[at] / np.maximum(h, 1) + weight[:, 1] * w / max(1, n) + weight[:, 2] / (v + 1)

@@ -43,7 +43,7 @@ def test_counts_beyond_32_bits_are_whole():
     pack = language_model.pack
     table = pa.table({"level": [1, 1, 1], "bucket": [0, 0, 0], "chunk": [0, 1, 2], "keys": [keys.tobytes()] * 3, "main": [pack(np.array([2**31 + 3, 1], np.uint32))] * 3, "other": [pack(np.array([0, 5], np.uint32))] * 3})
     rows = {r["chunk"]: r for r in language_model._count(table).to_pylist()}
-    assert list(language_model.unpack(rows[1]["main"], np.uint64)) == [3 * (2**31 + 3), 3] and list(language_model.unpack(rows[1]["other"], np.uint64)) == [0, 15]
+    assert list(language_model.unpack_counts(rows[1]["main"])) == [3 * (2**31 + 3), 3] and list(language_model.unpack_counts(rows[1]["other"])) == [0, 15]
 
 
 def test_terms_meet_only_the_texts_that_hold_them(spark):
