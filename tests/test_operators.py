@@ -249,3 +249,34 @@ def test_transitions_equal_a_loop_over_each_leads_events(spark):
     got = views.status_transitions(spark.createDataFrame(leads, "lead_id string, status string, closed_at string, close_reason string").select("lead_id", "status", day("closed_at"), "close_reason"),
                                    spark.createDataFrame(events, "lead_id string, new_status string, reason string, at string, event_id long").select("lead_id", "new_status", "reason", day("at"), "event_id"))
     assert {x.lead_id: (x.status, x.close_reason, x.applied, x.unknown, x.reopenings) for x in got.collect()} == want
+
+
+def _people(r, n):
+    """Few phones, e-mails, names and cities, any of them null, and one phone and one place with a large part of the leads."""
+    some = lambda *x: r.choice(x)
+    return [(f"L{i:04d}", some("E", "E", "F", None), some("Ana Diaz", "ana  díaz", "Ana Dias", "Luz", "Luz M", "", "Marta Gomez", "Martha Gomez"), some("1", "1", "1", "2", "3", None), some("a@x.co", "b@x.co", "c@x.co", None, None), some("Cali", "Cali", "Pasto", None)) for i in range(n)]
+
+
+PEOPLE = "lead_id string, company_id string, customer_name string, phone_normalized string, email_normalized string, city_normalized string"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_phone_links_hold_every_pair_with_its_rule(spark, seed):
+    """Membership and pairs of names give back the list of all pairs, the discarded ones too; the numbers are those of the list."""
+    leads = spark.createDataFrame(_people(random.Random(seed), 90), PEOPLE)
+    k = [x for x in identity.keyed(leads).collect()]
+    want = {(a.lead_id, b.lead_id): identity.STRONG if a.email_normalized and a.email_normalized == b.email_normalized else identity.POSSIBLE if jaro_winkler_value(*sorted((a.name, b.name))) >= 0.9 else None
+            for a in k for b in k if a.lead_id < b.lead_id and a.company_id and a.company_id == b.company_id and a.phone_normalized and a.phone_normalized == b.phone_normalized}
+    rows = identity.Evidence(leads).phone_links().collect()
+    each, near = [x for x in rows if x.kind == "lead"], {frozenset((x.name_class, x.other_class)): x for x in rows if x.kind == "pair"}
+    rule = lambda a, b: identity.STRONG if a.mail_class and a.mail_class == b.mail_class else identity.POSSIBLE if a.name_class == b.name_class or frozenset((a.name_class, b.name_class)) in near else None
+    got = {(a.lead_id, b.lead_id): rule(a, b) for a in each for b in each if a.lead_id < b.lead_id and a.phone_class and a.phone_class == b.phone_class}
+    assert got == want and set(want.values()) == {identity.STRONG, identity.POSSIBLE, None}
+    assert sorted(x.lead_id for x in each) == sorted(x.lead_id for x in k)
+    for x in each:
+        mine = [v for p, v in want.items() if x.lead_id in p]
+        assert (x.strong, x.possible, x.discarded) == tuple(mine.count(v) for v in (identity.STRONG, identity.POSSIBLE, None)), x
+    name = {x.lead_id: x.name_class for x in each}
+    for p, x in near.items():
+        mine = [v for (a, b), v in want.items() if frozenset((name[a], name[b])) == p]
+        assert (x.strong, x.possible, x.discarded) == (mine.count(identity.STRONG), mine.count(identity.POSSIBLE), 0) and x.name_similarity >= 0.9
