@@ -280,3 +280,15 @@ def test_phone_links_hold_every_pair_with_its_rule(spark, seed):
     for p, x in near.items():
         mine = [v for (a, b), v in want.items() if frozenset((name[a], name[b])) == p]
         assert (x.strong, x.possible, x.discarded) == (mine.count(identity.STRONG), mine.count(identity.POSSIBLE), 0) and x.name_similarity >= 0.9
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_place_links_hold_every_pair(spark, seed):
+    leads = spark.createDataFrame(_people(random.Random(seed), 90), PEOPLE)
+    k = identity.keyed(leads).collect()
+    want = {(a.lead_id, b.lead_id) for a in k for b in k if a.lead_id < b.lead_id and a.company_id and a.company_id == b.company_id and a.name and a.name == b.name and a.city_normalized and a.city_normalized == b.city_normalized
+            and not (a.phone_normalized and a.phone_normalized == b.phone_normalized)}
+    each = identity.Evidence(leads).place_links().collect()
+    got = {(a.lead_id, b.lead_id) for a in each for b in each if a.lead_id < b.lead_id and a.place_class and a.place_class == b.place_class and not (a.phone_class and a.phone_class == b.phone_class)}
+    assert got == want and want and sorted(x.lead_id for x in each) == sorted(x.lead_id for x in k)
+    assert all(x.links == sum(x.lead_id in p for p in want) and x.rule == (identity.WEAK if x.links else None) for x in each)
