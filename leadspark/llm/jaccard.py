@@ -11,7 +11,7 @@ Two documents link when the Jaccard similarity of their sets of k-word shingles
    vector folds to half its length by adding neighbours). Packed R-trees, sorted by size, are joined top-down: the
    overlap of two nodes is at most the sum of the coordinate minima of their upper corners, of two documents the sum of
    the minima of their counts. Members with no partner left are dropped. No texts move in this step.
-4. Texts of the members that are left go to their groups; surviving pairs of different components are verified on the
+4. Texts of the members that are left (a bitmap of their ids keeps most others out of the shuffle) go to their groups; surviving pairs of different components are verified on the
    exact sets (of 64-bit hashes). Each task returns a spanning forest: g copies give g - 1 links and never all pairs.
 5. A group of more than `block` members, or `shingles` shingles, is dealt to several tasks, each with the group's
    smallest document. Near copies link with it or with one another, so a group mostly is one component then, and what
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import U64, components, discard, lists, materialize, meet, mix64, shingle_sets, slices, without
+from leadspark.llm.common import U64, components, discard, lists, materialize, meet, mix64, shingle_sets, sift, slices, without
 
 #: A count of this or more may be any number.
 FULL = 65535
@@ -225,7 +225,7 @@ def linked(docs: DataFrame, percent: int = 85, k: int = 4, block: int = 1000, sh
     heads = materialize(heads.select(F.col("doc_id").alias("x"), "n", "keys", "vector"), "heads")
     posts = heads.select("x", F.explode("keys").alias("key"))
     keys = materialize(posts.groupBy("key").agg(F.min("x").alias("g"), F.count("*").alias("_n")).where("_n > 1"), "keys")
-    members = meet(posts, keys, ["key"], "_n", ["x"]).select("g", "x").distinct().join(heads.groupBy("x").agg(F.max("n").alias("_w")), "x")
+    members = meet(sift(posts, keys, "key"), keys, ["key"], "_n", ["x"]).select("g", "x").distinct().join(heads.groupBy("x").agg(F.max("n").alias("_w")), "x")
     members = materialize(members, "members")
     groups = members.groupBy("g").agg(F.count("*").alias("_n"), F.sum("_w").alias("_weight"))
     groups = materialize(groups.select("g", "_n", _parts("_n", "_weight", block, shingles).alias("_m")), "groups")
@@ -238,10 +238,11 @@ def linked(docs: DataFrame, percent: int = 85, k: int = 4, block: int = 1000, sh
     def verified(dealt: DataFrame) -> DataFrame:
         with_vectors = dealt.join(heads.select("x", "n", "vector"), "x").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
         alive = materialize(with_vectors.select(*MEMBER, "n", "vector").mapInArrow(_survivors(percent), ", ".join(f"{c} long" for c in MEMBER)), "alive")
-        texts = docs.where("doc_id is not null").join(alive.select(F.col("x").alias("doc_id")).distinct(), "doc_id").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"])
+        ids = materialize(alive.select(F.col("x").alias("doc_id")).distinct(), "ids")
+        texts = sift(docs.where("doc_id is not null"), ids, "doc_id").join(ids, "doc_id").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"])
         with_texts = alive.join(texts.select(F.col("doc_id").alias("x"), "text"), "x").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
         found = materialize(with_texts.select(*MEMBER, "text").mapInArrow(_links(percent, k), "a long, b long"), "links")
-        discard(alive)
+        discard(alive, ids)
         return found
 
     links = verified(dealt)

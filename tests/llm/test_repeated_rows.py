@@ -54,3 +54,16 @@ def test_terms_meet_only_the_texts_that_hold_them(spark):
     marked = [words[r.doc_id][s.start:s.end] for r in found for s in r.spans if s.kind == 4]
     assert len(found) == 100 and marked.count("secretname") == 100
     assert all(words[r.doc_id][s.start:s.end] in words[r.doc_id].split() for r in found for s in r.spans if s.kind == 4)
+
+
+@pytest.mark.parametrize("most", [1 << 28, 1 << 15])
+def test_sift_keeps_what_meets_and_little_else(spark, most):
+    """Of 200 000 rows 1 000 meet; a bitmap that is too small lets more of the others pass and loses none."""
+    from leadspark.scratch import materialize, sift
+
+    many = spark.range(200_000).select((F.col("id") * 977 - 10_000).alias("doc_id"), F.lit("text").alias("text"))
+    ids = materialize(spark.range(1000).select((F.col("id") * 977 * 3 - 10_000).alias("doc_id")), "ids")
+    got = sift(many, ids, "doc_id", most)
+    assert got.columns == many.columns and got.join(ids, "doc_id").count() == 1000 and got.dropDuplicates().count() == got.count()
+    assert got.count() < (1600 if most > 1 << 20 else 10_000)
+    assert sift(many, materialize(ids.limit(0), "none"), "doc_id").count() == 0
