@@ -292,3 +292,26 @@ def test_place_links_hold_every_pair(spark, seed):
     got = {(a.lead_id, b.lead_id) for a in each for b in each if a.lead_id < b.lead_id and a.place_class and a.place_class == b.place_class and not (a.phone_class and a.phone_class == b.phone_class)}
     assert got == want and want and sorted(x.lead_id for x in each) == sorted(x.lead_id for x in k)
     assert all(x.links == sum(x.lead_id in p for p in want) and x.rule == (identity.WEAK if x.links else None) for x in each)
+
+
+def test_lists_of_candidates_by_broadcast_and_dealt(spark):
+    """Rows of a list that fills several tasks are dealt to them; a task has one long list or some short ones."""
+    rows = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("_key"))
+    lists = spark.createDataFrame([("a", "S1|S2|S3"), ("c", "S9")], "key string, candidates string")
+    want = {i: "S1|S2|S3" if i % 3 == 0 else None for i in range(900)}
+    for most, page in ((1 << 20, 1 << 18), (1 << 20, 4), (0, 4)):
+        got = models._with_lists(rows, lists, ["id"], most_bytes=most, page=page, task_bytes=600)
+        assert got.count() == 900 and {r.id: r.candidates for r in got.collect()} == want
+        if page == 4 and most:
+            by_task = got.groupBy(F.spark_partition_id().alias("t")).agg(F.count_distinct("candidates").alias("lists"), F.count("candidates").alias("n")).where("n > 0").collect()
+            assert len(by_task) == 4 and all(r.lists == 1 for r in by_task)
+    assert "Sort " not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_rows_take_one_shuffle(spark):
+    from leadspark.operators import ingest
+
+    rows = spark.createDataFrame([("a", 2, "x", None), ("a", 1, "x", None), ("b", 1, "x", None), ("b", 3, None, "x"), ("c", 5, "y", "y")], "lead_id string, row_number long, p string, q string")
+    out = ingest.first_occurrence(rows)
+    assert {r.lead_id: (r.row_number, r.n_rows, r.row_numbers, r.identical) for r in out.collect()} == {"a": (1, 2, "1,2", True), "b": (1, 2, "1,3", False), "c": (5, 1, "5", True)}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Aggregate(") == 2  # before the shuffle and after it
