@@ -93,7 +93,7 @@ def batch_status(batch: DataFrame, talks: DataFrame, leads: DataFrame, extractio
 
 def claimed_models(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     """(lead_id, sku): the product that each of texts (lead_id, text) names, as match_models() finds it; ambiguous and unknown ones have none."""
-    return match_models(texts, catalog, "text").where("match_state = 'matched'").select("lead_id", "sku")
+    return match_models(texts, catalog, "text", candidates=False).where("match_state = 'matched'").select("lead_id", "sku")
 
 
 def model_inconsistency(leads: DataFrame, claims: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.operators import assign, audit, identity, ingest, scoring, signals
+from leadspark.operators import assign, audit, identity, ingest, models, scoring, signals
 from leadspark.scratch import materialize
 
 LOG = "run string, stage string, status string, rows long, seconds double, error string, sources map<string,string>"
 #: Part of a run's key: a change of the stages' results begins runs anew.
-VERSION = "1"
+VERSION = "2"
 
 
 def fingerprint(df: DataFrame) -> str:
@@ -37,6 +37,9 @@ def lead_pipeline(spark: SparkSession, raw: DataFrame, org: DataFrame, catalog:
                   open_load: DataFrame | None = None, kept: DataFrame | None = None, store: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, log). Stages: leads, conversations, members, signals, scores, assignments; each is written before the next reads it.
 
+    Stage leads writes two tables: leads, and candidates (model_text_raw, candidates), a row for each ambiguous product
+    text, as its list grows with the catalogue and is the same for all leads that have the text.
+
     A failing stage ends the run; what earlier stages wrote stays, and the log tells the whole error. talks:
     conversation_id, lead_id, messages. extractions: validated rows with lead_id; without them the rules read the chats.
     open_load (advisor_id, load) and kept (lead_id, advisor_id) go to the assignment.
@@ -68,7 +71,7 @@ def lead_pipeline(spark: SparkSession, raw: DataFrame, org: DataFrame, catalog:
         return spark.read.schema(df.schema).parquet(f"{store}/{run}/{name}")
 
     stages: list[tuple[str, Callable[[], DataFrame]]] = [
-        ("leads", lambda: ingest.normalize_leads(raw, org, catalog, fuzzy=fuzzy)),
+        ("leads", lambda: ingest.normalize_leads(raw, org, catalog, fuzzy=fuzzy, candidates=False)),
         ("conversations", lambda: ingest.link_conversations(talks, tables["leads"])),
         ("members", lambda: identity.resolve_identities(tables["leads"])[1]),
         ("signals", consolidated), ("scores", scored),
@@ -78,6 +81,8 @@ def lead_pipeline(spark: SparkSession, raw: DataFrame, org: DataFrame, catalog:
         try:
             reused = name in done
             tables[name] = spark.read.parquet(f"{store}/{run}/{name}") if reused else keep(name, stage())
+            if name == "leads":
+                tables["candidates"] = spark.read.parquet(f"{store}/{run}/candidates") if reused else keep("candidates", models.candidate_lists(tables["leads"], catalog))
             log.append((run, name, "reused" if reused else "ok", tables[name].count(), round(time.time() - begun, 3), None, sources))
         except Exception as e:  # noqa: BLE001  logged; the run ends here
             log.append((run, name, "failed", None, round(time.time() - begun, 3), f"{type(e).__name__}: {e}", sources))
@@ -91,7 +96,7 @@ def lead_pipeline(spark: SparkSession, raw: DataFrame, org: DataFrame, catalog:
 def quality_audit(raw: DataFrame, org: DataFrame, catalog: DataFrame, advisors: DataFrame, history: DataFrame, talks: DataFrame) -> dict[str, DataFrame]:
     """The audit's tables by name, ready for write_tables()."""
     columns = list(ingest.RAW)
-    matched = materialize(ingest.normalize_leads(raw, org, catalog, fuzzy=False), "matched")
+    matched = materialize(ingest.normalize_leads(raw, org, catalog, fuzzy=False, candidates=False), "matched")
     stock = {} if "availability" not in catalog.columns else {"availability": audit.availability_check(catalog, org, advisors), "all_issues": audit.issues(raw, columns, matched, org, catalog, advisors, history, talks)}
     return stock | {
         "structure": audit.profile_columns(raw, columns), "missing": audit.missing_values(raw, columns), "issues": audit.issue_catalog(raw), "duplicates": audit.duplicate_keys(raw, "lead_id"), "phone_formats": raw.groupBy(audit.f.phone_format(F.col("telefono")).alias("format")).count(),

@@ -315,3 +315,15 @@ def test_first_rows_take_one_shuffle(spark):
     out = ingest.first_occurrence(rows)
     assert {r.lead_id: (r.row_number, r.n_rows, r.row_numbers, r.identical) for r in out.collect()} == {"a": (1, 2, "1,2", True), "b": (1, 2, "1,3", False), "c": (5, 1, "5", True)}
     assert out._jdf.queryExecution().sparkPlan().toString().count("Aggregate(") == 2  # before the shuffle and after it
+
+
+def test_candidates_stand_in_no_table_of_leads(spark):
+    catalog = spark.createDataFrame([(f"S{i}", "Honda", f"CB {i}") for i in range(40)] + [("T1", "Bajaj", "Pulsar"), ("T2", "Bajaj", "Pulsar")], "sku string, brand string, line string")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["honda", "pulsar", "cb", "HONDA", "cb 7", None, "nada"])], "id int, model_text_raw string")
+    full, slim = models.match_models(rows, catalog, fuzzy=False), models.match_models(rows, catalog, fuzzy=False, candidates=False)
+    assert "candidates" not in slim.columns
+    again = slim.join(models.candidate_lists(slim, catalog), "model_text_raw", "left").fillna("", ["candidates"])
+    of = lambda df: {r.id: (r.sku, r.match_state, r.match_type, r.candidates) for r in df.collect()}
+    assert of(again) == of(full) and of(full)[0][3].count("|") == 39 and of(full)[1][3] == "T1|T2" and of(full)[5] == (None, "empty", "vacio", "")
+    from leadspark.plans import queries
+    assert "candidates" not in queries.kept_leads(spark, "/root/testdata/sf0.001").columns
