@@ -327,3 +327,38 @@ def test_candidates_stand_in_no_table_of_leads(spark):
     assert of(again) == of(full) and of(full)[0][3].count("|") == 39 and of(full)[1][3] == "T1|T2" and of(full)[5] == (None, "empty", "vacio", "")
     from leadspark.plans import queries
     assert "candidates" not in queries.kept_leads(spark, "/root/testdata/sf0.001").columns
+
+
+def test_components_of_stars_take_few_tables(spark, monkeypatch):
+    """Leads in groups of three kinds, as identity makes them: one round on the whole graph."""
+    from leadspark import scratch
+
+    r, real, names = random.Random(2), scratch.materialize, []
+    groups: dict = {}
+    for i in range(4000):
+        person = r.randrange(1500)
+        for g in (("p", person), ("c", "z" if r.random() < 0.1 else person % 20, person % 7), ("n", person, r.random() < 0.1)):
+            groups.setdefault(g, []).append(i)
+    edges = [(min(m), x) for m in groups.values() for x in m if x != min(m)]
+    parent = list(range(4000))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    sizes = []
+
+    def counted(df, name):
+        out = real(df, name)
+        names.append(name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "materialize", counted)
+    got = {x.node: x.component for x in scratch.components(spark.createDataFrame(edges, "a int, b int"), few=100).collect()}
+    assert got == {x: find(x) for e in edges for x in e}
+    assert sum(n > 2000 for n in sizes) <= 5, sizes  # edges, pointers, labels and what they give
