@@ -362,3 +362,12 @@ def test_components_of_stars_take_few_tables(spark, monkeypatch):
     got = {x.node: x.component for x in scratch.components(spark.createDataFrame(edges, "a int, b int"), few=100).collect()}
     assert got == {x: find(x) for e in edges for x in e}
     assert sum(n > 2000 for n in sizes) <= 5, sizes  # edges, pointers, labels and what they give
+
+
+def test_members_without_rules_are_the_same_leads(spark):
+    from leadspark.operators import identity
+
+    rows = [("a", "E", "Ana Paz", "1", "x@y.co", "Cali"), ("b", "E", "Ana Paz", "1", "x@y.co", None), ("c", "E", "Ana Pas", "1", None, None), ("d", "E", "Leo", None, None, "Cali"), ("e", "E", "leo", "2", None, "Cali"), ("f", "E", "Eva", "3", None, "Cali")]
+    n = spark.createDataFrame(rows, "lead_id string, company_id string, customer_name string, phone_normalized string, email_normalized string, city_normalized string")
+    full, slim = identity.resolve_identities(n)[1], identity.resolve_identities(n, rules=False)[1]
+    assert "rule" not in slim.columns and sorted(map(tuple, slim.collect())) == sorted(map(tuple, full.select(*slim.columns).collect())) and slim.count() == 5
