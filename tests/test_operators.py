@@ -371,3 +371,12 @@ def test_members_without_rules_are_the_same_leads(spark):
     n = spark.createDataFrame(rows, "lead_id string, company_id string, customer_name string, phone_normalized string, email_normalized string, city_normalized string")
     full, slim = identity.resolve_identities(n)[1], identity.resolve_identities(n, rules=False)[1]
     assert "rule" not in slim.columns and sorted(map(tuple, slim.collect())) == sorted(map(tuple, full.select(*slim.columns).collect())) and slim.count() == 5
+
+
+def test_views_normalise_leads_once(spark, monkeypatch, name):
+    from leadspark.plans import queries
+
+    calls, kept = [], queries.kept_leads(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(queries, "kept_leads", lambda *_: calls.append(1) or kept)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
